@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import pii, quality
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
+    "op5_pii": op5_pii,
     "op9_quality_rules": op9_quality_rules,
 }
 
