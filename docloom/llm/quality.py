@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, text_blocks
+from .common import free_name, store, text_blocks
 from .rolling import LOWER, Ranges, mix, owners, sums, word_spans
 
 #: Function words whose shares tell prose of a language from other text. Fixed values.
@@ -150,7 +150,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
 
     width = 1 + N_CLASSES + N_COMMON + 1
     parts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, sums array<double>")
-    by_lang = parts.groupBy("lang").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width)))
+    by_lang = store(parts.groupBy("lang").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width))), "languages")
     everything = by_lang.agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(width))).collect()[0]
     out = {}
     for r in [*by_lang.orderBy(F.desc("s0"), "lang").limit(max_languages).collect(), ("", *everything)]:

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality
+from . import pii, quality, token_counts
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Folder of the public vocabularies; another place can be named by the environment.
+TOKENIZERS = os.environ.get("DOCLOOM_TOKENIZERS", "")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, the same on driver and executors."""
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op9_quality_rules": op9_quality_rules,
 }
