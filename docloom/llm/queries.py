@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, pii, quality, suffix_dedup, token_counts
+from . import html_text, minhash, pii, quality, suffix_dedup, token_counts
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
+    "op6_html_text": op6_html_text,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
