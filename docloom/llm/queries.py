@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, minhash, pii, quality, suffix_dedup, token_counts
+from . import html_text, minhash, mixing, pii, quality, suffix_dedup, token_counts, toxicity
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,22 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chain = toxicity.fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["quality", "toxic"])
+    return toxicity.score(docs, chain)
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op6_html_text": op6_html_text,
+    "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
