@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, text_blocks
-from .rolling import LOWER, Ranges, owners, word_spans
+from .rolling import LOWER, Ranges, mix, owners, word_spans
 
 BITS = 20
+#: Beginnings of longer words that count as features, in bytes; a feature needs this chi-square.
+PREFIXES, MIN_SCORE = (5, 8), 10.0
 _BLANK = np.full(256, 0x20, np.uint8)  # everything but letters and characters outside ASCII separates
 _BLANK[0x61:0x7B] = np.arange(0x61, 0x7B)
 _BLANK[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -21,11 +23,16 @@ _BLANK[0x30:0x3A] = np.arange(0x30, 0x3A)
 
 
 def word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each distinct hashed word of every text, by row."""
+    """Row and bucket of each distinct hashed word and word beginning of every text, by row."""
     plain = _BLANK[LOWER[data]]
     start, end, ptr = word_spans(plain, at)
-    bucket = Ranges(plain).of(start, end) >> np.uint64(64 - BITS)
-    key = np.unique((owners(ptr).astype(np.uint64) << np.uint64(BITS)) | bucket)
+    ranges, row = Ranges(plain), owners(ptr).astype(np.uint64)
+    hashes, rows = [ranges.of(start, end)], [row]
+    for k in PREFIXES:
+        long = end - start > k
+        hashes.append(mix(ranges.of(start[long], start[long] + k) + np.uint64(k)))
+        rows.append(row[long])
+    key = np.unique((np.concatenate(rows) << np.uint64(BITS)) | (np.concatenate(hashes) >> np.uint64(64 - BITS)))
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64(2**BITS - 1)).astype(np.int64)
 
 
@@ -58,7 +65,7 @@ def select_buckets(rows: DataFrame, target: str, n_classes: int, most: int) -> n
         nk = sizes.get(k, 0)
         if 0 < nk < n:
             score = F.greatest(score, F.pow(F.col(f"c{k}") * float(n) - F.col("df") * float(nk), 2) * n / (F.col("df") * (n - F.col("df") + 1) * float(nk) * (n - nk)))
-    top = seen.filter("df >= 2").withColumn("score", score).orderBy(F.desc("score"), "bucket").limit(most).select("bucket").collect()
+    top = seen.filter("df >= 2").withColumn("score", score).filter(F.col("score") >= MIN_SCORE).orderBy(F.desc("score"), "bucket").limit(most).select("bucket").collect()
     return np.sort(np.array([r[0] for r in top], np.int64))
 
 
@@ -90,7 +97,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(x: Sparse, y: np.ndarray, n_classes: int, penalty: float = 1.0, rounds: int = 200) -> np.ndarray:
+def fit(x: Sparse, y: np.ndarray, n_classes: int, penalty: float = 0.5, rounds: int = 200) -> np.ndarray:
     """Weights of a multinomial logistic regression by accelerated gradient steps with restarts."""
     target = np.eye(n_classes)[y]
     per_row = np.bincount(x.row, minlength=x.n) + (x.dense**2).sum(1) if x.n else np.ones(1)

@@ -78,7 +78,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id_col, the probability p_<category> of each category, and the last category as a boolean column of its name."""
     names = [f"p_{c}" for c in chain.categories]
 
