@@ -59,6 +59,8 @@ class Pieces:
         h = Ranges(self.data).of(self.at[ids], self.at[ids + 1])
         order = np.argsort(h)
         self.hash, self.id = h[order], ids[order]
+        self._may = np.zeros(1 << 20, bool)  # most substrings are ruled out here
+        self._may[self.hash >> np.uint64(44)] = True
         self.lengths = np.unique(length)
         inside = np.zeros(256, bool)
         inside[self.data] = True
@@ -69,9 +71,12 @@ class Pieces:
         if any(b" " in r.strip(b" ") or (r.strip(b" ") and r.endswith(b" ")) for i, r in enumerate(raw) if usable[i]):
             raise ValueError("a piece of this vocabulary goes on past the end of a word")
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[i] == h, self.id[i], -1)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the fingerprints are pieces, and their ids."""
+        at = np.flatnonzero(self._may[h >> np.uint64(44)])
+        i = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+        hit = self.hash[i] == h[at]
+        return at[hit], self.id[i[hit]]
 
 
 class Lattice:
@@ -89,8 +94,8 @@ class Lattice:
             p = spot[spot + k <= stop[spot]]
             if not len(p):
                 break
-            found = pieces.find(ranges.of(p, p + k))
-            p, found = p[found >= 0], found[found >= 0]
+            some, found = pieces.find(ranges.of(p, p + k))
+            p = p[some]
             begins.append(p)
             ends.append(p + k)
             ids.append(found)
@@ -104,7 +109,7 @@ class Lattice:
         begin, end, self.id = (np.concatenate(x).astype(np.int64) for x in (begins, ends, ids))
         row = unit[begin]
         depth = end - at[row]  # filter by distance from the unit's start, all units together
-        order = np.lexsort((row, depth))
+        order = np.argsort(depth * len(at) + row)
         begin, end, row, depth, self.id = begin[order], end[order], row[order], depth[order], self.id[order]
         self.source, node = begin + row, end + row
         forward = np.full(n + len(at), -np.inf)
@@ -118,15 +123,16 @@ class Lattice:
             size = np.diff(np.append(first, b - a))
             safe = np.where(np.isfinite(top), top, 0.0)
             forward[node[a:b][first]] = safe + np.log(np.add.reduceat(np.exp(score - np.repeat(safe, size)), first))
-        order = np.argsort(node, kind="stable")
+        order = np.argsort(node)
         node, self.source, self.id = node[order], self.source[order], self.id[order]
         share = np.exp(forward[self.source] + weight[order] - forward[node])
         first = np.flatnonzero(np.diff(node, prepend=-1))
         total = np.cumsum(share)
         before = np.repeat(np.concatenate([[0.0], total[first[1:] - 1]]) if len(first) else np.zeros(0), np.diff(np.append(first, len(node))))
-        within = np.minimum(total - before, 1.0)
-        within[np.append(first[1:], len(node)) - 1] = 1.0
-        self.key = node + within
+        self.upto = total - before  # cumulative shares of the edges into a node
+        self.upto[np.append(first[1:], len(node)) - 1] = 2.0
+        self.begin = np.zeros(n + len(at), np.int64)
+        self.begin[node[first]] = first
         self.last = at[1:] + np.arange(len(at) - 1)
         self.first = at[:-1] + np.arange(len(at) - 1)
 
@@ -158,7 +164,11 @@ def sample(data: np.ndarray, at: np.ndarray, keys: np.ndarray, pieces: Pieces) -
     drawn, count, step = [], np.zeros(len(start), np.int64), 0
     while len(active):
         u = (mix(place[active] + np.uint64(step)) >> np.uint64(24)).astype(np.float64) / float(1 << 40)
-        edge = np.searchsorted(lattice.key, node + u, "right")
+        edge = lattice.begin[node]
+        miss = np.flatnonzero(lattice.upto[edge] <= u)
+        while len(miss):
+            edge[miss] += 1
+            miss = miss[lattice.upto[edge[miss]] <= u[miss]]
         drawn.append((active, lattice.id[edge]))
         count[active] += 1
         node = lattice.source[edge]
@@ -201,7 +211,7 @@ def sample_pieces(docs: DataFrame, vocabulary: str, seed: int = 0, sharpness: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(vocabulary, sharpness)
-        for block, data, at in text_blocks(batches, "text"):
+        for block, data, at in text_blocks(batches, "text", 6 << 20):
             ids, ptr = sample(data, at, block.column(1).to_numpy(zero_copy_only=False), pieces)
             back, back_at = decode(ids, ptr, pieces)
             same = np.diff(at) == np.diff(back_at)
