@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, minhash, mixing, pii, quality, sentence_pieces, suffix_dedup, token_counts, toxicity
+from . import ann, html_text, minhash, mixing, pii, quality, sentence_pieces, suffix_dedup, token_counts, toxicity
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_token_counts": op4_token_counts,
