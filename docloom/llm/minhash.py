@@ -4,11 +4,12 @@ The minima of many hash functions over a text's word shingles are banded into bu
 only the low bits are kept, packed into a few longs. Pairs that share a bucket are estimated by counting equal
 low bits, corrected for chance, and confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs. Texts with the same set are one class. In each bucket everything is
-compared with one hub, linked texts become components, and only buckets that still hold several components
-go on: small ones compare all texts of different components, large ones compare all with a few hubs of the
-smallest component. A hub has been compared with everything, so it leaves the bucket; the loop ends when no
-bucket holds two components, and no link between different components is lost.
+No bucket is expanded into all its pairs. Texts with the same set are one class. For a few rounds everything in
+a bucket is compared with one hub, taken from the bucket's largest component, and linked texts become components.
+A hub that has met all outside its component leaves the bucket, and a bucket of one component is done. In the
+buckets left every text outside the largest component meets all others, in blocks of bounded size and best
+estimates first, and pairs whose components have joined meanwhile are passed over. So no bucket is cut short,
+and no link between different components is lost.
 
 Nulls and edge cases: a text without words (or null) has an empty set and links with nothing; rows that share
 an id count as one document; a null id links with nothing and is kept; an empty table gives an empty result.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, store, text_blocks
@@ -31,8 +32,8 @@ from .rolling import LOWER, Ranges, mix, word_spans
 B_BITS = 2
 #: An estimate this far below the threshold rules a pair out (more than six standard errors at 120 minima).
 MARGIN = 0.25
-#: Buckets up to this size compare all their texts of different components at once; larger ones this many hubs a round.
-SMALL_BUCKET, HUBS = 48, 16
+#: Rounds with one hub a bucket before the rest of a bucket meets in blocks of this many bytes of sets.
+HUB_ROUNDS, BLOCK_BYTES = 3, 16 << 20
 #: Up to this many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -60,6 +61,14 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.nd
             yield np.zeros(0, np.uint64)
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union for two sorted sets."""
+    if len(y) < len(x):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -119,11 +128,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, w
         for batch in batches:
             keep = []
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                if len(y) < len(x):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b)), percent):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
@@ -132,6 +137,55 @@ def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, w
     return likely.join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
+def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame:
+    """Links (u, v) that join the components of each bucket as far as any pair in it can.
+
+    entries: key, id, comp and main, the bucket's largest component. Every text outside main meets every text of
+    its bucket, in blocks of bounded size; a pair whose components are joined by then is not looked at.
+    """
+    low = np.uint64(sum(1 << (B_BITS * i) for i in range(64 // B_BITS)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        size = table.column("n").to_numpy()
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+        base, asks = np.flatnonzero(table.column("as_base").to_numpy(zero_copy_only=False)), np.flatnonzero(table.column("as_outside").to_numpy(zero_copy_only=False))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        out = []
+        for i in asks:
+            x = bits[base] ^ bits[i]
+            folded = x.copy()
+            for s in range(1, B_BITS):
+                folded |= x >> np.uint64(s)
+            equal = 1 - np.bitwise_count(folded & low).sum(1) / k
+            estimate = (equal - 2.0**-B_BITS) / (1 - 2.0**-B_BITS)
+            may = (comp[base] != comp[i]) & (100 * np.minimum(size[base], size[i]) >= percent * np.maximum(size[base], size[i])) & (estimate >= percent / 100 - MARGIN)
+            for j in base[may][np.argsort(-estimate[may], kind="stable")]:
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a != b and linked(shingles[i], shingles[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+        return pa.table({"u": pa.array([min(p) for p in out], pa.int64()), "v": pa.array([max(p) for p in out], pa.int64())})
+
+    rows = entries.join(reps, "id").join(sets, "id").withColumn("outside", F.col("comp") != F.col("main"))
+    per_key = rows.groupBy("key").agg(F.sum(F.col("n") * 8 + 100).alias("all_bytes"), F.sum(F.when(F.col("outside"), F.col("n") * 8 + 100).otherwise(0)).alias("out_bytes"))
+    per_key = per_key.select("key", F.ceil(F.col("all_bytes") / BLOCK_BYTES).cast("int").alias("ab"), F.greatest(F.lit(1), F.ceil(F.col("out_bytes") / BLOCK_BYTES).cast("int")).alias("ob"))
+    rows = rows.join(per_key, "key").withColumn("a", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ab")).cast("int")).withColumn("o", F.pmod(F.xxhash64("id", F.lit(2)), F.col("ob")).cast("int"))
+    as_base = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda o: F.struct(o.alias("o"), F.col("a").alias("a")))
+    as_outside = F.transform(F.sequence(F.lit(0), F.col("ab") - 1), lambda a: F.struct(F.col("o").alias("o"), a.alias("a")))
+    rows = rows.withColumn("at", F.explode(F.array_distinct(F.when(F.col("outside"), F.concat(as_base, as_outside)).otherwise(as_base))))
+    rows = rows.select("key", F.col("at.o").alias("bo"), F.col("at.a").alias("ba"), "id", "comp", "n", "bits", "shingles", (F.col("at.a") == F.col("a")).alias("as_base"), (F.col("outside") & (F.col("at.o") == F.col("o"))).alias("as_outside"))
+    return rows.groupBy("key", "bo", "ba").applyInArrow(meet, "u long, v long").distinct()
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """id and shingles (packed fingerprints) of the documents in ids."""
 
@@ -167,28 +221,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     sets = _sets_of(docs, ids, width, id_col, text_col)
     copy_links = in_class.filter("rep IS NOT NULL AND rep <> id").select(F.col("rep").alias("u"), F.col("id").alias("v"))
 
-    pairs = entries.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    links = store(_confirm(pairs, reps, sets, percent, words, k), "links")
-    labels = components(links)
-    entries = entries.filter("id <> hub").select("key", "id")
-    while True:
-        labelled = entries.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "size")
-        left = store(labelled.join(open_, "key"), "open")
-        if not left.limit(1).count():
+    links = labels = None
+    for turn in range(HUB_ROUNDS):
+        outside = entries.filter("id <> hub") if turn == 0 else entries.filter("id <> hub AND comp <> main")
+        pairs = outside.select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
+        found = _confirm(pairs, reps, sets, percent, words, k)
+        links = store(found if links is None else links.union(found), "links")
+        labels = components(links)
+        # The hub has been compared with all that are outside its component, so it leaves; buckets of one component are done.
+        left = entries.filter("id <> hub").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        parts = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("first"))
+        main = parts.groupBy("key").agg(F.max(F.struct("c", F.col("comp").alias("main"), F.col("first.id").alias("hub"))).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        entries = store(left.join(main.select("key", "m.main", "m.hub"), "key"), "open")
+        if not entries.limit(1).count():
             break
-        small, large = left.filter(F.col("size") <= SMALL_BUCKET), left.filter(F.col("size") > SMALL_BUCKET)
-        a, b = small.alias("a"), small.alias("b")
-        pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter("a.id < b.id AND a.comp <> b.comp").select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        least = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.min(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("comp"))
-        order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        hubs = store(large.join(least, ["key", "comp"]).withColumn("r", order).filter(F.col("r") <= HUBS).select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hubs")
-        pairs = pairs.union(large.join(hubs, "key").filter("comp <> hub_comp").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))).distinct()
-        found = store(_confirm(pairs, reps, sets, percent, words, k), "links")
-        if found.limit(1).count():
-            links = store(links.union(found), "links")
-            labels = components(links)
-        entries = large.join(hubs, (large["key"] == hubs["key"]) & (large["id"] == hubs["hub"]), "left_anti").select("key", "id")
+    rest = store(_finish(entries.select("key", "id", "comp", "main"), reps, sets, percent, words, k), "links")
+    if rest.limit(1).count():
+        links = store(links.union(rest), "links")
+        labels = components(links)
 
     # Rows that share an id but not a set are one document: its classes link through that id.
     labels = components(store(links.union(copy_links), "links")) if copy_links.limit(1).count() else labels
