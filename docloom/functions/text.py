@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that the weak signature covers, and characters that the strong one covers.
 SIGNATURE_WORDS, PROMPT_CHARS = 96, 4000
@@ -62,14 +63,14 @@ def name_key(name: Column) -> Column:
     return fold_case(collapse(name))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_words_exact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """As normalize_words, with compatibility normalisation and full case folding."""
     for texts in parts:
         yield texts.map(lambda t: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", t or "").casefold())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key_exact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """As name_key, with full case folding."""
     for names in parts:

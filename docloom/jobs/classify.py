@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions import prompt, response
 from docloom.operators import taxonomy, writeback
@@ -39,7 +40,7 @@ def classify(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int =
         "TAGS_LINES": F.array_join("content_tags", "\n"),
     }
     asked = base.filter(F.length("content") > 0).select("doc_id", F.length("content").alias("content_chars_used"), "content_truncated", prompt.render(TEMPLATE, values).alias("user_prompt"))
-    ask = F.pandas_udf(model, "string")
+    ask = F.pandas_udf(model, StringType())
     return asked.select("doc_id", "content_chars_used", "content_truncated", ask("user_prompt").alias("raw"))
 
 

@@ -54,21 +54,19 @@ def prefer_line_words(words: Column, line: Column) -> Column:
     return F.when(F.size(own) == F.size(words), own).otherwise(words)
 
 
-def estimate_boxes(line: Column, left: Column, right: Column) -> Column:
-    """array<struct<word, left, right>>: the line's words share its width by their length, at least 1 each; the last ends at the right edge."""
-    words = F.filter(F.split(text.collapse(line), " "), lambda w: w != "")
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    width = F.greatest(F.lit(1.0), right - left)
-    none = F.array().cast("array<struct<word:string,left:double,right:double>>")
-    zero = F.struct(left.cast("double").alias("cursor"), F.lit(0).alias("n"), none.alias("out"))
-
-    def step(state: Column, word: Column) -> Column:
-        share = F.least(right, state["cursor"] + F.greatest(F.lit(1.0), width * F.length(word) / total))
-        edge = F.when(state["n"] == F.size(words) - 1, right).otherwise(share).cast("double")
-        item = F.struct(word.alias("word"), state["cursor"].alias("left"), edge.alias("right"))
-        return F.struct(edge.alias("cursor"), (state["n"] + 1).alias("n"), F.array_append(state["out"], item).alias("out"))
-
-    return F.aggregate(words, zero, step, lambda s: s["out"])
+def estimate_boxes(lines: DataFrame, line: list[str], line_col: str, left: str = "left", right: str = "right") -> DataFrame:
+    """The words of each line with left and right: they share its width by their length, at least 1 each; the last ends at the right edge.
+
+    An edge is never right of the line's, and as no word has negative width that is the running sum, cut once.
+    """
+    split = lines.select(*line, left, right, F.filter(F.split(text.collapse(F.col(line_col)), " "), lambda w: w != "").alias("words"))
+    split = split.withColumn("total", F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w))).withColumn("last", F.size("words") - 1)
+    words = split.select(*line, F.col(left).cast("double").alias("x0"), F.col(right).cast("double").alias("x1"), "total", "last", F.posexplode("words").alias("at", "word"))
+    share = F.greatest(F.lit(1.0), F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")) * F.length("word") / F.col("total"))
+    order = Window.partitionBy(*line).orderBy("at")
+    upto = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    edges = words.withColumn("share", share).withColumn("right", F.when(F.col("at") == F.col("last"), F.col("x1")).otherwise(F.least("x1", F.col("x0") + upto)))
+    return edges.select(*line, "at", "word", F.coalesce(F.lag("right").over(order), "x0").alias("left"), "right")
 
 
 def element_rows(pages: DataFrame, key: list[str]) -> DataFrame:
