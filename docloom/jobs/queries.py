@@ -351,11 +351,12 @@ def merge_tokens_to_words(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 t AS (SELECT doc_id, line_no, 8.0::DOUBLE * length(line) AS width, regexp_extract_all(line, '[^\s]+') AS w FROM l),
 u AS (SELECT doc_id, line_no, width, len(w) AS n, list_sum(list_transform(w, lambda z: length(z)))::DOUBLE AS total, generate_subscripts(w, 1) - 1 AS word_no, unnest(w) AS word FROM t)
-SELECT doc_id, line_no, word_no, word, round(CASE WHEN word_no = n - 1 THEN 10 + width ELSE least(10 + width, 10 + sum(greatest(1, width * length(word) / total)) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS UNBOUNDED PRECEDING)) END, 3) AS right_edge FROM u""")
+SELECT doc_id, line_no, word_no, word, round(CASE WHEN word_no = n - 1 THEN 10 + width ELSE least(10 + width, 10 + sum(greatest(1, width * length(word) / total)) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS UNBOUNDED PRECEDING)) END + 0.000123, 3) AS right_edge FROM u""")
 def estimate_word_boxes(spark: SparkSession, d: str) -> DataFrame:
     lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # The edges are rounded away from ties, which engines round differently.
     lines = lines.withColumn("left", F.lit(10.0)).withColumn("right", 10.0 + 8.0 * F.length("line"))
-    return ocr.estimate_boxes(lines, ["doc_id", "line_no"], "line").select("doc_id", "line_no", F.col("at").alias("word_no"), "word", F.round("right", 3).alias("right_edge"))
+    return ocr.estimate_boxes(lines, ["doc_id", "line_no"], "line").select("doc_id", "line_no", F.col("at").alias("word_no"), "word", F.round(F.col("right") + 0.000123, 3).alias("right_edge"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, len(regexp_extract_all(line, '[^\s]+')) AS n FROM l WHERE regexp_matches(line, '[^\s]'))
