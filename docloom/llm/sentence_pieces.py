@@ -27,6 +27,8 @@ from .common import text_blocks
 from .rolling import Ranges, mix, owners, sums
 
 BLANK = 0x20
+#: Shares and random numbers are whole numbers below this.
+ONE = 1 << 40
 
 
 class Pieces:
@@ -109,7 +111,8 @@ class Lattice:
         begin, end, self.id = (np.concatenate(x).astype(np.int64) for x in (begins, ends, ids))
         row = unit[begin]
         depth = end - at[row]  # filter by distance from the unit's start, all units together
-        order = np.argsort(depth * len(at) + row)
+        span = int(pieces.lengths.max()) + 1  # sort keys are unique, so that sums don't depend on the block
+        order = np.argsort((depth * len(at) + row) * span + (end - begin))
         begin, end, row, depth, self.id = begin[order], end[order], row[order], depth[order], self.id[order]
         self.source, node = begin + row, end + row
         forward = np.full(n + len(at), -np.inf)
@@ -123,14 +126,14 @@ class Lattice:
             size = np.diff(np.append(first, b - a))
             safe = np.where(np.isfinite(top), top, 0.0)
             forward[node[a:b][first]] = safe + np.log(np.add.reduceat(np.exp(score - np.repeat(safe, size)), first))
-        order = np.argsort(node)
+        order = np.argsort(node * span + (node - self.source))
         node, self.source, self.id = node[order], self.source[order], self.id[order]
-        share = np.exp(forward[self.source] + weight[order] - forward[node])
+        share = np.round(np.exp(forward[self.source] + weight[order] - forward[node]) * ONE).astype(np.int64)
         first = np.flatnonzero(np.diff(node, prepend=-1))
-        total = np.cumsum(share)
-        before = np.repeat(np.concatenate([[0.0], total[first[1:] - 1]]) if len(first) else np.zeros(0), np.diff(np.append(first, len(node))))
+        total = np.cumsum(share)  # whole numbers, so that differences are exact wherever the block begins
+        before = np.repeat(np.concatenate([np.zeros(1, np.int64), total[first[1:] - 1]]) if len(first) else total, np.diff(np.append(first, len(node))))
         self.upto = total - before  # cumulative shares of the edges into a node
-        self.upto[np.append(first[1:], len(node)) - 1] = 2.0
+        self.upto[np.append(first[1:], len(node)) - 1] = 2 * ONE
         self.begin = np.zeros(n + len(at), np.int64)
         self.begin[node[first]] = first
         self.last = at[1:] + np.arange(len(at) - 1)
@@ -163,7 +166,7 @@ def sample(data: np.ndarray, at: np.ndarray, keys: np.ndarray, pieces: Pieces) -
     active, node = np.arange(len(start)), lattice.last[which]
     drawn, count, step = [], np.zeros(len(start), np.int64), 0
     while len(active):
-        u = (mix(place[active] + np.uint64(step)) >> np.uint64(24)).astype(np.float64) / float(1 << 40)
+        u = (mix(place[active] + np.uint64(step)) >> np.uint64(24)).astype(np.int64)
         edge = lattice.begin[node]
         miss = np.flatnonzero(lattice.upto[edge] <= u)
         while len(miss):
