@@ -388,6 +388,41 @@ def config_history(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", recovery.history_name("config", F.col("o_custkey") % 10000, F.col("o_orderdate")).alias("file"))
 
 
+@query(f"""SELECT user_id, status, status = 'waiting' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view') AS retry_now FROM (
+SELECT user_id, max_by(status, (ts, event_id)) AS status FROM (SELECT s.*, e.ts FROM ({_SCHEDULE}) s JOIN events e USING (event_id)) GROUP BY user_id)""")
+def retry_triggers(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    out = recovery.retry_schedule(events, "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup")
+    state = out.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    return recovery.accept_triggers(state, events.filter("event_type = 'view'"), "user_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN (s // 60) || ' m ' || (s % 60) || ' s' ELSE (s // 3600) || ' h ' || (s % 3600 // 60) || ' m' END AS delay, s AS first_delay FROM (SELECT c_custkey, CAST(c_custkey * 37 % 9000 AS INTEGER) AS s FROM customer)""")
+def delay_texts(spark: SparkSession, d: str) -> DataFrame:
+    s = (F.col("c_custkey") * 37 % 9000).cast("int")
+    listed = recovery.parse_delays(F.concat(F.lit(" "), s.cast("string"), F.lit(" , 60")))
+    return table(spark, d, "customer").select("c_custkey", recovery.human_delay(s).alias("delay"), listed[0].alias("first_delay"))
+
+
+@query("""SELECT p_partkey, CASE WHEN l <= 3000 THEN w ELSE greatest(1, w * 3000 // l) END AS width, CASE WHEN l <= 3000 THEN h ELSE greatest(1, h * 3000 // l) END AS height,
+CASE WHEN l <= 3000 THEN 300 ELSE 300 * greatest(1, w * 3000 // l) // w END AS dpi_x, CASE WHEN l <= 3000 THEN 300 ELSE 300 * greatest(1, h * 3000 // l) // h END AS dpi_y
+FROM (SELECT *, greatest(w, h) AS l FROM (SELECT p_partkey, CAST(p_size * 131 + 7 AS INTEGER) AS w, CAST(p_partkey % 5000 + 1 AS INTEGER) AS h FROM part))""")
+def image_sizes(spark: SparkSession, d: str) -> DataFrame:
+    w, h = (F.col("p_size") * 131 + 7).cast("int"), (F.col("p_partkey") % 5000 + 1).cast("int")
+    return table(spark, d, "part").select("p_partkey", ocr.downsampled(w, h, F.lit(300), 3000).alias("s")).select("p_partkey", "s.*")
+
+
+@query("""SELECT page_id, substr(list_last(string_split(url, '/')), 1, 300) AS source FROM pages""")
+def source_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", ocr.source_name(F.col("url")).alias("source"))
+
+
+@query("""SELECT lower(n) AS name_key, count(DISTINCT n) AS n_spellings FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_type END AS n FROM part) GROUP BY 1 HAVING count(DISTINCT n) > 1""")
+def equal_spellings(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
+    return taxonomy.equal_spellings(table(spark, d, "part").select(name.alias("name")))
+
+
 @query()
 def classify_stub(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(_docs(spark, d), _dims(spark, d))

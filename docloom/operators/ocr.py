@@ -93,6 +93,20 @@ def dots_per_inch(dpi: Column) -> Column:
     return F.aggregate(F.slice(dpi, 1, 2), F.lit(0.0), lambda a, x: a + x) / F.least(F.size(dpi), F.lit(2))
 
 
+def source_name(path: Column, most: int = 300) -> Column:
+    """The last part of a path, clipped."""
+    return F.substring(F.element_at(F.split(path, "/"), -1), 1, most)
+
+
+def downsampled(width: Column, height: Column, dpi: Column, limit: int) -> Column:
+    """struct(width, height, dpi_x, dpi_y) of an image whose longer side must not exceed limit; whole numbers are cut, not rounded."""
+    longest = F.greatest(width, height)
+    w, h = (F.greatest(F.lit(1), F.floor(x * limit / longest)).cast("int") for x in (width, height))
+    scaled = lambda new, old: F.floor(dpi * new / old).cast("int")
+    fits = longest <= limit
+    return F.struct(F.when(fits, width).otherwise(w).alias("width"), F.when(fits, height).otherwise(h).alias("height"), F.when(fits, dpi).otherwise(scaled(w, width)).alias("dpi_x"), F.when(fits, dpi).otherwise(scaled(h, height)).alias("dpi_y"))
+
+
 def language(code: Column) -> Column:
     short = F.substring_index(F.replace(F.lower(text.strip(code)), F.lit("_"), F.lit("-")), "-", 1)
     known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))

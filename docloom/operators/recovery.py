@@ -55,3 +55,29 @@ def history_name(prefix: str, version: Column, at: Column) -> Column:
 def control_state(state: DataFrame) -> DataFrame:
     """What may be shown without naming documents: status, request and whether a retry is asked for."""
     return state.select("status", "request_id", "retry_now")
+
+
+def dismiss_failure(failures: DataFrame, state: DataFrame, failure_id: str) -> tuple[DataFrame, DataFrame]:
+    """The failures without one, and the state reset to idle where it points at that one."""
+    mine = F.coalesce(F.col("failure_id") == failure_id, F.lit(False))
+    reset = state.select(*(F.when(mine, "idle").otherwise(F.col(c)).alias(c) if c == "status" else F.when(mine & F.lit(c == "failure_id"), None).otherwise(F.col(c)).alias(c) for c in state.columns))
+    return failures.filter(~F.coalesce(F.col("id") == failure_id, F.lit(False))), reset
+
+
+def accept_triggers(state: DataFrame, triggers: DataFrame, request_col: str = "request_id") -> DataFrame:
+    """state with retry_now: whether a trigger names the request, which counts only while it waits."""
+    asked = triggers.select(F.col(request_col).alias("asked_")).distinct()
+    joined = state.join(asked, state[request_col] == F.col("asked_"), "left")
+    return joined.select(*state.columns, ((F.col("status") == "waiting") & F.col("asked_").isNotNull()).alias("retry_now"))
+
+
+def human_delay(seconds: Column) -> Column:
+    """45 s, 5 m 10 s or 2 h 5 m."""
+    h, m, s = (F.floor(seconds / 3600), F.floor((seconds % 3600) / 60), seconds % 60)
+    return F.when(seconds < 60, F.format_string("%d s", seconds)).when(seconds < 3600, F.format_string("%d m %d s", m, s)).otherwise(F.format_string("%d h %d m", h, m))
+
+
+def parse_delays(text: Column) -> Column:
+    """Comma-separated delays as numbers; blank is an empty list, anything else that isn't a number gives null."""
+    parts = F.split(F.trim(text), r"\s*,\s*")
+    return F.when(F.trim(text) == "", F.array().cast("array<int>")).when(F.forall(parts, lambda p: p.rlike("^[0-9]{1,9}$")), F.transform(parts, lambda p: p.try_cast("int")))

@@ -65,3 +65,9 @@ def missing_names(required: DataFrame, present: DataFrame) -> DataFrame:
     r, p = required.select(F.col("name").alias("required_name")), present.select(F.col("name").alias("present_name")).distinct()
     stem = p.select(F.substring_index("present_name", ":", 1).alias("present_name"))
     return r.join(p.union(stem).distinct(), F.col("required_name") == F.col("present_name"), "left_anti").distinct()
+
+
+def equal_spellings(names: DataFrame, name_col: str = "name") -> DataFrame:
+    """Names that occur in several spellings up to case, which a list of steering tags must not hold."""
+    key = text.fold_case(F.trim(name_col))
+    return names.groupBy(key.alias("name_key")).agg(F.count_distinct(name_col).alias("n_spellings")).filter("n_spellings > 1")

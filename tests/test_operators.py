@@ -182,6 +182,24 @@ def test_newest_failures(spark):
     assert [r.id for r in recovery.newest_failures(rows, "ts", "id", 3).collect()] == [29, 28, 27]
 
 
+def test_dismissed_failure(spark):
+    failures = spark.createDataFrame([("a",), ("b",)], "id string")
+    state = spark.createDataFrame([("failed", "a"), ("failed", "b"), ("idle", None)], "status string, failure_id string")
+    left, now = recovery.dismiss_failure(failures, state, "a")
+    assert [r.id for r in left.collect()] == ["b"]
+    assert sorted((tuple(r) for r in now.collect()), key=str) == [("failed", "b"), ("idle", None), ("idle", None)]
+
+
+def test_delays(spark):
+    assert column(spark, [45, 310, 7500], recovery.human_delay, "int") == ["45 s", "5 m 10 s", "2 h 5 m"]
+    assert column(spark, ["15, 60", " ", "x", "1,"], recovery.parse_delays) == [[15, 60], [], None, None]
+
+
+def test_downsampling(spark):
+    row = spark.range(1).select(ocr.downsampled(F.lit(3100), F.lit(100), F.lit(300), 3000).alias("s")).select("s.*").collect()[0]
+    assert tuple(row) == (3000, 96, 290, 288)
+
+
 def test_configs():
     assert configs.merge({"a": {"x": 1}}, {"a": {"x": 2, "z": 9}, "b": 1}, "drop") == {"a": {"x": 2}}
     assert configs.merge({"a": 1}, {"b": 1}, "keep") == {"a": 1, "b": 1}
