@@ -34,6 +34,8 @@ _NEGATIVE = re.compile(
     re.I,
 )
 _POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page)(?:$|[\s_-])", re.I)
+#: Parts of an article that are named after its head or foot.
+_OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:article|post|entry|story|content)[_-]+(?:header|head|title|body|text|page)(?=$|\s)", re.I)
 _TAG_POINTS = {"article": 40, "main": 30, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3, "form": -15, "th": -5, "address": -3}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A block shorter than this passes no points; a sibling needs this share of the best score.
@@ -91,7 +93,7 @@ class _Tree:
         above = self._stack[-1]
         bad = tag in _BOILERPLATE or bool(attributes and _HIDDEN.search(attributes))
         if names and tag not in ("html", "body", "article", "main") and not bad:
-            bad = bool(_NEGATIVE.search(names)) and not (tag not in ("header", "footer") and _POSITIVE.search(names) and not re.search("comment|sidebar|ad", names, re.I))
+            bad = bool(_NEGATIVE.search(_OWN_HEADER.sub(" ", names)))
         if tag == "header":
             bad = bad or "article" not in (self.tag[e] for e in self._stack)
         self.parent.append(above)

@@ -319,6 +319,7 @@ def test_neighbours_recall_and_ties(spark):
         ("<nav><a href=x>Menu</a></nav><article><h1>Head</h1><p><b>One, with\n some   text.<br><p>Two <i>more</i> words</p><!-- c --></article><footer>f</footer>", ["Head", "One, with some text.", "Two more words"]),
         ('<body><div class="ad">Buy</div><div id="content"><p>A long paragraph, with commas, and words that count for something.</p><p>Short</p><div class="comments"><p>First, I say, as a reader, this is long enough too.</p></div></div><aside>side</aside></body>', ["A long paragraph, with commas, and words that count for something.", "Short"]),
         ('<script>var t="</p>";</script><style>p{}</style><p>Only &quot;this&quot;', ['Only "this"']),
+        ('<div class="main-nav"><p>Home, news, and all the other places, really.</p></div><div class="story"><div class="post-header"><h2>Title</h2></div><p>Words of the story, with commas, and an end to it.</p><div id="related-posts"><p>More, more, and more things to read here.</p></div></div>', ["Title", "Words of the story, with commas, and an end to it."]),
         ("<article><p>a > b < c &nbsp; d</p><form>no</form></article>", ["a > b < c d"]),
     ],
 )
