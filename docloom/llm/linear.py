@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_blocks
+from .common import bounded_batches, store, text_blocks
 from .rolling import LOWER, Ranges, mix, owners, word_spans
 
 BITS = 20
 #: Beginnings of longer words that count as features, in bytes; a feature needs this chi-square.
-PREFIXES, MIN_SCORE = (5, 8), 10.0
+PREFIXES, MIN_SCORE = (5, 8), 20.0
 _BLANK = np.full(256, 0x20, np.uint8)  # everything but letters and characters outside ASCII separates
 _BLANK[0x61:0x7B] = np.arange(0x61, 0x7B)
 _BLANK[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -52,7 +52,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], max_ro
             ends = np.searchsorted(row, np.arange(len(at))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([block.column(0), *(block.column(2 + k) for k in range(len(targets))), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["id", *(f"y{k}" for k in range(len(targets))), "buckets"])
 
-    return store(rows.mapInArrow(run, f"id {kind}, {', '.join(f'y{k} int' for k in range(len(targets)))}, buckets array<int>"), "training")
+    return store(bounded_batches(rows).mapInArrow(run, f"id {kind}, {', '.join(f'y{k} int' for k in range(len(targets)))}, buckets array<int>"), "training")
 
 
 def select_buckets(rows: DataFrame, target: str, n_classes: int, most: int) -> np.ndarray:
@@ -129,13 +129,26 @@ def fit(x: Sparse, y: np.ndarray, n_classes: int, penalty: float = 0.5, rounds:
 
 
 def collect_rows(rows: DataFrame, selected: np.ndarray, targets: list[str]) -> tuple[Sparse, np.ndarray]:
-    """The training rows, reduced to the selected buckets, on the driver; both are bounded."""
-    wanted = F.array(*(F.lit(int(b)) for b in selected)) if len(selected) else F.array().cast("array<int>")
-    got = rows.select(*targets, F.array_intersect("buckets", wanted).alias("b")).orderBy(F.xxhash64("id"), "id").collect()
-    lists = [np.searchsorted(selected, np.sort(np.array(r["b"], np.int64))) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(x) for x in lists]) if got else np.zeros(0, np.int64)
-    col = np.concatenate(lists).astype(np.int64) if got else np.zeros(0, np.int64)
-    return Sparse(row, col, len(got), len(selected)), np.array([[r[c] for c in targets] for r in got], np.int64).reshape(len(got), len(targets))
+    """The training rows, reduced to the selected buckets, on the driver; both are bounded. A feature takes two bytes on the way."""
+    n_targets = len(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(2**BITS, -1, np.int32)
+        place[selected] = np.arange(len(selected))
+        for batch in batches:
+            lists = batch.column(n_targets + 1)
+            ptr, at = lists.offsets.to_numpy(), place[lists.values.to_numpy()]
+            packed = [x[x >= 0].astype(np.uint16).tobytes() for x in (at[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_targets + 1)), pa.array(packed, pa.binary())], names=["h", *targets, "features"])
+
+    table = rows.select(F.xxhash64("id").alias("h"), *targets, "buckets").mapInArrow(run, f"h long, {', '.join(f'{c} int' for c in targets)}, features binary").toArrow()
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
+    features = table.column("features").combine_chunks() if len(table) else []
+    lists = [np.frombuffer(features[int(i)].as_buffer(), np.uint16) for i in order]
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]) if lists else np.zeros(0, np.int32)
+    col = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+    y = np.stack([table.column(c).to_numpy()[order] for c in targets], 1).astype(np.int64) if lists else np.zeros((0, n_targets), np.int64)
+    return Sparse(row, col, len(lists), len(selected)), y
 
 
 def block_matrix(data: np.ndarray, at: np.ndarray, selected: np.ndarray, dense: np.ndarray | None = None) -> Sparse:

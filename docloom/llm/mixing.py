@@ -3,8 +3,8 @@
 A classifier fitted on the labelled rows gives every document its domain posteriors p. Rates r, nonnegative,
 then minimise the distance between the expected token totals of the domains, the sum of r * tokens * p, and
 their targets, by projected gradient steps. A step needs one number for each domain, so the documents stay in
-a table and each round is one sum over it; the metric of the residual is the inverse of the sum of
-tokens * p p', for which the unconstrained problem takes one step.
+a table and each round is one sum over it. The metric of the residual is the inverse of the sum of tokens * p p'
+over the rows whose rate is not at its bound, for which a step is exact while no further row meets the bound.
 
 Nulls and edge cases: a null text has no tokens and the posteriors of an empty text; a domain without tokens
 is left out of the fit; labels that are null take no part; repeated rows are documents of their own; an empty
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .common import free_name, store, text_blocks
+from .common import bounded_batches, free_name, store, text_blocks
 from .linear import block_matrix, collect_rows, fit, select_buckets, softmax, training_rows
 from .rolling import word_spans
 
@@ -59,10 +59,10 @@ def posteriors(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, n_d
             yield pa.RecordBatch.from_arrays([*(block.column(i) for i in range(n_own)), pa.array(np.diff(word_spans(data, at)[2])), *(pa.array(p[:, k]) for k in range(n_domains))], names=schema.names)
 
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*own, F.col(f"`{text_col}`").alias(text)).mapInArrow(run, schema), names
+    return bounded_batches(docs.select(*own, F.col(f"`{text_col}`").alias(text))).mapInArrow(run, schema), names
 
 
-def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: float = 0.0, total: float | None = None, tolerance: float = 1e-6, rounds: int = 60) -> Column:
+def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: float = 0.0, total: float | None = None, tolerance: float = 1e-5, rounds: int = 10) -> Column:
     """The rate of each row as an expression over its posteriors.
 
     table has the columns names (tokens, then posteriors). The targets are weights times total (the tokens
@@ -70,25 +70,39 @@ def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: fl
     """
     tokens, p = F.col(names[0]).cast("double"), [F.col(c) for c in names[1:]]
     k = len(p)
-    first = table.agg(*(F.sum(tokens * p[i] * p[j]) for i in range(k) for j in range(i, k)), *(F.sum(tokens * p[i]) for i in range(k))).collect()[0]
-    first = [v or 0.0 for v in first]
-    gram, now = np.zeros((k, k)), np.array(first[-k:])
-    for v, (i, j) in zip(first, ((i, j) for i in range(k) for j in range(i, k)), strict=False):
-        gram[i, j] = gram[j, i] = v
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Token totals of the domains at these rates, and the sum of tokens * p p' over the free rows."""
+        weight = F.when(free, tokens).otherwise(0.0)
+        got = table.agg(*(F.sum(rate * tokens * c) for c in p), *(F.sum(weight * p[i] * p[j]) for i, j in pairs)).collect()[0]
+        got = [v or 0.0 for v in got]
+        gram = np.zeros((k, k))
+        for v, (i, j) in zip(got[k:], pairs, strict=True):
+            gram[i, j] = gram[j, i] = v
+        return np.array(got[:k]), gram
+
+    rate = F.lit(max(1.0, float(lower)))
+    got, gram = sums(rate, F.lit(True))
+    now = got / max(1.0, lower)
     weights = np.where(now > 0, weights, 0.0)
     weights = weights / weights.sum() if weights.sum() else np.zeros(k)
     if total is None:
         total = now.sum() if lower <= 0 else max((lower * n / w for n, w in zip(now, weights, strict=True) if w > 0), default=0.0)
-    target, metric = weights * total, np.linalg.pinv(gram)
-    rate = F.lit(1.0) if lower <= 1 else F.lit(float(lower))
-    got, best = now * max(1.0, lower), np.inf
+    target, length = weights * total, np.linalg.eigvalsh(gram).max(initial=0.0)
+    off = got - target
     for _ in range(rounds):
-        off = np.abs(got - target).max() if total else 0.0
-        if off <= tolerance * max(total, 1.0) or off > 0.999999 * best and best < np.inf:
+        if not length or np.abs(off).max() <= tolerance * max(total, 1.0):
             break
-        best, step = min(best, off), metric @ (got - target)
-        rate = F.greatest(F.lit(float(lower)), rate - sum((F.lit(float(s)) * c for s, c in zip(step, p, strict=True)), F.lit(0.0)))
-        got = np.array([v or 0.0 for v in table.agg(*(F.sum(rate * tokens * c) for c in p)).collect()[0]])
+        # The step in the metric of the free rows, and where that gains nothing the plain gradient step, which always descends.
+        for step, gain in ((np.linalg.pinv(gram) @ off, 0.98), (off / length, 0.99)):
+            moved = F.greatest(F.lit(float(lower)), rate - sum((F.lit(float(s)) * c for s, c in zip(step, p, strict=True)), F.lit(0.0)))
+            new, free = sums(moved, moved > lower)
+            if ((new - target) ** 2).sum() <= gain * (off**2).sum():
+                break
+        else:
+            break
+        rate, off, gram = moved, new - target, free
     return rate
 
 
