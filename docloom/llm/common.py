@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +38,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded in bytes and not by rows alone: texts can be long."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)).rstrip("bB")) > most:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
+
+
+def release_memory() -> None:
+    """Hand a worker's free memory back, as idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df does not have, whatever the case of its own."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -70,3 +89,5 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_b
             j = max(i + 1, int(np.searchsorted(at, at[i] + block_bytes, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+        del batch, data, at
+    release_memory()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, store, text_blocks
+from .common import bounded_batches, free_name, store, text_blocks
 from .graph import components
 from .rolling import LOWER, Ranges, mix, word_spans
 
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str =
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_i64(np.ascontiguousarray(values.T).reshape(-1)))))
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *(pa.array(_i64(x)) for x in key), *lists], names=["id", "n", "key_a", "key_b", "bands", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, key_a long, key_b long, bands array<long>, bits array<long>")
+    return bounded_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, key_a long, key_b long, bands array<long>, bits array<long>")
 
 
 def _estimate(a: str, b: str, words: int, k: int):
@@ -195,7 +195,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
 
     small = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    return store(texts.mapInArrow(run, "id long, shingles binary"), "sets")
+    return store(bounded_batches(texts).mapInArrow(run, "id long, shingles binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, store, text_blocks
+from .common import bounded_batches, free_name, store, text_blocks
 from .rolling import LOWER, Ranges, mix, owners, sums, word_spans
 
 #: Function words whose shares tell prose of a language from other text. Fixed values.
@@ -124,7 +124,7 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(v, pa.int64()) for v in counts.values())], names=["id", *counts])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {COUNTS}")
+    out = bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, {COUNTS}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -149,7 +149,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
 
     width = 1 + N_CLASSES + N_COMMON + 1
-    parts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, sums array<double>")
+    parts = bounded_batches(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))).mapInArrow(run, "lang string, sums array<double>")
     by_lang = store(parts.groupBy("lang").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width))), "languages")
     everything = by_lang.agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(width))).collect()[0]
     out = {}
@@ -220,7 +220,7 @@ def quality_verdicts(
     schema = StructType(list(own.schema))
     for name, kind in zip(free_name(own, *names), ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2, strict=True):
         schema = schema.add(name, kind)
-    return source.mapInArrow(run, schema)
+    return bounded_batches(source).mapInArrow(run, schema)
 
 
 def quality_filter(docs: DataFrame, **rules) -> DataFrame:

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import bounded_batches, text_blocks
 from .rolling import Ranges, mix, owners, sums
 
 BLANK = 0x20
@@ -227,7 +227,7 @@ def sample_pieces(docs: DataFrame, vocabulary: str, seed: int = 0, sharpness: fl
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, pieces array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
+    return bounded_batches(rows).mapInArrow(run, f"id {kind}, pieces array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def decode_pieces(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import store, text_blocks
+from .common import bounded_batches, store, text_blocks
 from .rolling import Ranges, mix, sums
 
 #: Difference covers: every residue modulo the period is a difference of two members. Fixed values.
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataF
             yield flush()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"chunk long, ids array<{kind}>, lengths array<long>, blob binary")
+    return bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"chunk long, ids array<{kind}>, lengths array<long>, blob binary")
 
 
 def _rows(chunk: int, kind: int, sent: tuple, n_buckets: int) -> pa.RecordBatch:
