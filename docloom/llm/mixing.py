@@ -29,7 +29,7 @@ from .rolling import word_spans
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.8, "low": 0.12, "toxic": 0.08}
 #: Labelled rows that the classifier is fitted on at most, and its features.
-MAX_ROWS, MAX_FEATURES = 20_000, 4_096
+MAX_ROWS, MAX_FEATURES = 20_000, 1_024
 
 
 def domain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import bounded_batches, text_blocks
 from .linear import Sparse, block_matrix, collect_rows, fit, select_buckets, softmax, training_rows
 
 #: Labelled rows that the models are fitted on at most, features of each model, and folds.
-MAX_ROWS, MAX_FEATURES, FOLDS = 20_000, 4_096, 5
+MAX_ROWS, MAX_FEATURES, FOLDS = 20_000, 1_024, 3
 
 
 @dataclass
@@ -88,5 +88,5 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=["id", *names, chain.categories[-1]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {', '.join(f'`{c}` double' for c in names)}, `{chain.categories[-1]}` boolean")
+    out = bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, {', '.join(f'`{c}` double' for c in names)}, `{chain.categories[-1]}` boolean")
     return out.withColumnRenamed("id", id_col)
