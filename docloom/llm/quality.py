@@ -1,7 +1,7 @@
 """Quality rules: repetition and length counts, and the divergence of a text from its language.
 
 A text is compared with references that are measured over the whole corpus: for each language the mean
-histogram of character classes and of common words. The Jensen-Shannon distances to them decide, but only
+histogram of character classes and of common words of its ordinary texts (see `language_references`). The Jensen-Shannon distances to them decide, but only
 for texts long enough for a histogram to mean something.
 
 Nulls and edge cases: a null text counts as empty (all counts 0, base_failed); a null language is a language
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, free_name, store, text_blocks
+from .common import bounded_batches, free_name, release_memory, store, text_blocks, utf8
 from .rolling import LOWER, Ranges, mix, owners, sums, word_spans
 
 #: Function words whose shares tell prose of a language from other text. Fixed values.
@@ -128,41 +128,109 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = 4096) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """For each language the mean shares of character classes and common words over all its texts that have words.
+def base_rule(counts: dict[str, np.ndarray], min_words: int, max_repeat_percent: int) -> np.ndarray:
+    """Which texts fail by their counts alone: too few words, or too many of them in repeated windows."""
+    return (counts["n_words"] < min_words) | (100 * counts["n_repeat_words"] > max_repeat_percent * counts["n_words"])
 
-    A few sums a language reach the driver. Beyond max_languages the largest keep references of their own and
-    the others share that of all texts, which is under the key "".
-    """
+
+def distinct_shares(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """lang, source (the least of its copies), n_words and packed shares of each distinct text of a language that passes the base rule; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str | None, np.ndarray] = {}
         for block, data, at in text_blocks(batches, "text"):
             words = word_spans(data, at)
+            counts = base_counts(data, at, words)
             chars, common = histograms(data, at, words)
-            full = np.flatnonzero(np.diff(words[2]))
-            shares = np.hstack([np.ones((len(full), 1)), chars[full] / chars[full].sum(1, keepdims=True), common[full] / common[full].sum(1, keepdims=True)])
-            langs = np.array(block.column(1).to_pylist(), object)[full]
-            for lang in set(langs):
-                mine = shares[langs == lang].sum(0)
-                total[lang] = total[lang] + mine if lang in total else mine
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
-
-    width = 1 + N_CLASSES + N_COMMON + 1
-    parts = bounded_batches(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))).mapInArrow(run, "lang string, sums array<double>")
-    by_lang = store(parts.groupBy("lang").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width))), "languages")
-    everything = by_lang.agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(width))).collect()[0]
-    out = {}
-    for r in [*by_lang.orderBy(F.desc("s0"), "lang").limit(max_languages).collect(), ("", *everything)]:
-        if r[1]:
-            v = np.array(r[1:]) / r[1]
-            out[r[0]] = v[1 : 1 + N_CLASSES], v[1 + N_CLASSES :]
-    return out
+            good = np.flatnonzero(~base_rule(counts, min_words, max_repeat_percent) & (counts["n_words"] > 0))
+            shares = np.hstack([chars[good] / chars[good].sum(1, keepdims=True), common[good] / common[good].sum(1, keepdims=True)]).astype(np.float32)
+            some = block.take(pa.array(good))
+            yield pa.RecordBatch.from_arrays([*(some.column(k) for k in (1, 2, 3)), pa.array(counts["n_words"][good]), pa.array([v.tobytes() for v in shares], pa.binary())], names=["lang", "source", "h", "n_words", "shares"])
+
+    source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), source.alias("source"), F.xxhash64(text_col).alias("h"))
+    parts = bounded_batches(texts).mapInArrow(run, "lang string, source string, h long, n_words long, shares binary")
+    return store(parts.groupBy("lang", "h").agg(F.min("source").alias("source"), F.first("n_words").alias("n_words"), F.first("shares").alias("shares")).drop("h"), "shares")
+
+
+def language_references(
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_languages: int = 4096,
+    source_col: str = "source",
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    max_char_distance: float = 0.32,
+    max_word_distance: float = 0.6,
+    rounds: int = 15,
+    tolerance: float = 1e-3,
+) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """For each language the shares of character classes and common words of its ordinary texts.
+
+    Texts that pass the base rule count, each distinct one once, and each source of a language weighs the same
+    whatever it holds. Their geometric median (by Weiszfeld steps) stays with the ordinary texts as long as
+    these have clearly more than half of the weight; the reference is the mean of the texts that are within the
+    distances of it. A few sums a language reach the driver. Beyond max_languages the largest keep references of
+    their own and the others share the mean of all references, weighted by texts, which is under the key "".
+    """
+    table = distinct_shares(docs, text_col, lang_col, source_col, min_words, max_repeat_percent)
+    width = N_CLASSES + N_COMMON + 1
+
+    def means(centres: dict | None, last: bool) -> dict[str | None, tuple[float, np.ndarray]]:
+        """For each language its number of texts and their mean: plain without centres, near them if last, else by 1 / distance."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, _ = utf8(batch.column(3))
+                x = data.view(np.float32).reshape(-1, width).astype(float)
+                codes, names = [], []
+                for k in (0, 1):
+                    coded = batch.column(k).dictionary_encode(null_encoding="encode")
+                    codes.append(coded.indices.to_numpy().astype(np.int64))
+                    names.append(coded.dictionary.to_pylist())
+                weight = np.ones(len(x))
+                for code, lang in enumerate(names[0] if centres is not None else []):
+                    mine = np.flatnonzero(codes[0] == code)
+                    if lang not in centres:
+                        weight[mine] = 0
+                    elif last:
+                        c = centres[lang]
+                        near = js_distance(x[mine, :N_CLASSES], c[:N_CLASSES]) <= max_char_distance
+                        weight[mine] = near & (js_distance(x[mine, N_CLASSES:], c[N_CLASSES:]) <= max_word_distance)
+                    else:
+                        weight[mine] = 1 / np.maximum(np.sqrt(((x[mine] - centres[lang]) ** 2).sum(1)), 1e-3)
+                key = codes[0] * max(1, len(names[1])) + codes[1]
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                if len(first):
+                    got = np.add.reduceat(np.hstack([np.ones((len(x), 1)), weight[:, None], x * weight[:, None]])[order], first)
+                    of = [[names[k][c] for c in codes[k][order][first]] for k in (0, 1)]
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array(of[0], pa.string()), "source": pa.array(of[1], pa.string()), "sums": pa.array(got.tolist(), pa.list_(pa.float64()))})
+            release_memory()
+
+        parts = bounded_batches(table.select("lang", "source", "n_words", "shares")).mapInArrow(run, "lang string, source string, sums array<double>")
+        by_source = parts.groupBy("lang", "source").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width + 2)))
+        by_lang = by_source.groupBy("lang").agg(F.sum("s0").alias("n"), *(F.sum(F.col(f"s{k}") / F.col("s0")).alias(f"s{k}") for k in range(1, width + 2)))
+        return {r[0]: (r[1], np.array(r[3:]) / r[2]) for r in by_lang.orderBy(F.desc("n"), "lang").collect() if r[2]}
+
+    plain = means(None, False)
+    now = {lang: v for lang, (_, v) in list(plain.items())[:max_languages]}
+    for _ in range(rounds if now else 0):
+        new = {lang: v for lang, (_, v) in means(now, False).items()}
+        moved = max(np.abs(new[lang] - now[lang]).max() for lang in now)
+        now = new
+        if moved <= tolerance:
+            break
+    if now:
+        now |= {lang: v for lang, (_, v) in means(now, True).items()}
+        now[""] = sum(n * now.get(lang, v) for lang, (n, v) in plain.items()) / sum(n for n, _ in plain.values())
+    return {lang: (v[:N_CLASSES], v[N_CLASSES:]) for lang, v in now.items()}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (base 2, 0 to 1) of each row of counts p to the shares q."""
-    p = p / np.maximum(p.sum(1, keepdims=True), 1)
+    """Jensen-Shannon distance (base 2, 0 to 1) of each row of counts or shares p to the shares q."""
+    total = p.sum(1, keepdims=True)
+    p = p / np.where(total > 0, total, 1)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
@@ -182,15 +250,19 @@ def quality_verdicts(
     min_chars: int = 200,
     min_histogram_words: int = 50,
     carry: bool = False,
+    source_col: str = "source",
 ) -> DataFrame:
     """Counts, distances and verdicts of every text.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows.
     kept: not base_failed, and the distance to the language's character classes at most max_char_distance
     (texts of min_chars characters or more) and to its common words at most max_word_distance (texts of
-    min_histogram_words words or more). carry: keep the columns of docs before the new ones.
+    min_histogram_words words or more). carry: keep the columns of docs before the new ones. Without a column
+    source_col all texts are of one source.
     """
-    references = language_references(docs, text_col, lang_col)
+    references = language_references(
+        docs, text_col, lang_col, source_col=source_col, min_words=min_words, max_repeat_percent=max_repeat_percent, max_char_distance=max_char_distance, max_word_distance=max_word_distance
+    )
     fallback = references.get("", (np.full(N_CLASSES, 1 / N_CLASSES), np.full(N_COMMON + 1, 1 / (N_COMMON + 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +278,7 @@ def quality_verdicts(
                 far_chars[mine], far_words[mine] = js_distance(chars[mine], ref[0]), js_distance(common[mine], ref[1])
             far_chars[chars.sum(1) < min_chars] = 0
             far_words[counts["n_words"] < min_histogram_words] = 0
-            failed = (counts["n_words"] < min_words) | (100 * counts["n_repeat_words"] > max_repeat_percent * counts["n_words"])
+            failed = base_rule(counts, min_words, max_repeat_percent)
             kept = ~failed & (far_chars <= max_char_distance) & (far_words <= max_word_distance)
             new = [*(pa.array(v, pa.int64()) for v in counts.values()), pa.array(failed), pa.array(kept), pa.array(far_chars), pa.array(far_words)]
             yield pa.RecordBatch.from_arrays([*(block.column(i) for i in range(n_own)), *new], names=[f.name for f in schema])

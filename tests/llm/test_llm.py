@@ -66,6 +66,25 @@ def test_quality_filter_keeps_prose_and_columns(spark):
     assert quality.quality_filter(df.limit(0)).count() == 0
 
 
+def symbol_junk(n, seed):
+    r = random.Random(seed)
+    return [" ".join(w + r.choice("&#$%*") * 3 for w in p.split()) for p in prose(n, seed)]
+
+
+def test_references_withstand_junk(spark):
+    good = prose(240, 5)
+    spread = docs(spark, good + symbol_junk(120, 6))  # a third of the rows, all distinct, in the same source
+    assert {r.doc_id for r in quality.quality_filter(spread).collect()} == set(range(240))
+    copies = docs(spark, good[:80] + symbol_junk(1, 7) * 200)  # one text many times counts once
+    assert {r.doc_id for r in quality.quality_filter(copies).collect()} == set(range(80))
+    hot = docs(spark, good[:80] + symbol_junk(160, 8)).withColumn("source", F.when(F.col("doc_id") >= 80, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 4)))
+    assert {r.doc_id for r in quality.quality_filter(hot).collect()} == set(range(80))
+    assert {r.doc_id for r in quality.quality_filter(docs(spark, good[:80]).drop("source")).collect()} == set(range(80))
+    failed = docs(spark, good[:80] + ["&&& ### " * 60] * 5 + [f"&&&{i}" for i in range(200)])  # what the base rule rejects is no measure
+    left, ref = docs(spark, good[:80]), quality.language_references(failed)["en"]
+    assert np.allclose(ref[0], quality.language_references(left)["en"][0]) and len(ref[1]) == quality.N_COMMON + 1
+
+
 def test_js_distance():
     p, q = np.array([[2.0, 0.0], [1.0, 1.0]]), np.array([0.0, 1.0])
     assert quality.js_distance(p, q)[0] == pytest.approx(1.0)
