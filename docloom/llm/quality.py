@@ -161,7 +161,8 @@ def language_references(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_char_distance: float = 0.32,
-    max_word_distance: float = 0.6,
+    max_word_distance: float = 0.25,
+    word_noise: float = 3.5,
     rounds: int = 15,
     tolerance: float = 1e-3,
 ) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
@@ -188,7 +189,7 @@ def language_references(
                     coded = batch.column(k).dictionary_encode(null_encoding="encode")
                     codes.append(coded.indices.to_numpy().astype(np.int64))
                     names.append(coded.dictionary.to_pylist())
-                weight = np.ones(len(x))
+                weight, n_words = np.ones(len(x)), batch.column(2).to_numpy()
                 for code, lang in enumerate(names[0] if centres is not None else []):
                     mine = np.flatnonzero(codes[0] == code)
                     if lang not in centres:
@@ -196,7 +197,7 @@ def language_references(
                     elif last:
                         c = centres[lang]
                         near = js_distance(x[mine, :N_CLASSES], c[:N_CLASSES]) <= max_char_distance
-                        weight[mine] = near & (js_distance(x[mine, N_CLASSES:], c[N_CLASSES:]) <= max_word_distance)
+                        weight[mine] = near & (js_distance(x[mine, N_CLASSES:], c[N_CLASSES:]) <= word_limit(n_words[mine], max_word_distance, word_noise))
                     else:
                         weight[mine] = 1 / np.maximum(np.sqrt(((x[mine] - centres[lang]) ** 2).sum(1)), 1e-3)
                 key = codes[0] * max(1, len(names[1])) + codes[1]
@@ -238,6 +239,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((left + right) / 2, 0))
 
 
+def word_limit(n_words: np.ndarray, max_word_distance: float, word_noise: float) -> np.ndarray:
+    """The largest distance to the common words at each number of words: a sample of n words has a squared distance of its own of about 1 / n."""
+    return np.sqrt(max_word_distance**2 + word_noise / np.maximum(n_words, 1))
+
+
 def quality_verdicts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -246,22 +252,23 @@ def quality_verdicts(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_char_distance: float = 0.32,
-    max_word_distance: float = 0.6,
+    max_word_distance: float = 0.25,
     min_chars: int = 200,
     min_histogram_words: int = 50,
     carry: bool = False,
     source_col: str = "source",
+    word_noise: float = 3.5,
 ) -> DataFrame:
     """Counts, distances and verdicts of every text.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows.
     kept: not base_failed, and the distance to the language's character classes at most max_char_distance
-    (texts of min_chars characters or more) and to its common words at most max_word_distance (texts of
-    min_histogram_words words or more). carry: keep the columns of docs before the new ones. Without a column
+    (texts of min_chars characters or more) and to its common words at most word_limit, which nears
+    max_word_distance as texts grow (texts of min_histogram_words words or more). carry: keep the columns of docs before the new ones. Without a column
     source_col all texts are of one source.
     """
     references = language_references(
-        docs, text_col, lang_col, source_col=source_col, min_words=min_words, max_repeat_percent=max_repeat_percent, max_char_distance=max_char_distance, max_word_distance=max_word_distance
+        docs, text_col, lang_col, source_col=source_col, min_words=min_words, max_repeat_percent=max_repeat_percent, max_char_distance=max_char_distance, max_word_distance=max_word_distance, word_noise=word_noise
     )
     fallback = references.get("", (np.full(N_CLASSES, 1 / N_CLASSES), np.full(N_COMMON + 1, 1 / (N_COMMON + 1))))
 
@@ -279,7 +286,7 @@ def quality_verdicts(
             far_chars[chars.sum(1) < min_chars] = 0
             far_words[counts["n_words"] < min_histogram_words] = 0
             failed = base_rule(counts, min_words, max_repeat_percent)
-            kept = ~failed & (far_chars <= max_char_distance) & (far_words <= max_word_distance)
+            kept = ~failed & (far_chars <= max_char_distance) & (far_words <= word_limit(counts["n_words"], max_word_distance, word_noise))
             new = [*(pa.array(v, pa.int64()) for v in counts.values()), pa.array(failed), pa.array(kept), pa.array(far_chars), pa.array(far_words)]
             yield pa.RecordBatch.from_arrays([*(block.column(i) for i in range(n_own)), *new], names=[f.name for f in schema])
 

@@ -85,6 +85,25 @@ def test_references_withstand_junk(spark):
     assert np.allclose(ref[0], quality.language_references(left)["en"][0]) and len(ref[1]) == quality.N_COMMON + 1
 
 
+def test_common_words_reject_tables_and_other_languages(spark):
+    r = random.Random(21)
+    common = {"en": "the of and to in is that it for was".split(), "de": "der die das und ist von den zu mit sich".split()}
+
+    def text(lang, n, share=0.24):
+        other = ["".join(r.choice("bdgklmnrstaeiou") for _ in range(r.randint(4, 9))) for _ in range(n)]
+        return " ".join(r.choice(common[lang]) if r.random() < share else w for w in other)
+
+    lengths = [50, 60, 80, 120, 200, 400, 1000, 2000]
+    good = [(lang, text(lang, n)) for lang in common for n in lengths * 10]
+    bad = [(lang, text(lang, n, 0)) for lang in common for n in lengths[2:]]
+    bad += [("en" if lang == "de" else "de", text(lang, n)) for lang in common for n in lengths[2:]]
+    df = spark.createDataFrame([(i, *x, "s") for i, x in enumerate(good + bad)], "doc_id long, lang string, text string, source string")
+    out = quality.quality_verdicts(df).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r.doc_id for r in out if not r.kept and r.doc_id < len(good)} == set()
+    assert {r.doc_id for r in out if r.kept and r.doc_id >= len(good)} == set()
+
+
 def test_js_distance():
     p, q = np.array([[2.0, 0.0], [1.0, 1.0]]), np.array([0.0, 1.0])
     assert quality.js_distance(p, q)[0] == pytest.approx(1.0)
