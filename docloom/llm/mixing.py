@@ -2,9 +2,9 @@
 
 A classifier fitted on the labelled rows gives every document its domain posteriors p. Rates r, nonnegative,
 then minimise the distance between the expected token totals of the domains, the sum of r * tokens * p, and
-their targets, by projected gradient steps. A step needs one number for each domain, so the documents stay in
-a table and each round is one sum over it. The metric of the residual is the inverse of the sum of tokens * p p'
-over the rows whose rate is not at its bound, for which a step is exact while no further row meets the bound.
+their targets, by accelerated projected gradient steps until the projected gradient vanishes. All rates start
+alike and a step shifts them by the posteriors, so that rows of equal posteriors keep equal rates: the descent
+runs over sums by small cells of posteriors, and the rows follow its steps.
 
 Nulls and edge cases: a null text has no tokens and the posteriors of an empty text; a domain without tokens
 is left out of the fit; labels that are null take no part; repeated rows are documents of their own; an empty
@@ -13,6 +13,7 @@ table gives an empty result; `apply_rates` carries all columns of docs.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.8, "low": 0.12, "toxic": 0.08}
 #: Labelled rows that the classifier is fitted on at most, and its features.
 MAX_ROWS, MAX_FEATURES = 20_000, 1_024
+#: Share of the tokens by which a target may be off without a warning.
+MISSED = 1e-3
 
 
 def domain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -62,47 +65,84 @@ def posteriors(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, n_d
     return bounded_batches(docs.select(*own, F.col(f"`{text_col}`").alias(text))).mapInArrow(run, schema), names
 
 
-def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: float = 0.0, total: float | None = None, tolerance: float = 1e-5, rounds: int = 10) -> Column:
+def descend(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, lower: float, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated projected gradient with restarts: the steps (one row a round: the shift by posterior, the momentum) and the rates.
+
+    It ends when the totals meet the target, or when no rate that may move has a gradient left.
+    """
+    x = y = np.full(len(p), max(1.0, lower))
+    length = np.linalg.eigvalsh((tokens[:, None] * p).T @ p).max(initial=0.0)
+    scale, t, best, steps = max(target.sum(), 1.0), 1.0, np.inf, []
+    if not length:
+        return np.zeros((0, p.shape[1] + 1)), x
+    size = 1 / length
+    for _ in range(rounds):
+        off = (tokens * x) @ p - target
+        slope = x - np.maximum(lower, x - p @ off / length)
+        if np.abs(off).max() <= tolerance * scale or length * np.sqrt((tokens * slope**2).sum()) <= 1e-2 * tolerance * scale * np.sqrt(tokens.sum()):
+            break
+        if off @ off > best:
+            t, y = 1.0, x
+            if steps:
+                steps[-1][-1] = 0.0
+        best = off @ off
+        slope_y, size = (tokens * y) @ p - target, size * 1.3
+        while True:  # only rows that move count, so a step can be far longer than 1 / length
+            new = np.maximum(lower, y - p @ (step := slope_y * size))
+            d = new - y
+            if size * length <= 1 or size * (((tokens * d) @ p) ** 2).sum() <= (tokens * d**2).sum():
+                break
+            size /= 2
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        momentum = (t - 1) / s
+        y, x, t = new + momentum * (new - x), new, s
+        steps.append([*step, momentum])
+    return np.array(steps).reshape(-1, p.shape[1] + 1), x
+
+
+def follow(steps: np.ndarray, p: np.ndarray, lower: float) -> np.ndarray:
+    """The rates of rows with posteriors p after these steps."""
+    x = y = np.full(len(p), max(1.0, lower))
+    for *step, momentum in steps:
+        new = np.maximum(lower, y - p @ np.array(step))
+        y, x = new + momentum * (new - x), new
+    return x
+
+
+def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: float = 0.0, total: float | None = None, tolerance: float = 1e-5, rounds: int = 20_000) -> Column:
     """The rate of each row as an expression over its posteriors.
 
     table has the columns names (tokens, then posteriors). The targets are weights times total (the tokens
     there are; with lower > 0 the smallest total at which no domain has to shrink below its tokens times lower).
+    A rate depends on the posteriors of its row only, so rows of nearly equal posteriors are summed up first
+    (at most 6 % apart, with their own mean); the driver descends over these sums and the rows follow its
+    steps. Targets that are missed are told by a warning, from the totals of the rows themselves.
     """
     tokens, p = F.col(names[0]).cast("double"), [F.col(c) for c in names[1:]]
     k = len(p)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def sums(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Token totals of the domains at these rates, and the sum of tokens * p p' over the free rows."""
-        weight = F.when(free, tokens).otherwise(0.0)
-        got = table.agg(*(F.sum(rate * tokens * c) for c in p), *(F.sum(weight * p[i] * p[j]) for i, j in pairs)).collect()[0]
-        got = [v or 0.0 for v in got]
-        gram = np.zeros((k, k))
-        for v, (i, j) in zip(got[k:], pairs, strict=True):
-            gram[i, j] = gram[j, i] = v
-        return np.array(got[:k]), gram
-
-    rate = F.lit(max(1.0, float(lower)))
-    got, gram = sums(rate, F.lit(True))
-    now = got / max(1.0, lower)
+    cells = table.filter(tokens > 0).groupBy(*(F.round(F.log(c + 1e-6) * 16).alias(f"c{i}") for i, c in enumerate(p))).agg(F.sum(tokens).alias("t"), *(F.sum(tokens * c).alias(f"s{i}") for i, c in enumerate(p)))
+    got = cells.orderBy(*(f"c{i}" for i in range(k))).select("t", *(f"s{i}" for i in range(k))).toArrow()
+    mass = np.array(got.column("t"), float)
+    parts = np.stack([np.array(got.column(f"s{i}"), float) for i in range(k)], 1)
+    now = parts.sum(0)
     weights = np.where(now > 0, weights, 0.0)
     weights = weights / weights.sum() if weights.sum() else np.zeros(k)
     if total is None:
         total = now.sum() if lower <= 0 else max((lower * n / w for n, w in zip(now, weights, strict=True) if w > 0), default=0.0)
-    target, length = weights * total, np.linalg.eigvalsh(gram).max(initial=0.0)
-    off = got - target
-    for _ in range(rounds):
-        if not length or np.abs(off).max() <= tolerance * max(total, 1.0):
-            break
-        # The step in the metric of the free rows, and where that gains nothing the plain gradient step, which always descends.
-        for step, gain in ((np.linalg.pinv(gram) @ off, 0.98), (off / length, 0.99)):
-            moved = F.greatest(F.lit(float(lower)), rate - sum((F.lit(float(s)) * c for s, c in zip(step, p, strict=True)), F.lit(0.0)))
-            new, free = sums(moved, moved > lower)
-            if ((new - target) ** 2).sum() <= gain * (off**2).sum():
-                break
-        else:
-            break
-        rate, off, gram = moved, new - target, free
+    target = weights * total
+    steps, _ = descend(mass, parts / np.maximum(mass, 1e-300)[:, None], target, lower, tolerance, rounds) if total else (np.zeros((0, k + 1)), None)
+
+    @F.arrow_udf("double")
+    def rate_of(*columns: pa.Array) -> pa.Array:
+        return pa.array(follow(steps, np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1), lower))
+
+    rate = rate_of(*p)
+    if total:
+        mix = table.select(tokens.alias("t"), *(c.alias(f"p{i}") for i, c in enumerate(p)), rate.alias("r")).agg(*(F.sum(F.col("r") * F.col("t") * F.col(f"p{i}")) for i in range(k))).collect()[0]
+        off = np.abs(np.array(mix, float) - target).max() / total
+        if off > max(MISSED, tolerance):
+            shares = np.array(mix, float) / sum(mix)
+            warnings.warn(f"mixing misses its targets by up to {off:.2%} of the tokens: shares {shares.round(4).tolist()} instead of {weights.round(4).tolist()} after {len(steps)} rounds", stacklevel=2)
     return rate
 
 

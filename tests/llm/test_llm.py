@@ -423,6 +423,46 @@ def test_mixing_repeats_but_drops_nothing(spark):
     assert mixing.apply_rates(df.limit(0), df, labels).count() == 0
 
 
+def shares_of(table, rate):
+    out = np.array(table.select("t", "a", "b", "c", rate.alias("r")).collect(), float)
+    got = (out[:, :1] * out[:, 4:] * out[:, 1:4]).sum(0)
+    return got, out
+
+
+@pytest.mark.parametrize("kind", ["clean", "half", "soft"])
+def test_bounded_rates_reach_the_brute_force_optimum(spark, kind):
+    r, n, target = np.random.default_rng(3), 3000, np.array([0.8, 0.12, 0.08])
+    middle = {"clean": [0.97, 0.02, 0.01], "half": [0.45, 0.5, 0.05], "soft": [0.7, 0.2, 0.1]}[kind]
+    p = r.dirichlet(np.array(middle) * {"clean": 6, "half": 2, "soft": 20}[kind], n)
+    tokens = r.integers(50, 900, n).astype(float)
+    table = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(tokens, p)], "t long, a double, b double, c double")
+    got, out = shares_of(table, mixing.fit_rates(table, ["t", "a", "b", "c"], target, lower=1.0))
+    want = target * max(tokens @ p / target)
+    a = (tokens[:, None] * p).T
+    x, free = np.zeros(n), np.zeros(n, bool)  # rates above 1 by the active-set method: the best one enters until none helps
+    while ((slope := a.T @ (want - a.sum(1) - a @ x))[~free] > 1e-9 * want.sum() * tokens.max()).any():
+        free[np.argmax(np.where(free, -np.inf, slope))] = True
+        while True:
+            z = np.zeros(n)
+            z[free] = np.linalg.lstsq(a[:, free], want - a.sum(1), rcond=None)[0]
+            if z[free].min() > 0:
+                break
+            down = free & (z <= 0)
+            x += (x[down] / np.maximum(x[down] - z[down], 1e-300)).min() * (z - x)
+            free &= x > 1e-12
+        x = z
+    best = a.sum(1) + a @ x
+    assert out[:, 4].min() >= 1
+    assert np.linalg.norm(got - want) <= np.linalg.norm(best - want) + 1e-3 * want.sum()
+    assert got / got.sum() == pytest.approx(best / best.sum(), abs=2e-3)
+
+
+def test_missed_targets_are_told(spark):
+    table = spark.createDataFrame([(10, 0.9, 0.1), (10, 0.5, 0.5)], "t long, a double, b double")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        mixing.fit_rates(table, ["t", "a", "b"], np.array([0.0, 1.0]), lower=1.0)
+
+
 def test_rates_stay_nonnegative_when_targets_are_out_of_reach(spark):
     table = spark.createDataFrame([(10, 0.9, 0.1), (10, 0.5, 0.5), (0, 0.5, 0.5)], "t long, a double, b double")
     rate = mixing.fit_rates(table, ["t", "a", "b"], np.array([0.0, 1.0]))
