@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,17 +15,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 18
 #: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+
+#: Folders that store has written.
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one of our own only in a local session without it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -35,11 +42,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_stored(spark: SparkSession) -> None:
+    """Delete all that store has written in this session: for a job to call once its results are written."""
+    jvm = spark.sparkContext._jvm
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
-    """df, in a session whose Arrow batches are bounded in bytes and not by rows alone: texts can be long."""
+    """df, in a session whose Arrow batches are bounded in bytes and not by rows alone: texts can be long.
+
+    Spark has this bound for a session only and reads it when the plan runs, so it stays set.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)).rstrip("bB")) > most:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

@@ -5,8 +5,9 @@ piece are spelled in byte pieces. Forward filtering sums the weights of all path
 sampling then draws a segmentation from the end, exactly in proportion to its weight. Random numbers are a
 hash of the row key, the place in the text and the step, so a row is segmented alike wherever it runs.
 
-No piece goes on past the end of a word, so the lattice falls apart at word starts: equal units of a block are
-filtered once, and all units of a block are sampled together.
+Between two bytes that no piece holds side by side, as at the end of a word, the lattice falls apart into units:
+a worker filters equal units once and keeps them for later blocks, up to a bound, and all units of a block are
+sampled together.
 
 Nulls and edge cases: a null or empty text has no pieces; a literal U+2581 is spelled in bytes and comes back;
 very long units are filtered like others; rows with equal keys and texts get equal pieces; an empty table
@@ -57,25 +58,28 @@ class Pieces:
         self.at = sums(np.array([len(r) for r in raw]))
         self.weight = -sharpness * np.log(rank + 10.0)
         ids = np.flatnonzero(usable)
-        length = np.diff(self.at)[ids]
-        h = Ranges(self.data).of(self.at[ids], self.at[ids + 1])
-        order = np.argsort(h)
-        self.hash, self.id = h[order], ids[order]
-        self._may = np.zeros(1 << 20, bool)  # most substrings are ruled out here
-        self._may[self.hash >> np.uint64(44)] = True
-        self.lengths = np.unique(length)
-        inside = np.zeros(256, bool)
-        inside[self.data] = True
-        spelled = np.zeros(256, bool)
-        for i in ids:
-            spelled[list(raw[i])] = True
-        self.alone = ~spelled & (np.arange(256) < 0x80)  # ASCII that no piece holds: a unit of its own
-        if any(b" " in r.strip(b" ") or (r.strip(b" ") and r.endswith(b" ")) for i, r in enumerate(raw) if usable[i]):
-            raise ValueError("a piece of this vocabulary goes on past the end of a word")
+        at, length = self.at[ids], np.diff(self.at)[ids]
+        self.longest = int(length.max(initial=1))
+        # Every beginning of a piece, with the piece that it is (-1: none), so that a search stops where no piece goes on.
+        some = np.repeat(np.arange(len(ids)), length)
+        size = np.arange(len(some)) - np.repeat(sums(length)[:-1], length) + 1
+        h = Ranges(self.data).of(at[some], at[some] + size)
+        self.hash, first = np.unique(h, return_index=True)
+        self.id = np.full(len(self.hash), -1, np.int32)
+        whole = size == length[some]
+        self.id[np.searchsorted(self.hash, h[whole])] = ids[some[whole]]
+        self._may = np.zeros(1 << 22, bool)  # most substrings are ruled out here
+        self._may[self.hash >> np.uint64(42)] = True
+        # No piece holds the pairs of bytes that are False here, so the lattice falls apart between them.
+        self.joined = np.zeros(1 << 16, bool)
+        inner = np.ones(len(self.data), bool)
+        inner[self.at[:-1][np.diff(self.at) > 0]] = False
+        q = np.flatnonzero(inner)
+        self.joined[self.data[q - 1].astype(np.int32) << 8 | self.data[q]] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the fingerprints are pieces, and their ids."""
-        at = np.flatnonzero(self._may[h >> np.uint64(44)])
+        """Which of the fingerprints begin a piece, and the ids of the pieces that they are, or -1."""
+        at = np.flatnonzero(self._may[h >> np.uint64(42)])
         i = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
         hit = self.hash[i] == h[at]
         return at[hit], self.id[i[hit]]
@@ -92,15 +96,17 @@ class Lattice:
         one = np.zeros(n, bool)  # the character that begins here is a piece
         width = np.select([data < 0x80, data < 0xC0, data < 0xE0, data < 0xF0], [1, 0, 2, 3], 4)
         spot = np.flatnonzero(width > 0)
-        for k in pieces.lengths:
-            p = spot[spot + k <= stop[spot]]
-            if not len(p):
+        live = spot
+        for k in range(1, pieces.longest + 1):
+            live = live[live + k <= stop[live]]
+            if not len(live):
                 break
-            some, found = pieces.find(ranges.of(p, p + k))
-            p = p[some]
+            some, found = pieces.find(ranges.of(live, live + k))
+            live = live[some]
+            p = live[found >= 0]
             begins.append(p)
             ends.append(p + k)
-            ids.append(found)
+            ids.append(found[found >= 0])
             one[p[width[p] == k]] = True
         lead = np.flatnonzero(width > 0)
         has = one[lead][np.searchsorted(lead, np.arange(n), "right") - 1] if n else one
@@ -111,7 +117,7 @@ class Lattice:
         begin, end, self.id = (np.concatenate(x).astype(np.int64) for x in (begins, ends, ids))
         row = unit[begin]
         depth = end - at[row]  # filter by distance from the unit's start, all units together
-        span = int(pieces.lengths.max()) + 1  # sort keys are unique, so that sums don't depend on the block
+        span = pieces.longest + 1  # sort keys are unique, so that sums don't depend on the block
         order = np.argsort((depth * len(at) + row) * span + (end - begin))
         begin, end, row, depth, self.id = begin[order], end[order], row[order], depth[order], self.id[order]
         self.source, node = begin + row, end + row
@@ -140,43 +146,85 @@ class Lattice:
         self.first = at[:-1] + np.arange(len(at) - 1)
 
 
-def sample(data: np.ndarray, at: np.ndarray, keys: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+class Units:
+    """Filtered units by their fingerprints, in one lattice that grows from block to block; emptied beyond MOST edges."""
+
+    MOST = 3_000_000
+    _KINDS = {"upto": np.int64, "source": np.int32, "id": np.int32, "begin": np.int32, "first": np.int32, "last": np.int32}
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._empty()
+
+    def _empty(self) -> None:
+        self._known, self._number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._room = {k: np.zeros(1024, kind) for k, kind in self._KINDS.items()}
+        self._used = dict.fromkeys(self._KINDS, 0)
+
+    def _append(self, name: str, values: np.ndarray) -> None:
+        have, room = self._used[name], self._room[name]
+        if have + len(values) > len(room):
+            self._room[name] = np.zeros(max(have + len(values), 2 * len(room)), room.dtype)
+            self._room[name][:have] = room[:have]
+        self._room[name][have : have + len(values)] = values
+        self._used[name] = have + len(values)
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name in Units._KINDS:
+            return self._room[name]
+        raise AttributeError(name)
+
+    def of(self, h: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the units text[start : start + size] with the distinct sorted fingerprints h."""
+        if self._used["upto"] > self.MOST:
+            self._empty()
+        i = np.searchsorted(self._known, h)
+        have = np.zeros(len(h), bool)
+        inside = i < len(self._known)
+        have[inside] = self._known[i[inside]] == h[inside]
+        new = np.flatnonzero(~have)
+        if len(new):
+            at = sums(size[new])
+            lattice = Lattice(text[np.arange(at[-1]) - np.repeat(at[:-1], size[new]) + np.repeat(start[new], size[new])], at, self.pieces)
+            edges, nodes, units = (self._used[k] for k in ("upto", "begin", "first"))
+            for name, values in (("upto", lattice.upto), ("source", lattice.source + nodes), ("id", lattice.id), ("begin", lattice.begin + edges), ("first", lattice.first + nodes), ("last", lattice.last + nodes)):
+                self._append(name, values)
+            self._known = np.insert(self._known, i[new], h[new])
+            self._number = np.insert(self._number, i[new], np.arange(units, units + len(new)))
+        return self._number[np.searchsorted(self._known, h)]
+
+
+def sample(data: np.ndarray, at: np.ndarray, keys: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of every text and where each text's begin (n + 1)."""
     full = np.flatnonzero(np.diff(at))
     text = np.insert(data, at[:-1][full], BLANK)
     grown = at + np.searchsorted(full, np.arange(len(at)))
-    solid = text != BLANK
-    cut = ~solid
-    cut[1:] &= solid[:-1]
-    alone = pieces.alone[text]
-    cut |= alone
-    cut[1:] |= alone[:-1]
+    cut = (text & 0xC0) != 0x80
+    cut[1:] &= ~units.pieces.joined[text[:-1].astype(np.int32) << 8 | text[1:]]
     cut[grown[:-1][full]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(text))
     h, first, which = np.unique(Ranges(text).of(start, end), return_index=True, return_inverse=True)
-    size = (end - start)[first]
-    unit_at = sums(size)
-    inner = np.arange(unit_at[-1]) - np.repeat(unit_at[:-1], size) + np.repeat(start[first], size)
-    lattice = Lattice(text[inner], unit_at, pieces)
+    number = units.of(h, text, start[first], (end - start)[first])[which]
 
     ptr = np.searchsorted(start, grown)
     row = owners(ptr)
     place = mix(keys.astype(np.uint64)[row] + (np.arange(len(start)) - ptr[row]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    active, node = np.arange(len(start)), lattice.last[which]
+    begin, upto, source, id_ = units.begin, units.upto, units.source, units.id
+    active, node, stop = np.arange(len(start)), units.last[number], units.first[number]
     drawn, count, step = [], np.zeros(len(start), np.int64), 0
     while len(active):
         u = (mix(place[active] + np.uint64(step)) >> np.uint64(24)).astype(np.int64)
-        edge = lattice.begin[node]
-        miss = np.flatnonzero(lattice.upto[edge] <= u)
+        edge = begin[node]
+        miss = np.flatnonzero(upto[edge] <= u)
         while len(miss):
             edge[miss] += 1
-            miss = miss[lattice.upto[edge[miss]] <= u[miss]]
-        drawn.append((active, lattice.id[edge]))
+            miss = miss[upto[edge[miss]] <= u[miss]]
+        drawn.append((active, id_[edge]))
         count[active] += 1
-        node = lattice.source[edge]
-        more = node > lattice.first[which[active]]
-        active, node, step = active[more], node[more], step + 1
+        node = source[edge]
+        more = node > stop
+        active, node, stop, step = active[more], node[more], stop[more], step + 1
     where = sums(count)
     out = np.empty(where[-1], np.int32)
     for k, (some, ids) in enumerate(drawn):
@@ -196,27 +244,29 @@ def decode(ids: np.ndarray, ptr: np.ndarray, pieces: Pieces) -> tuple[np.ndarray
     return data[keep], at - np.searchsorted(full, np.arange(len(at)))
 
 
-_loaded: dict[tuple[str, float], Pieces] = {}
+_loaded: dict[tuple[str, float], Units] = {}
 
 
-def load(path: str, sharpness: float = 1.0) -> Pieces:
+def load(path: str, sharpness: float = 1.0) -> Units:
+    """The vocabulary with what this worker has filtered of it; one at a time."""
     if (path, sharpness) not in _loaded:
-        _loaded[path, sharpness] = Pieces(path, sharpness)
+        _loaded.clear()
+        _loaded[path, sharpness] = Units(Pieces(path, sharpness))
     return _loaded[path, sharpness]
 
 
-def sample_pieces(docs: DataFrame, vocabulary: str, seed: int = 0, sharpness: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_pieces(docs: DataFrame, vocabulary: str, seed: int = 0, sharpness: float = 1.0, id_col: str = "doc_id", text_col: str = "text", copies_col: str | None = None) -> DataFrame:
     """id_col, pieces (ids of a sampled segmentation), n_pieces and lossless (they decode to the text) of every row.
 
     vocabulary: path of the model file, as executors see it; sharpness: exponent of the piece weights, which
-    fall with the piece's rank.
+    fall with the piece's rank; copies_col: how many segmentations a row gets (without it: one), each drawn anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(vocabulary, sharpness)
+        units = load(vocabulary, sharpness)
         for block, data, at in text_blocks(batches, "text"):
-            ids, ptr = sample(data, at, block.column(1).to_numpy(zero_copy_only=False), pieces)
-            back, back_at = decode(ids, ptr, pieces)
+            ids, ptr = sample(data, at, block.column(1).to_numpy(zero_copy_only=False), units)
+            back, back_at = decode(ids, ptr, units.pieces)
             same = np.diff(at) == np.diff(back_at)
             if same.all() and len(back) == len(data):
                 wrong = sums(back != data)[at]
@@ -226,15 +276,25 @@ def sample_pieces(docs: DataFrame, vocabulary: str, seed: int = 0, sharpness: fl
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(ids)), pa.array(np.diff(ptr)), pa.array(same)], names=["id", "pieces", "n_pieces", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(text_col).alias("text"))
+    key = [F.col(id_col), F.lit(seed)]
+    if copies_col:
+        docs = docs.select(id_col, text_col, F.explode(F.sequence(F.lit(1), F.col(copies_col))).alias(copies_col))
+        key.append(F.col(copies_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(*key).alias("key"), F.col(text_col).alias("text"))
     return bounded_batches(rows).mapInArrow(run, f"id {kind}, pieces array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
+def sample_copies(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """sample_pieces of a table that repeats rows: equal rows are counted, and each of them gets a draw of its own."""
+    counted = docs.groupBy(id_col, text_col).agg(F.count(F.lit(1)).alias("copies_"))
+    return sample_pieces(counted, vocabulary, id_col=id_col, text_col=text_col, copies_col="copies_", **how)
+
+
 def decode_pieces(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """id_col and the text that the pieces of every row spell (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(vocabulary)
+        pieces = load(vocabulary).pieces
         for batch in batches:
             lists = [np.array(x.as_py() or [], np.int64) for x in batch.column(1)]
             data, at = decode(np.concatenate([np.zeros(0, np.int64), *lists]), sums(np.array([len(x) for x in lists], np.int64)), pieces)

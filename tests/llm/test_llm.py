@@ -81,8 +81,8 @@ def test_references_withstand_junk(spark):
     assert {r.doc_id for r in quality.quality_filter(hot).collect()} == set(range(80))
     assert {r.doc_id for r in quality.quality_filter(docs(spark, good[:80]).drop("source")).collect()} == set(range(80))
     failed = docs(spark, good[:80] + ["&&& ### " * 60] * 5 + [f"&&&{i}" for i in range(200)])  # what the base rule rejects is no measure
-    left, ref = docs(spark, good[:80]), quality.language_references(failed)["en"]
-    assert np.allclose(ref[0], quality.language_references(left)["en"][0]) and len(ref[1]) == quality.N_COMMON + 1
+    left, ref = docs(spark, good[:80]), quality.language_references(failed).collect()[0].reference
+    assert np.allclose(ref, quality.language_references(left).collect()[0].reference) and len(ref) == quality.N_CLASSES + quality.N_COMMON + 1
 
 
 def test_common_words_reject_tables_and_other_languages(spark):
@@ -203,8 +203,9 @@ def test_pieces_are_lossless_and_reproducible(spark):
 
 
 def test_pieces_follow_their_weights():
-    p = sentence_pieces.load(vocabulary("piece_bpe_32k.model"))
-    ids = {p.data[p.at[i] : p.at[i + 1]].tobytes(): i for i in p.id}
+    units = sentence_pieces.load(vocabulary("piece_bpe_32k.model"))
+    p = units.pieces
+    ids = {p.data[p.at[i] : p.at[i + 1]].tobytes(): i for i in p.id[p.id >= 0]}
 
     def paths(s):
         if not s:
@@ -218,7 +219,7 @@ def test_pieces_follow_their_weights():
     weight = np.array([np.exp(p.weight[list(q)].sum()) for q in every])
     n = 20_000
     data, at = np.frombuffer(b"there" * n, np.uint8), np.arange(n + 1) * 5
-    got, ptr = sentence_pieces.sample(data, at, np.random.default_rng(0).integers(0, 2**62, n), p)
+    got, ptr = sentence_pieces.sample(data, at, np.random.default_rng(0).integers(0, 2**62, n), units)
     seen = Counter(tuple(got[a:b].tolist()) for a, b in zip(ptr[:-1], ptr[1:], strict=True))
     assert sum(seen[q] for q in every) == n
     assert max(abs(seen[q] / n - w) for q, w in zip(every, weight / weight.sum(), strict=True)) < 0.015
