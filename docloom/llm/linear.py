@@ -40,9 +40,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], max_ro
     """id, buckets and the integer columns targets of at most max_rows labelled rows, chosen by a hash of the id.
 
     labels holds id_col and targets; rows with a null among them take no part. The sample is small by its
-    bound, so it is broadcast to the documents.
+    bound, so it is broadcast to the documents. Of documents that share an id the one with the least buckets
+    counts, and of labels that share an id the least.
     """
-    chosen = labels.select(id_col, *targets).dropna().dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    chosen = labels.select(id_col, *targets).dropna().groupBy(id_col).agg(F.min(F.struct(*targets)).alias("least_")).select(id_col, "least_.*").orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text_")).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), F.col("text_").alias("text"), *(F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(targets)))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -52,7 +53,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], max_ro
             ends = np.searchsorted(row, np.arange(len(at))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([block.column(0), *(block.column(2 + k) for k in range(len(targets))), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["id", *(f"y{k}" for k in range(len(targets))), "buckets"])
 
-    return store(bounded_batches(rows).mapInArrow(run, f"id {kind}, {', '.join(f'y{k} int' for k in range(len(targets)))}, buckets array<int>"), "training")
+    seen = bounded_batches(rows).mapInArrow(run, f"id {kind}, {', '.join(f'y{k} int' for k in range(len(targets)))}, buckets array<int>")
+    ys = [f"y{k}" for k in range(len(targets))]
+    return store(seen.groupBy("id").agg(F.min(F.struct("buckets", *ys)).alias("least")).select("id", *(f"least.{c}" for c in (*ys, "buckets"))), "training")
 
 
 def select_buckets(rows: DataFrame, target: str, n_classes: int, most: int) -> np.ndarray:

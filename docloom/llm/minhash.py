@@ -2,7 +2,9 @@
 
 The minima of many hash functions over a text's word shingles are banded into bucket keys; of each minimum
 only the low bits are kept, packed into a few longs. Pairs that share a bucket are estimated by counting equal
-low bits, corrected for chance, and confirmed on the full shingle sets.
+low bits, corrected for chance, and confirmed on the full shingle sets. A pair with a low estimate is passed
+over only if its sets also can't overlap enough: shingles are counted by bin, and what two sets have in common
+is at most the sum of the lesser counts. So an unlucky estimate loses no link.
 
 No bucket is expanded into all its pairs. Texts with the same set are one class. For a few rounds everything in
 a bucket is compared with one hub, taken from the bucket's largest component, and linked texts become components.
@@ -30,8 +32,8 @@ from .rolling import LOWER, Ranges, mix, word_spans
 
 #: Low bits kept of each minimum.
 B_BITS = 2
-#: An estimate this far below the threshold rules a pair out (more than six standard errors at 120 minima).
-MARGIN = 0.25
+#: Pairs with an estimate this far below the threshold are compared by bins before they are confirmed; number of bins.
+MARGIN, BINS = 0.25, 128
 #: Rounds with one hub a bucket before the rest of a bucket meets in blocks of this many bytes of sets.
 HUB_ROUNDS, BLOCK_BYTES = 3, 16 << 20
 #: Up to this many ids (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -69,12 +71,24 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def counts_of(bins: bytes | pa.Buffer) -> np.ndarray:
+    """The counts by bin that were packed into as few bytes as they need."""
+    raw = np.frombuffer(bins, np.uint8)
+    return raw.view({1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // BINS])
+
+
+def can_link(size: np.ndarray, counts: np.ndarray, other_size: int, other_counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets may still have 100 * intersection >= percent * union with the other one."""
+    both = np.minimum(counts, other_counts).sum(1).astype(np.int64)
+    return 100 * both >= percent * (size + other_size - both)
+
+
 def _i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), key_a and key_b (digest of the set), bands (bucket keys) and bits (packed low bits) of every text."""
+    """id, n (set size), key_a and key_b (digest of the set), bands (bucket keys), bits (packed low bits) and bins (packed counts) of every text."""
     k = bands * rows
     factors = np.random.default_rng(7).integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     per = 64 // B_BITS
@@ -99,9 +113,11 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str =
                 for values in (band, bits):
                     ends = np.concatenate([[0], np.cumsum((size > 0) * len(values))]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_i64(np.ascontiguousarray(values.T).reshape(-1)))))
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *(pa.array(_i64(x)) for x in key), *lists], names=["id", "n", "key_a", "key_b", "bands", "bits"])
+                bins = np.bincount(np.repeat(np.arange(len(sets)), size) * BINS + (np.concatenate(sets) & np.uint64(BINS - 1)).astype(np.int64) if len(full) else np.zeros(0, np.int64), minlength=len(sets) * BINS).reshape(-1, BINS)
+                wide = [b.astype(np.uint32 if m > 65_535 else np.uint16 if m > 255 else np.uint8).tobytes() for b, m in zip(bins, bins.max(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *(pa.array(_i64(x)) for x in key), *lists, pa.array(wide, pa.binary())], names=["id", "n", "key_a", "key_b", "bands", "bits", "bins"])
 
-    return bounded_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, key_a long, key_b long, bands array<long>, bits array<long>")
+    return bounded_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, key_a long, key_b long, bands array<long>, bits array<long>, bins binary")
 
 
 def _estimate(a: str, b: str, words: int, k: int):
@@ -120,9 +136,19 @@ def _estimate(a: str, b: str, words: int, k: int):
 
 def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
-    likely = pairs.join(side("u"), "u").join(side("v"), "v")
-    likely = likely.filter("100 * least(n_u, n_v) >= %d * greatest(n_u, n_v)" % percent).filter(_estimate("b_u", "b_v", words, k) >= percent / 100 - MARGIN).select("u", "v").distinct()
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"), F.col("bins").alias(f"c_{c}"))
+    near = _estimate("b_u", "b_v", words, k) >= percent / 100 - MARGIN
+    met = pairs.join(side("u"), "u").join(side("v"), "v").filter("100 * least(n_u, n_v) >= %d * greatest(n_u, n_v)" % percent)
+    met = met.select("u", "v", "n_u", "n_v", near.alias("near"), F.when(~near, F.col("c_u")).alias("c_u"), F.when(~near, F.col("c_v")).alias("c_v"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column(4).to_numpy(zero_copy_only=False).copy()
+            n = [batch.column(i).to_numpy() for i in (2, 3)]
+            for i in np.flatnonzero(~keep):
+                one, other = (counts_of(batch.column(c)[int(i)].as_buffer()) for c in (5, 6))
+                keep[i] = can_link(n[0][i], one[None], n[1][i], other, percent)[0]
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +160,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, w
 
     first = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s_u"))
     second = sets.select(F.col("id").alias("v"), F.col("shingles").alias("s_v"))
-    return likely.join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+    return met.mapInArrow(likely, "u long, v long").join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
 def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame:
@@ -149,6 +175,7 @@ def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
         table = table.combine_chunks()
         ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
         size = table.column("n").to_numpy()
+        counts = np.stack([counts_of(x.as_buffer()) for x in table.column("bins").combine_chunks()])
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
         base, asks = np.flatnonzero(table.column("as_base").to_numpy(zero_copy_only=False)), np.flatnonzero(table.column("as_outside").to_numpy(zero_copy_only=False))
@@ -167,7 +194,12 @@ def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
                 folded |= x >> np.uint64(s)
             equal = 1 - np.bitwise_count(folded & low).sum(1) / k
             estimate = (equal - 2.0**-B_BITS) / (1 - 2.0**-B_BITS)
-            may = (comp[base] != comp[i]) & (100 * np.minimum(size[base], size[i]) >= percent * np.maximum(size[base], size[i])) & (estimate >= percent / 100 - MARGIN)
+            may = (comp[base] != comp[i]) & (100 * np.minimum(size[base], size[i]) >= percent * np.maximum(size[base], size[i]))
+            near = estimate >= percent / 100 - MARGIN
+            far = np.flatnonzero(may & ~near)
+            for part in np.array_split(far, len(far) // 4096 + 1):
+                if len(part):
+                    may[part] = can_link(size[base[part]], counts[base[part]], size[i], counts[i], percent)
             for j in base[may][np.argsort(-estimate[may], kind="stable")]:
                 a, b = find(int(comp[i])), find(int(comp[j]))
                 if a != b and linked(shingles[i], shingles[j], percent):
@@ -182,7 +214,7 @@ def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
     as_base = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda o: F.struct(o.alias("o"), F.col("a").alias("a")))
     as_outside = F.transform(F.sequence(F.lit(0), F.col("ab") - 1), lambda a: F.struct(F.col("o").alias("o"), a.alias("a")))
     rows = rows.withColumn("at", F.explode(F.array_distinct(F.when(F.col("outside"), F.concat(as_base, as_outside)).otherwise(as_base))))
-    rows = rows.select("key", F.col("at.o").alias("bo"), F.col("at.a").alias("ba"), "id", "comp", "n", "bits", "shingles", (F.col("at.a") == F.col("a")).alias("as_base"), (F.col("outside") & (F.col("at.o") == F.col("o"))).alias("as_outside"))
+    rows = rows.select("key", F.col("at.o").alias("bo"), F.col("at.a").alias("ba"), "id", "comp", "n", "bits", "bins", "shingles", (F.col("at.a") == F.col("a")).alias("as_base"), (F.col("outside") & (F.col("at.o") == F.col("o"))).alias("as_outside"))
     return rows.groupBy("key", "bo", "ba").applyInArrow(meet, "u long, v long").distinct()
 
 
@@ -211,12 +243,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     classes = full.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     copies = store(classes.filter("size > 1").select("key_a", "key_b", "rep"), "copies")
     in_class = full.join(copies, ["key_a", "key_b"], "left")
-    reps = store(in_class.filter("rep IS NULL OR rep = id").select("id", "n", "bands", "bits"), "representatives")
+    reps = store(in_class.filter("rep IS NULL OR rep = id").select("id", "n", "bands", "bits", "bins"), "representatives")
 
     entries = reps.select("id", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub <> other").select("key", "hub")
     entries = store(entries.join(buckets, "key"), "buckets")
-    reps = reps.select("id", "n", "bits")
+    reps = reps.select("id", "n", "bits", "bins")
     ids = store(entries.select("id").distinct(), "candidates")
     sets = _sets_of(docs, ids, width, id_col, text_col)
     copy_links = in_class.filter("rep IS NOT NULL AND rep <> id").select(F.col("rep").alias("u"), F.col("id").alias("v"))

@@ -31,6 +31,8 @@ DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.8, "low": 0.12, "toxic": 0.08}
 #: Labelled rows that the classifier is fitted on at most, and its features.
 MAX_ROWS, MAX_FEATURES = 20_000, 1_024
+#: How often apply_rates repeats a document at most.
+MOST_TIMES = 4.0
 #: Share of the tokens by which a target may be off without a warning.
 MISSED = 1e-3
 
@@ -65,12 +67,12 @@ def posteriors(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, n_d
     return bounded_batches(docs.select(*own, F.col(f"`{text_col}`").alias(text))).mapInArrow(run, schema), names
 
 
-def descend(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, lower: float, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def descend(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, lower: float, tolerance: float, rounds: int, upper: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Accelerated projected gradient with restarts: the steps (one row a round: the shift by posterior, the momentum) and the rates.
 
     It ends when the totals meet the target, or when no rate that may move has a gradient left.
     """
-    x = y = np.full(len(p), max(1.0, lower))
+    x = y = np.full(len(p), min(max(1.0, lower), upper))
     length = np.linalg.eigvalsh((tokens[:, None] * p).T @ p).max(initial=0.0)
     scale, t, best, steps = max(target.sum(), 1.0), 1.0, np.inf, []
     if not length:
@@ -78,7 +80,7 @@ def descend(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, lower: float,
     size = 1 / length
     for _ in range(rounds):
         off = (tokens * x) @ p - target
-        slope = x - np.maximum(lower, x - p @ off / length)
+        slope = x - np.clip(x - p @ off / length, lower, upper)
         if np.abs(off).max() <= tolerance * scale or length * np.sqrt((tokens * slope**2).sum()) <= 1e-2 * tolerance * scale * np.sqrt(tokens.sum()):
             break
         if off @ off > best:
@@ -88,7 +90,7 @@ def descend(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, lower: float,
         best = off @ off
         slope_y, size = (tokens * y) @ p - target, size * 1.3
         while True:  # only rows that move count, so a step can be far longer than 1 / length
-            new = np.maximum(lower, y - p @ (step := slope_y * size))
+            new = np.clip(y - p @ (step := slope_y * size), lower, upper)
             d = new - y
             if size * length <= 1 or size * (((tokens * d) @ p) ** 2).sum() <= (tokens * d**2).sum():
                 break
@@ -100,21 +102,21 @@ def descend(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, lower: float,
     return np.array(steps).reshape(-1, p.shape[1] + 1), x
 
 
-def follow(steps: np.ndarray, p: np.ndarray, lower: float) -> np.ndarray:
+def follow(steps: np.ndarray, p: np.ndarray, lower: float, upper: float = np.inf) -> np.ndarray:
     """The rates of rows with posteriors p after these steps."""
-    x = y = np.full(len(p), max(1.0, lower))
+    x = y = np.full(len(p), min(max(1.0, lower), upper))
     for *step, momentum in steps:
-        new = np.maximum(lower, y - p @ np.array(step))
+        new = np.clip(y - p @ np.array(step), lower, upper)
         y, x = new + momentum * (new - x), new
     return x
 
 
-def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: float = 0.0, total: float | None = None, tolerance: float = 1e-5, rounds: int = 20_000) -> Column:
+def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: float = 0.0, upper: float = np.inf, total: float | None = None, tolerance: float = 1e-5, rounds: int = 20_000) -> Column:
     """The rate of each row as an expression over its posteriors.
 
     table has the columns names (tokens, then posteriors). The targets are weights times total (the tokens
     there are; with lower > 0 the smallest total at which no domain has to shrink below its tokens times lower).
-    A rate depends on the posteriors of its row only, so rows of nearly equal posteriors are summed up first
+    No rate is below lower or above upper. A rate depends on the posteriors of its row only, so rows of nearly equal posteriors are summed up first
     (at most 6 % apart, with their own mean); the driver descends over these sums and the rows follow its
     steps. Targets that are missed are told by a warning, from the totals of the rows themselves.
     """
@@ -130,11 +132,11 @@ def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, lower: fl
     if total is None:
         total = now.sum() if lower <= 0 else max((lower * n / w for n, w in zip(now, weights, strict=True) if w > 0), default=0.0)
     target = weights * total
-    steps, _ = descend(mass, parts / np.maximum(mass, 1e-300)[:, None], target, lower, tolerance, rounds) if total else (np.zeros((0, k + 1)), None)
+    steps, _ = descend(mass, parts / np.maximum(mass, 1e-300)[:, None], target, lower, tolerance, rounds, upper) if total else (np.zeros((0, k + 1)), None)
 
     @F.arrow_udf("double")
     def rate_of(*columns: pa.Array) -> pa.Array:
-        return pa.array(follow(steps, np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1), lower))
+        return pa.array(follow(steps, np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1), lower, upper))
 
     rate = rate_of(*p)
     if total:
@@ -154,14 +156,16 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] =
     return table.select(id_col, F.col(names[0]).alias("n_tokens"), *(F.col(c).alias(f"p_{d}") for c, d in zip(names[1:], DOMAINS, strict=True)), rate.alias("rate"))
 
 
-def apply_rates(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, lower: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_rates(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, lower: float = 1.0, upper: float = MOST_TIMES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as often as its rate says, fractions rounded by a hash of the id; columns as in docs.
 
-    With lower = 1 the mix is reached by repetition only: every row stays at least once.
+    With lower = 1 the mix is reached by repetition only: every row stays at least once. No row is repeated more
+    than upper times, so that a domain of few documents is not made of copies; targets that this keeps out of
+    reach are missed with a warning.
     """
     table, names = posteriors(docs, labelled_docs, domain_labels(labels, id_col), id_col=id_col, text_col=text_col)
     table = store(table, "posteriors")
-    rate = fit_rates(table, names, np.array([weights[d] for d in DOMAINS]), lower)
+    rate = fit_rates(table, names, np.array([weights[d] for d in DOMAINS]), lower, upper)
     chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.greatest(F.lit(0.0), rate) + chance).cast("int")
     return table.withColumn(names[0], F.explode(F.array_repeat(F.lit(True), times))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,8 +1,8 @@
 """Quality rules: repetition and length counts, and the divergence of a text from its language.
 
 A text is compared with references that are measured over the whole corpus: for each language the mean
-histogram of character classes and of common words of its ordinary texts (see `language_references`). The Jensen-Shannon distances to them decide, but only
-for texts long enough for a histogram to mean something.
+histogram of character classes and of common words of its ordinary texts (see `language_references`). The
+Jensen-Shannon distances to them decide, but only for texts long enough for a histogram to mean something.
 
 Nulls and edge cases: a null text counts as empty (all counts 0, base_failed); a null language is a language
 of its own; ties and repeated rows are judged row by row; an empty table gives an empty result; further
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,6 +45,9 @@ _CLASS[0xE0:] = 8
 _CLASS[0x80:0xC0] = 9
 N_CLASSES = 9
 
+#: References of up to this many languages (0.7 KB each) are broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
+
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -152,11 +156,29 @@ def distinct_shares(docs: DataFrame, text_col: str, lang_col: str, source_col: s
     return store(parts.groupBy("lang", "h").agg(F.min("source").alias("source"), F.first("n_words").alias("n_words"), F.first("shares").alias("shares")).drop("h"), "shares")
 
 
+def with_references(rows: DataFrame, references: DataFrame, lang_col: str, name: str) -> DataFrame:
+    """rows with the reference of their language (array<double>) as the column name; null if there is none.
+
+    references has one row a language; it is broadcast only if its counted size is small.
+    """
+    key, value = free_name(rows, "reference_lang_", name)
+    few = references.count() <= BROADCAST_LANGUAGES
+    side = references.select(F.col("lang").alias(key), F.col("reference").alias(value))
+    return rows.join(F.broadcast(side) if few else side, F.col(f"`{lang_col}`").eqNullSafe(F.col(key)), "left").drop(key)
+
+
+def _vectors(column: pa.Array, width: int, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the distinct vectors each row of a list column has (null: missing), and those vectors."""
+    flat = np.tile(missing, (len(column), 1))
+    flat[pc.is_valid(column).to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    _, first, code = np.unique(flat.view(np.dtype((np.void, 8 * width))).reshape(-1), return_index=True, return_inverse=True)
+    return code.reshape(-1), flat[first]
+
+
 def language_references(
     docs: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
-    max_languages: int = 4096,
     source_col: str = "source",
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -165,20 +187,21 @@ def language_references(
     word_noise: float = 3.5,
     rounds: int = 15,
     tolerance: float = 1e-3,
-) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """For each language the shares of character classes and common words of its ordinary texts.
+) -> DataFrame:
+    """lang, n (its distinct texts) and reference (array<double>: the shares of character classes, then of common
+    words, of its ordinary texts) of each language.
 
     Texts that pass the base rule count, each distinct one once, and each source of a language weighs the same
     whatever it holds. Their geometric median (by Weiszfeld steps) stays with the ordinary texts as long as
     these have clearly more than half of the weight; the reference is the mean of the texts that are within the
-    distances of it. A few sums a language reach the driver. Beyond max_languages the largest keep references of
-    their own and the others share the mean of all references, weighted by texts, which is under the key "".
+    distances of it. Languages are rows of a table throughout; only one number a round reaches the driver.
     """
     table = distinct_shares(docs, text_col, lang_col, source_col, min_words, max_repeat_percent)
     width = N_CLASSES + N_COMMON + 1
 
-    def means(centres: dict | None, last: bool) -> dict[str | None, tuple[float, np.ndarray]]:
-        """For each language its number of texts and their mean: plain without centres, near them if last, else by 1 / distance."""
+    def means(centres: DataFrame | None, last: bool) -> DataFrame:
+        """The mean of each language's texts: plain without centres, near them if last, else by 1 / distance."""
+        weighted = centres is not None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -190,16 +213,15 @@ def language_references(
                     codes.append(coded.indices.to_numpy().astype(np.int64))
                     names.append(coded.dictionary.to_pylist())
                 weight, n_words = np.ones(len(x)), batch.column(2).to_numpy()
-                for code, lang in enumerate(names[0] if centres is not None else []):
-                    mine = np.flatnonzero(codes[0] == code)
-                    if lang not in centres:
-                        weight[mine] = 0
-                    elif last:
-                        c = centres[lang]
-                        near = js_distance(x[mine, :N_CLASSES], c[:N_CLASSES]) <= max_char_distance
-                        weight[mine] = near & (js_distance(x[mine, N_CLASSES:], c[N_CLASSES:]) <= word_limit(n_words[mine], max_word_distance, word_noise))
-                    else:
-                        weight[mine] = 1 / np.maximum(np.sqrt(((x[mine] - centres[lang]) ** 2).sum(1)), 1e-3)
+                if weighted and len(x):
+                    code, distinct = _vectors(batch.column(4), width, np.zeros(width))
+                    for k, c in enumerate(distinct):
+                        mine = np.flatnonzero(code == k)
+                        if last:
+                            near = js_distance(x[mine, :N_CLASSES], c[:N_CLASSES]) <= max_char_distance
+                            weight[mine] = near & (js_distance(x[mine, N_CLASSES:], c[N_CLASSES:]) <= word_limit(n_words[mine], max_word_distance, word_noise))
+                        else:
+                            weight[mine] = 1 / np.maximum(np.sqrt(((x[mine] - c) ** 2).sum(1)), 1e-3)
                 key = codes[0] * max(1, len(names[1])) + codes[1]
                 order = np.argsort(key, kind="stable")
                 first = np.flatnonzero(np.diff(key[order], prepend=-1))
@@ -209,23 +231,25 @@ def language_references(
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(of[0], pa.string()), "source": pa.array(of[1], pa.string()), "sums": pa.array(got.tolist(), pa.list_(pa.float64()))})
             release_memory()
 
-        parts = bounded_batches(table.select("lang", "source", "n_words", "shares")).mapInArrow(run, "lang string, source string, sums array<double>")
+        rows = table.select("lang", "source", "n_words", "shares")
+        rows = rows if not weighted else with_references(rows, centres, "lang", "reference")
+        parts = bounded_batches(rows).mapInArrow(run, "lang string, source string, sums array<double>")
         by_source = parts.groupBy("lang", "source").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width + 2)))
-        by_lang = by_source.groupBy("lang").agg(F.sum("s0").alias("n"), *(F.sum(F.col(f"s{k}") / F.col("s0")).alias(f"s{k}") for k in range(1, width + 2)))
-        return {r[0]: (r[1], np.array(r[3:]) / r[2]) for r in by_lang.orderBy(F.desc("n"), "lang").collect() if r[2]}
-
-    plain = means(None, False)
-    now = {lang: v for lang, (_, v) in list(plain.items())[:max_languages]}
-    for _ in range(rounds if now else 0):
-        new = {lang: v for lang, (_, v) in means(now, False).items()}
-        moved = max(np.abs(new[lang] - now[lang]).max() for lang in now)
+        by_lang = by_source.groupBy("lang").agg(F.sum("s0").cast("long").alias("n"), *(F.sum(F.col(f"s{k}") / F.col("s0")).alias(f"s{k}") for k in range(1, width + 2)))
+        return by_lang.filter("s1 > 0").select("lang", "n", F.array(*(F.col(f"s{k}") / F.col("s1") for k in range(2, width + 2))).alias("reference"))
+
+    now = store(means(None, False), "references")
+    for _ in range(rounds):
+        new = store(means(now, False), "references")
+        was = now.select(F.col("lang").alias("lang_"), F.col("reference").alias("was"))
+        change = F.array_max(F.zip_with("reference", "was", lambda a, b: F.abs(a - b)))
+        moved = new.join(was, F.col("lang").eqNullSafe(F.col("lang_"))).agg(F.max(change)).collect()[0][0]
         now = new
-        if moved <= tolerance:
+        if moved is None or moved <= tolerance:
             break
-    if now:
-        now |= {lang: v for lang, (_, v) in means(now, True).items()}
-        now[""] = sum(n * now.get(lang, v) for lang, (n, v) in plain.items()) / sum(n for n, _ in plain.values())
-    return {lang: (v[:N_CLASSES], v[N_CLASSES:]) for lang, v in now.items()}
+    near = means(now, True).select(F.col("lang").alias("lang_"), F.col("reference").alias("near"))
+    # A language of which nothing is near keeps its median.
+    return store(now.join(near, F.col("lang").eqNullSafe(F.col("lang_")), "left").select("lang", "n", F.coalesce("near", "reference").alias("reference")), "references")
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -264,13 +288,16 @@ def quality_verdicts(
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows.
     kept: not base_failed, and the distance to the language's character classes at most max_char_distance
     (texts of min_chars characters or more) and to its common words at most word_limit, which nears
-    max_word_distance as texts grow (texts of min_histogram_words words or more). carry: keep the columns of docs before the new ones. Without a column
-    source_col all texts are of one source.
+    max_word_distance as texts grow (texts of min_histogram_words words or more). carry: keep the columns of
+    docs before the new ones. Without a column source_col all texts are of one source.
     """
     references = language_references(
         docs, text_col, lang_col, source_col=source_col, min_words=min_words, max_repeat_percent=max_repeat_percent, max_char_distance=max_char_distance, max_word_distance=max_word_distance, word_noise=word_noise
     )
-    fallback = references.get("", (np.full(N_CLASSES, 1 / N_CLASSES), np.full(N_COMMON + 1, 1 / (N_COMMON + 1))))
+    # A text of a language without a reference (none of its texts passes the base rule) is held against the mean of all.
+    width = N_CLASSES + N_COMMON + 1
+    overall = references.agg(F.sum("n"), *(F.sum(F.col("n") * F.element_at("reference", k + 1)) for k in range(width))).collect()[0]
+    fallback = np.array(overall[1:], float) / overall[0] if overall[0] else np.r_[np.full(N_CLASSES, 1 / N_CLASSES), np.full(N_COMMON + 1, 1 / (N_COMMON + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, at in text_blocks(batches, text):
@@ -278,11 +305,10 @@ def quality_verdicts(
             counts = base_counts(data, at, words)
             chars, common = histograms(data, at, words)
             far_chars, far_words = np.zeros(len(chars)), np.zeros(len(chars))
-            langs = np.array(block.column(block.schema.get_field_index(lang)).to_pylist(), object)
-            for one in set(langs):
-                mine = np.flatnonzero(langs == one)
-                ref = references.get(one, fallback)
-                far_chars[mine], far_words[mine] = js_distance(chars[mine], ref[0]), js_distance(common[mine], ref[1])
+            code, distinct = _vectors(block.column(block.schema.get_field_index(reference)), width, fallback)
+            for k, ref in enumerate(distinct):
+                mine = np.flatnonzero(code == k)
+                far_chars[mine], far_words[mine] = js_distance(chars[mine], ref[:N_CLASSES]), js_distance(common[mine], ref[N_CLASSES:])
             far_chars[chars.sum(1) < min_chars] = 0
             far_words[counts["n_words"] < min_histogram_words] = 0
             failed = base_rule(counts, min_words, max_repeat_percent)
@@ -292,10 +318,11 @@ def quality_verdicts(
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_chars", "js_words"]
     own = docs if carry else docs.select(id_col)
-    text, lang = free_name(own, "text_", "lang_")
+    text, lang, reference = free_name(own, "text_", "lang_", "reference_")
     own_cols = [F.col(f"`{c}`") for c in own.columns]
     n_own = len(own.columns)
     source = docs.select(*own_cols, F.col(text_col).alias(text), F.col(lang_col).cast("string").alias(lang))
+    source = with_references(source, references, lang, reference)
     schema = StructType(list(own.schema))
     for name, kind in zip(free_name(own, *names), ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2, strict=True):
         schema = schema.add(name, kind)
