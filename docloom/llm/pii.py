@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Only DataFrame expressions. Each pattern marks its leftmost non-overlapping matches once; the parts between
-the marks give the code-point offsets. Digit patterns use possessive loops, so that digit runs of any length
-neither recurse nor backtrack.
+the marks give the code-point offsets, summed up in blocks so that the time grows with the text and not with the
+square of its matches. Digit patterns use possessive loops, so that digit runs of any length neither recurse nor
+backtrack. Words within CONTEXT_CHARS before or after a span raise its score.
 
 Nulls and edge cases: a null text counts as empty and has no spans; repeated rows are judged row by row; an
 empty table gives an empty result; `redact` carries all further columns.
@@ -10,11 +11,11 @@ empty table gives an empty result; `redact` carries all further columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
-
 #: Marks around a match; texts that hold one get another control character of the same length first.
 _MARK, _OTHER = "\x01", "\x03"
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -61,54 +62,76 @@ _CONFIRM = {
     "iban": lambda m: F.length(F.translate(m, " ", "")).between(15, 34) & (_mod97(m) == 1),
     "secret": lambda m: F.lit(True),
 }
-#: Score without context, and words whose presence just before the span raises it by CONTEXT_BONUS.
+#: Score without context, and the words that raise it by CONTEXT_BONUS, as whole words near the span.
 _SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "secret": 0.3}
 _CONTEXT = {
-    "email": "mail|contact|write|adress|correo|courriel",
-    "ip": "ip|host|server|address|client|login",
-    "card": "card|visa|master|credit|payment|karte|tarjeta|carte",
-    "phone": "phone|call|tel|mobile|fax|ruf",
+    "email": "e?mails?|contact|write|adress|address|correo|courriel",
+    "ip": "ip|ipv4|host|server|address|client|login",
+    "card": "cards?|visa|mastercard|credit|payment|karte|kreditkarte|tarjeta|carte",
+    "phone": "phone|telephone|call|tel|mobile|fax|anruf|telefon|teléfono|téléphone",
     "iban": "iban|bank|account|konto|cuenta|compte",
-    "secret": "token|secret|key|password|passwd|auth",
+    "secret": "token|secret|key|apikey|password|passwd|auth",
 }
 CONTEXT_BONUS, CONTEXT_CHARS = 0.3, 40
-#: A span of a kind outside BASE_KINDS counts from this score.
-MIN_SCORE = 0.5
+#: A span of a kind outside BASE_KINDS counts from this score, and a span of any kind as likely from LIKELY.
+MIN_SCORE, LIKELY = 0.5, 0.8
 
 _SPAN = "struct<start:int,kind:int,end:int,score:double>"
+_BLOCK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(values: Column, levels: int = 2) -> Column:
+    """The sum of all values before each value of an array, in blocks of blocks."""
+    if not levels:
+        add = lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out"))
+        return F.aggregate(values, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), add, lambda s: s["out"])
+
+    def in_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v))
+        return F.flatten(F.zip_with(blocks, _sums_before(totals, levels - 1), lambda b, first: F.transform(_sums_before(b, 0), lambda x: x + first)))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK))
+    return _let(values, lambda v: F.when(F.size(v) <= _BLOCK, _sums_before(v, 0)).otherwise(_let(cut(v), in_blocks)))
+
+
+def _parts(text: Column, kind: str) -> Column:
+    """What lies before the first match, the match, what lies before the next one, and so on; text holds no mark."""
+    return F.split(F.regexp_replace(text, _PATTERNS[kind], f"{_MARK}$0{_MARK}"), _MARK, -1)
+
+
+def _score(parts: Column, i: Column, kind: str) -> Column:
+    before, after = F.right(F.get(parts, i - 1), F.lit(CONTEXT_CHARS)), F.left(F.get(parts, i + 1), F.lit(CONTEXT_CHARS))
+    near = F.lower(F.concat_ws(" ", before, after)).rlike(rf"(?<!\p{{L}})(?:{_CONTEXT[kind]})(?!\p{{L}})")
+    return F.least(F.lit(1.0), F.round(F.lit(_SCORES[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0), 3))
 
 
 def _spans_of(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, in order."""
-    parts = F.split(F.regexp_replace(text, _PATTERNS[kind], f"{_MARK}$0{_MARK}"), _MARK, -1)
     n = KINDS.index(kind)
 
-    def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        near = F.lower(F.right(state["before"], F.lit(CONTEXT_CHARS)))
-        score = F.lit(_SCORES[kind]) + F.when(near.rlike(_CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
-        score = F.least(F.lit(1.0), F.round(score, 3))
-        good = _CONFIRM[kind](part)
-        if kind not in BASE_KINDS:
-            good &= score >= MIN_SCORE
-        span = F.struct(state["at"].alias("start"), F.lit(n).alias("kind"), end.alias("end"), score.alias("score"))
-        return F.struct(
-            end.alias("at"),
-            (~state["inside"]).alias("inside"),
-            F.when(state["inside"], state["before"]).otherwise(part).alias("before"),
-            F.when(state["inside"] & good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-        )
-
-    none = F.array().cast(f"array<{_SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), none.alias("spans"))
-    return F.when(_MAY[kind](text), F.aggregate(parts, zero, step, lambda s: s["spans"])).otherwise(none)
+    def spans(parts: Column) -> Column:
+        starts = _sums_before(F.transform(parts, lambda p: F.length(p)))
+
+        def one(part: Column, start: Column, i: Column) -> Column:
+            span = F.struct(start.alias("start"), F.lit(n).alias("kind"), (start + F.length(part)).alias("end"), _score(parts, i, kind).alias("score"))
+            return F.when((i % 2 == 1) & _CONFIRM[kind](part), span)
+
+        found = _let(starts, lambda at: F.transform(parts, lambda p, i: one(p, F.get(at, i), i)))
+        return F.filter(found, lambda s: s.isNotNull() & (F.lit(kind in BASE_KINDS) | (s["score"] >= MIN_SCORE)))
+
+    return F.when(_MAY[kind](text), _let(_parts(text, kind), spans)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def pii_spans(text: Column) -> Column:
     """All spans of a text by start, then kind: array<struct<start, kind, end, score>>; kind is an index into KINDS."""
     clean = F.coalesce(text, F.lit(""))
     clean = F.when(F.contains(clean, F.lit(_MARK)), F.translate(clean, _MARK, _OTHER)).otherwise(clean)
-    return F.array_sort(F.concat(*(_spans_of(clean, k) for k in KINDS)))
+    return _let(clean, lambda t: F.array_sort(F.concat(*(_spans_of(t, k) for k in KINDS))))
 
 
 def _listed(spans: Column) -> Column:
@@ -117,7 +140,7 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts by kind, the digest of the base spans, all spans as text, and the highest score of every text."""
+    """Counts by kind, the digest of the base spans, all spans as text, the highest score and the number of likely spans of every text."""
     found = docs.select(F.col(id_col), pii_spans(F.col(text_col)).alias("found_"))
     spans = F.col("found_")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(k))).cast("long")
@@ -129,23 +152,33 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _listed(spans).alias("spans"),
         *(count(k).alias(f"n_{k}") for k in KINDS[len(BASE_KINDS) :]),
         F.array_max(F.transform(spans, lambda s: s["score"])).alias("max_score"),
+        F.size(F.filter(spans, lambda s: s["score"] >= LIKELY)).cast("long").alias("n_likely"),
     )
 
 
 def redact(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """docs with every span of min_score or more replaced by [KIND]; overlapping spans become one, named by the first."""
-    spans, count = free_name(docs, "spans_", "chars_")
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col(f"`{text_col}`")
+    """docs with every span of min_score or more replaced by its kind in brackets; a null text stays null.
+
+    Kinds are replaced one after the other, in the order of KINDS: each is sought in what the ones before left.
+    """
+
+    def without(text: Column, kind: str) -> Column:
+        def replaced(parts: Column) -> Column:
+            gone = lambda p, i: (i % 2 == 1) & _CONFIRM[kind](p) & (_score(parts, i, kind) >= min_score)
+            return F.array_join(F.transform(parts, lambda p, i: F.when(gone(p, i), f"[{kind.upper()}]").otherwise(p)), "")
 
-    def step(state: Column, span: Column) -> Column:
-        apart = span["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.get(names, span["kind"]))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(apart, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
-
-    chosen = F.filter(pii_spans(text), lambda s: s["score"] >= min_score)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1))
-    new = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), zero, step, rest)).otherwise(text)
-    found = docs.withColumn(spans, chosen)
-    return found.select(*(new.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns))
+        return _let(text, lambda t: F.when(_MAY[kind](t), _let(_parts(t, kind), replaced)).otherwise(t))
+
+    text = F.col(f"`{text_col}`")
+    # The mark is spelled otherwise meanwhile, by characters that no pattern holds.
+    spelled = [(_OTHER, _OTHER + "\x04"), (_MARK, _OTHER + "\x05")]
+    marked = F.contains(text, F.lit(_MARK))
+    new = text
+    for a, b in spelled:
+        new = F.replace(new, F.lit(a), F.lit(b))
+    new = F.when(marked, new).otherwise(text)
+    for kind in KINDS:
+        new = without(new, kind)
+    back = lambda t: F.replace(F.replace(t, F.lit(spelled[1][1]), F.lit(spelled[1][0])), F.lit(spelled[0][1]), F.lit(spelled[0][0]))
+    new = _let(new, lambda t: F.when(marked, back(t)).otherwise(t))
+    return docs.select(*(new.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns))
