@@ -21,119 +21,148 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true""", re.I)
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas"}
+#: From a tag's name to its end; quotes count after an equals sign only, as in browsers.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "legend", "summary", "figcaption"}
 #: A start tag ends an open element of these kinds, up to the kind of element that bounds the search.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BOILERPLATE = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "fieldset", "head"}
-_NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|login|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|sidebar\w*|footer\w*|header\w*|masthead|toolbar|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|widget\w*|navigation|complementary|contentinfo|search|form)(?:$|[\s_-])",
-    re.I,
-)
+#: Parts of names that mark boilerplate wherever they stand in a name.
+_STRONG = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|\w*banner\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|footer\w*|header\w*|masthead|toolbar|sharing|comments?|commentlist|disqus|complementary|contentinfo")
+#: Parts that do so if the rest of the name is made of such parts and of parts that only say where or how.
+_WEAK = set("notice signup login share social related recommended recommendations recommendation replies reply respond widget widgets search form".split())
+_NEUTRAL = set("site page main global top bottom left right inner outer box bar block area section wrap wrapper container list item items link links buttons button icon icons posts post articles stories story content text title body row col column primary secondary small large desktop mobile the and us media".split())
 _POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page)(?:$|[\s_-])", re.I)
-#: Parts of an article that are named after its head or foot.
-_OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:article|post|entry|story|content)[_-]+(?:header|head|title|body|text|page)(?=$|\s)", re.I)
-_TAG_POINTS = {"article": 40, "main": 30, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3, "form": -15, "th": -5, "address": -3}
+#: Parts of an article that are named after its head.
+_OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[_-]+(?:header|head|title|body|text|page)")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_TAG_POINTS = {"article": 40, "main": 30, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3, "form": -15, "th": -5, "address": -3}
 #: A block shorter than this passes no points; a sibling needs this share of the best score.
 MIN_BLOCK, SIBLING_SHARE = 25, 0.2
 
 
+def _boilerplate(name: str) -> bool:
+    """Whether a single class, id or role names boilerplate."""
+    if _OWN_HEADER.fullmatch(name):
+        return False
+    parts = [x for x in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    parts = [x.lower() for x in parts]
+    if any(_STRONG.fullmatch(x) for x in parts):
+        return True
+    return any(x in _WEAK for x in parts) and all(x in _WEAK or x in _NEUTRAL for x in parts)
+
+
 class _Tree:
-    """Elements (parent, tag, names, dropped) and blocks (element, text, characters within links), in page order."""
+    """Elements (parent, tag, names, dropped) and blocks (element, text, characters within links), in page order.
+
+    Besides the stack of open elements it keeps where in it each tag and each block element is, so that no tag
+    has to walk the stack: the time grows with the page whatever its nesting.
+    """
 
     def __init__(self, page: str):
         self.parent, self.tag, self.names, self.dropped = [-1], ["#root"], [""], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._linked, self._links = [0], [], 0, 0
+        self._stack, self._text, self._linked = [0], [], 0
+        self._at: dict[str, list[int]] = {}
+        self._block_at = [0]
         self._read(page)
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                at = self._stack[-1]
-                while self.tag[at] not in _BLOCK and at:
-                    at = self.parent[at]
-                self.blocks.append((at, text, self._linked))
+                self.blocks.append((self._stack[self._block_at[-1]], text, self._linked))
             self._text, self._linked = [], 0
 
+    def _depth(self, *tags: str) -> int:
+        """How deep in the stack the innermost open element of these tags is; 0: there is none."""
+        return max((at[-1] for t in tags if (at := self._at.get(t))), default=0)
+
     def _pop_to(self, depth: int) -> None:
         for e in self._stack[depth:]:
-            self._links -= self.tag[e] == "a"
+            self._at[self.tag[e]].pop()
         del self._stack[depth:]
+        while self._block_at[-1] >= depth:
+            self._block_at.pop()
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
             self._flush()
-        if tag in _CLOSES_P:
-            for d in range(len(self._stack) - 1, 0, -1):
-                if self.tag[self._stack[d]] == "p":
-                    self._pop_to(d)
-                    break
-                if self.tag[self._stack[d]] in _BLOCK:
-                    break
+        if tag in _CLOSES_P and self.tag[self._stack[self._block_at[-1]]] == "p":
+            self._pop_to(self._block_at[-1])
         if tag in _ENDS:
             ends, within = _ENDS[tag]
-            for d in range(len(self._stack) - 1, 0, -1):
-                if self.tag[self._stack[d]] in ends:
-                    self._pop_to(d)
-                    if tag != "tr":
-                        break
-                elif self.tag[self._stack[d]] in within:
+            bound = self._depth(*within)
+            while (depth := self._depth(*ends)) > bound:
+                self._pop_to(depth)
+                if tag != "tr":
                     break
         if tag in _VOID:
             if tag == "br":
                 self._text.append(" ")
             return
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
-        above = self._stack[-1]
-        bad = tag in _BOILERPLATE or bool(attributes and _HIDDEN.search(attributes))
-        if names and tag not in ("html", "body", "article", "main") and not bad:
-            bad = bool(_NEGATIVE.search(_OWN_HEADER.sub(" ", names)))
+        names, bad = "", tag in _BOILERPLATE
+        if attributes and not attributes.isspace():
+            found = {}
+            for m in _ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+            bad |= "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(found.get("style", "")))
+            # A paragraph or heading is boilerplate by its class only: its id is often made of its words.
+            kinds = [found.get("class", "")] if tag == "p" or tag in _HEADINGS else [found.get(k, "") for k in ("class", "id", "role")]
+            names = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
+            if not bad and tag not in ("html", "body", "article", "main"):
+                bad = any(_boilerplate(name) for kind in kinds for name in kind.split())
         if tag == "header":
-            bad = bad or "article" not in (self.tag[e] for e in self._stack)
+            bad = bad or not self._at.get("article")
+        above = self._stack[-1]
         self.parent.append(above)
         self.tag.append(tag)
         self.names.append(names)
         self.dropped.append(bad or self.dropped[above])
+        self._at.setdefault(tag, []).append(len(self._stack))
+        if tag in _BLOCK:
+            self._block_at.append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
-        self._links += tag == "a"
 
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
             self._flush()
-        for d in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[d]] == tag:
-                self._pop_to(d)
-                return
-            if self.tag[self._stack[d]] in ("table", "article", "body") and tag not in _BLOCK:
-                return
+        depth = self._depth(tag)
+        if depth and (tag in _BLOCK or self._depth("table", "article", "body") <= depth):
+            self._pop_to(depth)
 
     def _read(self, page: str) -> None:
-        at, n = 0, len(page)
+        at, n, last = 0, len(page), page.rfind(">")
         lower = None
         while at < n:
-            m = _TAG.search(page, at)
-            piece = page[at : m.start() if m else n]
+            begin = page.find("<", at) if at <= last else -1  # beyond the last ">" all is text
+            while 0 <= begin < last and not (page[begin + 1] in "!?/" or page[begin + 1].isalpha()):
+                begin = page.find("<", begin + 1)
+            if begin > last:
+                begin = -1
+            piece = page[at:begin] if begin >= 0 else page[at:]
             if piece:
                 text = html.unescape(piece) if "&" in piece else piece
                 self._text.append(text)
-                if self._links:
+                if self._at.get("a"):
                     self._linked += len(text)
-            if not m:
+            if begin < 0:
                 break
-            at = m.end()
-            tag = m[2] or m[5]
-            if not tag:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                at = n if end < 0 else end + 3
+                continue
+            m = _TAG.match(page, begin)
+            if not m:  # a declaration, or "</" without a name
+                at = page.find(">", begin) + 1
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:
+            at, tag = m.end(), m[2].lower()
+            if m[1]:
                 self._close(tag)
             elif tag in _RAW:
                 lower = page.lower() if lower is None else lower
@@ -141,10 +170,8 @@ class _Tree:
                     lower = re.sub("[A-Z]", lambda x: x[0].lower(), page)
                 end = lower.find(f"</{tag}", at)
                 at = n if end < 0 else end
-                if tag not in ("title",) and tag in _BLOCK:
-                    self._flush()
             else:
-                self._open(tag, m[3] if m[2] else m[6])
+                self._open(tag, m[3])
         self._flush()
 
 
@@ -153,11 +180,8 @@ def extract_blocks(page: str | None) -> list[str]:
     tree = _Tree(page or "")
     size, linked, points = ([0.0] * len(tree.tag) for _ in range(3))
     for element, text, in_links in tree.blocks:
-        e = element
-        while e >= 0:
-            size[e] += len(text)
-            linked[e] += in_links
-            e = tree.parent[e]
+        size[element] += len(text)
+        linked[element] += in_links
         if len(text) < MIN_BLOCK or tree.dropped[element] or tree.tag[element] in _HEADINGS:
             continue
         share, e = 1.0 + text.count(",") + min(len(text) / 100, 3), tree.parent[element]
@@ -165,6 +189,9 @@ def extract_blocks(page: str | None) -> list[str]:
             points[e] += share
             share, e = share / 2, tree.parent[e]
         points[element] += 0 if tree.tag[element] == "p" else 1.0
+    for e in range(len(tree.tag) - 1, 0, -1):  # children come after their parents
+        size[tree.parent[e]] += size[e]
+        linked[tree.parent[e]] += linked[e]
     live = [e for e in range(1, len(tree.tag)) if points[e] > 0 and not tree.dropped[e] and tree.tag[e] in _BLOCK]
     score = {}
     for e in live:
