@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, store, text_blocks
+from .common import bounded_batches, free_name, release_memory, store, text_blocks
 from .graph import components
 from .rolling import LOWER, Ranges, mix, word_spans
 
@@ -35,7 +35,7 @@ B_BITS = 2
 #: Pairs with an estimate this far below the threshold are compared by bins before they are confirmed; number of bins.
 MARGIN, BINS = 0.25, 128
 #: Rounds with one hub a bucket before the rest of a bucket meets in blocks of this many bytes of sets.
-HUB_ROUNDS, BLOCK_BYTES = 3, 16 << 20
+HUB_ROUNDS, BLOCK_BYTES = 3, 8 << 20
 #: Up to this many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -71,12 +71,6 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def counts_of(bins: bytes | pa.Buffer) -> np.ndarray:
-    """The counts by bin that were packed into as few bytes as they need."""
-    raw = np.frombuffer(bins, np.uint8)
-    return raw.view({1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // BINS])
-
-
 def can_link(size: np.ndarray, counts: np.ndarray, other_size: int, other_counts: np.ndarray, percent: int) -> np.ndarray:
     """Which of the sets may still have 100 * intersection >= percent * union with the other one."""
     both = np.minimum(counts, other_counts).sum(1).astype(np.int64)
@@ -88,7 +82,7 @@ def _i64(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), key_a and key_b (digest of the set), bands (bucket keys), bits (packed low bits) and bins (packed counts) of every text."""
+    """id, n (set size), key_a and key_b (digest of the set), bands (bucket keys), bits (packed low bits) and bins (shingles by bin) of every text."""
     k = bands * rows
     factors = np.random.default_rng(7).integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     per = 64 // B_BITS
@@ -114,10 +108,10 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str =
                     ends = np.concatenate([[0], np.cumsum((size > 0) * len(values))]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_i64(np.ascontiguousarray(values.T).reshape(-1)))))
                 bins = np.bincount(np.repeat(np.arange(len(sets)), size) * BINS + (np.concatenate(sets) & np.uint64(BINS - 1)).astype(np.int64) if len(full) else np.zeros(0, np.int64), minlength=len(sets) * BINS).reshape(-1, BINS)
-                wide = [b.astype(np.uint32 if m > 65_535 else np.uint16 if m > 255 else np.uint8).tobytes() for b, m in zip(bins, bins.max(1), strict=True)]
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *(pa.array(_i64(x)) for x in key), *lists, pa.array(wide, pa.binary())], names=["id", "n", "key_a", "key_b", "bands", "bits", "bins"])
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BINS), pa.array(bins.reshape(-1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *(pa.array(_i64(x)) for x in key), *lists, counts], names=["id", "n", "key_a", "key_b", "bands", "bits", "bins"])
 
-    return bounded_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, key_a long, key_b long, bands array<long>, bits array<long>, bins binary")
+    return bounded_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, n long, key_a long, key_b long, bands array<long>, bits array<long>, bins array<int>")
 
 
 def _estimate(a: str, b: str, words: int, k: int):
@@ -137,18 +131,9 @@ def _estimate(a: str, b: str, words: int, k: int):
 def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"), F.col("bins").alias(f"c_{c}"))
-    near = _estimate("b_u", "b_v", words, k) >= percent / 100 - MARGIN
-    met = pairs.join(side("u"), "u").join(side("v"), "v").filter("100 * least(n_u, n_v) >= %d * greatest(n_u, n_v)" % percent)
-    met = met.select("u", "v", "n_u", "n_v", near.alias("near"), F.when(~near, F.col("c_u")).alias("c_u"), F.when(~near, F.col("c_v")).alias("c_v"))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = batch.column(4).to_numpy(zero_copy_only=False).copy()
-            n = [batch.column(i).to_numpy() for i in (2, 3)]
-            for i in np.flatnonzero(~keep):
-                one, other = (counts_of(batch.column(c)[int(i)].as_buffer()) for c in (5, 6))
-                keep[i] = can_link(n[0][i], one[None], n[1][i], other, percent)[0]
-            yield batch.select([0, 1]).filter(pa.array(keep))
+    both = F.aggregate(F.zip_with("c_u", "c_v", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, x: s + x)
+    may = (_estimate("b_u", "b_v", words, k) >= percent / 100 - MARGIN) | (100 * both >= percent * (F.col("n_u") + F.col("n_v") - both))
+    met = pairs.join(side("u"), "u").join(side("v"), "v").filter("100 * least(n_u, n_v) >= %d * greatest(n_u, n_v)" % percent).filter(may).select("u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +142,11 @@ def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, w
                 if linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b)), percent):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        release_memory()
 
     first = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s_u"))
     second = sets.select(F.col("id").alias("v"), F.col("shingles").alias("s_v"))
-    return met.mapInArrow(likely, "u long, v long").join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+    return met.join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
 def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame:
@@ -175,7 +161,7 @@ def _finish(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
         table = table.combine_chunks()
         ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
         size = table.column("n").to_numpy()
-        counts = np.stack([counts_of(x.as_buffer()) for x in table.column("bins").combine_chunks()])
+        counts = table.column("bins").combine_chunks().flatten().to_numpy().reshape(len(ids), BINS)
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
         base, asks = np.flatnonzero(table.column("as_base").to_numpy(zero_copy_only=False)), np.flatnonzero(table.column("as_outside").to_numpy(zero_copy_only=False))

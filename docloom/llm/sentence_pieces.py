@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_blocks
+from .common import bounded_batches, release_memory, text_blocks
 from .rolling import Ranges, mix, owners, sums
 
 BLANK = 0x20
@@ -154,9 +154,10 @@ class Units:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self._empty()
+        self.forget()
 
-    def _empty(self) -> None:
+    def forget(self) -> None:
+        """Begin anew."""
         self._known, self._number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._room = {k: np.zeros(1024, kind) for k, kind in self._KINDS.items()}
         self._used = dict.fromkeys(self._KINDS, 0)
@@ -177,7 +178,7 @@ class Units:
     def of(self, h: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Numbers of the units text[start : start + size] with the distinct sorted fingerprints h."""
         if self._used["upto"] > self.MOST:
-            self._empty()
+            self.forget()
         i = np.searchsorted(self._known, h)
         have = np.zeros(len(h), bool)
         inside = i < len(self._known)
@@ -274,6 +275,8 @@ def sample_pieces(docs: DataFrame, vocabulary: str, seed: int = 0, sharpness: fl
             else:
                 same = np.array([np.array_equal(data[at[i] : at[i + 1]], back[back_at[i] : back_at[i + 1]]) for i in range(len(at) - 1)], bool)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(ids)), pa.array(np.diff(ptr)), pa.array(same)], names=["id", "pieces", "n_pieces", "lossless"])
+        units.forget()  # an idle worker stays for a while beside those of later stages
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     key = [F.col(id_col), F.lit(seed)]

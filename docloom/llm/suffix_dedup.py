@@ -1,18 +1,25 @@
 """Removal of long repeated byte strings by difference-cover blockwise suffix sorting.
 
 Two equal strings of min_length bytes hold, at one shift below the period v, two suffixes that both start at
-positions of a difference cover modulo v and still share min_length - v + 1 bytes. So
+positions of a difference cover modulo v. So
 
-1. the cover-sample suffixes alone (14 of each 183 positions) are sorted first, by the fingerprint of that
-   prefix: equal prefixes tie, whatever their alignment;
-2. a suffix enters a bucket only if a tied cover sample lies within the next v bytes; all others differ from
-   every other suffix before min_length bytes;
+1. the cover-sample suffixes alone (8 of each 57 positions) are sorted first, by the fingerprint of a prefix of
+   about half of min_length: equal prefixes tie, whatever their alignment;
+2. a suffix enters a bucket only if, for one residue of the cover, all samples of that residue tie that lie in its
+   first min_length bytes: equal strings meet at the same residues all along, others differ somewhere;
 3. the buckets are sorted one at a time, by the fingerprint of min_length bytes; ties are repeated strings.
 
+What the removal needs of the order of suffixes is which of them tie, so fingerprints are sorted instead of
+bytes. Those of step 3 have 80 bits besides the bucket number, which comes from other bits: at 10^14 suffixes
+about 105 bits in all. Those of step 1 only rule suffixes out and have 32 bits besides the bucket number.
+
 Texts are packed into chunks, and a chunk sends each bucket its distinct fingerprints only: a string that is
 frequent in the corpus costs a bucket at most one entry a chunk. Buckets answer with one bit an entry, in the
-order sent, and chunks recompute their fingerprints to read the answer. Of texts that are equal as a whole only
-the first takes part; its copies share its fate. Fingerprints have 64 bits beside the bucket number.
+order sent, and chunks recompute their fingerprints to read the answer. Of texts that are equal as a whole (by
+128-bit digests) only the first takes part; its copies share its fate.
+
+The samples also tell which shorter passages a text shares with others: every string of half of min_length that
+another text holds too covers a tied sample.
 
 Nulls and edge cases: a null text counts as empty; texts below min_length bytes stay whole; rows that repeat
 are copies of each other; an empty table gives an empty result; further columns are ignored. A character that
@@ -32,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import bounded_batches, store, text_blocks
-from .rolling import Ranges, mix, sums
+from .common import bounded_batches, release_memory, store, text_blocks
+from .rolling import Ranges, sums
 
 #: Difference covers: every residue modulo the period is a difference of two members. Fixed values.
 COVERS = {
@@ -49,8 +56,50 @@ SAMPLES, TEXTS, SUFFIXES = 0, 1, 2
 
 
 def cover_period(min_length: int) -> int:
-    """The largest period that leaves samples at least half of min_length bytes."""
-    return max(v for v in COVERS if v <= max(1, min_length // 2))
+    """The largest period that leaves samples long prefixes below half of min_length."""
+    return max(v for v in COVERS if v <= max(1, min_length // 7))
+
+
+def sample_depth(min_length: int) -> int:
+    """Bytes of a sample's prefix: every repeated string of half of min_length holds one that ties."""
+    return max(1, min_length // 2 - cover_period(min_length) + 1)
+
+
+class Sent:
+    """Distinct fingerprints by bucket: what a chunk sends, in this order, and which entry each fingerprint is."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray | None, n_buckets: int):
+        bucket = ((first if second is None else second >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((first, bucket) if second is None else (second, first, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (first[order][1:] != first[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+        if second is not None:
+            new[1:] |= second[order][1:] != second[order][:-1]
+        entry = np.cumsum(new) - 1
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = entry
+        at = np.flatnonzero(new)
+        self.first, self.second = first[order][at], None if second is None else second[order][at]
+        self.ptr = np.searchsorted(bucket[order][at], np.arange(n_buckets + 1))
+        self.count = np.diff(np.append(at, len(order)))
+
+    def rows(self, chunk: int, kind: int) -> pa.RecordBatch:
+        """A row for each bucket that gets something."""
+        full = np.flatnonzero(np.diff(self.ptr))
+        prints = (self.first >> np.uint64(32)).astype(np.uint32) if kind == SAMPLES else self.first
+        more = {SAMPLES: lambda: np.zeros(0, np.uint8), TEXTS: lambda: self.second, SUFFIXES: lambda: self.second.astype(np.uint16)}[kind]()
+        cut = lambda x: pa.array([x[self.ptr[b] : self.ptr[b + 1]].tobytes() for b in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), cut(prints), cut(more)], names=["kind", "bucket", "chunk", "prints", "more"])
+
+    def answers(self, replies: list[dict], kind: int) -> np.ndarray:
+        """The answers of all buckets, by entry."""
+        out = np.zeros(len(self.first), np.uint8)
+        for r in replies:
+            if r["kind"] == kind:
+                a, b = self.ptr[r["bucket"]], self.ptr[r["bucket"] + 1]
+                bits = np.frombuffer(r["answer"], np.uint8)
+                out[a:b] = bits[: b - a] if kind == TEXTS else np.unpackbits(bits)[: b - a]
+        return out
 
 
 class Chunk:
@@ -59,68 +108,52 @@ class Chunk:
     def __init__(self, blob: bytes, lengths: np.ndarray, min_length: int):
         self.data = np.frombuffer(zstandard.decompress(blob, int(lengths.sum()) or 1) if len(lengths) and lengths.sum() else b"", np.uint8)
         self.at, self.min_length = sums(lengths), min_length
-        self.period = cover_period(min_length)
+        self.period, self.depth = cover_period(min_length), sample_depth(min_length)
         self.ranges = Ranges(self.data)
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the cover samples that have enough bytes left in their text, and their fingerprints."""
-        v, depth = self.period, self.min_length - self.period + 1
-        n, begin = np.diff(self.at), self.at[:-1]
-        whole = np.maximum(0, n - depth + 1)  # start positions of each text
+        v, cover = self.period, np.array(sorted(COVERS[self.period]), np.int64)
+        whole = np.maximum(0, lengths - self.depth + 1)  # start positions of each text
         rounds = -(-whole // v)
-        text = np.repeat(np.arange(len(n)), rounds)
+        text = np.repeat(np.arange(len(lengths), dtype=np.int32), rounds)
         turn = np.arange(len(text)) - np.repeat(sums(rounds)[:-1], rounds)
-        local = (turn[:, None] * v + np.array(sorted(COVERS[v]))).reshape(-1)
-        text = np.repeat(text, len(COVERS[v]))
+        local = (turn[:, None] * v + cover).reshape(-1)
+        text, residue = np.repeat(text, len(cover)), np.tile(np.arange(len(cover), dtype=np.int8), len(turn))
         ok = local < whole[text]
-        p = local[ok] + begin[text[ok]]
-        return p, self.ranges.of(p, p + depth)
-
-    def digests(self) -> np.ndarray:
-        return mix(self.ranges.of(self.at[:-1], self.at[1:]))
-
-    def suffixes(self, sample_repeats: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions within reach of a repeated sample, in texts that aren't skipped, and their fingerprints."""
-        text = np.searchsorted(self.at, sample_repeats, "right") - 1
-        keep = ~skipped[text]
-        r, text = sample_repeats[keep], text[keep]
+        #: Text, residue and position of each cover sample, by position.
+        self.text, self.residue = text[ok], residue[ok]
+        self.position = local[ok] + self.at[:-1][self.text]
+
+    def samples(self, n_buckets: int) -> Sent:
+        return Sent(self.ranges.of(self.position, self.position + self.depth), None, n_buckets)
+
+    def digests(self, n_buckets: int) -> Sent:
+        raw = b"".join(hashlib.blake2b(self.data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(self.at[:-1], self.at[1:], strict=True))
+        both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        return Sent(both[:, 0], both[:, 1], n_buckets)
+
+    def candidates(self, tied: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """Positions whose first min_length bytes hold only tied samples of some residue, in texts that aren't skipped."""
+        window, n = self.min_length - self.depth, np.diff(self.at)
+        fit = np.flatnonzero(~skipped & (n >= self.min_length))
+        classes = len(COVERS[self.period])
+        loose = ~tied & ~skipped[self.text] & (n[self.text] >= self.min_length)
+        # What ends a run of tied samples of a residue: the text's beginning, an untied sample, the last sample's place.
+        stops = np.concatenate([self.position[loose], *([self.at[fit] - 1, self.at[fit + 1] - self.depth + 1] * classes)])
+        residue = np.concatenate([self.residue[loose], np.repeat(np.arange(classes, dtype=np.int8), 2 * len(fit))])
+        text = np.concatenate([self.text[loose], np.tile(fit, 2 * classes)])
+        order = np.lexsort((stops, text, residue))
+        stops, text, residue = stops[order], text[order], residue[order]
+        wide = np.flatnonzero((np.diff(stops) > window + 1) & (np.diff(text) == 0) & (np.diff(residue) == 0))
         step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, np.maximum(self.at[text], r - self.period + 1), 1)
-        np.add.at(step, r + 1, -1)
-        near = np.cumsum(step[:-1]) > 0
-        p = np.flatnonzero(near)
-        end = self.at[np.searchsorted(self.at, p, "right")] if len(p) else p
-        p = p[p + self.min_length <= end]
-        return p, self.ranges.of(p, p + self.min_length)
-
-
-def _sent(prints: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct prints by bucket, then value; where each bucket begins (n_buckets + 1); how often each print occurs."""
-    value, count = np.unique(prints, return_counts=True)
-    bucket = (value % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return value[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1)), count[order]
-
-
-def _answers(replies: list[dict], kind: int, n_buckets: int, sent: tuple) -> np.ndarray:
-    """The answers of all buckets, in the order of sent."""
-    value, ptr, _ = sent
-    out = np.zeros(len(value), np.uint8)
-    for r in replies:
-        if r["kind"] == kind:
-            a, b = ptr[r["bucket"]], ptr[r["bucket"] + 1]
-            bits = np.frombuffer(r["answer"], np.uint8)
-            out[a:b] = bits[: b - a] if kind == TEXTS else np.unpackbits(bits)[: b - a]
-    return out
-
-
-def _pick(sent: tuple, chosen: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """For each of prints whether its entry in sent is chosen."""
-    values = np.sort(sent[0][chosen])
-    if not len(values):
-        return np.zeros(len(prints), bool)
-    i = np.minimum(np.searchsorted(values, prints), len(values) - 1)
-    return values[i] == prints
+        np.add.at(step, stops[wide] + 1, 1)
+        np.add.at(step, stops[wide + 1] - window, -1)
+        return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+    def suffixes(self, p: np.ndarray, n_buckets: int) -> Sent:
+        """The fingerprints of min_length bytes from the positions p."""
+        if not hasattr(self, "_other"):
+            self._other = Ranges(self.data[::-1])  # read backwards: another polynomial of the same bytes
+        n = len(self.data)
+        return Sent(self.ranges.of(p, p + self.min_length), self._other.of(n - p - self.min_length, n - p), n_buckets)
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -149,47 +182,35 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataF
     return bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"chunk long, ids array<{kind}>, lengths array<long>, blob binary")
 
 
-def _rows(chunk: int, kind: int, sent: tuple, n_buckets: int) -> pa.RecordBatch:
-    value, ptr, _ = sent
-    if kind == SAMPLES:
-        value = (value >> np.uint64(32)).astype(np.uint32)  # beside the bucket enough to rule a suffix out
-    full = np.flatnonzero(np.diff(ptr))
-    payload = [value[ptr[b] : ptr[b + 1]].tobytes() for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array(payload, pa.binary())], names=["kind", "bucket", "chunk", "prints"])
-
-
-_SENT = "kind int, bucket int, chunk long, prints binary"
+_SENT = "kind int, bucket int, chunk long, prints binary, more binary"
 _REPLY = "chunk long, kind int, bucket int, answer binary"
+_KINDS = {SAMPLES: (np.uint32, None), TEXTS: (np.uint64, np.uint64), SUFFIXES: (np.uint64, np.uint16)}
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
     """Sort one bucket; the answer of each entry: 1 if another chunk has an equal one (texts: 1 for the first chunk, 2 for others)."""
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     chunks = table.column("chunk").to_numpy()
-    parts = [np.frombuffer(x.as_buffer(), np.uint32 if kind == SAMPLES else np.uint64) for c in table.column("prints").chunks for x in c]
-    value = np.concatenate(parts)
-    ordered = np.sort(value)
-    tied = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    out = []
-    first: dict[int, int] = {}
-    masks = []
-    for part in parts:
-        if len(tied):
-            i = np.minimum(np.searchsorted(tied, part), len(tied) - 1)
-            masks.append(tied[i] == part)
-        else:
-            masks.append(np.zeros(len(part), bool))
-    if kind == TEXTS:
-        for k in np.argsort(chunks, kind="stable"):
-            for x in parts[k][masks[k]].tolist():
-                first.setdefault(x, int(chunks[k]))
-    for k, (part, mask) in enumerate(zip(parts, masks, strict=True)):
-        if kind == TEXTS:
-            answer = np.zeros(len(part), np.uint8)
-            answer[mask] = [1 if first[x] == chunks[k] else 2 for x in part[mask].tolist()]
-        else:
-            answer = np.packbits(mask)
-        out.append(answer.tobytes())
+    read = lambda name, dtype: [np.frombuffer(x.as_buffer(), dtype) for c in table.column(name).chunks for x in c]
+    parts = read("prints", _KINDS[kind][0])
+    value, ends = np.concatenate(parts), sums(np.array([len(x) for x in parts]))
+    if _KINDS[kind][1] is None:
+        order = np.argsort(value, kind="stable")
+        same = value[order][1:] == value[order][:-1]
+    else:
+        more = np.concatenate(read("more", _KINDS[kind][1]))
+        order = np.lexsort((more, value))
+        same = (value[order][1:] == value[order][:-1]) & (more[order][1:] == more[order][:-1])
+    mask = np.zeros(len(value), np.uint8)
+    mask[order[1:][same]] = 1
+    mask[order[:-1][same]] = 1
+    if kind == TEXTS:  # in each run of equal entries all but one of the least chunk
+        run = np.cumsum(np.concatenate([[True], ~same])) - 1
+        chunk = np.repeat(chunks, np.diff(ends))[order]
+        least = np.minimum.reduceat(chunk, np.flatnonzero(np.concatenate([[True], ~same])))
+        mask[order[(chunk != least[run]) & (mask[order] > 0)]] = 2
+    out = [(x if kind == TEXTS else np.packbits(x)).tobytes() for x in (mask[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+    release_memory()
     return pa.table({"chunk": pa.array(chunks), "kind": pa.array(np.full(len(parts), kind, np.int32)), "bucket": pa.array(np.full(len(parts), bucket, np.int32)), "answer": pa.array(out, pa.binary())})
 
 
@@ -199,12 +220,14 @@ def _replies(sent: DataFrame, name: str) -> DataFrame:
     return store(answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias(name)), name)
 
 
-def remove_repeats(docs: DataFrame, min_length: int = 400, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, bucket_samples: int = 1_000_000, bucket_bytes: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_length: int = 400, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 2 << 20, bucket_samples: int = 1_000_000, bucket_bytes: int = 2_000_000) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and kept_sha256 of every text after the removal of each byte that a
-    string of min_length bytes covers which also starts elsewhere.
+    string of min_length bytes covers which also starts elsewhere; n_shared, the bytes that tied samples of other
+    texts cover, longest_shared, the longest run of them, and shares_passage: it has half of min_length bytes.
 
-    chunk_bytes, bucket_samples and bucket_bytes bound what a task holds: a chunk of text, the cover samples of
-    a bucket, and the suffixes of a bucket if all text were repeated.
+    A passage of half of min_length bytes or more that another text holds too is in n_shared but for less than a
+    period at either end. chunk_bytes, bucket_samples and bucket_bytes bound what a task holds: a chunk of text,
+    the cover samples of a bucket, and the suffixes of a bucket if all text were repeated.
     """
     chunks = store(pack(docs, id_col, text_col, chunk_bytes), "chunks")
     total = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).collect()[0][0] or 0
@@ -212,57 +235,72 @@ def remove_repeats(docs: DataFrame, min_length: int = 400, id_col: str = "doc_id
     n_samples = max(8, -(-total * len(COVERS[period]) // period // bucket_samples))
     n_suffixes = max(8, -(-total // bucket_bytes))
 
-    def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk, dict]]:
-        for row in batch.to_pylist():
-            yield row["chunk"], Chunk(row["blob"], np.array(row["lengths"], np.int64), min_length), row
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, dict, pa.Array]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                yield row["chunk"], Chunk(row["blob"], np.array(row["lengths"], np.int64), min_length), row, batch.column(batch.schema.get_field_index("ids"))[k].values if "ids" in batch.schema.names else None
+        release_memory()
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, chunk, _ in opened(batch):
-                yield _rows(number, SAMPLES, _sent(chunk.samples()[1], n_samples), n_samples)
-                yield _rows(number, TEXTS, _sent(chunk.digests(), n_samples), n_samples)
+        for number, chunk, _, _ in opened(batches):
+            yield chunk.samples(n_samples).rows(number, SAMPLES)
+            yield chunk.digests(n_samples).rows(number, TEXTS)
 
     def known(chunk: Chunk, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Copied and skipped texts, suffix positions and prints."""
-        p, prints = chunk.samples()
-        sent = _sent(prints, n_samples)
-        again = (sent[2] > 1) | (_answers(row["samples"], SAMPLES, n_samples, sent) > 0)
-        repeats = p[_pick(sent, again, prints)]
-        digests = chunk.digests()
-        sent = _sent(digests, n_samples)
-        answer = _answers(row["samples"], TEXTS, n_samples, sent)
-        copied = _pick(sent, (sent[2] > 1) | (answer > 0), digests)
-        skipped = np.ones(len(digests), bool)
-        skipped[np.unique(digests, return_index=True)[1]] = False
-        skipped |= _pick(sent, answer == 2, digests)
-        return copied, skipped, *chunk.suffixes(repeats, skipped)
+        """Copied texts, samples that tie at all and with other texts, and the positions to sort."""
+        sent = chunk.samples(n_samples)
+        elsewhere = sent.answers(row["samples"], SAMPLES) > 0
+        tied = ((sent.count > 1) | elsewhere)[sent.which]
+        # Entries of several texts of this chunk: the first and last text that have them differ.
+        low, high = np.full(len(sent.first), len(chunk.at)), np.full(len(sent.first), -1)
+        low[sent.which[::-1]] = chunk.text[::-1]
+        high[sent.which] = chunk.text
+        shared = (elsewhere | (low != high))[sent.which]
+        sent = chunk.digests(n_samples)
+        answer = sent.answers(row["samples"], TEXTS)
+        copied = ((sent.count > 1) | (answer > 0))[sent.which]
+        skipped = np.ones(len(sent.which), bool)
+        skipped[np.unique(sent.which, return_index=True)[1]] = False
+        skipped |= (answer == 2)[sent.which]
+        return copied, tied, shared, chunk.candidates(tied, skipped)
 
     def send_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, chunk, row in opened(batch):
-                yield _rows(number, SUFFIXES, _sent(known(chunk, row)[3], n_suffixes), n_suffixes)
+        for number, chunk, row, _ in opened(batches):
+            yield chunk.suffixes(known(chunk, row)[3], n_suffixes).rows(number, SUFFIXES)
+
+    def covered(chunk: Chunk, start: np.ndarray, length: int) -> np.ndarray:
+        step = np.zeros(len(chunk.data) + 1, np.int32)
+        np.add.at(step, start, 1)
+        np.add.at(step, start + length, -1)
+        return np.cumsum(step[:-1]) > 0
+
+    def runs(chunk: Chunk, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the maximal runs of bytes inside, none beyond its text."""
+        begin = chunk.at[:-1][np.diff(chunk.at) > 0]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[begin], last[np.append(begin[1:], len(inside))[: len(begin)] - 1] = inside[begin], inside[np.append(begin[1:], len(inside))[: len(begin)] - 1]
+        return np.flatnonzero(first), np.flatnonzero(last) + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (_, chunk, row) in enumerate(opened(batch)):
-                copied, _, p, prints = known(chunk, row)
-                sent = _sent(prints, n_suffixes)
-                again = (sent[2] > 1) | (_answers(row["suffixes"] or [], SUFFIXES, n_suffixes, sent) > 0)
-                p = p[_pick(sent, again, prints)]
-                step = np.zeros(len(chunk.data) + 1, np.int32)
-                np.add.at(step, p, 1)
-                np.add.at(step, p + min_length, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                n = np.diff(chunk.at)
-                for i in np.flatnonzero(copied & (n >= min_length)):
-                    gone[chunk.at[i] : chunk.at[i + 1]] = True
-                starts = gone.copy()
-                starts[1:] &= ~gone[:-1]
-                begin = chunk.at[:-1][n > 0]
-                starts[begin] = gone[begin]
-                kept = [hashlib.sha256(chunk.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(chunk.at[:-1], chunk.at[1:], strict=True)]
-                ids = batch.column(batch.schema.get_field_index("ids"))[k].values
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(np.diff(sums(gone)[chunk.at])), pa.array(np.diff(sums(starts)[chunk.at])), pa.array(kept)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for _, chunk, row, ids in opened(batches):
+            copied, _, shared, p = known(chunk, row)
+            sent = chunk.suffixes(p, n_suffixes)
+            again = (sent.count > 1) | (sent.answers(row["suffixes"] or [], SUFFIXES) > 0)
+            gone = covered(chunk, p[again[sent.which]], min_length)
+            n = np.diff(chunk.at)
+            for i in np.flatnonzero(copied & (n >= min_length)):
+                gone[chunk.at[i] : chunk.at[i + 1]] = True
+            spans = np.searchsorted(runs(chunk, gone)[0], chunk.at)
+            common = covered(chunk, chunk.position[shared], chunk.depth)
+            start, end = runs(chunk, common)
+            longest = np.zeros(len(n), np.int64)
+            np.maximum.at(longest, np.searchsorted(chunk.at, start, "right") - 1, end - start)
+            kept = [hashlib.sha256(chunk.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(chunk.at[:-1], chunk.at[1:], strict=True)]
+            counts = [pa.array(x) for x in (n, np.diff(sums(gone)[chunk.at]), np.diff(spans))]
+            yield pa.RecordBatch.from_arrays([ids, *counts, pa.array(kept), pa.array(np.diff(sums(common)[chunk.at])), pa.array(longest)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "longest_shared"])
 
     samples = _replies(chunks.select("chunk", "lengths", "blob").mapInArrow(send_samples, _SENT), "samples")
     asked = chunks.select("chunk", "lengths", "blob").join(samples, "chunk")
@@ -270,5 +308,5 @@ def remove_repeats(docs: DataFrame, min_length: int = 400, id_col: str = "doc_id
     known_all = samples.join(suffixes, "chunk", "left")
     element = chunks.schema["ids"].dataType
     kind = (element.elementType if isinstance(element, ArrayType) else element).simpleString()
-    out = chunks.join(known_all, "chunk").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    out = chunks.join(known_all, "chunk").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, longest_shared long")
+    return out.withColumn("shares_passage", F.col("longest_shared") >= min_length // 2).withColumnRenamed("id", id_col)
