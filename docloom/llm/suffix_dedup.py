@@ -65,23 +65,34 @@ def sample_depth(min_length: int) -> int:
     return max(1, min_length // 2 - cover_period(min_length) + 1)
 
 
+def _sorted(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal fingerprints side by side, and which of them begin a run of equal ones."""
+    order = np.argsort(first)
+    new = np.ones(len(order), bool)
+    new[1:] = first[order][1:] != first[order][:-1]
+    if second is not None:
+        other = second[order][1:] != second[order][:-1]
+        if (other & ~new[1:]).any():  # equal in the first part only
+            order = np.lexsort((second, first))
+            new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    return order, new
+
+
 class Sent:
     """Distinct fingerprints by bucket: what a chunk sends, in this order, and which entry each fingerprint is."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray | None, n_buckets: int):
-        bucket = ((first if second is None else second >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((first, bucket) if second is None else (second, first, bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (first[order][1:] != first[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-        if second is not None:
-            new[1:] |= second[order][1:] != second[order][:-1]
-        entry = np.cumsum(new) - 1
-        self.which = np.empty(len(order), np.int64)
-        self.which[order] = entry
+        order, new = _sorted(first, second)
         at = np.flatnonzero(new)
-        self.first, self.second = first[order][at], None if second is None else second[order][at]
-        self.ptr = np.searchsorted(bucket[order][at], np.arange(n_buckets + 1))
-        self.count = np.diff(np.append(at, len(order)))
+        bucket = ((first if second is None else second >> np.uint64(16))[order[at]] % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 65_536 else np.int64)
+        turn = np.argsort(bucket, kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[turn] = np.arange(len(at))
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = place[np.cumsum(new) - 1]
+        self.first, self.second = first[order[at]][turn], None if second is None else second[order[at]][turn]
+        self.ptr = np.searchsorted(bucket[turn], np.arange(n_buckets + 1))
+        self.count = np.diff(np.append(at, len(order)))[turn]
 
     def rows(self, chunk: int, kind: int) -> pa.RecordBatch:
         """A row for each bucket that gets something."""
@@ -140,7 +151,7 @@ class Chunk:
         stops = np.concatenate([self.position[loose], *([self.at[fit] - 1, self.at[fit + 1] - self.depth + 1] * classes)])
         residue = np.concatenate([self.residue[loose], np.repeat(np.arange(classes, dtype=np.int8), 2 * len(fit))])
         text = np.concatenate([self.text[loose], np.tile(fit, 2 * classes)])
-        order = np.lexsort((stops, text, residue))
+        order = np.argsort((residue.astype(np.int64) * len(n) + text) * (len(self.data) + 2) + stops + 1)
         stops, text, residue = stops[order], text[order], residue[order]
         wide = np.flatnonzero((np.diff(stops) > window + 1) & (np.diff(text) == 0) & (np.diff(residue) == 0))
         step = np.zeros(len(self.data) + 1, np.int32)
@@ -194,20 +205,15 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     read = lambda name, dtype: [np.frombuffer(x.as_buffer(), dtype) for c in table.column(name).chunks for x in c]
     parts = read("prints", _KINDS[kind][0])
     value, ends = np.concatenate(parts), sums(np.array([len(x) for x in parts]))
-    if _KINDS[kind][1] is None:
-        order = np.argsort(value, kind="stable")
-        same = value[order][1:] == value[order][:-1]
-    else:
-        more = np.concatenate(read("more", _KINDS[kind][1]))
-        order = np.lexsort((more, value))
-        same = (value[order][1:] == value[order][:-1]) & (more[order][1:] == more[order][:-1])
+    order, new = _sorted(value, None if _KINDS[kind][1] is None else np.concatenate(read("more", _KINDS[kind][1])))
+    same = ~new[1:]
     mask = np.zeros(len(value), np.uint8)
     mask[order[1:][same]] = 1
     mask[order[:-1][same]] = 1
     if kind == TEXTS:  # in each run of equal entries all but one of the least chunk
-        run = np.cumsum(np.concatenate([[True], ~same])) - 1
+        run = np.cumsum(new) - 1
         chunk = np.repeat(chunks, np.diff(ends))[order]
-        least = np.minimum.reduceat(chunk, np.flatnonzero(np.concatenate([[True], ~same])))
+        least = np.minimum.reduceat(chunk, np.flatnonzero(new))
         mask[order[(chunk != least[run]) & (mask[order] > 0)]] = 2
     out = [(x if kind == TEXTS else np.packbits(x)).tobytes() for x in (mask[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
     release_memory()
