@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -31,30 +33,51 @@ def last_day_of_month(created: Column) -> Column:
     return F.when(partial, F.date_format(F.last_day(month), "yyyy-MM-dd")).otherwise(clean)
 
 
-def metadata_errors(value: Column, document_types: Column, correspondents: Column, content_tags: Column, max_tags: int) -> Column:
-    """Error codes in the order of the fields; empty if the response is valid."""
-    whole = F.schema_of_variant(value)
-    title, kind, who, created = (text_field(value, n) for n in ("title", "document_type", "correspondent", "created"))
-    tags_type = _kind(value, "$.tags")
+def fields(rows: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """rows with response_, a struct of what the response holds: parsed once, so that checks only read columns."""
+    value = F.col("response_value_")
     tags = F.try_variant_get(value, "$.tags", "array<variant>")
-    known = lambda v: (F.schema_of_variant(v) == "STRING") & F.array_contains(content_tags, F.try_variant_get(v, "$", "string"))
-    unknown = F.filter(tags, lambda v: ~F.coalesce(known(v), F.lit(False)))
-    allowed = lambda v, names: F.coalesce((v == "") | F.array_contains(names, v), F.lit(False))
-    day = F.try_to_date(created, "yyyy-MM-dd")
+    texts = F.transform(tags, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    found = F.struct(
+        F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+        *(text_field(value, n).alias(n) for n in ("title", "document_type", "correspondent", "created")),
+        F.when(_kind(value, "$.tags").startswith("ARRAY"), texts).alias("tags"),
+    )
+    return rows.withColumn("response_value_", parse(F.col(raw_col))).withColumn("response_", found).drop("response_value_")
+
+
+def with_errors(rows: DataFrame, key: list[str], document_types: DataFrame, correspondents: DataFrame, content_tags: DataFrame, max_tags: int, raw_col: str = "raw") -> DataFrame:
+    """rows with the struct response_ and errors: error codes in the order of the fields, empty if the response is valid.
+
+    key names a row. The dimensions have a column name; names are checked by joins, tags one by one, so that the
+    work grows with the rows and not with rows times names. Rows that repeat with their key are checked as one.
+    """
+    known = lambda df, name: df.filter(F.col("name").isNotNull()).select(F.col("name").alias(name)).distinct().withColumn(f"is_{name}", F.lit(True))
+    parsed = fields(rows, raw_col)
+    r = F.col("response_")
+    tags = parsed.filter(F.size(r["tags"]) > 0).select(*key, F.explode(r["tags"]).alias("tag_"))
+    strange = tags.join(known(content_tags, "known_tag"), F.col("tag_") == F.col("known_tag"), "left").filter("is_known_tag IS NULL")
+    strange = strange.select(*(F.col(k).alias(f"{k}_") for k in key)).distinct().withColumn("strange_tags", F.lit(True))
+    joined = parsed.join(known(document_types, "known_type"), r["document_type"] == F.col("known_type"), "left")
+    joined = joined.join(known(correspondents, "known_sender"), r["correspondent"] == F.col("known_sender"), "left")
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key]
+    joined = joined.join(strange, functools.reduce(lambda a, b: a & b, on), "left")
+    created, day = r["created"], F.try_to_date(r["created"], "yyyy-MM-dd")
     dated = created.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    allowed = lambda name, found: F.coalesce((r[name] == "") | F.col(found), F.lit(False))
     errors = F.array(
-        F.when(F.coalesce(F.length(strip(title)), F.lit(0)) == 0, "title_missing"),
-        F.when(~allowed(kind, document_types), "document_type_invalid"),
-        F.when(~allowed(who, correspondents), "correspondent_invalid"),
-        F.when(~tags_type.startswith("ARRAY"), "tags_not_a_list"),
-        F.when(tags_type.startswith("ARRAY") & (F.size(tags) > max_tags), "tags_too_many"),
-        F.when(tags_type.startswith("ARRAY") & (F.size(unknown) > 0), "tags_unknown"),
+        F.when(F.coalesce(F.length(strip(r["title"])), F.lit(0)) == 0, "title_missing"),
+        F.when(~allowed("document_type", "is_known_type"), "document_type_invalid"),
+        F.when(~allowed("correspondent", "is_known_sender"), "correspondent_invalid"),
+        F.when(r["tags"].isNull(), "tags_not_a_list"),
+        F.when(F.size(r["tags"]) > max_tags, "tags_too_many"),
+        F.when(F.col("strange_tags"), "tags_unknown"),
         F.when(created.isNull(), "created_not_a_string"),
         F.when((created != "") & ~dated, "created_format"),
         F.when(dated & (day.isNull() | created.startswith("0000")), "created_not_a_date"),
     )
-    object_ = F.coalesce(whole.startswith("OBJECT"), F.lit(False))
-    return F.when(~object_, F.array(F.lit("not_an_object"))).otherwise(F.filter(errors, lambda e: e.isNotNull()))
+    verdict = F.when(~r["is_object"], F.array(F.lit("not_an_object"))).otherwise(F.filter(errors, lambda e: e.isNotNull()))
+    return joined.select(*rows.columns, "response_", verdict.alias("errors"))
 
 
 def correspondent_errors(raw: Column) -> Column:

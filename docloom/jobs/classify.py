@@ -1,67 +1,140 @@
-"""The classification job: prompt, model, verdict, routing, write-back and report.
+"""The classification job: prompt, model, verdict, second stage, routing, report, write-back and review record.
 
-The model is a pluggable function over batches of prompts; the stub answers from the prompt by fixed rules and
-is no classifier. Its answers are written once before anything branches on them, so that a model is asked once
-a document.
+A model is an expression over the prompt, such as a pandas UDF; the stub answers from the prompt by fixed rules and
+is no classifier. Answers are written once (see `written`) before anything branches on them, so that a model is
+asked once a document. Rows never fail: they carry error codes, and an empty content is one of them.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docloom.functions import prompt, response
-from docloom.operators import taxonomy, writeback
+from docloom.functions import prompt, response, text
+from docloom.operators import reviews, taxonomy, writeback
 
 TEMPLATE = "Describe the document below.\nTypes: {{ DOCUMENT_TYPES_JSON }}\nSenders: {{ CORRESPONDENTS_JSON }}\nTags:\n{{ TAGS_LINES }}\n\n{{ DOCUMENT_TEXT }}"
+SENDER_TEMPLATE = "Who sent the document below?\n\n{{ DOCUMENT_TEXT }}"
 SYSTEM = "Answer with one JSON object that has title, document_type, correspondent, tags and created."
-Model = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+Model = Callable[[Column], Column]
 
 
-def stub(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Takes the title from the text's first line and leaves open what it can't know."""
     for prompts in batches:
-        yield prompts.map(lambda p: json.dumps({"title": (p or "").rsplit("\n\n", 1)[-1].strip().split("\n")[0][:80], "document_type": "", "correspondent": "", "tags": [], "created": ""}))
+        yield prompts.map(lambda p: json.dumps({"title": (p or "").rsplit("\n\n", 1)[-1].strip().split("\n")[0][:80], "document_type": "", "correspondent": "", "tags": [], "created": ""}, ensure_ascii=False))
 
 
-def classify(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int = 40_000, head_ratio: float = 0.7) -> DataFrame:
-    """doc_id, prompt figures and the raw answer. dims: one row with document_types, correspondents and content_tags."""
+def stub(user_prompt: Column) -> Column:
+    return F.pandas_udf(_answers, StringType())(user_prompt)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the folder that all executors share (spark.checkpoint.dir) and read back."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{root}/docloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ask(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int = 40_000, head_ratio: float = 0.7) -> DataFrame:
+    """docs with content_chars_used, content_truncated, user_prompt and the raw answer; none is asked for an empty content.
+
+    dims: one row with document_types, correspondents and content_tags; its names are part of every prompt.
+    """
     content, cut = prompt.compact(F.col("text"), limit, head_ratio)
-    base = docs.crossJoin(F.broadcast(dims)).withColumn("content", content).withColumn("content_truncated", cut)  # dims is one row
+    base = docs.crossJoin(dims).withColumn("content_", content).withColumn("content_truncated", cut)  # dims is one row
     values = {
-        "DOCUMENT_TEXT": F.col("content"),
+        "DOCUMENT_TEXT": F.col("content_"),
         "DOCUMENT_TYPES_JSON": prompt.names_json(F.col("document_types")),
         "CORRESPONDENTS_JSON": prompt.names_json(F.col("correspondents")),
         "TAGS_LINES": F.array_join("content_tags", "\n"),
     }
-    asked = base.filter(F.length("content") > 0).select("doc_id", F.length("content").alias("content_chars_used"), "content_truncated", prompt.render(TEMPLATE, values).alias("user_prompt"))
-    ask = F.pandas_udf(model, StringType())
-    return asked.select("doc_id", "content_chars_used", "content_truncated", ask("user_prompt").alias("raw"))
+    asked = base.select(*docs.columns, F.length("content_").alias("content_chars_used"), "content_truncated", F.when(F.length("content_") > 0, prompt.render(TEMPLATE, values)).alias("user_prompt"))
+    return asked.withColumn("raw", F.when(F.col("user_prompt").isNotNull(), model(F.col("user_prompt"))))
+
+
+def classify(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int = 40_000, head_ratio: float = 0.7) -> DataFrame:
+    """doc_id, prompt figures and the raw answer of every document with a content."""
+    return ask(docs, dims, model, limit, head_ratio).filter("user_prompt IS NOT NULL").select("doc_id", "content_chars_used", "content_truncated", "raw")
 
 
-def judge(answers: DataFrame, dims: DataFrame, max_tags: int = 5) -> DataFrame:
-    """answers with the parsed fields and the error codes. answers must be a written table."""
-    parsed = answers.crossJoin(F.broadcast(dims)).withColumn("v", response.parse(F.col("raw")))
-    field = lambda n: response.text_field(F.col("v"), n)
-    return parsed.select(
+def judge(answers: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, max_tags: int = 5) -> DataFrame:
+    """answers (doc_id, raw, ...) with the parsed fields and the error codes. The dimensions have id and name."""
+    judged = response.with_errors(answers, ["doc_id"], types, correspondents, tags, max_tags)
+    r = F.col("response_")
+    return judged.select(
         *answers.columns,
-        field("title").alias("title"),
-        field("document_type").alias("document_type"),
-        field("correspondent").alias("correspondent"),
-        F.coalesce(F.try_variant_get("v", "$.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
-        response.last_day_of_month(field("created")).alias("created"),
-        response.metadata_errors(F.col("v"), F.col("document_types"), F.col("correspondents"), F.col("content_tags"), max_tags).alias("errors"),
+        *(r[n].alias(n) for n in ("title", "document_type", "correspondent")),
+        F.coalesce(r["tags"], F.array().cast("array<string>")).alias("tags"),
+        response.last_day_of_month(r["created"]).alias("created"),
+        F.when(F.col("raw").isNull(), F.array(F.lit("empty_content"))).otherwise(F.col("errors")).alias("errors"),
     )
 
 
-def apply(judged: DataFrame, correspondents: DataFrame, types: DataFrame) -> DataFrame:
-    """The patches of the valid rows."""
+def second_stage(judged: DataFrame, correspondents: DataFrame, model: Model, enabled: bool = True) -> DataFrame:
+    """judged with fallback_status, candidate_kind and pending; a candidate that is a known name becomes the correspondent.
+
+    Only valid rows without a correspondent are asked; an error of this stage is a status and leaves the row valid.
+    """
+    valid = F.size("errors") == 0
+    needed = valid & (F.coalesce("correspondent", F.lit("")) == "") & F.lit(enabled)
+    content, _ = prompt.compact(F.col("text"), 12_000, 0.7)
+    asked = judged.withColumn("raw_sender_", F.when(needed, model(F.when(needed, prompt.render(SENDER_TEMPLATE, {"DOCUMENT_TEXT": content})))))
+    asked = asked.withColumn("sender_errors_", F.when(needed, response.correspondent_errors(F.col("raw_sender_"))).otherwise(F.array().cast("array<string>")))
+    found = F.when(needed & (F.size("sender_errors_") == 0), response.text_field(response.parse(F.col("raw_sender_")), "correspondent"))
+    asked = asked.withColumn("candidate_", text.collapse(F.coalesce(found, F.lit(""))))
+    status = F.when(~valid, "skipped_main_invalid").otherwise(writeback.fallback_status(F.col("correspondent"), F.lit(enabled), F.col("sender_errors_"), F.col("candidate_")))
+    routed = taxonomy.route_candidates(asked.withColumn("fallback_status", status), correspondents, "candidate_")
+    known = F.coalesce("matched_existing", "correspondent")
+    return routed.select(*(known.alias(c) if c == "correspondent" else F.col(c) for c in judged.columns), "fallback_status", "candidate_kind", "pending")
+
+
+def tag_ids(judged: DataFrame, tags: DataFrame) -> DataFrame:
+    """doc_id and chosen, the ids of the tags that each row names (of equal names the smallest id)."""
+    ids = tags.groupBy("name").agg(F.min("id").alias("id"))
+    named = judged.select("doc_id", F.explode("tags").alias("name")).join(ids, "name")
+    return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("chosen"))
+
+
+def apply(judged: DataFrame, current: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, steering: list[int]) -> DataFrame:
+    """The patches of the valid rows, and error where a name has gone since the verdict.
+
+    current: doc_id and tag_ids as they are now. Content tags give way to the chosen ones, steering tags go, all
+    other tags stay. One document is one row.
+    """
     good = judged.filter(F.size("errors") == 0)
-    typed = taxonomy.resolve_ids(good, types, "document_type", "document_type_id").filter("error IS NULL").drop("error")
-    named = taxonomy.resolve_ids(typed, correspondents, "correspondent", "correspondent_id").filter("error IS NULL").drop("error")
-    return writeback.write_back(named.withColumn("tag_ids", F.array().cast("array<bigint>")))
+    typed = taxonomy.resolve_ids(good, types, "document_type", "document_type_id").withColumnRenamed("error", "type_error_")
+    named = taxonomy.resolve_ids(typed, correspondents, "correspondent", "correspondent_id").withColumn("error", F.coalesce("error", "type_error_")).drop("type_error_")
+    # Tags of the taxonomy that a document has now are found by a join, like those that it gets.
+    owned = current.select("doc_id", F.explode("tag_ids").alias("id")).join(tags.select("id").distinct(), "id").groupBy("doc_id").agg(F.collect_set("id").alias("managed"))
+    with_tags = named.join(tag_ids(good, tags), "doc_id", "left").join(current.select("doc_id", F.col("tag_ids").alias("now_")), "doc_id", "left").join(owned, "doc_id", "left")
+    none = F.array().cast("array<bigint>")
+    list_of = lambda c: F.coalesce(F.col(c).cast("array<bigint>"), none)
+    new = writeback.final_tags(list_of("now_"), list_of("managed"), list_of("chosen"), F.array(*(F.lit(t).cast("bigint") for t in steering)) if steering else none)
+    patches = with_tags.withColumn("tag_ids", new)
+    return patches.select("doc_id", "error", *writeback.patch_columns())
+
+
+def run(docs: DataFrame, dims: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, current: DataFrame, model: Model, sender_model: Model, steering: list[int], max_tags: int = 5, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reports of all documents, patches of the valid ones, and their review records.
+
+    A dry run makes reports only: patches and records are empty.
+    """
+    answers = written(ask(docs, dims, model), "answers")
+    judged = written(second_stage(judge(answers, types, correspondents, tags, max_tags), correspondents, sender_model), "judged")
+    reports = judged.select("doc_id", F.lit(dry_run).alias("dry_run"), "content_chars_used", "content_truncated", F.array_join("errors", ",").alias("validation_errors"), "fallback_status", "candidate_kind", "pending")
+    patches = apply(judged, current, types, correspondents, tags, steering)
+    records = reviews.review_records(judged.filter(F.size("errors") == 0), F.col("pending"))
+    if dry_run:
+        patches, records = patches.limit(0), records.limit(0)
+    return reports, patches, records

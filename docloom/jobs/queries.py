@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import prompt, response, text
+from docloom.functions import configs, prompt, response, text
+from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
-from docloom.sources.tables import table
+from docloom.sources.tables import queue, table
 from docloom.streaming import retry
 
 QUERIES: dict = {}
@@ -134,7 +135,7 @@ _TAGS_SQL = "(SELECT string_agg(n, chr(10) ORDER BY n) FROM (SELECT DISTINCT p_b
 def _rendered(spark: SparkSession, d: str) -> DataFrame:
     content, _ = prompt.compact(F.col("text"), 40_000, 0.7)
     values = {"DOCUMENT_ID": F.col("doc_id"), "DOCUMENT_TEXT": content, "DOCUMENT_TYPES_JSON": prompt.names_json(F.col("document_types")), "TAGS_LINES": F.array_join("content_tags", "\n")}
-    return _docs(spark, d).crossJoin(F.broadcast(_dims(spark, d))).select("doc_id", prompt.render(_TEMPLATE, values).alias("user_prompt"))
+    return _docs(spark, d).crossJoin(_dims(spark, d)).select("doc_id", prompt.render(_TEMPLATE, values).alias("user_prompt"))
 
 
 @query(f"""SELECT doc_id, length(p) AS prompt_chars, sha256(p) AS prompt_sha256 FROM (SELECT doc_id, 'ID ' || doc_id || ' in ' || {_DIMS_SQL} || chr(10) || 'Tags:' || chr(10) || {_TAGS_SQL} || chr(10) || 'Text: ' ||
@@ -201,9 +202,9 @@ _RESPONSE_SPARK = "CASE k " + " ".join(f"WHEN {i} THEN {b}" for i, (b, _) in enu
 
 @query("SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 11 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(_BODY)) + " END AS errors FROM lineitem")
 def validate_result_errors(spark: SparkSession, d: str) -> DataFrame:
-    rows = _response(spark, d).crossJoin(F.broadcast(_dims(spark, d)))
-    errors = response.metadata_errors(response.parse(F.col("raw")), F.col("document_types"), F.col("correspondents"), F.col("content_tags"), 3)
-    return rows.select("l_orderkey", "l_linenumber", F.array_join(errors, ",").alias("errors"))
+    key = ["l_orderkey", "l_linenumber"]
+    judged = response.with_errors(_response(spark, d).select(*key, "raw"), key, _types(spark, d), _suppliers(spark, d), _tags(spark, d), 3)
+    return judged.select(*key, F.array_join("errors", ",").alias("errors"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN 'fields' WHEN 3 THEN 'not_a_string' WHEN 4 THEN 'too_long' WHEN 5 THEN 'not_an_object' ELSE '' END AS error FROM orders""")
@@ -341,11 +342,14 @@ def bbox_from_rect(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\s]+')) AS word FROM documents)
 SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS n_chars, max(length(word)) AS longest FROM w GROUP BY doc_id""")
 def merge_tokens_to_words(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens are white space or up to four other characters; a token's box is its place in the line."""
+    """Tokens are white space or up to four other characters; a token's box is its place in the text, which is one line."""
     pieces = F.regexp_extract_all("text", F.lit(r"([ \t]+|\n|[^\s]{1,4})"), 1)
-    at = F.col("at").cast("double")
-    tokens = _docs(spark, d).select("doc_id", F.posexplode(pieces).alias("at", "token")).select("doc_id", "at", "token", at.alias("left"), F.lit(0.0).alias("top"), (at + 1).alias("right"), F.lit(1.0).alias("bottom"))
-    return ocr.merge_tokens(tokens, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.length("word")).alias("n_chars"), F.max(F.length("word")).alias("longest"))
+    number = lambda x: x.cast("double")
+    tokens = F.transform(pieces, lambda t, i: F.struct(t.alias("token"), number(i).alias("left"), F.lit(0.0).alias("top"), number(i + 1).alias("right"), F.lit(1.0).alias("bottom")))
+    total = lambda z: F.aggregate(z, F.lit(0).cast("long"), lambda a, n: a + n)
+    figures = lambda z: F.struct(F.size(z).cast("long").alias("n_words"), total(z).alias("n_chars"), F.array_max(z).alias("longest"))
+    sizes = F.transform(ocr.merge_tokens(tokens), lambda w: F.length(w["word"]))
+    return _docs(spark, d).select("doc_id", F.inline(let(sizes, lambda z: F.when(F.size(z) > 0, F.array(figures(z))))))
 
 
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
@@ -363,8 +367,27 @@ def estimate_word_boxes(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, 'ocr_page' AS ocr_class, 1 AS n FROM documents UNION ALL SELECT doc_id, c, count(*) FROM k, (VALUES ('ocr_carea'), ('ocr_par'), ('ocr_line')) v(c) GROUP BY doc_id, c
 UNION ALL SELECT doc_id, 'ocrx_word', CAST(sum(n) AS BIGINT) FROM k GROUP BY doc_id""")
 def ocr_tree_rows(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(0.9).alias("score")))
-    return ocr.element_rows(_docs(spark, d).select("doc_id", lines.alias("lines")), ["doc_id"]).groupBy("doc_id", "ocr_class").agg(F.count(F.lit(1)).alias("n"))
+    return _elements(spark, d).groupBy("doc_id", "ocr_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """The element trees of the documents as pages: lines of 16 at a distance of 20, characters of 8."""
+    number = lambda x: x.cast("double")
+    line = lambda x, i: F.struct(x.alias("text"), F.lit(0.9).alias("score"), F.lit(10.0).alias("left"), number(20 * i).alias("top"), number(10 + 8 * F.length(x)).alias("right"), number(20 * i + 16).alias("bottom"))
+    return ocr.element_rows(_docs(spark, d).select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines")), ["doc_id"])
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, i, line, 10 + 8 * length(line) AS edge, regexp_extract_all(line, '[^\s]+') AS w FROM l WHERE regexp_matches(line, '[^\s]'))
+SELECT doc_id, min(20 * i)::DOUBLE AS page_top, max(20 * i + 16)::DOUBLE AS page_bottom, max(edge)::DOUBLE AS page_right, sum(edge - 10)::DOUBLE AS line_widths, sum(len(w))::BIGINT AS n_words, sum(edge)::DOUBLE AS last_edges FROM k GROUP BY doc_id""")
+def ocr_tree_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of the page, its lines, and the right edges of the lines' last words."""
+    rows = _elements(spark, d)
+    of = lambda name, value: F.when(F.col("ocr_class") == name, value)
+    ends = rows.filter("ocr_class = 'ocrx_word'").groupBy("doc_id", "line_no").agg(F.max("right").alias("end"), F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.sum("end").alias("last_edges"), F.sum("n").alias("n_words"))
+    page = [F.max(of("ocr_page", F.col(c))).alias(f"page_{c}") for c in ("top", "bottom", "right")]
+    boxes = rows.filter("ocr_class IN ('ocr_page', 'ocr_line')").groupBy("doc_id").agg(*page, F.sum(of("ocr_line", F.col("right") - F.col("left"))).alias("line_widths"))
+    return boxes.join(ends, "doc_id")
 
 
 @query(r"""SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS text_sha256 FROM documents""")
@@ -423,11 +446,91 @@ def equal_spellings(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.equal_spellings(table(spark, d, "part").select(name.alias("name")))
 
 
-@query()
+@query(rf"""SELECT doc_id, length(c) AS content_chars_used, false AS content_truncated, '{{"title": ' || to_json(substr(string_split(regexp_replace(list_last(string_split(c, chr(10) || chr(10))), '^[\s]+|[\s]+$', '', 'g'), chr(10))[1], 1, 80)) ||
+', "document_type": "", "correspondent": "", "tags": [], "created": ""}}' AS raw FROM (SELECT doc_id, {_TRIMMED} AS c FROM documents) WHERE length(c) > 0 AND length(c) <= 40000""")
 def classify_stub(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(_docs(spark, d), _dims(spark, d))
 
 
+# A document's part and supplier stand for what a model reads out of it.
+_CLASSIFIED = """WITH t AS (SELECT p_type AS name, min(p_partkey) AS id FROM part GROUP BY p_type), g AS (SELECT p_brand AS name, min(p_partkey) AS id FROM part GROUP BY p_brand),
+a AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 7 = 0 THEN 'Nothing' WHEN doc_id % 5 = 0 THEN '' ELSE p.p_type END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE s_name END AS who, s_name, p.p_brand AS tag, q.p_brand AS old_tag
+FROM documents JOIN part p ON p.p_partkey = doc_id % 200 + 1 JOIN part q ON q.p_partkey = (doc_id + 11) % 200 + 1 JOIN supplier ON s_suppkey = doc_id % 10 + 1),
+b AS (SELECT *, kind <> 'Nothing' AS good, kind <> 'Nothing' AND who = '' AS needed FROM a),
+c AS (SELECT *, CASE WHEN NOT good THEN 'skipped_main_invalid' WHEN NOT needed THEN 'not_needed' WHEN doc_id % 4 = 1 THEN 'invalid' WHEN doc_id % 4 = 2 THEN 'empty' ELSE 'candidate' END AS fallback_status FROM b)
+SELECT doc_id, fallback_status, CASE WHEN good THEN '' ELSE 'document_type_invalid' END AS validation_errors,
+CASE WHEN fallback_status <> 'candidate' THEN 'none' WHEN doc_id % 4 = 3 THEN 'existing' ELSE 'new' END AS candidate_kind,
+CASE WHEN fallback_status = 'candidate' AND doc_id % 4 = 0 THEN 'New ' || doc_id ELSE '' END AS pending,
+CASE WHEN good THEN 'Doc ' || doc_id END AS title, CASE WHEN good THEN t.id END AS document_type_id,
+CASE WHEN good AND (who <> '' OR (fallback_status = 'candidate' AND doc_id % 4 = 3)) THEN CAST(doc_id % 10 + 1 AS BIGINT) END AS correspondent_id,
+CASE WHEN good THEN array_to_string(list_sort([g.id, 1000000 + doc_id]), ',') END AS tag_ids,
+CASE WHEN good AND doc_id % 4 = 1 THEN '2024-02-29' END AS created, good AS has_record
+FROM c LEFT JOIN t ON kind = t.name LEFT JOIN g ON tag = g.name"""
+
+
+@query(_CLASSIFIED)
+def classify_and_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job; the models answer by the document's number, in place of a language model."""
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    suppliers = _suppliers(spark, d)
+    docs = _docs(spark, d).select("doc_id", "text")
+    old = part.select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("old_tag"))
+    given = docs.join(part, F.col("p_partkey") == F.col("doc_id") % 200 + 1).join(old, F.col("q") == (F.col("doc_id") + 11) % 200 + 1).join(suppliers, F.col("id") == F.col("doc_id") % 10 + 1)
+    kind = F.when(F.col("doc_id") % 7 == 0, "Nothing").when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("p_type"))
+    answer = F.struct(F.concat(F.lit(" Doc "), "doc_id").alias("title"), kind.alias("document_type"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("name")).alias("correspondent"), F.array("p_brand").alias("tags"), F.when(F.col("doc_id") % 4 == 1, "2024-02").otherwise("").alias("created"))
+    # The first answer has a whole date, as the check of answers wants one.
+    answer = answer.withField("created", F.when(F.col("doc_id") % 4 == 1, "2024-02-29").otherwise(""))
+    k = F.col("doc_id") % 4
+    sender = F.when(k == 1, "[]").when(k == 2, '{"correspondent":""}').when(k == 3, F.to_json(F.struct(F.upper("name").alias("correspondent")))).otherwise(F.to_json(F.struct(F.concat(F.lit("New  "), "doc_id").alias("correspondent"))))
+    docs = given.select("doc_id", "text", F.to_json(answer).alias("answer_"), sender.alias("sender_"), "old_tag")
+    tags, queue = _tags(spark, d), 2_000_001
+    current = docs.join(tags, F.col("old_tag") == F.col("name")).select("doc_id", F.array(F.col("id"), F.col("doc_id") + 1_000_000, F.lit(queue).cast("long")).alias("tag_ids"))
+    by_number = lambda c: lambda p: F.when(p.isNotNull(), F.col(c))
+    reports, patches, records = classify.run(docs.drop("old_tag"), _dims(spark, d), _types(spark, d), suppliers, tags, current, by_number("answer_"), by_number("sender_"), [queue])
+    patches = patches.filter("error IS NULL").select("doc_id", "title", "document_type_id", "correspondent_id", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"), "created")
+    records = records.select(F.col("document_id").alias("doc_id"), F.lit(True).alias("record_"))
+    out = reports.select("doc_id", "fallback_status", "validation_errors", "candidate_kind", "pending").join(patches, "doc_id", "left").join(records, "doc_id", "left")
+    return out.withColumn("has_record", F.coalesce("record_", F.lit(False))).drop("record_")
+
+
+@query("""SELECT document_id, arg_max(content_signature, g) AS content_signature, max(g) AS generated_at FROM (SELECT doc_id AS document_id, 'old' || lang AS content_signature, '2024-01-0' || (1 + doc_id % 5) AS g FROM documents
+UNION ALL SELECT doc_id, 'new' || lang, '2024-01-03x' FROM documents WHERE doc_id % 2 = 0) GROUP BY document_id""")
+def upsert_review_records(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    old = docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("old"), "lang").alias("content_signature"), F.concat(F.lit("2024-01-0"), (1 + F.col("doc_id") % 5).cast("string")).alias("generated_at"))
+    new = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("new"), "lang").alias("content_signature"), F.lit("2024-01-03x").alias("generated_at"))
+    return reviews.upsert(old, new).select("document_id", "content_signature", "generated_at")
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey % 10 = 3 ORDER BY o_orderdate, o_orderkey LIMIT 20""")
+def queue_tagged(spark: SparkSession, d: str) -> DataFrame:
+    """The queue tag is 3, and an order's tag the last digit of its customer."""
+    docs = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.array(F.col("o_custkey") % 10).alias("tags"))
+    return queue(docs, 3, order=("o_orderdate", "o_orderkey")).drop("tags")
+
+
+_CONFIG = """'{"url":"' || CASE c_custkey % 4 WHEN 0 THEN 'ftp://a' WHEN 1 THEN 'https://' ELSE 'http://host/' || c_custkey END || '","queue_tag":' || CASE c_custkey % 3 WHEN 0 THEN '" "' WHEN 1 THEN '7' ELSE '"q"' END || ',"poll_seconds":' || CASE c_custkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN '0' WHEN 2 THEN '2.5' ELSE '60' END || ',"max_side_pixels":' || (1900 + c_custkey % 30 * 100) || ',"retry_delays":' || CASE c_custkey % 6 WHEN 0 THEN '[0]' WHEN 1 THEN '[]' WHEN 2 THEN '[1,2,3,4,5,6,7,8,9,10,11]' WHEN 3 THEN '"x"' ELSE '[15,60]' END || '}'"""
+
+
+@query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 4 < 2 THEN 'url' END, CASE WHEN c_custkey % 3 < 2 THEN 'queue_tag' END, CASE WHEN c_custkey % 5 < 3 THEN 'poll_seconds' END, CASE WHEN c_custkey % 30 NOT BETWEEN 1 AND 21 THEN 'max_side_pixels' END, CASE WHEN c_custkey % 6 IN (0, 2, 3) THEN 'retry_delays' END], lambda x: x IS NOT NULL), ',') AS errors,
+CASE c_custkey % 6 WHEN 1 THEN '' WHEN 2 THEN '1,2,3,4,5,6,7,8,9,10' WHEN 4 THEN '15,60' WHEN 5 THEN '15,60' ELSE '15,60,300,600' END AS delays, CAST(CASE WHEN c_custkey % 30 BETWEEN 1 AND 21 THEN 1900 + c_custkey % 30 * 100 ELSE 3000 END AS INTEGER) AS side FROM customer""")
+def config_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select("c_custkey", F.expr(_CONFIG).alias("j")).withColumn("v", F.try_parse_json("j"))
+    return rows.select("c_custkey", F.array_join(configs.config_errors(F.col("v")), ",").alias("errors"), F.concat_ws(",", configs.lenient_delays(F.col("v")).cast("array<string>")).alias("delays"), configs.lenient_side(F.col("v")).alias("side"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS section, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderkey, 'save' AS source FROM orders),
+n AS (SELECT section, max(version) AS now FROM h GROUP BY section), r AS (SELECT section, now + 1 AS version, o_orderkey, 'restore' AS source FROM h JOIN n USING (section) WHERE h.version = 1 AND o_orderkey % 9 <> 0),
+u AS (SELECT * FROM h UNION ALL SELECT * FROM r) SELECT section, version, source, row_number() OVER (PARTITION BY section ORDER BY version DESC) AS place, o_orderkey % 9 = 0 AND source = 'save' AS unreadable FROM u""")
+def config_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders are versions of a configuration, and the first one is restored."""
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    config = F.when(F.col("o_orderkey") % 9 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("order"), F.lit("x").alias("extra"))))
+    history = table(spark, d, "orders").select(F.col("o_custkey").alias("section"), number.cast("long").alias("version"), config.alias("config"), F.lit("save").alias("source"))
+    saved, _ = configs.restore(history, history.filter("version = 1").select("section", "version"), ["order"])
+    return configs.listed(saved).select("section", "version", "source", "place", F.col("error").isNotNull().alias("unreadable"))
+
+
 @query("SELECT user_id, event_id, attempt, status, CASE WHEN status = 'waiting' THEN retry_after_seconds END AS retry_after_seconds FROM (" + _SCHEDULE + ")")
 def stream_retry_state(spark: SparkSession, d: str) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")

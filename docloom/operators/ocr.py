@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
+from docloom.functions.arrays import let, places, sums_before
 
 #: Language codes and what they stand for. Fixed values.
 LANGUAGES = {
@@ -21,6 +24,14 @@ LANGUAGES = {
 TRANSIENT = ("out of memory", "memoryerror", "cannot allocate memory", "failed to allocate", "std::bad_alloc", "bad allocation")
 
 
+#: Patterns of error texts and the area that they point to, after memory. Fixed values.
+ADVICE = {
+    "language": "ocr_language_mismatch|language mismatch",
+    "token": "unauthorized|401|403",
+    "reachability": "connection refused|failed to establish|service unavailable|connectionerror|name or service not known|temporary failure in name resolution",
+}
+
+
 def polygon(rect: Column) -> Column:
     """Four numbers (left, top, right, bottom) as four corners."""
     x0, y0, x1, y1 = (rect[i].cast("double") for i in range(4))
@@ -33,19 +44,35 @@ def bounds(poly: Column) -> Column:
     return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
 
 
-def merge_tokens(tokens: DataFrame, line: list[str], at: str = "at") -> DataFrame:
-    """Words of each line: runs of tokens that aren't white space, with the box around them.
+def merge_tokens(tokens: Column) -> Column:
+    """The words of a line: runs of tokens that aren't white space, each with its place and the box around it.
 
-    tokens: the columns of line, at, token and left, top, right, bottom (null: a bad box, whose token is left out
-    without ending the word). A line's tokens lie in one window, ordered by at.
+    tokens: array<struct<token, left, top, right, bottom>> in order (null sides: a bad box, whose token is left out
+    without ending the word; a word of such tokens only is left out). The result is an array of structs at (the
+    first token's index among the tokens that aren't empty), word, left, top, right, bottom. Everything stays
+    within the row: no shuffle.
     """
-    order = Window.partitionBy(*line).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    blank = text.strip(F.col("token")) == ""
-    numbered = tokens.filter(F.col("token") != "").withColumn("word_", F.sum(F.when(blank, 1).otherwise(0)).over(order))
-    parts = numbered.filter(~blank & F.col("left").isNotNull())
-    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "token"))), lambda t: t["token"]), "")
-    box = [F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")]
-    return parts.groupBy(*line, "word_").agg(F.min(at).alias(at), word.alias("word"), *box).drop("word_")
+
+    def words(items: Column) -> Column:
+        return let(F.transform(items, lambda t: text.strip(t["token"]) != ""), lambda full: runs(items, full))
+
+    def runs(items: Column, full: Column) -> Column:
+        solid = lambda i: F.coalesce(F.get(full, i), F.lit(False))
+        first = places(items, lambda _, i: solid(i) & ~((i > 0) & solid(i - 1)))
+        last = places(items, lambda _, i: solid(i) & ~solid(i + 1))
+
+        def word(a: Column, b: Column) -> Column:
+            at = F.transform(F.slice(items, a + 1, b - a + 1), lambda t, i: F.struct((a + i).alias("i"), t.alias("t")))
+            return let(F.filter(at, lambda x: x["t"]["left"].isNotNull()), box)
+
+        def box(parts: Column) -> Column:
+            side = lambda name, best: best(F.transform(parts, lambda x: x["t"][name])).alias(name)
+            joined = F.array_join(F.transform(parts, lambda x: x["t"]["token"]), "")
+            return F.struct(F.get(parts, F.lit(0))["i"].alias("at"), joined.alias("word"), side("left", F.array_min), side("top", F.array_min), side("right", F.array_max), side("bottom", F.array_max))
+
+        return F.filter(F.zip_with(first, last, word), lambda w: w["at"].isNotNull())
+
+    return let(F.filter(tokens, lambda t: F.coalesce(t["token"], F.lit("")) != ""), words)
 
 
 def prefer_line_words(words: Column, line: Column) -> Column:
@@ -70,16 +97,71 @@ def estimate_boxes(lines: DataFrame, line: list[str], line_col: str, left: str =
 
 
 def element_rows(pages: DataFrame, key: list[str]) -> DataFrame:
-    """The element tree of each page as rows: key, line_no (null for the page), word_no (null above words), ocr_class, text, confidence.
+    """The element tree of each page as rows: key, line_no (null for the page), word_no (null above words),
+    ocr_class, text, confidence, and the box left, top, right, bottom.
 
-    pages: key and lines, array<struct<text, score>>. Lines without text make no elements.
+    pages: key and lines, array<struct<text, score, left, top, right, bottom>>. Lines without text make no
+    elements. An area, a paragraph and a line have the line's box, its words share its width by their length,
+    and the page's box is around its lines. The tree is built within the row and exploded once.
     """
-    lines = pages.select(*key, F.posexplode("lines").alias("line_no", "line")).select(*key, "line_no", text.strip(F.col("line.text")).alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("line.score", F.lit(0.0)))).alias("confidence")).filter(F.col("text") != "")
-    words = lines.select(*key, "line_no", F.posexplode(F.split(text.collapse(F.col("text")), " ")).alias("word_no", "text"), "confidence")
-    none, level = F.lit(None), lambda name: F.lit(name).alias("ocr_class")
-    page_rows = pages.select(*key, none.cast("int").alias("line_no"), none.cast("int").alias("word_no"), level("ocr_page"), none.cast("string").alias("text"), none.cast("double").alias("confidence"))
-    above = lines.select(*key, "line_no", none.cast("int").alias("word_no"), F.explode(F.array(F.lit("ocr_carea"), F.lit("ocr_par"), F.lit("ocr_line"))).alias("ocr_class"), none.cast("string").alias("text"), "confidence")
-    return page_rows.union(above).union(words.select(*key, "line_no", "word_no", level("ocrx_word"), "text", "confidence"))
+    kind = "array<struct<line_no:int,word_no:int,ocr_class:string,text:string,confidence:double,left:double,top:double,right:double,bottom:double>>"
+    sides = ("left", "top", "right", "bottom")
+
+    def element(name: str, line_no: Column, word_no: Column, word: Column, score: Column, box: tuple[Column, ...]) -> Column:
+        return F.struct(line_no.cast("int").alias("line_no"), word_no.cast("int").alias("word_no"), F.lit(name).alias("ocr_class"), word.cast("string").alias("text"), score.cast("double").alias("confidence"), *(b.cast("double").alias(s) for b, s in zip(box, sides, strict=True)))
+
+    none = F.lit(None)
+
+    def of_line(line: Column, i: Column) -> Column:
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(line["score"], F.lit(0.0))))
+        box = tuple(line[s] for s in sides)
+        above = F.array(*(element(name, i, none, none, score, box) for name in ("ocr_carea", "ocr_par", "ocr_line")))
+
+        def of_words(words: Column) -> Column:
+            total = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+            width, last = F.greatest(F.lit(1.0), line["right"] - line["left"]), F.size(words) - 1
+            shares = let(total, lambda n: F.transform(words, lambda w: F.greatest(F.lit(1.0), width * F.length(w) / n)))
+            edge = lambda upto: F.least(line["right"], line["left"] + upto)
+
+            def placed(starts: Column, sizes: Column) -> Column:
+                right = lambda j: F.when(j == last, line["right"]).otherwise(edge(F.get(starts, j) + F.get(sizes, j)))
+                return F.transform(words, lambda w, j: element("ocrx_word", i, j, w, score, (edge(F.get(starts, j)), line["top"], right(j), line["bottom"])))
+
+            return let(shares, lambda sizes: let(sums_before(sizes, F.lit(0.0)), lambda starts: placed(starts, sizes)))
+
+        clean = text.collapse(line["text"])
+        words = F.filter(F.split(clean, " "), lambda w: w != "")
+        return let(words, lambda w: F.when(F.size(w) > 0, F.concat(above.cast(kind), of_words(w).cast(kind))).otherwise(F.array().cast(kind)))
+
+    def of_page(full: Column) -> Column:
+        edge = lambda name, best: best(F.transform(full, lambda x: x[name]))
+        page = element("ocr_page", none, none, none, none, (edge("left", F.array_min), edge("top", F.array_min), edge("right", F.array_max), edge("bottom", F.array_max)))
+        return F.array(page).cast(kind)
+
+    full = F.filter("lines", lambda x: text.strip(F.coalesce(x["text"], F.lit(""))) != "")
+    tree = F.concat(let(full, of_page), F.flatten(F.transform(F.coalesce("lines", F.array()), of_line)))
+    return pages.select(*key, F.explode(tree).alias("e_")).select(*key, "e_.*")
+
+
+def read_pages(images: DataFrame, engine: Callable[[Column], Column]) -> DataFrame:
+    """path and lines of every image. engine: the OCR engine as an expression over the image's bytes, such as a
+    pandas UDF, that returns array<struct<text, score, left, top, right, bottom>>; null where it fails."""
+    read = images.select("path", engine(F.col("content")).alias("lines"))
+    return read.withColumn("error", F.when(F.col("lines").isNull(), "engine_failed"))
+
+
+#: Model names by profile: detection and recognition. Fixed values.
+PROFILES = {
+    "medium": ("PP-OCRv6_medium_det", "PP-OCRv6_medium_rec"),
+    "small": ("PP-OCRv6_small_det", "PP-OCRv6_small_rec"),
+    "tiny": ("PP-OCRv6_tiny_det", "PP-OCRv6_tiny_rec"),
+}
+
+
+def profile_models(profile: Column) -> Column:
+    """struct(detection, recognition, error) of a profile; an unknown one has an error."""
+    known = lambda k: F.element_at(F.create_map(*(F.lit(x) for name, models in PROFILES.items() for x in (name, models[k]))), profile)
+    return F.struct(known(0).alias("detection"), known(1).alias("recognition"), F.when(known(0).isNull(), "unknown_profile").alias("error"))
 
 
 def page_text(lines: Column, own: Column | None = None) -> Column:
@@ -130,10 +212,7 @@ def is_transient(error: Column) -> Column:
 def advice(error: Column) -> Column:
     """The area that an error text points to; the first that fits."""
     low = F.lower(F.coalesce(error, F.lit("")))
-    return (
-        F.when(is_transient(error) | F.contains(low, F.lit("bad_alloc")), "memory")
-        .when(low.rlike("ocr_language_mismatch|language mismatch"), "language")
-        .when(low.rlike("unauthorized|401|403"), "token")
-        .when(low.rlike("connection refused|failed to establish|service unavailable|connectionerror|name or service not known|temporary failure in name resolution"), "reachability")
-        .otherwise("")
-    )
+    area = F.when(is_transient(error) | F.contains(low, F.lit("bad_alloc")), "memory")
+    for name, pattern in ADVICE.items():
+        area = area.when(low.rlike(pattern), name)
+    return area.otherwise("")

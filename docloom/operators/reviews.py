@@ -34,18 +34,27 @@ def latest_records(records: DataFrame) -> DataFrame:
     return records.groupBy("document_id").agg(F.max_by(F.struct(*(c for c in records.columns if c != "document_id")), "generated_at").alias("r")).select("document_id", "r.*")
 
 
-def _by(records: DataFrame, key: str, stem: str) -> DataFrame:
-    return records.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{stem}"), F.min("document_id").alias(f"{stem}_id"))
+def upsert(records: DataFrame, new: DataFrame) -> DataFrame:
+    """The snapshot of records after new ones are written: one a document, the one generated last; of equal times a new one."""
+    both = records.withColumn("new_", F.lit(0)).unionByName(new.withColumn("new_", F.lit(1)))
+    rest = [c for c in records.columns if c != "document_id"]
+    newest = F.max_by(F.struct(*rest), F.struct("generated_at", "new_"))
+    return both.filter(F.col("document_id").isNotNull()).groupBy("document_id").agg(newest.alias("r")).select("document_id", "r.*")
+
+
+def _by(pairs: DataFrame, key: str, stem: str) -> DataFrame:
+    return pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n_").alias(f"n_{stem}"), F.min("id_").alias(f"{stem}_id"))
 
 
 def match_records(queries: DataFrame, records: DataFrame) -> DataFrame:
     """queries with matched_document_id and match.
 
     A single record with the strong signature matches; several are ambiguous for good. Without any the weak
-    signature decides by the same rule. Both sides are counted by signature first, so a signature that many
-    records share costs one row.
+    signature decides by the same rule. Records are counted by both signatures once and summed up by each, so a
+    signature that many records share costs one row.
     """
-    strong, weak = _by(records, "prompt_content_signature", "strong"), _by(records, "content_signature", "weak")
+    pairs = records.groupBy("prompt_content_signature", "content_signature").agg(F.count(F.lit(1)).alias("n_"), F.min("document_id").alias("id_"))
+    strong, weak = _by(pairs, "prompt_content_signature", "strong"), _by(pairs, "content_signature", "weak")
     both = queries.join(strong, "prompt_content_signature", "left").join(weak, "content_signature", "left")
     n_strong, n_weak = F.coalesce("n_strong", F.lit(0)), F.coalesce("n_weak", F.lit(0))
     matched = F.when(n_strong == 1, F.col("strong_id")).when((n_strong == 0) & (n_weak == 1), F.col("weak_id"))

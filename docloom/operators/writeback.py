@@ -19,9 +19,14 @@ def final_tags(tags: Column, managed: Column, chosen: Column, steering: Column)
     return F.array_sort(F.array_except(F.array_union(F.array_except(tags, managed), chosen), steering))
 
 
+def patch_columns() -> list[Column]:
+    """What a patch holds: created only if it is set; a type or correspondent without name is cleared."""
+    return [F.trim("title").alias("title"), F.col("document_type_id"), F.col("correspondent_id"), F.col("tag_ids"), F.when(F.col("created") != "", F.col("created")).alias("created")]
+
+
 def write_back(rows: DataFrame) -> DataFrame:
-    """The patch of each valid row: created only if it is set; a type or correspondent without name is cleared."""
-    return rows.select("doc_id", F.trim("title").alias("title"), "document_type_id", "correspondent_id", "tag_ids", F.when(F.col("created") != "", F.col("created")).alias("created"))
+    """The patch of each valid row."""
+    return rows.select("doc_id", *patch_columns())
 
 
 def seconds(nanoseconds: Column) -> Column:

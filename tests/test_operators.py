@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import configs, prompt, response, text
+from docloom.jobs import classify
 from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
 from docloom.streaming import retry
 
@@ -58,8 +59,9 @@ def test_created(spark):
 
 
 def verdict(spark, raw):
-    names = lambda *n: F.array(*(F.lit(x) for x in n)) if n else F.array().cast("array<string>")
-    return column(spark, [raw], lambda c: response.metadata_errors(response.parse(c), names("Invoice"), names("Example Ltd"), names("Money"), 2))[0]
+    names = lambda n: spark.createDataFrame([(n,)], "name string")
+    rows = spark.createDataFrame([(1, raw)], "k int, raw string")
+    return response.with_errors(rows, ["k"], names("Invoice"), names("Example Ltd"), names("Money"), 2).collect()[0].errors
 
 
 @pytest.mark.parametrize(
@@ -127,10 +129,10 @@ def test_identity_and_merge(spark):
 
 
 def test_tokens_to_words(spark):
-    rows = [(1, i, t, b) for i, (t, b) in enumerate([(" ", 0.0), ("He", 1.0), ("llo", None), ("o", 3.0), (" ", 0.0), (" ", 0.0), ("x", 9.0), ("", 1.0)])]
-    tokens = spark.createDataFrame(rows, "line int, at int, token string, b double").selectExpr("line", "at", "token", "b as left", "b as top", "b + 1 as right", "b + 1 as bottom")
-    got = [(r.word, r.left, r.right) for r in ocr.merge_tokens(tokens, ["line"]).orderBy("at").collect()]
-    assert got == [("Heo", 1.0, 4.0), ("x", 9.0, 10.0)]
+    tokens = [(t, b, b, b and b + 1, b and b + 1) for t, b in [(" ", 0.0), ("He", 1.0), ("llo", None), ("o", 3.0), (" ", 0.0), ("bad", None), (" ", 0.0), ("x", 9.0), ("", 1.0)]]
+    rows = spark.createDataFrame([(1, tokens), (2, []), (3, None)], "line int, tokens array<struct<token: string, left: double, top: double, right: double, bottom: double>>")
+    got = {r.line: r.words and [(w.word, w.left, w.right) for w in r.words] for r in rows.select("line", ocr.merge_tokens(F.col("tokens")).alias("words")).collect()}
+    assert got == {1: [("Heo", 1.0, 4.0), ("x", 9.0, 10.0)], 2: [], 3: None}
     assert column(spark, ["He llo", "one"], lambda c: ocr.prefer_line_words(F.array(F.lit("a"), F.lit("b")), c)) == [["He", "llo"], ["a", "b"]]
 
 
@@ -148,9 +150,11 @@ def test_geometry_and_languages(spark):
 
 
 def test_element_rows(spark):
-    pages = spark.createDataFrame([(1, [(" two words ", 1.7), ("", 0.5)])], "k int, lines array<struct<text: string, score: double>>")
-    got = {r.ocr_class: r["count"] for r in ocr.element_rows(pages, ["k"]).groupBy("ocr_class").count().collect()}
-    assert got == {"ocr_page": 1, "ocr_carea": 1, "ocr_par": 1, "ocr_line": 1, "ocrx_word": 2}
+    pages = spark.createDataFrame([(1, [(" two words ", 1.7, 0.0, 5.0, 80.0, 9.0), ("", 0.5, 0.0, 0.0, 1.0, 1.0)]), (2, None)], "k int, lines array<struct<text: string, score: double, left: double, top: double, right: double, bottom: double>>")
+    rows = ocr.element_rows(pages, ["k"]).collect()
+    assert [r.ocr_class for r in rows if r.k == 1] == ["ocr_page", "ocr_carea", "ocr_par", "ocr_line", "ocrx_word", "ocrx_word"]
+    assert [(r.text, r.left, r.top, r.right, r.bottom) for r in rows if r.text] == [("two", 0.0, 5.0, 30.0, 9.0), ("words", 30.0, 5.0, 80.0, 9.0)]
+    assert [(r.left, r.bottom) for r in rows if r.ocr_class == "ocr_page"] == [(0.0, 9.0), (None, None)]
 
 
 KINDS = ["error"] * 6 + ["view", "error", "signup", "error"]
@@ -200,17 +204,34 @@ def test_downsampling(spark):
     assert tuple(row) == (3000, 96, 290, 288)
 
 
-def test_configs():
-    assert configs.merge({"a": {"x": 1}}, {"a": {"x": 2, "z": 9}, "b": 1}, "drop") == {"a": {"x": 2}}
-    assert configs.merge({"a": 1}, {"b": 1}, "keep") == {"a": 1, "b": 1}
-    with pytest.raises(configs.ConfigError):
-        configs.merge({"a": 1}, {"b": 1}, "reject")
-    with pytest.raises(configs.ConfigError):
-        configs.whole_number(True, 0, 5, "n")
-    assert configs.lenient_retry_delays([]) == [] and configs.lenient_retry_delays([0]) == [15, 60, 300, 600]
-    assert [configs.max_side_pixels(v) for v in (None, True, 1999, 4001, "3200")] == [3000, 3000, 3000, 3000, 3200]
-    assert configs.http_url("https://x.y/", "u") == "https://x.y"
-    v = configs.Versions()
-    v.save({"a": 1})
-    v.save({"a": 2})
-    assert v.restore(1) == {"a": 1, "version": 3} and len(v.history) == 3
+def test_configs(spark):
+    parse = lambda f: lambda c: f(F.try_parse_json(c))
+    good = '{"url":"https://x.y/","queue_tag":"q","poll_seconds":5,"max_side_pixels":3000,"retry_delays":[15]}'
+    assert column(spark, [good, "{}", None], parse(configs.config_errors)) == [[], [r.path for r in configs.RULES], [r.path for r in configs.RULES]]
+    delays = ['{"retry_delays":[]}', '{"retry_delays":[0]}', '{"retry_delays":7}', '{"retry_delays":[1,2]}', "{}"]
+    assert column(spark, delays, parse(configs.lenient_delays)) == [[], [15, 60, 300, 600], [15, 60, 300, 600], [1, 2], [15, 60, 300, 600]]
+    sides = ["null", "true", "1999", "4001", '"3200"', "2500"]
+    assert column(spark, [f'{{"max_side_pixels":{v}}}' for v in sides], parse(configs.lenient_side)) == [3000, 3000, 3000, 3000, 3200, 2500]
+    assert column(spark, ['{"a":1,"b":2}'], lambda c: configs.unknown_keys(c, ["a"])) == [["b"]]
+    history = spark.createDataFrame([("s", 1, '{"a":1,"z":2}', "save"), ("s", 2, '{"a":2}', "save")], "section string, version long, config string, source string")
+    new, gone = configs.restore(history, spark.createDataFrame([("s", 1), ("s", 9)], "section string, version long"), ["a"])
+    assert [(r.version, r.config, r.source) for r in new.orderBy("version").collect()][-1] == (3, '{"a":"1"}', "restore")
+    assert [tuple(r) for r in gone.collect()] == [("s", 9)]
+
+
+def test_profiles(spark):
+    assert [(r.detection is None, r.error) for r in column(spark, ["small", "huge"], ocr.profile_models)] == [(False, None), (True, "unknown_profile")]
+
+
+def test_classification_of_empty_content_and_dry_run(spark):
+    names = lambda *n: spark.createDataFrame(list(enumerate(n, 1)), "id long, name string")
+    docs = spark.createDataFrame([(1, "Letter\nof today"), (2, " "), (3, None)], "doc_id long, text string")
+    dims = spark.createDataFrame([(["T"], ["S"], ["A"])], "document_types array<string>, correspondents array<string>, content_tags array<string>")
+    current = spark.createDataFrame([(1, [1, 50, 99])], "doc_id long, tag_ids array<long>")
+    args = (docs, dims, names("T"), names("S"), names("A"), current, classify.stub, lambda p: F.lit('{"correspondent":"s "}'), [99])
+    reports, patches, records = classify.run(*args)
+    assert {r.doc_id: (r.validation_errors, r.fallback_status) for r in reports.collect()} == {1: ("", "candidate"), 2: ("empty_content", "skipped_main_invalid"), 3: ("empty_content", "skipped_main_invalid")}
+    assert [(r.doc_id, r.title, r.correspondent_id, r.tag_ids, r.created) for r in patches.collect()] == [(1, "Letter", 1, [50], None)]
+    assert records.count() == 1
+    reports, patches, records = classify.run(*args, dry_run=True)
+    assert reports.count() == 3 and not patches.count() and not records.count()
