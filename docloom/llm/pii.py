@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.arrays import let, sums_before
+
 #: Marks around a match; texts that hold one get another control character of the same length first.
 _MARK, _OTHER = "\x01", "\x03"
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -77,26 +79,6 @@ CONTEXT_BONUS, CONTEXT_CHARS = 0.3, 40
 MIN_SCORE, LIKELY = 0.5, 0.8
 
 _SPAN = "struct<start:int,kind:int,end:int,score:double>"
-_BLOCK = 64
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _sums_before(values: Column, levels: int = 2) -> Column:
-    """The sum of all values before each value of an array, in blocks of blocks."""
-    if not levels:
-        add = lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out"))
-        return F.aggregate(values, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), add, lambda s: s["out"])
-
-    def in_blocks(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v))
-        return F.flatten(F.zip_with(blocks, _sums_before(totals, levels - 1), lambda b, first: F.transform(_sums_before(b, 0), lambda x: x + first)))
-
-    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK))
-    return _let(values, lambda v: F.when(F.size(v) <= _BLOCK, _sums_before(v, 0)).otherwise(_let(cut(v), in_blocks)))
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -115,23 +97,23 @@ def _spans_of(text: Column, kind: str) -> Column:
     n = KINDS.index(kind)
 
     def spans(parts: Column) -> Column:
-        starts = _sums_before(F.transform(parts, lambda p: F.length(p)))
+        starts = sums_before(F.transform(parts, lambda p: F.length(p)), F.lit(0))
 
         def one(part: Column, start: Column, i: Column) -> Column:
             span = F.struct(start.alias("start"), F.lit(n).alias("kind"), (start + F.length(part)).alias("end"), _score(parts, i, kind).alias("score"))
             return F.when((i % 2 == 1) & _CONFIRM[kind](part), span)
 
-        found = _let(starts, lambda at: F.transform(parts, lambda p, i: one(p, F.get(at, i), i)))
+        found = let(starts, lambda at: F.transform(parts, lambda p, i: one(p, F.get(at, i), i)))
         return F.filter(found, lambda s: s.isNotNull() & (F.lit(kind in BASE_KINDS) | (s["score"] >= MIN_SCORE)))
 
-    return F.when(_MAY[kind](text), _let(_parts(text, kind), spans)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(_MAY[kind](text), let(_parts(text, kind), spans)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def pii_spans(text: Column) -> Column:
     """All spans of a text by start, then kind: array<struct<start, kind, end, score>>; kind is an index into KINDS."""
     clean = F.coalesce(text, F.lit(""))
     clean = F.when(F.contains(clean, F.lit(_MARK)), F.translate(clean, _MARK, _OTHER)).otherwise(clean)
-    return _let(clean, lambda t: F.array_sort(F.concat(*(_spans_of(t, k) for k in KINDS))))
+    return let(clean, lambda t: F.array_sort(F.concat(*(_spans_of(t, k) for k in KINDS))))
 
 
 def _listed(spans: Column) -> Column:
@@ -167,7 +149,7 @@ def redact(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE
             gone = lambda p, i: (i % 2 == 1) & _CONFIRM[kind](p) & (_score(parts, i, kind) >= min_score)
             return F.array_join(F.transform(parts, lambda p, i: F.when(gone(p, i), f"[{kind.upper()}]").otherwise(p)), "")
 
-        return _let(text, lambda t: F.when(_MAY[kind](t), _let(_parts(t, kind), replaced)).otherwise(t))
+        return let(text, lambda t: F.when(_MAY[kind](t), let(_parts(t, kind), replaced)).otherwise(t))
 
     text = F.col(f"`{text_col}`")
     # The mark is spelled otherwise meanwhile, by characters that no pattern holds.
@@ -180,5 +162,5 @@ def redact(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE
     for kind in KINDS:
         new = without(new, kind)
     back = lambda t: F.replace(F.replace(t, F.lit(spelled[1][1]), F.lit(spelled[1][0])), F.lit(spelled[0][1]), F.lit(spelled[0][0]))
-    new = _let(new, lambda t: F.when(marked, back(t)).otherwise(t))
+    new = let(new, lambda t: F.when(marked, back(t)).otherwise(t))
     return docs.select(*(new.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns))
