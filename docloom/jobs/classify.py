@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 
 from docloom.functions import prompt, response, text
 from docloom.operators import reviews, taxonomy, writeback
+from docloom.sources.tables import shared_dir
 
 TEMPLATE = "Describe the document below.\nTypes: {{ DOCUMENT_TYPES_JSON }}\nSenders: {{ CORRESPONDENTS_JSON }}\nTags:\n{{ TAGS_LINES }}\n\n{{ DOCUMENT_TEXT }}"
 SENDER_TEMPLATE = "Who sent the document below?\n\n{{ DOCUMENT_TEXT }}"
@@ -38,10 +39,7 @@ def stub(user_prompt: Column) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the folder that all executors share (spark.checkpoint.dir) and read back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{root}/docloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

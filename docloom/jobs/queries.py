@@ -16,7 +16,7 @@ from docloom.functions import configs, prompt, response, text
 from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
-from docloom.sources.tables import queue, table
+from docloom.sources.tables import queue, shared_dir, table
 from docloom.streaming import retry
 
 QUERIES: dict = {}
@@ -455,14 +455,14 @@ def classify_stub(spark: SparkSession, d: str) -> DataFrame:
 # A document's part and supplier stand for what a model reads out of it.
 _CLASSIFIED = """WITH t AS (SELECT p_type AS name, min(p_partkey) AS id FROM part GROUP BY p_type), g AS (SELECT p_brand AS name, min(p_partkey) AS id FROM part GROUP BY p_brand),
 a AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 7 = 0 THEN 'Nothing' WHEN doc_id % 5 = 0 THEN '' ELSE p.p_type END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE s_name END AS who, s_name, p.p_brand AS tag, q.p_brand AS old_tag
-FROM documents JOIN part p ON p.p_partkey = doc_id % 200 + 1 JOIN part q ON q.p_partkey = (doc_id + 11) % 200 + 1 JOIN supplier ON s_suppkey = doc_id % 10 + 1),
+FROM documents JOIN part p ON p.p_partkey = doc_id % 200 JOIN part q ON q.p_partkey = (doc_id + 11) % 200 JOIN supplier ON s_suppkey = doc_id % 10),
 b AS (SELECT *, kind <> 'Nothing' AS good, kind <> 'Nothing' AND who = '' AS needed FROM a),
 c AS (SELECT *, CASE WHEN NOT good THEN 'skipped_main_invalid' WHEN NOT needed THEN 'not_needed' WHEN doc_id % 4 = 1 THEN 'invalid' WHEN doc_id % 4 = 2 THEN 'empty' ELSE 'candidate' END AS fallback_status FROM b)
 SELECT doc_id, fallback_status, CASE WHEN good THEN '' ELSE 'document_type_invalid' END AS validation_errors,
 CASE WHEN fallback_status <> 'candidate' THEN 'none' WHEN doc_id % 4 = 3 THEN 'existing' ELSE 'new' END AS candidate_kind,
 CASE WHEN fallback_status = 'candidate' AND doc_id % 4 = 0 THEN 'New ' || doc_id ELSE '' END AS pending,
 CASE WHEN good THEN 'Doc ' || doc_id END AS title, CASE WHEN good THEN t.id END AS document_type_id,
-CASE WHEN good AND (who <> '' OR (fallback_status = 'candidate' AND doc_id % 4 = 3)) THEN CAST(doc_id % 10 + 1 AS BIGINT) END AS correspondent_id,
+CASE WHEN good AND (who <> '' OR (fallback_status = 'candidate' AND doc_id % 4 = 3)) THEN CAST(doc_id % 10 AS BIGINT) END AS correspondent_id,
 CASE WHEN good THEN array_to_string(list_sort([g.id, 1000000 + doc_id]), ',') END AS tag_ids,
 CASE WHEN good AND doc_id % 4 = 1 THEN '2024-02-29' END AS created, good AS has_record
 FROM c LEFT JOIN t ON kind = t.name LEFT JOIN g ON tag = g.name"""
@@ -475,7 +475,7 @@ def classify_and_apply(spark: SparkSession, d: str) -> DataFrame:
     suppliers = _suppliers(spark, d)
     docs = _docs(spark, d).select("doc_id", "text")
     old = part.select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("old_tag"))
-    given = docs.join(part, F.col("p_partkey") == F.col("doc_id") % 200 + 1).join(old, F.col("q") == (F.col("doc_id") + 11) % 200 + 1).join(suppliers, F.col("id") == F.col("doc_id") % 10 + 1)
+    given = docs.join(part, F.col("p_partkey") == F.col("doc_id") % 200).join(old, F.col("q") == (F.col("doc_id") + 11) % 200).join(suppliers, F.col("id") == F.col("doc_id") % 10)
     kind = F.when(F.col("doc_id") % 7 == 0, "Nothing").when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("p_type"))
     answer = F.struct(F.concat(F.lit(" Doc "), "doc_id").alias("title"), kind.alias("document_type"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("name")).alias("correspondent"), F.array("p_brand").alias("tags"), F.when(F.col("doc_id") % 4 == 1, "2024-02").otherwise("").alias("created"))
     # The first answer has a whole date, as the check of answers wants one.
@@ -533,8 +533,7 @@ def config_versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, attempt, status, CASE WHEN status = 'waiting' THEN retry_after_seconds END AS retry_after_seconds FROM (" + _SCHEDULE + ")")
 def stream_retry_state(spark: SparkSession, d: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root}/docloom-stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/docloom-stream-{uuid.uuid4().hex}"
     events = retry.read_events(spark, f"{d}/events.parquet*")
     retry.run_available(retry.retry_states(events), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(retry.OUT).parquet(f"{base}/out").select("user_id", "event_id", "attempt", "status", "retry_after_seconds")
