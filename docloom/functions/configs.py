@@ -103,7 +103,7 @@ def restore(history: DataFrame, wanted: DataFrame, allowed: list[str]) -> tuple[
     don't exist or can't be read."""
     readable = history.filter(F.try_parse_json("config").isNotNull())
     old = wanted.join(readable, ["section", "version"])
-    kept = F.to_json(F.map_filter(F.from_json("config", "map<string,string>"), lambda k, _: k.isin(*allowed)))
+    kept = F.to_json(F.map_filter(F.from_json("config", "map<string,variant>"), lambda k, _: k.isin(*allowed)))
     return save(history, old.select("section", kept.alias("config")), "restore"), wanted.join(readable, ["section", "version"], "left_anti")
 
 
@@ -111,3 +111,10 @@ def listed(history: DataFrame) -> DataFrame:
     """The history of each section, newest first (place 1), with an error where a configuration can't be read."""
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("version")))
     return history.select("section", "version", "source", place.alias("place"), F.when(F.try_parse_json("config").isNull(), "unreadable").alias("error"))
+
+
+def models(sections: DataFrame, model_col: str, default: str) -> DataFrame:
+    """The distinct models (model) that configurations name; the default one if none does."""
+    named = sections.select(F.trim(model_col).alias("model")).filter("model <> ''").distinct()
+    fallback = sections.sparkSession.createDataFrame([(default,)], "model string")
+    return named.union(fallback.join(named.limit(1).select(F.lit(True).alias("named_")), F.col("named_"), "left_anti"))

@@ -16,7 +16,7 @@ from docloom.functions import configs, prompt, response, text
 from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
-from docloom.sources.tables import queue, shared_dir, table
+from docloom.sources.tables import lookup, queue, shared_dir, table
 from docloom.streaming import retry
 
 QUERIES: dict = {}
@@ -531,9 +531,159 @@ def config_versions(spark: SparkSession, d: str) -> DataFrame:
     return configs.listed(saved).select("section", "version", "source", "place", F.col("error").isNotNull().alias("unreadable"))
 
 
+_ATTEMPTS = _SCHEDULE.replace("FROM events)", "FROM events WHERE event_type <> 'view')")
+
+
+def _scheduled(spark: SparkSession, d: str, attempts: str = "true") -> DataFrame:
+    events = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return recovery.retry_schedule(events.filter(attempts), "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup")
+
+
+@query(f"""WITH v AS (SELECT user_id, ts AS asked FROM events WHERE event_type = 'view'),
+s AS (SELECT a.user_id, a.event_id, e.ts, a.status, lead(e.ts) OVER (PARTITION BY a.user_id ORDER BY e.ts, a.event_id) AS next_ts, e.ts + to_seconds(a.retry_after_seconds) AS due FROM ({_ATTEMPTS}) a JOIN events e USING (event_id)),
+f AS (SELECT s.user_id, s.event_id, s.due, min(asked) AS asked FROM s LEFT JOIN v ON s.user_id = v.user_id AND asked >= s.ts AND asked < s.due AND (next_ts IS NULL OR asked < next_ts) WHERE status = 'waiting' GROUP BY ALL)
+SELECT user_id, event_id, coalesce(asked, due) AS ended_at, CASE WHEN asked IS NULL THEN 'deadline' ELSE 'trigger' END AS ended_by FROM f""")
+def recovery_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Views ask for a retry at once; all other events are attempts."""
+    asked = table(spark, d, "events").filter("event_type = 'view'")
+    return recovery.waits(_scheduled(spark, d, "event_type <> 'view'"), asked, "user_id", "ts", "event_id").select("user_id", "event_id", "ended_at", "ended_by")
+
+
+@query(f"""WITH s AS (SELECT s.*, e.ts FROM ({_SCHEDULE}) s JOIN events e USING (event_id)), l AS (SELECT user_id, max_by(status, (ts, event_id)) AS status FROM s GROUP BY user_id),
+f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM s WHERE status = 'failed'),
+g AS (SELECT user_id, string_agg(event_id, ',' ORDER BY r) AS failures FROM f WHERE r <= 25 GROUP BY user_id)
+SELECT user_id, status, status = 'waiting' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view') AS retry_now, coalesce(failures, '') AS failures,
+CASE WHEN status = 'idle' AND failures IS NOT NULL THEN 'failed' ELSE status END AS display_status FROM l LEFT JOIN g USING (user_id)""")
+def recovery_overview(spark: SparkSession, d: str) -> DataFrame:
+    out = _scheduled(spark, d)
+    state = out.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    asked = recovery.accept_triggers(state, table(spark, d, "events").filter("event_type = 'view'"), "user_id")
+    seen = recovery.overview(asked, out.filter("status = 'failed'"), "user_id", "ts", "event_id")
+    return seen.withColumn("failures", F.concat_ws(",", F.col("failures").cast("array<string>")))
+
+
+@query(f"""WITH l AS (SELECT user_id, max_by(status, (ts, event_id)) AS status FROM (SELECT s.*, e.ts FROM ({_SCHEDULE}) s JOIN events e USING (event_id)) GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'idle' ELSE status END AS status, user_id % 3 <> 0 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view') AS asked FROM l""")
+def recovery_idle(spark: SparkSession, d: str) -> DataFrame:
+    """Users divisible by three are done: their state and triggers are cleared."""
+    state = _scheduled(spark, d).groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    triggers = table(spark, d, "events").filter("event_type = 'view'").select("user_id").distinct()
+    left, asked = recovery.set_idle(state, triggers, state.filter("user_id % 3 = 0"), "user_id")
+    return left.join(asked.withColumn("asked", F.lit(True)), "user_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
+@query("""WITH e AS (SELECT * FROM events WHERE event_type = 'error'), s AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS failure_id FROM e GROUP BY user_id), g AS (SELECT event_id FROM e WHERE event_id % 3 = 0),
+n AS (SELECT user_id, count(*) AS n_left FROM e WHERE event_id NOT IN (SELECT event_id FROM g) GROUP BY user_id)
+SELECT user_id, CASE WHEN failure_id IN (SELECT event_id FROM g) THEN 'idle' ELSE 'failed' END AS status, CASE WHEN failure_id NOT IN (SELECT event_id FROM g) THEN failure_id END AS failure_id, coalesce(n_left, 0) AS n_left FROM s LEFT JOIN n USING (user_id)""")
+def dismissed_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Errors are failures; those divisible by three are dismissed."""
+    failures = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "ts")
+    state = failures.groupBy("user_id").agg(F.lit("failed").alias("status"), F.max_by("id", F.struct("ts", "id")).alias("failure_id"))
+    left, reset = recovery.dismiss_failures(failures, state, failures.filter("id % 3 = 0"))
+    return reset.join(left.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_left")), "user_id", "left").withColumn("n_left", F.coalesce("n_left", F.lit(0)))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'waiting' WHEN 1 THEN 'idle' WHEN 2 THEN 'idle' WHEN 3 THEN 'idle' ELSE 'failed' END AS status,
+CASE WHEN c_custkey % 5 IN (0, 1) THEN CAST(c_custkey AS VARCHAR) END AS request_id, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 9 AS INTEGER) END AS attempt FROM customer""")
+def recovery_state_read(spark: SparkSession, d: str) -> DataFrame:
+    k, request = F.col("c_custkey") % 5, F.col("c_custkey").cast("string").alias("request_id")
+    full = F.to_json(F.struct(F.lit("waiting").alias("status"), request, (F.col("c_custkey") % 9).alias("attempt")))
+    raw = F.when(k == 0, full).when(k == 1, F.to_json(F.struct(request))).when(k == 2, "{broken").when(k == 4, '{"status":"failed","other":1}')
+    return table(spark, d, "customer").select("c_custkey", recovery.read_state(raw).alias("s")).select("c_custkey", "s.status", "s.request_id", "s.attempt")
+
+
+@query("""WITH a AS (SELECT event_id, CAST(event_id % 13 + 1 AS INTEGER) AS n, event_type = 'error' AS granted, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 50 + 1 AS INTEGER) END AS given FROM events),
+b AS (SELECT *, [15, 60, 300, 600][n] AS own, granted AND n >= 11 AS over_ FROM a)
+SELECT event_id, CASE WHEN over_ THEN NULL WHEN granted THEN coalesce(given, own) ELSE own END AS delay, CASE WHEN over_ THEN 'limit_reached' WHEN (NOT granted OR given IS NULL) AND own IS NULL THEN 'schedule_exhausted' END AS error FROM b""")
+def client_delays(spark: SparkSession, d: str) -> DataFrame:
+    given = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 50 + 1).cast("int"))
+    delay = recovery.client_delay((F.col("event_id") % 13 + 1).cast("int"), F.col("event_type") == "error", given, F.array(*(F.lit(s) for s in recovery.DELAYS)))
+    return table(spark, d, "events").select("event_id", delay.alias("d")).select("event_id", "d.*")
+
+
+@query("""SELECT o_orderkey, array_to_string(list_sort(CASE WHEN o_orderkey % 4 = 0 THEN [o_custkey + 10, 2] ELSE [o_custkey + 10] END), ',') AS tags FROM orders""")
+def queue_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tag 1 is the queue, tag 2 marks errors, and each fourth order fails."""
+    tags = F.array(F.col("o_custkey") + 10, F.lit(1).cast("long"), F.when(F.col("o_orderkey") % 3 == 0, 2).otherwise(1).cast("long"))
+    new = writeback.queue_tags(tags, F.col("o_orderkey") % 4 == 0, 1, 2)
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws(",", new.cast("array<string>")).alias("tags"))
+
+
+@query("""SELECT DISTINCT trim(CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE ' ' || c_mktsegment END) AS model FROM customer WHERE c_custkey % 3 <> 0""")
+def configured_models(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), "c_mktsegment"))
+    return configs.models(table(spark, d, "customer").select(name.alias("m")), "m", "default-model")
+
+
+@query("""SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS n_records, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS n_models, (SELECT count(*) FROM events WHERE event_type = 'error') AS n_failures""")
+def health_counts(spark: SparkSession, d: str) -> DataFrame:
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    found = configs.models(table(spark, d, "customer"), "c_mktsegment", "default-model")
+    return count(_records(spark, d), "n_records").crossJoin(count(found, "n_models")).crossJoin(count(table(spark, d, "events").filter("event_type = 'error'"), "n_failures"))  # three single rows
+
+
+_KINDS = {"correspondents": ("supplier", "s_name", "s_suppkey", "l_suppkey"), "document_types": ("part", "p_type", "min(p_partkey)", "l_partkey"), "tags": ("part", "p_brand", "min(p_partkey)", "l_partkey"), "storage_paths": ("region", "r_name", "r_regionkey", "l_linenumber")}
+
+
+@query("WITH " + ", ".join(f"{k} AS (SELECT l_orderkey, string_agg(name, '|' ORDER BY l_linenumber, {c}) AS n FROM lineitem JOIN (SELECT {n} AS name, {i} AS id FROM {t}{' GROUP BY ' + n if 'min' in i else ''}) ON {c} = id WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey)" for k, (t, n, i, c) in _KINDS.items())
+       + " SELECT o_orderkey, '' AS title, " + ", ".join(f"coalesce({k}.n, '') AS {k}" for k in _KINDS) + " FROM orders " + " ".join(f"LEFT JOIN {k} ON {k}.l_orderkey = o_orderkey" for k in _KINDS))
+def named_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines hold the suggested ids; each fifth order has no suggestions."""
+    lines = table(spark, d, "lineitem").filter("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col(c).cast("long").alias("i")))), lambda x: x["i"])
+    suggested = lines.agg(*(in_order(c).alias(k) for k, (_, _, _, c) in _KINDS.items()))
+    regions = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    of = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name")
+    dimensions = of("correspondents", _suppliers(spark, d)).union(of("document_types", _types(spark, d))).union(of("tags", _tags(spark, d))).union(of("storage_paths", regions))
+    out = bridge.named_suggestions(table(spark, d, "orders"), suggested, dimensions, "o_orderkey", list(_KINDS))
+    return out.select("o_orderkey", "title", *(F.array_join(k, "|").alias(k) for k in _KINDS))
+
+
+@query(f"""SELECT doc_id, 'local-model' AS model, 'assistant' AS role, 'true' AS done, sha256({_TRIMMED}) AS content_sha256 FROM documents""")
+def chat_responses(spark: SparkSession, d: str) -> DataFrame:
+    body = bridge.chat_response(text.strip(F.col("text")), "local-model")
+    get = lambda path: F.get_json_object("body", path)
+    return _docs(spark, d).select("doc_id", body.alias("body")).select("doc_id", get("$.model").alias("model"), get("$.message.role").alias("role"), get("$.done").alias("done"), F.sha2(get("$.message.content"), 256).alias("content_sha256"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN n = '' THEN 'empty' WHEN n IN (SELECT s_name FROM supplier) THEN 'existing' ELSE 'new' END AS candidate_type
+FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN lower(s_name) ELSE s_name END AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)""")
+def candidate_types(spark: SparkSession, d: str) -> DataFrame:
+    s = _suppliers(spark, d)
+    k = F.col("l_linenumber") % 3
+    named = table(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("id"))
+    rows = named.select("l_orderkey", "l_linenumber", F.when(k == 0, "").when(k == 1, F.lower("name")).otherwise(F.col("name")).alias("candidate"))
+    return taxonomy.candidate_types(rows, s).drop("candidate")
+
+
+@query(f"""SELECT doc_id, length(k) AS content_chars_used, cut AS content_truncated, CASE WHEN length(k) > 0 THEN sha256('Draft for ' || {_DIMS_SQL} || ': ' || k) END AS prompt_sha256 FROM (
+SELECT doc_id, length(c) > 500 AS cut, CASE WHEN length(c) > 500 THEN substr(c, 1, 250) || chr(10) || chr(10) || '[... MIDDLE SECTION TRUNCATED ...]' || chr(10) || chr(10) || right(c, 250) ELSE c END AS k FROM (SELECT doc_id, {_TRIMMED} AS c FROM documents))""")
+def preview_prompts(spark: SparkSession, d: str) -> DataFrame:
+    draft = classify.preview(_docs(spark, d), _dims(spark, d), "Draft for {{ DOCUMENT_TYPES_JSON }}: {{ DOCUMENT_TEXT }}", 500, 0.5)
+    return draft.select("doc_id", "content_chars_used", "content_truncated", F.sha2("user_prompt", 256).alias("prompt_sha256"))
+
+
+_PROFILES = ["medium", "small", "tiny", "huge"]
+
+
+@query("""SELECT p_partkey, CASE WHEN p <> 'huge' THEN 'PP-OCRv6_' || p || '_det' END AS detection, CASE WHEN p <> 'huge' THEN 'PP-OCRv6_' || p || '_rec' END AS recognition, CASE WHEN p = 'huge' THEN 'unknown_profile' END AS error
+FROM (SELECT p_partkey, ['medium', 'small', 'tiny', 'huge'][p_partkey % 4 + 1] AS p FROM part)""")
+def profile_models(spark: SparkSession, d: str) -> DataFrame:
+    profile = F.get(F.array(*(F.lit(p) for p in _PROFILES)), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, d, "part").select("p_partkey", ocr.profile_models(profile).alias("m")).select("p_partkey", "m.*")
+
+
+@query("""SELECT i.doc_id, d.doc_id IS NOT NULL AS found, length(d.text) AS n_chars FROM (SELECT DISTINCT o_orderkey AS doc_id FROM orders) i LEFT JOIN documents d ON i.doc_id = d.doc_id""")
+def documents_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Order numbers stand for the ids that are asked for; most have no document."""
+    found = lookup(_docs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id")
+    return found.select("doc_id", "found", F.length("text").alias("n_chars"))
+
+
 @query("SELECT user_id, event_id, attempt, status, CASE WHEN status = 'waiting' THEN retry_after_seconds END AS retry_after_seconds FROM (" + _SCHEDULE + ")")
 def stream_retry_state(spark: SparkSession, d: str) -> DataFrame:
     base = f"{shared_dir(spark)}/docloom-stream-{uuid.uuid4().hex}"
     events = retry.read_events(spark, f"{d}/events.parquet*")
-    retry.run_available(retry.retry_states(events), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.schema(retry.OUT).parquet(f"{base}/out").select("user_id", "event_id", "attempt", "status", "retry_after_seconds")
+    work = retry.retry_batches(f"{base}/out", f"{base}/state", F.col("event_type") == "error", F.col("event_type") == "signup")
+    retry.run_available(events, work, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_id", "attempt", "status", "retry_after_seconds")

@@ -50,9 +50,11 @@ def route_candidates(rows: DataFrame, correspondents: DataFrame, candidate_col:
     return joined.select(*rows.columns, kind.alias("candidate_kind"), F.when(F.col("clean_") != "", F.col("canonical_")).alias("matched_existing"), F.when(kind == "new", F.col("clean_")).otherwise("").alias("pending"))
 
 
-def candidate_type(candidate: Column, correspondents: Column) -> Column:
-    """empty, existing or new, by the exact name."""
-    return F.when(F.coalesce(candidate, F.lit("")) == "", "empty").when(F.array_contains(correspondents, candidate), "existing").otherwise("new")
+def candidate_types(rows: DataFrame, correspondents: DataFrame, candidate_col: str = "candidate") -> DataFrame:
+    """rows with candidate_type: empty, existing or new, by the exact name."""
+    known = correspondents.select(F.col("name").alias("known_")).distinct()
+    kind = F.when(F.coalesce(F.col(candidate_col), F.lit("")) == "", "empty").when(F.col("known_").isNotNull(), "existing").otherwise("new")
+    return rows.join(known, rows[candidate_col] == F.col("known_"), "left").select(*rows.columns, kind.alias("candidate_type"))
 
 
 def first_spellings(rows: DataFrame, name_col: str, order_col: str) -> DataFrame:

@@ -19,6 +19,12 @@ def final_tags(tags: Column, managed: Column, chosen: Column, steering: Column)
     return F.array_sort(F.array_except(F.array_union(F.array_except(tags, managed), chosen), steering))
 
 
+def queue_tags(tags: Column, failed: Column, queue: int, error: int) -> Column:
+    """Tags after a run, a dry one too: the queue tag goes, the error tag marks a failure and goes otherwise."""
+    steering = F.array(F.lit(queue), F.lit(error)).cast("array<bigint>")
+    return F.when(failed, update_tags(tags, F.array(F.lit(error).cast("bigint")), steering)).otherwise(update_tags(tags, None, steering))
+
+
 def patch_columns() -> list[Column]:
     """What a patch holds: created only if it is set; a type or correspondent without name is cleared."""
     return [F.trim("title").alias("title"), F.col("document_type_id"), F.col("correspondent_id"), F.col("tag_ids"), F.when(F.col("created") != "", F.col("created")).alias("created")]

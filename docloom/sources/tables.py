@@ -45,3 +45,9 @@ def page_images(spark: SparkSession, path: str) -> DataFrame:
 def queue(docs: DataFrame, tag: int, most: int = 20, tags_col: str = "tags", order: tuple[str, str] = ("added", "id")) -> DataFrame:
     """The oldest documents that carry the queue tag."""
     return docs.filter(F.array_contains(tags_col, tag)).orderBy(*order).limit(most)
+
+
+def lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of the given ids, each once, and found: false for an id that has none."""
+    wanted = ids.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
+    return wanted.join(df.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -2,42 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from docloom.operators.recovery import DELAYS
+from docloom.operators import recovery
 
-OUT = "user_id long, event_id long, ts timestamp, attempt int, status string, retry_after_seconds int"
-STATE = "waiting int"
-RETRYABLE, FAILED = "error", "signup"
 
+def retry_batches(out: str, state: str, retryable: Column, failed: Column, key: str = "user_id", ts: str = "ts", tie: str = "event_id", delays: tuple[int, ...] = recovery.DELAYS) -> Callable[[DataFrame, int], None]:
+    """What to do with each micro-batch of attempts: their numbers and outcomes go to out/batch=N.
 
-def retry_states(attempts: DataFrame, delays: tuple[int, ...] = DELAYS) -> DataFrame:
-    """Each attempt (user_id, event_id, ts, event_type) with its number and outcome; state is kept by user_id.
-
-    State is one number: how many waits the open request has behind it. Attempts of a key must arrive in order
-    across batches; inside a batch they are sorted.
+    The state is a table of the keys that wait, written anew by each batch to one of two folders in turn: a batch reads
+    what the one before wrote, so one that is run again after a failure overwrites its own results with the same
+    rows. Window expressions do the counting, so Spark sorts and spills a frequent key. Attempts of a key must
+    arrive in order across batches; inside a batch they are sorted.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        number, status, wait = [], [], []
-        for kind in rows["event_type"]:
-            attempt = waiting + 1
-            again = kind == RETRYABLE and attempt <= len(delays)
-            number.append(attempt)
-            status.append("waiting" if again else "failed" if kind in (RETRYABLE, FAILED) else "idle")
-            wait.append(delays[attempt - 1] if again else None)
-            waiting = attempt if again else 0
-        state.update((waiting,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "attempt": number, "status": status, "retry_after_seconds": pd.array(wait, "Int32")})
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        waiting = f"`{key}` {batch.schema[key].dataType.simpleString()}, waiting int"
+        before = spark.read.schema(waiting).parquet(f"{state}/{(number - 1) % 2}") if number else spark.createDataFrame([], waiting)
+        joined = batch.join(before, key, "left")
+        scheduled = recovery.retry_schedule(joined, key, ts, tie, retryable, failed, delays, F.coalesce("waiting", F.lit(0))).drop("waiting")
+        scheduled.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done = spark.read.schema(scheduled.schema).parquet(f"{out}/batch={number}")
+        last = done.groupBy(key).agg(F.max_by(F.when(F.col("status") == "waiting", F.col("attempt")).otherwise(0), F.struct(ts, tie)).alias("waiting"))
+        after = before.join(last, key, "left_anti").unionByName(last.filter("waiting > 0"))
+        after.write.mode("overwrite").parquet(f"{state}/{number % 2}")
 
-    return attempts.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return work
 
 
 def read_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -46,9 +41,9 @@ def read_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all that is there, then stop; results go to Parquet files exactly once."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Process all that is there in batches, then stop."""
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def poll(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
