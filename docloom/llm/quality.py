@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bounded_batches, free_name, release_memory, store, text_blocks, utf8
-from .rolling import LOWER, Ranges, mix, owners, sums, word_spans
+from .rolling import LOWER, Ranges, owners, sums, word_spans
 
 #: Function words whose shares tell prose of a language from other text. Fixed values.
 COMMON_WORDS = (
@@ -85,7 +85,6 @@ def base_counts(data: np.ndarray, at: np.ndarray, words: tuple) -> dict[str, np.
     row = owners(ptr)
     ranges = Ranges(data)
     out = {"n_words": np.diff(ptr), "word_chars": np.bincount(row, span[end] - span[start], n).astype(np.int64), "n_symbols": np.diff(sums(_SYMBOLS[data])[at])}
-    salt = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     cuts = np.flatnonzero(data == 0x0A)  # lines; those without a word don't count
     line_start = np.sort(np.concatenate([at[:-1], cuts + 1]))
@@ -96,18 +95,17 @@ def base_counts(data: np.ndarray, at: np.ndarray, words: tuple) -> dict[str, np.
     full = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     full &= line_row < n
     line_start, line_end, line_row = line_start[full], line_end[full], line_row[full]
-    key = ranges.of(line_start, line_end) ^ salt[line_row]
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    out["n_dup_lines"] = np.bincount(line_row[order][1:][same], minlength=n).astype(np.int64)
+    line = line_row * (len(line_row) + 1) + ranges.classes(line_start, line_end)[1]
+    out["n_dup_lines"] = np.bincount(line_row, minlength=n) - np.bincount(np.unique(line) // (len(line_row) + 1), minlength=n)
 
     out["n_repeat_words"] = np.zeros(n, np.int64)
-    if len(start) >= 3:
-        h = ranges.of(start, end)
-        window = mix(h[:-2] * np.uint64(3) + mix(h[1:-1] * np.uint64(5) + mix(h[2:] * np.uint64(7)))) ^ salt[row[:-2]]
-        whole = np.flatnonzero(row[:-2] == row[2:])
-        key = window[whole]
-        order = np.argsort(key)
+    whole = np.flatnonzero(row[:-2] == row[2:])  # windows of three words of one text
+    if len(whole):
+        key = row[whole]
+        word = ranges.classes(start, end)[1]
+        for k in range(3):
+            key = np.unique(key * len(word) + word[whole + k], return_inverse=True)[1]
+        order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         twice = np.zeros(len(key), bool)
         twice[order[1:][same]] = True

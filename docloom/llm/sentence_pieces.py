@@ -147,7 +147,7 @@ class Lattice:
 
 
 class Units:
-    """Filtered units by their fingerprints, in one lattice that grows from block to block; emptied beyond MOST edges."""
+    """Filtered units by their bytes, in one lattice that grows from block to block; emptied beyond MOST edges."""
 
     MOST = 3_000_000
     _KINDS = {"upto": np.int64, "source": np.int32, "id": np.int32, "begin": np.int32, "first": np.int32, "last": np.int32}
@@ -158,7 +158,7 @@ class Units:
 
     def forget(self) -> None:
         """Begin anew."""
-        self._known, self._number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._known: dict[bytes, int] = {}
         self._room = {k: np.zeros(1024, kind) for k, kind in self._KINDS.items()}
         self._used = dict.fromkeys(self._KINDS, 0)
 
@@ -175,24 +175,23 @@ class Units:
             return self._room[name]
         raise AttributeError(name)
 
-    def of(self, h: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Numbers of the units text[start : start + size] with the distinct sorted fingerprints h."""
+    def of(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the distinct units text[start : start + size]."""
         if self._used["upto"] > self.MOST:
             self.forget()
-        i = np.searchsorted(self._known, h)
-        have = np.zeros(len(h), bool)
-        inside = i < len(self._known)
-        have[inside] = self._known[i[inside]] == h[inside]
-        new = np.flatnonzero(~have)
+        raw = text.tobytes()
+        unit = [raw[a : a + k] for a, k in zip(start.tolist(), size.tolist(), strict=True)]
+        number = np.array([self._known.get(u, -1) for u in unit], np.int64)
+        new = np.flatnonzero(number < 0)
         if len(new):
             at = sums(size[new])
             lattice = Lattice(text[np.arange(at[-1]) - np.repeat(at[:-1], size[new]) + np.repeat(start[new], size[new])], at, self.pieces)
             edges, nodes, units = (self._used[k] for k in ("upto", "begin", "first"))
             for name, values in (("upto", lattice.upto), ("source", lattice.source + nodes), ("id", lattice.id), ("begin", lattice.begin + edges), ("first", lattice.first + nodes), ("last", lattice.last + nodes)):
                 self._append(name, values)
-            self._known = np.insert(self._known, i[new], h[new])
-            self._number = np.insert(self._number, i[new], np.arange(units, units + len(new)))
-        return self._number[np.searchsorted(self._known, h)]
+            number[new] = np.arange(units, units + len(new))
+            self._known.update((unit[k], units + i) for i, k in enumerate(new.tolist()))
+        return number
 
 
 def sample(data: np.ndarray, at: np.ndarray, keys: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +204,8 @@ def sample(data: np.ndarray, at: np.ndarray, keys: np.ndarray, units: Units) ->
     cut[grown[:-1][full]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(text))
-    h, first, which = np.unique(Ranges(text).of(start, end), return_index=True, return_inverse=True)
-    number = units.of(h, text, start[first], (end - start)[first])[which]
+    first, which = Ranges(text).classes(start, end)
+    number = units.of(text, start[first], (end - start)[first])[which]
 
     ptr = np.searchsorted(start, grown)
     row = owners(ptr)

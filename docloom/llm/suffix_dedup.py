@@ -10,8 +10,9 @@ positions of a difference cover modulo v. So
 3. the buckets are sorted one at a time, by the fingerprint of min_length bytes; ties are repeated strings.
 
 What the removal needs of the order of suffixes is which of them tie, so fingerprints are sorted instead of
-bytes. Those of step 3 have 80 bits besides the bucket number, which comes from other bits: at 10^14 suffixes
-about 105 bits in all. Those of step 1 only rule suffixes out and have 32 bits besides the bucket number.
+bytes. Those of step 3 are a polynomial of the bytes modulo 2^61 - 1 and 16 bits of a second one: two different
+strings of 400 bytes agree in both for less than one of 2^66 choices of the points, whatever their structure.
+Those of step 1 only rule suffixes out and have 32 bits besides the bucket number.
 
 Texts are packed into chunks, and a chunk sends each bucket its distinct fingerprints only: a string that is
 frequent in the corpus costs a bucket at most one entry a chunk. Buckets answer with one bit an entry, in the

@@ -139,7 +139,8 @@ def pretoken_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Lexicon:
     """The lazily compiled transducer from pre-tokens to numbers of tokens."""
 
-    MOST = 4_000_000
+    #: Pre-tokens whose counts are kept, and their bytes at most.
+    MOST, LONGEST = 1_000_000, 64
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -159,7 +160,7 @@ class Lexicon:
         self.keys, self.rank, self.into = np.array(keys, np.int64)[order], order.astype(np.int64), np.array(into, np.int64)
         self.none = len(keys)
         self.special = [t["content"].encode() for t in spec["added_tokens"] if t["special"]]
-        self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.width + b
@@ -230,19 +231,15 @@ class Lexicon:
 
     def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token."""
-        h, first, which = np.unique(Ranges(data).of(start, end), return_index=True, return_inverse=True)
+        first, which = Ranges(data).classes(start, end)
         if len(self.known) > self.MOST:
-            self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        i = np.searchsorted(self.known, h)
-        have = np.zeros(len(h), bool)
-        inside = i < len(self.known)
-        have[inside] = self.known[i[inside]] == h[inside]
-        counts = np.zeros(len(h), np.int64)
-        counts[have] = self.counts[i[have]]
-        new = np.flatnonzero(~have)
+            self.known = {}
+        raw = data.tobytes()
+        unit = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        counts = np.array([self.known.get(u, -1) for u in unit], np.int64)
+        new = np.flatnonzero(counts < 0)
         counts[new] = self._compile(data, start[first[new]], end[first[new]])
-        self.known = np.insert(self.known, i[new], h[new])
-        self.counts = np.insert(self.counts, i[new], counts[new])
+        self.known.update((unit[k], n) for k, n in zip(new.tolist(), counts[new].tolist(), strict=True) if len(unit[k]) <= self.LONGEST)
         return counts[which]
 
 
