@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversations, divergence, html_text, minhash, mixing, pii, quality, sentence_pieces, suffix_dedup, token_counts, toxicity
+from . import ann, conversations, divergence, html_text, minhash, mixing, near_vectors, pii, quality, sentence_pieces, suffix_dedup, token_counts, toxicity
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_repairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
     "op11_source_divergence": op11_source_divergence,
+    "op12_near_vectors": op12_near_vectors,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
