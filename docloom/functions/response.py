@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import collapse, strip
 
 
 def parse(raw: Column) -> Column:
@@ -33,27 +33,31 @@ def last_day_of_month(created: Column) -> Column:
     return F.when(partial, F.date_format(F.last_day(month), "yyyy-MM-dd")).otherwise(clean)
 
 
-def fields(rows: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """rows with response_, a struct of what the response holds: parsed once, so that checks only read columns."""
+def fields(rows: DataFrame, raw_col: str = "raw", normalize: bool = False) -> DataFrame:
+    """rows with response_, a struct of what the response holds: parsed once, so that checks only read columns.
+
+    normalize: bring created into its form before anything judges it.
+    """
     value = F.col("response_value_")
     tags = F.try_variant_get(value, "$.tags", "array<variant>")
     texts = F.transform(tags, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
     found = F.struct(
         F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)).alias("is_object"),
-        *(text_field(value, n).alias(n) for n in ("title", "document_type", "correspondent", "created")),
+        *(text_field(value, n).alias(n) for n in ("title", "document_type", "correspondent")),
+        (last_day_of_month(text_field(value, "created")) if normalize else text_field(value, "created")).alias("created"),
         F.when(_kind(value, "$.tags").startswith("ARRAY"), texts).alias("tags"),
     )
     return rows.withColumn("response_value_", parse(F.col(raw_col))).withColumn("response_", found).drop("response_value_")
 
 
-def with_errors(rows: DataFrame, key: list[str], document_types: DataFrame, correspondents: DataFrame, content_tags: DataFrame, max_tags: int, raw_col: str = "raw") -> DataFrame:
+def with_errors(rows: DataFrame, key: list[str], document_types: DataFrame, correspondents: DataFrame, content_tags: DataFrame, max_tags: int, raw_col: str = "raw", normalize: bool = False) -> DataFrame:
     """rows with the struct response_ and errors: error codes in the order of the fields, empty if the response is valid.
 
     key names a row. The dimensions have a column name; names are checked by joins, tags one by one, so that the
     work grows with the rows and not with rows times names. Rows that repeat with their key are checked as one.
     """
     known = lambda df, name: df.filter(F.col("name").isNotNull()).select(F.col("name").alias(name)).distinct().withColumn(f"is_{name}", F.lit(True))
-    parsed = fields(rows, raw_col)
+    parsed = fields(rows, raw_col, normalize)
     r = F.col("response_")
     tags = parsed.filter(F.size(r["tags"]) > 0).select(*key, F.explode(r["tags"]).alias("tag_"))
     strange = tags.join(known(content_tags, "known_tag"), F.col("tag_") == F.col("known_tag"), "left").filter("is_known_tag IS NULL")
@@ -86,5 +90,5 @@ def correspondent_errors(raw: Column) -> Column:
     object_ = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     keys = F.json_object_keys(F.when(object_, raw))
     who = text_field(value, "correspondent")
-    code = F.when(~object_, "not_an_object").when(F.coalesce(F.array_sort(keys) != F.array(F.lit("correspondent")), F.lit(True)), "fields").when(who.isNull(), "not_a_string").when(F.length(who) > 255, "too_long")
+    code = F.when(~object_, "not_an_object").when(F.coalesce(F.array_sort(keys) != F.array(F.lit("correspondent")), F.lit(True)), "fields").when(who.isNull(), "not_a_string").when(F.length(collapse(who)) > 255, "too_long")
     return F.filter(F.array(code), lambda e: e.isNotNull())

@@ -1,8 +1,9 @@
-"""The classification job: prompt, model, verdict, second stage, routing, report, write-back and review record.
+"""The classification job: prompt, model, verdict, second stage, routing, report, write-back, tags and review record.
 
 A model is an expression over the prompt, such as a pandas UDF; the stub answers from the prompt by fixed rules and
 is no classifier. Answers are written once (see `written`) before anything branches on them, so that a model is
-asked once a document. Rows never fail: they carry error codes, and an empty content is one of them.
+asked once a document; prompts and texts are not written. Rows never fail: they carry error codes, and every
+document ends with one outcome and one list of tags (see operators/outcomes).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docloom.functions import prompt, response, text
-from docloom.operators import reviews, taxonomy, writeback
+from docloom.operators import outcomes, reviews, taxonomy, writeback
 from docloom.sources.tables import shared_dir
 
 TEMPLATE = "Describe the document below.\nTypes: {{ DOCUMENT_TYPES_JSON }}\nSenders: {{ CORRESPONDENTS_JSON }}\nTags:\n{{ TAGS_LINES }}\n\n{{ DOCUMENT_TEXT }}"
@@ -72,26 +74,28 @@ def classify(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int =
 
 def judge(answers: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, max_tags: int = 5) -> DataFrame:
     """answers (doc_id, raw, ...) with the parsed fields and the error codes. The dimensions have id and name."""
-    judged = response.with_errors(answers, ["doc_id"], types, correspondents, tags, max_tags)
+    judged = response.with_errors(answers, ["doc_id"], types, correspondents, tags, max_tags, normalize=True)
     r = F.col("response_")
     return judged.select(
         *answers.columns,
         *(r[n].alias(n) for n in ("title", "document_type", "correspondent")),
         F.coalesce(r["tags"], F.array().cast("array<string>")).alias("tags"),
-        response.last_day_of_month(r["created"]).alias("created"),
+        r["created"].alias("created"),
         F.when(F.col("raw").isNull(), F.array(F.lit("empty_content"))).otherwise(F.col("errors")).alias("errors"),
     )
 
 
-def second_stage(judged: DataFrame, correspondents: DataFrame, model: Model, enabled: bool = True) -> DataFrame:
+def second_stage(judged: DataFrame, docs: DataFrame, correspondents: DataFrame, model: Model, enabled: bool = True) -> DataFrame:
     """judged with fallback_status, candidate_kind and pending; a candidate that is a known name becomes the correspondent.
 
-    Only valid rows without a correspondent are asked; an error of this stage is a status and leaves the row valid.
+    Only valid rows without a correspondent are asked, with their texts from docs; an error of this stage is a status
+    and leaves the row valid.
     """
     valid = F.size("errors") == 0
     needed = valid & (F.coalesce("correspondent", F.lit("")) == "") & F.lit(enabled)
     content, _ = prompt.compact(F.col("text"), 12_000, 0.7)
-    asked = judged.withColumn("raw_sender_", F.when(needed, model(F.when(needed, prompt.render(SENDER_TEMPLATE, {"DOCUMENT_TEXT": content})))))
+    sent = docs.join(judged.filter(needed).select("doc_id"), "doc_id", "left_semi").withColumn("prompt_", prompt.render(SENDER_TEMPLATE, {"DOCUMENT_TEXT": content}))
+    asked = judged.join(sent.select("doc_id", model(F.col("prompt_")).alias("raw_sender_")), "doc_id", "left")
     asked = asked.withColumn("sender_errors_", F.when(needed, response.correspondent_errors(F.col("raw_sender_"))).otherwise(F.array().cast("array<string>")))
     found = F.when(needed & (F.size("sender_errors_") == 0), response.text_field(response.parse(F.col("raw_sender_")), "correspondent"))
     asked = asked.withColumn("candidate_", text.collapse(F.coalesce(found, F.lit(""))))
@@ -127,16 +131,31 @@ def apply(judged: DataFrame, current: DataFrame, types: DataFrame, correspondent
     return patches.select("doc_id", "error", *writeback.patch_columns())
 
 
-def run(docs: DataFrame, dims: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, current: DataFrame, model: Model, sender_model: Model, steering: list[int], max_tags: int = 5, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reports of all documents, patches of the valid ones, and their review records.
+class Outcome(NamedTuple):
+    """What a run leaves behind."""
 
-    A dry run makes reports only: patches and records are empty.
+    reports: DataFrame
+    patches: DataFrame
+    records: DataFrame
+    tags: DataFrame
+
+
+def run(docs: DataFrame, dims: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, current: DataFrame, model: Model, sender_model: Model, queue: int, error: int, max_tags: int = 5, dry_run: bool = False, generated_at: Column | None = None, types_now: DataFrame | None = None, correspondents_now: DataFrame | None = None) -> Outcome:
+    """Reports of all documents that got an answer, patches and review records of those that are applied, and the
+    tags of every document.
+
+    queue and error are the ids of the steering tags. The outcome of a document decides what it gets: see
+    outcomes.TRANSITIONS. generated_at: the records' time, now if not given. types_now, correspondents_now: the
+    dimensions as they are when answers take effect; a name that they lack by then ends a run.
     """
-    answers = written(ask(docs, dims, model), "answers")
-    judged = written(second_stage(judge(answers, types, correspondents, tags, max_tags), correspondents, sender_model), "judged")
-    reports = judged.select("doc_id", F.lit(dry_run).alias("dry_run"), "content_chars_used", "content_truncated", F.array_join("errors", ",").alias("validation_errors"), "fallback_status", "candidate_kind", "pending")
-    patches = apply(judged, current, types, correspondents, tags, steering)
-    records = reviews.review_records(judged.filter(F.size("errors") == 0), F.col("pending"))
-    if dry_run:
-        patches, records = patches.limit(0), records.limit(0)
-    return reports, patches, records
+    answers = written(ask(docs, dims, model).select("doc_id", "content_chars_used", "content_truncated", "raw", F.col("user_prompt").isNotNull().alias("asked")), "answers")
+    judged = written(second_stage(judge(answers, types, correspondents, tags, max_tags), docs, correspondents, sender_model), "judged")
+    patched = apply(judged, current, types if types_now is None else types_now, correspondents if correspondents_now is None else correspondents_now, tags, [queue, error])
+    gone = patched.select("doc_id", F.col("error").isNotNull().alias("gone_"))
+    ended = judged.join(gone, "doc_id", "left").withColumn("outcome", outcomes.outcome(F.col("asked"), F.col("raw"), F.col("errors"), dry_run, F.col("gone_")))
+    ended = written(ended.join(F.broadcast(outcomes.transitions(docs.sparkSession)), "outcome").drop("gone_", "raw"), "outcomes")
+    reports = ended.filter("has_report").select("doc_id", "outcome", "content_chars_used", "content_truncated", F.array_join("errors", ",").alias("validation_errors"), "fallback_status", "candidate_kind", "pending")
+    patches = patched.join(ended.filter("has_patch").select("doc_id"), "doc_id", "left_semi").drop("error")
+    recorded = docs.select("doc_id", "text").join(ended.filter("has_record").select("doc_id", "pending"), "doc_id")
+    records = reviews.storable(reviews.review_records(recorded, F.col("pending"), generated_at=generated_at))
+    return Outcome(reports, patches, records, outcomes.tag_lists(ended, current, patches, queue, error))

@@ -452,45 +452,70 @@ def classify_stub(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(_docs(spark, d), _dims(spark, d))
 
 
-# A document's part and supplier stand for what a model reads out of it.
-_CLASSIFIED = """WITH t AS (SELECT p_type AS name, min(p_partkey) AS id FROM part GROUP BY p_type), g AS (SELECT p_brand AS name, min(p_partkey) AS id FROM part GROUP BY p_brand),
-a AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 7 = 0 THEN 'Nothing' WHEN doc_id % 5 = 0 THEN '' ELSE p.p_type END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE s_name END AS who, s_name, p.p_brand AS tag, q.p_brand AS old_tag
-FROM documents JOIN part p ON p.p_partkey = doc_id % 200 JOIN part q ON q.p_partkey = (doc_id + 11) % 200 JOIN supplier ON s_suppkey = doc_id % 10),
-b AS (SELECT *, kind <> 'Nothing' AS good, kind <> 'Nothing' AND who = '' AS needed FROM a),
-c AS (SELECT *, CASE WHEN NOT good THEN 'skipped_main_invalid' WHEN NOT needed THEN 'not_needed' WHEN doc_id % 4 = 1 THEN 'invalid' WHEN doc_id % 4 = 2 THEN 'empty' ELSE 'candidate' END AS fallback_status FROM b)
-SELECT doc_id, fallback_status, CASE WHEN good THEN '' ELSE 'document_type_invalid' END AS validation_errors,
-CASE WHEN fallback_status <> 'candidate' THEN 'none' WHEN doc_id % 4 = 3 THEN 'existing' ELSE 'new' END AS candidate_kind,
-CASE WHEN fallback_status = 'candidate' AND doc_id % 4 = 0 THEN 'New ' || doc_id ELSE '' END AS pending,
-CASE WHEN good THEN 'Doc ' || doc_id END AS title, CASE WHEN good THEN t.id END AS document_type_id,
-CASE WHEN good AND (who <> '' OR (fallback_status = 'candidate' AND doc_id % 4 = 3)) THEN CAST(doc_id % 10 AS BIGINT) END AS correspondent_id,
-CASE WHEN good THEN array_to_string(list_sort([g.id, 1000000 + doc_id]), ',') END AS tag_ids,
-CASE WHEN good AND doc_id % 4 = 1 THEN '2024-02-29' END AS created, good AS has_record
-FROM c LEFT JOIN t ON kind = t.name LEFT JOIN g ON tag = g.name"""
+# A document's part and supplier stand for what a model reads out of it; its number decides what the model does with them.
+_JUDGED = f"""t AS (SELECT p_type AS name, min(p_partkey) AS id FROM part GROUP BY p_type), g AS (SELECT p_brand AS name, min(p_partkey) AS id FROM part GROUP BY p_brand),
+a AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE text END AS text, CASE WHEN doc_id % 7 = 0 THEN 'Nothing' WHEN doc_id % 5 = 0 THEN '' ELSE p.p_type END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE s_name END AS who, s_name, p.p_brand AS tag, q.p_brand AS old_tag,
+CASE WHEN doc_id % 4 = 1 THEN '2024-02-29' WHEN doc_id % 4 = 2 THEN '2024-03-01' WHEN doc_id % 12 = 7 THEN NULL ELSE '' END AS created
+FROM documents JOIN part p ON p.p_partkey = doc_id % 200 + 1 JOIN part q ON q.p_partkey = (doc_id + 11) % 200 + 1 JOIN supplier ON s_suppkey = doc_id % 10 + 1),
+b AS (SELECT *, array_to_string(list_filter([CASE WHEN kind = 'Nothing' THEN 'document_type_invalid' END, CASE WHEN created IS NULL THEN 'created_format' END], lambda x: x IS NOT NULL), ',') AS errors FROM a),
+c AS (SELECT *, CASE WHEN coalesce({_TRIMMED}, '') = '' THEN 'empty_content' WHEN doc_id % 11 < 2 THEN 'model_failed' WHEN errors <> '' THEN 'invalid' ELSE 'good' END AS stage FROM b)"""
+_CLASSIFIED = f"""WITH {_JUDGED},
+d AS (SELECT *, CASE WHEN stage = 'good' THEN CASE WHEN kind LIKE 'PROMO%' THEN 'name_gone' ELSE 'success' END ELSE stage END AS outcome, stage IN ('good', 'invalid') AS told,
+CASE WHEN stage = 'good' THEN CASE WHEN who <> '' THEN 'not_needed' WHEN doc_id % 4 = 1 THEN 'invalid' WHEN doc_id % 4 = 2 THEN 'empty' ELSE 'candidate' END ELSE 'skipped_main_invalid' END AS status FROM c),
+e AS (SELECT *, status = 'candidate' AND doc_id % 4 = 3 AS known, CASE WHEN status = 'candidate' AND doc_id % 4 = 0 THEN 'New ' || doc_id ELSE '' END AS fresh, outcome = 'success' AS done FROM d)
+SELECT doc_id, outcome, CASE WHEN told THEN errors END AS validation_errors, CASE WHEN told THEN status END AS fallback_status,
+CASE WHEN told THEN CASE WHEN status <> 'candidate' THEN 'none' WHEN known THEN 'existing' ELSE 'new' END END AS candidate_kind,
+CASE WHEN done THEN 'Doc ' || doc_id END AS title, CASE WHEN done THEN t.id END AS document_type_id,
+CASE WHEN done AND (who <> '' OR known) THEN CAST(doc_id % 10 + 1 AS BIGINT) END AS correspondent_id,
+CASE WHEN done AND created <> '' THEN created END AS created,
+array_to_string(CASE WHEN done THEN list_sort([g.id, 1000000 + doc_id]) ELSE list_sort([o.id, 1000000 + doc_id, 2000002]) END, ',') AS tag_ids,
+CASE WHEN done THEN fresh END AS correspondent_suggestion, CASE WHEN done THEN {_WEAK} END AS content_signature, CASE WHEN done THEN '2024-05-01T00:00:00Z' END AS generated_at
+FROM e LEFT JOIN t ON kind = t.name LEFT JOIN g ON tag = g.name LEFT JOIN g o ON old_tag = o.name"""
+_QUEUE, _ERROR = 2_000_001, 2_000_002
+
+
+def _job(spark: SparkSession, d: str, dry_run: bool) -> classify.Outcome:
+    """The whole job; the models answer by the document's number, in place of a language model. Types that begin with PROMO go while it runs."""
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    suppliers, n = _suppliers(spark, d), F.col("doc_id")
+    docs = _docs(spark, d).select("doc_id", F.when(n % 13 == 0, " ").otherwise(F.col("text")).alias("text"))
+    old = part.select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("old_tag"))
+    given = docs.join(part, F.col("p_partkey") == n % 200 + 1).join(old, F.col("q") == (n + 11) % 200 + 1).join(suppliers, F.col("id") == n % 10 + 1)
+    kind = F.when(n % 7 == 0, "Nothing").when(n % 5 == 0, "").otherwise(F.col("p_type"))
+    created = F.when(n % 4 == 1, "2024-02").when(n % 4 == 2, " 2024-03-01 ").when(n % 12 == 7, "2024-13").otherwise("")
+    answer = F.struct(F.concat(F.lit(" Doc "), n).alias("title"), kind.alias("document_type"), F.when(n % 3 == 0, "").otherwise(F.col("name")).alias("correspondent"), F.array("p_brand").alias("tags"), created.alias("created"))
+    raw = F.when(n % 11 == 0, None).when(n % 11 == 1, "no json").otherwise(F.to_json(answer))
+    sender = F.when(n % 4 == 1, "[]").when(n % 4 == 2, '{"correspondent":""}').when(n % 4 == 3, F.to_json(F.struct(F.upper("name").alias("correspondent")))).otherwise(F.to_json(F.struct(F.concat(F.lit("New  "), n).alias("correspondent"))))
+    docs = given.select("doc_id", "text", raw.alias("answer_"), sender.alias("sender_"), "old_tag")
+    tags = _tags(spark, d)
+    steering = F.when(n % 2 == 0, F.array(F.lit(_QUEUE), F.lit(_ERROR))).otherwise(F.array(F.lit(_QUEUE))).cast("array<bigint>")
+    current = docs.join(tags, F.col("old_tag") == F.col("name")).select("doc_id", F.concat(F.array(F.col("id"), n + 1_000_000), steering).alias("tag_ids"))
+    by_number = lambda c: lambda p: F.when(p.isNotNull(), F.col(c))
+    types = _types(spark, d)
+    return classify.run(docs.drop("old_tag"), _dims(spark, d), types, suppliers, tags, current, by_number("answer_"), by_number("sender_"), _QUEUE, _ERROR, dry_run=dry_run, generated_at=F.lit("2024-05-01T00:00:00Z"), types_now=types.filter("name NOT LIKE 'PROMO%'"))
 
 
 @query(_CLASSIFIED)
 def classify_and_apply(spark: SparkSession, d: str) -> DataFrame:
-    """The whole job; the models answer by the document's number, in place of a language model."""
-    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
-    suppliers = _suppliers(spark, d)
-    docs = _docs(spark, d).select("doc_id", "text")
-    old = part.select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("old_tag"))
-    given = docs.join(part, F.col("p_partkey") == F.col("doc_id") % 200).join(old, F.col("q") == (F.col("doc_id") + 11) % 200).join(suppliers, F.col("id") == F.col("doc_id") % 10)
-    kind = F.when(F.col("doc_id") % 7 == 0, "Nothing").when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("p_type"))
-    answer = F.struct(F.concat(F.lit(" Doc "), "doc_id").alias("title"), kind.alias("document_type"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("name")).alias("correspondent"), F.array("p_brand").alias("tags"), F.when(F.col("doc_id") % 4 == 1, "2024-02").otherwise("").alias("created"))
-    # The first answer has a whole date, as the check of answers wants one.
-    answer = answer.withField("created", F.when(F.col("doc_id") % 4 == 1, "2024-02-29").otherwise(""))
-    k = F.col("doc_id") % 4
-    sender = F.when(k == 1, "[]").when(k == 2, '{"correspondent":""}').when(k == 3, F.to_json(F.struct(F.upper("name").alias("correspondent")))).otherwise(F.to_json(F.struct(F.concat(F.lit("New  "), "doc_id").alias("correspondent"))))
-    docs = given.select("doc_id", "text", F.to_json(answer).alias("answer_"), sender.alias("sender_"), "old_tag")
-    tags, queue = _tags(spark, d), 2_000_001
-    current = docs.join(tags, F.col("old_tag") == F.col("name")).select("doc_id", F.array(F.col("id"), F.col("doc_id") + 1_000_000, F.lit(queue).cast("long")).alias("tag_ids"))
-    by_number = lambda c: lambda p: F.when(p.isNotNull(), F.col(c))
-    reports, patches, records = classify.run(docs.drop("old_tag"), _dims(spark, d), _types(spark, d), suppliers, tags, current, by_number("answer_"), by_number("sender_"), [queue])
-    patches = patches.filter("error IS NULL").select("doc_id", "title", "document_type_id", "correspondent_id", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"), "created")
-    records = records.select(F.col("document_id").alias("doc_id"), F.lit(True).alias("record_"))
-    out = reports.select("doc_id", "fallback_status", "validation_errors", "candidate_kind", "pending").join(patches, "doc_id", "left").join(records, "doc_id", "left")
-    return out.withColumn("has_record", F.coalesce("record_", F.lit(False))).drop("record_")
+    """What every document ends with: outcome and tags, and its report, patch and record if it has them."""
+    out = _job(spark, d, False)
+    tags = out.tags.select("doc_id", "outcome", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"))
+    reports = out.reports.select("doc_id", "validation_errors", "fallback_status", "candidate_kind")
+    patches = out.patches.select("doc_id", "title", "document_type_id", "correspondent_id", "created")
+    records = out.records.select(F.col("document_id").alias("doc_id"), "correspondent_suggestion", "content_signature", "generated_at")
+    return tags.join(reports, "doc_id", "left").join(patches, "doc_id", "left").join(records, "doc_id", "left")
+
+
+@query(f"""WITH {_JUDGED} SELECT doc_id, CASE WHEN stage = 'good' THEN 'dry_run' ELSE stage END AS outcome, CAST(stage IN ('good', 'invalid') AS INTEGER) AS n_reports, 0 AS n_patches, 0 AS n_records,
+array_to_string(list_sort([g.id, 1000000 + doc_id] || CASE WHEN stage = 'good' THEN [] ELSE [2000002] END), ',') AS tag_ids FROM c JOIN g ON old_tag = g.name""")
+def classify_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """A dry run leaves reports and takes every document out of the queue; metadata and records stay."""
+    out = _job(spark, d, True)
+    count = lambda df, key, name: df.groupBy(F.col(key).alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias(name))
+    rows = out.tags.select("doc_id", "outcome", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"))
+    for part in (count(out.reports, "doc_id", "n_reports"), count(out.patches, "doc_id", "n_patches"), count(out.records, "document_id", "n_records")):
+        rows = rows.join(part, "doc_id", "left")
+    return rows.fillna(0, ["n_reports", "n_patches", "n_records"])
 
 
 @query("""SELECT document_id, arg_max(content_signature, g) AS content_signature, max(g) AS generated_at FROM (SELECT doc_id AS document_id, 'old' || lang AS content_signature, '2024-01-0' || (1 + doc_id % 5) AS g FROM documents

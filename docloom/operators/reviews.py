@@ -9,6 +9,9 @@ from docloom.functions import text
 
 #: Longest candidate that a record may carry.
 MAX_CANDIDATE = 255
+#: Version of new records, and what is stored of one.
+VERSION = 4
+STORED = ("version", "document_id", "generated_at", "content_signature", "prompt_content_signature", "correspondent_suggestion")
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,12 +19,18 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(id_col, text.content_signature(F.col(text_col)).alias("content_signature"), text.prompt_content_signature(F.col(text_col)).alias("prompt_content_signature"))
 
 
-def review_records(docs: DataFrame, candidate: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def now_text() -> Column:
+    """The present time as records carry it."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def review_records(docs: DataFrame, candidate: Column | None = None, id_col: str = "doc_id", text_col: str = "text", generated_at: Column | None = None) -> DataFrame:
     """Records of the current version; a candidate that is too long makes an error instead of a record."""
     clean = text.collapse(candidate) if candidate is not None else F.lit("")
     return docs.select(
-        F.lit(4).alias("version"),
+        F.lit(VERSION).alias("version"),
         F.col(id_col).alias("document_id"),
+        (now_text() if generated_at is None else generated_at).alias("generated_at"),
         text.content_signature(F.col(text_col)).alias("content_signature"),
         text.prompt_content_signature(F.col(text_col)).alias("prompt_content_signature"),
         clean.alias("correspondent_suggestion"),
@@ -29,6 +38,11 @@ def review_records(docs: DataFrame, candidate: Column | None = None, id_col: str
     )
 
 
+def storable(records: DataFrame) -> DataFrame:
+    """The records without an error, in the columns that are stored."""
+    return records.filter("error IS NULL").select(*STORED)
+
+
 def latest_records(records: DataFrame) -> DataFrame:
     """One record a document: the one written last."""
     return records.groupBy("document_id").agg(F.max_by(F.struct(*(c for c in records.columns if c != "document_id")), "generated_at").alias("r")).select("document_id", "r.*")

@@ -1,6 +1,7 @@
 """Golden rows of the document-metadata operators."""
 
 import datetime
+import json
 import re
 import unicodedata
 
@@ -239,15 +240,59 @@ def test_profiles(spark):
     assert [(r.detection is None, r.error) for r in column(spark, ["small", "huge"], ocr.profile_models)] == [(False, None), (True, "unknown_profile")]
 
 
-def test_classification_of_empty_content_and_dry_run(spark):
+def job(spark, answers, dry_run=False, names_now=("T",)):
+    """The job over documents 1.. with the given raw answers; document 1000 has no content. Tags 98 and 99 steer."""
     names = lambda *n: spark.createDataFrame(list(enumerate(n, 1)), "id long, name string")
-    docs = spark.createDataFrame([(1, "Letter\nof today"), (2, " "), (3, None)], "doc_id long, text string")
-    dims = spark.createDataFrame([(["T"], ["S"], ["A"])], "document_types array<string>, correspondents array<string>, content_tags array<string>")
-    current = spark.createDataFrame([(1, [1, 50, 99])], "doc_id long, tag_ids array<long>")
-    args = (docs, dims, names("T"), names("S"), names("A"), current, classify.stub, lambda p: F.lit('{"correspondent":"s "}'), [99])
-    reports, patches, records = classify.run(*args)
-    assert {r.doc_id: (r.validation_errors, r.fallback_status) for r in reports.collect()} == {1: ("", "candidate"), 2: ("empty_content", "skipped_main_invalid"), 3: ("empty_content", "skipped_main_invalid")}
-    assert [(r.doc_id, r.title, r.correspondent_id, r.tag_ids, r.created) for r in patches.collect()] == [(1, "Letter", 1, [50], None)]
-    assert records.count() == 1
-    reports, patches, records = classify.run(*args, dry_run=True)
-    assert reports.count() == 3 and not patches.count() and not records.count()
+    rows = [(k, f"Letter {k}", a) for k, a in enumerate(answers, 1)] + [(1000, " \n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer string")
+    dims = spark.createDataFrame([(["T", "U"], ["S"], ["A"])], "document_types array<string>, correspondents array<string>, content_tags array<string>")
+    current = docs.select("doc_id", F.array(F.lit(1), F.lit(50), F.lit(98), F.lit(99)).cast("array<long>").alias("tag_ids"))
+    model, sender = (lambda p: F.when(p.isNotNull(), F.col("answer"))), (lambda p: F.lit('{"correspondent":"s "}'))
+    return classify.run(docs, dims, names("T", "U"), names("S"), names("A"), current, model, sender, 99, 98, dry_run=dry_run, generated_at=F.lit("2024-05-01T00:00:00Z"), types_now=names(*names_now))
+
+
+def answer(created="", kind="", tags=("A",)):
+    return json.dumps({"title": " X ", "document_type": kind, "correspondent": "", "tags": list(tags), "created": created})
+
+
+def test_answers_are_normalised_before_the_verdict(spark):
+    out = job(spark, [answer("2024-02"), answer(" 2024-02-03 "), answer("2023-2"), answer("2024-13"), answer("0000-01")])
+    assert {r.doc_id: r.validation_errors for r in out.reports.collect()} == {1: "", 2: "", 3: "created_format", 4: "created_format", 5: "created_format"}
+    assert {r.doc_id: r.created for r in out.patches.collect()} == {1: "2024-02-29", 2: "2024-02-03"}
+
+
+def test_every_document_ends_with_one_list_of_tags(spark):
+    answers = [answer(), answer(tags=["B"]), answer(kind="U"), "no json", "", None, "[1]"]
+    out = job(spark, answers)
+    assert {r.doc_id: (r.outcome, r.tag_ids) for r in out.tags.collect()} == {
+        1: ("success", [1, 50]),
+        2: ("invalid", [1, 50, 98]),
+        3: ("name_gone", [1, 50, 98]),  # U has gone since the prompt
+        4: ("model_failed", [1, 50, 98]),
+        5: ("model_failed", [1, 50, 98]),
+        6: ("model_failed", [1, 50, 98]),
+        7: ("invalid", [1, 50, 98]),
+        1000: ("empty_content", [1, 50, 98]),
+    }
+    assert sorted(r.doc_id for r in out.reports.collect()) == [1, 2, 3, 7]
+    assert [(r.doc_id, r.title, r.correspondent_id, r.tag_ids) for r in out.patches.collect()] == [(1, "X", 1, [1, 50])]
+    assert [(r.document_id, r.generated_at) for r in out.records.collect()] == [(1, "2024-05-01T00:00:00Z")]
+
+
+def test_dry_run_leaves_the_queue_and_nothing_else(spark):
+    out = job(spark, [answer(), answer(tags=["B"])], dry_run=True)
+    assert {r.doc_id: (r.outcome, r.tag_ids) for r in out.tags.collect()} == {1: ("dry_run", [1, 50]), 2: ("invalid", [1, 50, 98]), 1000: ("empty_content", [1, 50, 98])}
+    assert out.reports.count() == 2 and not out.patches.count() and not out.records.count()
+
+
+def test_the_jobs_records_can_be_stored(spark):
+    new = job(spark, [answer(), answer()]).records
+    old = new.filter("document_id = 1").withColumn("generated_at", F.lit("2024-01-01")).withColumn("correspondent_suggestion", F.lit("old"))
+    stored = reviews.upsert(old, new)
+    assert {(r.document_id, r.generated_at, r.correspondent_suggestion) for r in stored.collect()} == {(1, "2024-05-01T00:00:00Z", ""), (2, "2024-05-01T00:00:00Z", "")}
+    assert set(stored.columns) == set(reviews.STORED)
+
+
+def test_senders_collapse_before_their_length_counts(spark):
+    wide = json.dumps({"correspondent": "a" + " " * 300 + "b"})
+    assert column(spark, [wide, json.dumps({"correspondent": "a" * 256})], response.correspondent_errors) == [[], ["too_long"]]
