@@ -36,7 +36,7 @@ HELD = 200_000
 #: Shares are whole numbers of this many parts; count added to each term.
 PARTS, PRIOR = 1_000_000_000, 5
 #: Sources of a block, and entries (sources times terms) of a bucket.
-SOURCES, ENTRIES = 128, 1 << 20
+SOURCES, ENTRIES = 128, 1 << 15
 #: Up to this many groups are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 
