@@ -17,7 +17,7 @@ from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
 from docloom.sources.tables import lookup, queue, shared_dir, table
-from docloom.streaming import retry
+from docloom.streaming import polling, retry
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -474,8 +474,8 @@ FROM e LEFT JOIN t ON kind = t.name LEFT JOIN g ON tag = g.name LEFT JOIN g o ON
 _QUEUE, _ERROR = 2_000_001, 2_000_002
 
 
-def _job(spark: SparkSession, d: str, dry_run: bool) -> classify.Outcome:
-    """The whole job; the models answer by the document's number, in place of a language model. Types that begin with PROMO go while it runs."""
+def _job_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with the models' answers, by their number in place of a language model, and the tags they have."""
     part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     suppliers, n = _suppliers(spark, d), F.col("doc_id")
     docs = _docs(spark, d).select("doc_id", F.when(n % 13 == 0, " ").otherwise(F.col("text")).alias("text"))
@@ -490,15 +490,20 @@ def _job(spark: SparkSession, d: str, dry_run: bool) -> classify.Outcome:
     tags = _tags(spark, d)
     steering = F.when(n % 2 == 0, F.array(F.lit(_QUEUE), F.lit(_ERROR))).otherwise(F.array(F.lit(_QUEUE))).cast("array<bigint>")
     current = docs.join(tags, F.col("old_tag") == F.col("name")).select("doc_id", F.concat(F.array(F.col("id"), n + 1_000_000), steering).alias("tag_ids"))
+    return docs.drop("old_tag"), current
+
+
+def _job(spark: SparkSession, d: str, docs: DataFrame, current: DataFrame, dry_run: bool = False) -> classify.Outcome:
+    """The whole job. Types that begin with PROMO go while it runs."""
     by_number = lambda c: lambda p: F.when(p.isNotNull(), F.col(c))
     types = _types(spark, d)
-    return classify.run(docs.drop("old_tag"), _dims(spark, d), types, suppliers, tags, current, by_number("answer_"), by_number("sender_"), _QUEUE, _ERROR, dry_run=dry_run, generated_at=F.lit("2024-05-01T00:00:00Z"), types_now=types.filter("name NOT LIKE 'PROMO%'"))
+    return classify.run(docs, _dims(spark, d), types, _suppliers(spark, d), _tags(spark, d), current, by_number("answer_"), by_number("sender_"), _QUEUE, _ERROR, dry_run=dry_run, generated_at=F.lit("2024-05-01T00:00:00Z"), types_now=types.filter("name NOT LIKE 'PROMO%'"))
 
 
 @query(_CLASSIFIED)
 def classify_and_apply(spark: SparkSession, d: str) -> DataFrame:
     """What every document ends with: outcome and tags, and its report, patch and record if it has them."""
-    out = _job(spark, d, False)
+    out = _job(spark, d, *_job_documents(spark, d))
     tags = out.tags.select("doc_id", "outcome", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"))
     reports = out.reports.select("doc_id", "validation_errors", "fallback_status", "candidate_kind")
     patches = out.patches.select("doc_id", "title", "document_type_id", "correspondent_id", "created")
@@ -510,7 +515,7 @@ def classify_and_apply(spark: SparkSession, d: str) -> DataFrame:
 array_to_string(list_sort([g.id, 1000000 + doc_id] || CASE WHEN stage = 'good' THEN [] ELSE [2000002] END), ',') AS tag_ids FROM c JOIN g ON old_tag = g.name""")
 def classify_dry_run(spark: SparkSession, d: str) -> DataFrame:
     """A dry run leaves reports and takes every document out of the queue; metadata and records stay."""
-    out = _job(spark, d, True)
+    out = _job(spark, d, *_job_documents(spark, d), dry_run=True)
     count = lambda df, key, name: df.groupBy(F.col(key).alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias(name))
     rows = out.tags.select("doc_id", "outcome", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"))
     for part in (count(out.reports, "doc_id", "n_reports"), count(out.patches, "doc_id", "n_patches"), count(out.records, "document_id", "n_records")):
@@ -518,6 +523,31 @@ def classify_dry_run(spark: SparkSession, d: str) -> DataFrame:
     return rows.fillna(0, ["n_reports", "n_patches", "n_records"])
 
 
+@query(f"""WITH {_JUDGED}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id) > 2 * ((count(*) OVER () + 2) // 3) AS late, stage = 'good' AND kind NOT LIKE 'PROMO%' AS done FROM c)
+SELECT doc_id, array_to_string(list_sort(CASE WHEN done THEN [g.id, 1000000 + doc_id] ELSE [o.id, 1000000 + doc_id, 2000002] END || CASE WHEN doc_id % 2 = 1 THEN [2000003] ELSE [] END), ',') AS tag_ids,
+done AND (late OR doc_id % 2 = 1) AS has_record FROM n LEFT JOIN g ON tag = g.name LEFT JOIN g o ON old_tag = o.name""")
+def polling_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Three beats, half an hour and an hour and a half apart, take all documents through the job, a third each; records are pruned every hour.
+
+    Documents with odd numbers are in the inbox.
+    """
+    docs, current = _job_documents(spark, d)
+    inbox = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(2_000_003))).otherwise(F.array().cast("array<int>")).cast("array<bigint>")
+    base = classify.written(current.select("doc_id", F.timestamp_seconds("doc_id").alias("added"), F.concat("tag_ids", inbox).alias("tag_ids")), "base")
+    folder = f"{shared_dir(spark)}/docloom-loop-{uuid.uuid4().hex}"
+    for minute in (0, 30, 120):
+        spark.range(1).select(F.timestamp_seconds(F.lit(minute * 60)).alias("timestamp")).coalesce(1).write.parquet(f"{folder}/beats/{minute:03}")
+
+    def process(session: SparkSession, due: DataFrame) -> polling.Work:
+        out = _job(session, d, docs.join(due.select("doc_id"), "doc_id", "left_semi"), due.select("doc_id", "tag_ids"))
+        return polling.Work(out.tags, out.records)
+
+    loop = polling.Loop(f"{folder}/loop", lambda session: base, process, polling.Settings(_QUEUE, _ERROR, 2_000_003, -(-base.count() // 3)))
+    loop.start(polling.beats_of(spark, f"{folder}/beats/*")).awaitTermination()
+    kept = loop.records(spark, 3).select(F.col("document_id").alias("doc_id"), F.lit(True).alias("r_"))
+    return loop.tags(spark, 3).join(kept, "doc_id", "left").select("doc_id", F.concat_ws(",", F.array_sort("tag_ids").cast("array<string>")).alias("tag_ids"), F.coalesce("r_", F.lit(False)).alias("has_record"))
+
+
 @query("""SELECT document_id, arg_max(content_signature, g) AS content_signature, max(g) AS generated_at FROM (SELECT doc_id AS document_id, 'old' || lang AS content_signature, '2024-01-0' || (1 + doc_id % 5) AS g FROM documents
 UNION ALL SELECT doc_id, 'new' || lang, '2024-01-03x' FROM documents WHERE doc_id % 2 = 0) GROUP BY document_id""")
 def upsert_review_records(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Retry state over a stream of attempts, and the polling loop as a stream."""
+"""Retry state over a stream of attempts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 from docloom.operators import recovery
 
@@ -44,8 +43,3 @@ def read_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
 def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process all that is there in batches, then stop."""
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def poll(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
-    """The polling loop: work on each batch of new documents. Failures of single documents are rows with errors, so a batch goes on."""
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
