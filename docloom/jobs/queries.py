@@ -17,7 +17,7 @@ from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
 from docloom.sources.tables import lookup, queue, shared_dir, table
-from docloom.streaming import polling, retry
+from docloom.streaming import polling, retry, waits
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -594,10 +594,13 @@ def _scheduled(spark: SparkSession, d: str, attempts: str = "true") -> DataFrame
     return recovery.retry_schedule(events.filter(attempts), "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup")
 
 
-@query(f"""WITH v AS (SELECT user_id, ts AS asked FROM events WHERE event_type = 'view'),
+_WAITS = f"""WITH v AS (SELECT user_id, ts AS asked FROM events WHERE event_type = 'view'),
 s AS (SELECT a.user_id, a.event_id, e.ts, a.status, lead(e.ts) OVER (PARTITION BY a.user_id ORDER BY e.ts, a.event_id) AS next_ts, e.ts + to_seconds(a.retry_after_seconds) AS due FROM ({_ATTEMPTS}) a JOIN events e USING (event_id)),
 f AS (SELECT s.user_id, s.event_id, s.due, min(asked) AS asked FROM s LEFT JOIN v ON s.user_id = v.user_id AND asked >= s.ts AND asked < s.due AND (next_ts IS NULL OR asked < next_ts) WHERE status = 'waiting' GROUP BY ALL)
-SELECT user_id, event_id, coalesce(asked, due) AS ended_at, CASE WHEN asked IS NULL THEN 'deadline' ELSE 'trigger' END AS ended_by FROM f""")
+SELECT user_id, event_id, coalesce(asked, due) AS ended_at, CASE WHEN asked IS NULL THEN 'deadline' ELSE 'trigger' END AS ended_by FROM f"""
+
+
+@query(_WAITS)
 def recovery_waits(spark: SparkSession, d: str) -> DataFrame:
     """Views ask for a retry at once; all other events are attempts."""
     asked = table(spark, d, "events").filter("event_type = 'view'")
@@ -735,6 +738,26 @@ def documents_by_id(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "found", F.length("text").alias("n_chars"))
 
 
+@query(_WAITS)
+def stream_recovery_waits(spark: SparkSession, d: str) -> DataFrame:
+    """recovery_waits as a stateful stream: the events come in three files by time, and a tick a day later lets all timers fire."""
+    events = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    folder = f"{shared_dir(spark)}/docloom-waits-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()  # two values
+    if first is None:
+        return events.select("user_id", "event_id", F.col("ts").alias("ended_at"), F.col("event_type").alias("ended_by"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    part = F.least(F.lit(2), F.floor((micros(F.col("ts")) - micros(F.lit(first))) * 3 / (micros(F.lit(last)) - micros(F.lit(first)) + 1)))
+    kind = F.when(F.col("event_type") == "view", waits.TRIGGER).when(F.col("event_type") == "error", waits.RETRYABLE).when(F.col("event_type") == "tick", waits.TICK).otherwise(waits.ENDED)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    tick = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), (F.lit(last) + F.expr("INTERVAL 1 DAY")).cast(events.schema["ts"].dataType).alias("ts"), F.lit("tick").alias("event_type"))
+    for number, rows in enumerate([*(events.filter(part == k) for k in range(3)), tick]):
+        rows.coalesce(1).write.parquet(f"{folder}/in/{number}")
+        ended = waits.ended_waits(stream, "user_id", "ts", "event_id", kind)  # started anew for each file, as after a crash
+        waits.write(ended, folder).awaitTermination()
+    return spark.read.schema(ended.schema).parquet(f"{folder}/out")
+
+
 @query("SELECT user_id, event_id, attempt, status, CASE WHEN status = 'waiting' THEN retry_after_seconds END AS retry_after_seconds FROM (" + _SCHEDULE + ")")
 def stream_retry_state(spark: SparkSession, d: str) -> DataFrame:
     base = f"{shared_dir(spark)}/docloom-stream-{uuid.uuid4().hex}"
