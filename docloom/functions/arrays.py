@@ -13,11 +13,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def places(items: Column, test: Callable[[Column, Column], Column]) -> Column:
-    """The indexes (from 0) at which test(item, index) holds."""
-    return F.filter(F.transform(items, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
-
-
 #: Items of a block in sums_before.
 BLOCK = 64
 

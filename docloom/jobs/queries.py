@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import configs, prompt, response, text
 from docloom.functions.arrays import let
 from docloom.jobs import classify
-from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
+from docloom.operators import bridge, geometry, ocr, recovery, reviews, taxonomy, writeback
 from docloom.sources.tables import lookup, queue, shared_dir, table
 from docloom.streaming import polling, retry, waits
 
@@ -348,7 +348,7 @@ def merge_tokens_to_words(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.transform(pieces, lambda t, i: F.struct(t.alias("token"), number(i).alias("left"), F.lit(0.0).alias("top"), number(i + 1).alias("right"), F.lit(1.0).alias("bottom")))
     total = lambda z: F.aggregate(z, F.lit(0).cast("long"), lambda a, n: a + n)
     figures = lambda z: F.struct(F.size(z).cast("long").alias("n_words"), total(z).alias("n_chars"), F.array_max(z).alias("longest"))
-    sizes = F.transform(ocr.merge_tokens(tokens), lambda w: F.length(w["word"]))
+    sizes = F.transform(geometry.merge_tokens(tokens), lambda w: F.length(w["word"]))
     return _docs(spark, d).select("doc_id", F.inline(let(sizes, lambda z: F.when(F.size(z) > 0, F.array(figures(z))))))
 
 
@@ -360,7 +360,7 @@ def estimate_word_boxes(spark: SparkSession, d: str) -> DataFrame:
     lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # The edges are rounded away from ties, which engines round differently.
     lines = lines.withColumn("left", F.lit(10.0)).withColumn("right", 10.0 + 8.0 * F.length("line"))
-    return ocr.estimate_boxes(lines, ["doc_id", "line_no"], "line").select("doc_id", "line_no", F.col("at").alias("word_no"), "word", F.round(F.col("right") + 0.000123, 3).alias("right_edge"))
+    return geometry.estimate_boxes(lines, ["doc_id", "line_no"], "line").select("doc_id", "line_no", F.col("at").alias("word_no"), "word", F.round(F.col("right") + 0.000123, 3).alias("right_edge"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, len(regexp_extract_all(line, '[^\s]+')) AS n FROM l WHERE regexp_matches(line, '[^\s]'))
@@ -373,13 +373,16 @@ def ocr_tree_rows(spark: SparkSession, d: str) -> DataFrame:
 def _elements(spark: SparkSession, d: str) -> DataFrame:
     """The element trees of the documents as pages: lines of 16 at a distance of 20, characters of 8."""
     number = lambda x: x.cast("double")
-    line = lambda x, i: F.struct(x.alias("text"), F.lit(0.9).alias("score"), F.lit(10.0).alias("left"), number(20 * i).alias("top"), number(10 + 8 * F.length(x)).alias("right"), number(20 * i + 16).alias("bottom"))
-    return ocr.element_rows(_docs(spark, d).select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines")), ["doc_id"])
+    no_words = F.lit(None).cast("array<struct<text:string,left:double,top:double,right:double,bottom:double>>").alias("words")
+    line = lambda x, i: F.struct(x.alias("text"), F.lit(0.9).alias("score"), F.lit(10.0).alias("left"), number(20 * i).alias("top"), number(10 + 8 * F.length(x)).alias("right"), number(20 * i + 16).alias("bottom"), no_words)
+    pages = _docs(spark, d).select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
+    sized = pages.withColumn("width", F.lit(900.0)).withColumn("height", 20.0 * F.size("lines") + 5).withColumn("dpi", F.lit(300.0)).withColumn("page_number", F.col("doc_id").cast("int"))
+    return geometry.element_rows(sized, ["doc_id"])
 
 
-@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-k AS (SELECT doc_id, i, line, 10 + 8 * length(line) AS edge, regexp_extract_all(line, '[^\s]+') AS w FROM l WHERE regexp_matches(line, '[^\s]'))
-SELECT doc_id, min(20 * i)::DOUBLE AS page_top, max(20 * i + 16)::DOUBLE AS page_bottom, max(edge)::DOUBLE AS page_right, sum(edge - 10)::DOUBLE AS line_widths, sum(len(w))::BIGINT AS n_words, sum(edge)::DOUBLE AS last_edges FROM k GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS line, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, i, line, n, 10 + 8 * length(line) AS edge, regexp_extract_all(line, '[^\s]+') AS w FROM l WHERE regexp_matches(line, '[^\s]'))
+SELECT doc_id, 0.0::DOUBLE AS page_top, (20 * max(n) + 5)::DOUBLE AS page_bottom, 900.0::DOUBLE AS page_right, sum(edge - 10)::DOUBLE AS line_widths, sum(len(w))::BIGINT AS n_words, sum(edge)::DOUBLE AS last_edges FROM k GROUP BY doc_id""")
 def ocr_tree_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of the page, its lines, and the right edges of the lines' last words."""
     rows = _elements(spark, d)
@@ -390,6 +393,51 @@ def ocr_tree_boxes(spark: SparkSession, d: str) -> DataFrame:
     return boxes.join(ends, "doc_id")
 
 
+def _engine_results(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as the result of an engine, in JSON: shapes of polygons and scores change from line to line, each sixth line has tokens."""
+    at = lambda i, n: F.concat_ws(",", *(x.cast("string") for x in (F.lit(10), 20 * i, 10 + 8 * n, 20 * i + 16)))
+
+    def polygon(line: Column, i: Column) -> Column:
+        right, bottom = (10 + 8 * F.length(line)).cast("string"), (20 * i + 16).cast("string")
+        top = (20 * i).cast("string")
+        corners = F.concat(F.lit("[10,"), top, F.lit("],["), right, F.lit(","), top, F.lit('],["x",1],null,['), right, F.lit(","), bottom, F.lit("]"))
+        return (
+            F.when(i % 6 == 1, F.concat(F.lit("["), corners, F.lit(',["10",'), bottom, F.lit(",7]]")))  # one bad point, one without number, digits as text
+            .when(i % 6 == 2, F.concat(F.lit("["), corners, F.lit("]")))  # three points
+            .when(i % 6 == 4, F.concat(F.lit("["), corners, F.lit(",[10,"), bottom, F.lit("],[10,"), top, F.lit("]]")))
+            .otherwise(F.concat(F.lit("["), at(i, F.length(line)), F.lit("]")))
+        )
+
+    score = lambda _, i: F.when(i % 6 == 1, '"0.25"').when(i % 6 == 3, '"high"').when(i % 6 == 4, "7").otherwise("0.5")
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(r"([^\s]+|\s+)"), 1)
+    words = lambda x, i: F.when(i % 6 == 5, F.to_json(pieces(x))).otherwise("[]")
+    token = lambda i: lambda _, j: F.concat(F.lit("["), F.concat_ws(",", j.cast("string"), (20 * i).cast("string"), (j + 1).cast("string"), (20 * i + 16).cast("string")), F.lit("]"))
+    boxes = lambda x, i: F.when(i % 6 == 5, F.concat(F.lit("["), F.array_join(F.transform(pieces(x), token(i)), ","), F.lit("]"))).otherwise("[]")
+    listed = lambda f: F.array_join(F.transform("x", f), ",")
+    n = F.col("doc_id")
+    dpi = F.when(n % 3 == 0, "300").when(n % 3 == 1, "[300,100]").otherwise('["x",96]')
+    rows = _docs(spark, d).filter("text IS NOT NULL").withColumn("x", F.split("text", "\n"))
+    parts = [F.lit('{"width":'), F.when(n % 17 == 0, "0").otherwise("900"), F.lit(',"height":1000,"page_number":3,"dpi":'), dpi, F.lit(',"page":{"rec_texts":'), F.to_json("x")]
+    for name, f in (("rec_scores", score), ("rec_polys", polygon), ("text_word", words), ("text_word_boxes", boxes)):
+        parts += [F.lit(f',"{name}":['), listed(f), F.lit("]")]
+    return rows.select("doc_id", F.concat(*parts, F.lit("}}")).alias("raw"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id % 17 <> 0)),
+k AS (SELECT doc_id, i, 8.0 * length(line) AS width, CASE WHEN i % 6 = 1 THEN 0.25 WHEN i % 6 = 3 THEN 0 WHEN i % 6 = 4 THEN 1 ELSE 0.5 END AS score, len(regexp_extract_all(line, '[^\s]+')) AS n,
+  CASE WHEN i % 6 = 5 THEN coalesce(list_sum(list_transform(regexp_extract_all(line, '[^\s]+|\s+'), lambda t, j: CASE WHEN regexp_matches(t, '[^\s]') THEN j - 1 ELSE 0 END)), 0) ELSE 0 END AS places FROM l WHERE regexp_matches(line, '[^\s]') AND i % 6 <> 2)
+SELECT d.doc_id, CASE WHEN d.doc_id % 17 = 0 THEN 'page_size' END AS error, CASE WHEN d.doc_id % 3 = 0 THEN 300.0 WHEN d.doc_id % 3 = 1 THEN 200.0 ELSE 96.0 END::DOUBLE AS dpi, count(i) AS n_lines, coalesce(sum(n), 0)::BIGINT AS n_words,
+coalesce(sum(score), 0)::DOUBLE AS scores, coalesce(sum(width), 0)::DOUBLE AS line_widths, coalesce(sum(places), 0)::DOUBLE AS given_places FROM documents d LEFT JOIN k USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
+def ocr_engine_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Results of an engine as elements: lines kept, their scores and widths, and the places of given words."""
+    pages = classify.written(geometry.read_pages(_engine_results(spark, d), ["doc_id"]), "pages")
+    rows = geometry.element_rows(pages, ["doc_id"])
+    line, word = F.col("ocr_class") == "ocr_line", F.col("ocr_class") == "ocrx_word"
+    sums = lambda test, value, name: F.coalesce(F.sum(F.when(test, value)), F.lit(0)).alias(name)
+    figures = rows.groupBy("doc_id").agg(sums(line, F.lit(1), "n_lines"), sums(word, F.lit(1), "n_words"), sums(line, F.col("confidence"), "scores"), sums(line, F.col("right") - F.col("left"), "line_widths"), sums(word & (F.col("top") / 20 % 6 == 5), F.col("left"), "given_places"))
+    return pages.select("doc_id", "error", "dpi").join(figures, "doc_id", "left").fillna(0)
+
+
 @query(r"""SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS text_sha256 FROM documents""")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.sha2(ocr.page_text(F.split("text", "\n")), 256).alias("text_sha256"))

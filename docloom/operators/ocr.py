@@ -1,14 +1,11 @@
-"""OCR geometry: polygons, boxes, words from tokens, element rows, page texts, languages."""
+"""OCR: rectangles, page texts and sizes, languages, errors. What an engine returns is read in geometry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.functions.arrays import let, places, sums_before
 
 #: Language codes and what they stand for. Fixed values.
 LANGUAGES = {
@@ -44,112 +41,12 @@ def bounds(poly: Column) -> Column:
     return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
 
 
-def merge_tokens(tokens: Column) -> Column:
-    """The words of a line: runs of tokens that aren't white space, each with its place and the box around it.
-
-    tokens: array<struct<token, left, top, right, bottom>> in order (null sides: a bad box, whose token is left out
-    without ending the word; a word of such tokens only is left out). The result is an array of structs at (the
-    first token's index among the tokens that aren't empty), word, left, top, right, bottom. Everything stays
-    within the row: no shuffle.
-    """
-
-    def words(items: Column) -> Column:
-        return let(F.transform(items, lambda t: text.strip(t["token"]) != ""), lambda full: runs(items, full))
-
-    def runs(items: Column, full: Column) -> Column:
-        solid = lambda i: F.coalesce(F.get(full, i), F.lit(False))
-        first = places(items, lambda _, i: solid(i) & ~((i > 0) & solid(i - 1)))
-        last = places(items, lambda _, i: solid(i) & ~solid(i + 1))
-
-        def word(a: Column, b: Column) -> Column:
-            at = F.transform(F.slice(items, a + 1, b - a + 1), lambda t, i: F.struct((a + i).alias("i"), t.alias("t")))
-            return let(F.filter(at, lambda x: x["t"]["left"].isNotNull()), box)
-
-        def box(parts: Column) -> Column:
-            side = lambda name, best: best(F.transform(parts, lambda x: x["t"][name])).alias(name)
-            joined = F.array_join(F.transform(parts, lambda x: x["t"]["token"]), "")
-            return F.struct(F.get(parts, F.lit(0))["i"].alias("at"), joined.alias("word"), side("left", F.array_min), side("top", F.array_min), side("right", F.array_max), side("bottom", F.array_max))
-
-        return F.filter(F.zip_with(first, last, word), lambda w: w["at"].isNotNull())
-
-    return let(F.filter(tokens, lambda t: F.coalesce(t["token"], F.lit("")) != ""), words)
-
-
 def prefer_line_words(words: Column, line: Column) -> Column:
     """The line's own words in place of token texts where their number agrees."""
     own = F.filter(F.split(text.collapse(line), " "), lambda w: w != "")
     return F.when(F.size(own) == F.size(words), own).otherwise(words)
 
 
-def estimate_boxes(lines: DataFrame, line: list[str], line_col: str, left: str = "left", right: str = "right") -> DataFrame:
-    """The words of each line with left and right: they share its width by their length, at least 1 each; the last ends at the right edge.
-
-    An edge is never right of the line's, and as no word has negative width that is the running sum, cut once.
-    """
-    split = lines.select(*line, left, right, F.filter(F.split(text.collapse(F.col(line_col)), " "), lambda w: w != "").alias("words"))
-    split = split.withColumn("total", F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w))).withColumn("last", F.size("words") - 1)
-    words = split.select(*line, F.col(left).cast("double").alias("x0"), F.col(right).cast("double").alias("x1"), "total", "last", F.posexplode("words").alias("at", "word"))
-    share = F.greatest(F.lit(1.0), F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")) * F.length("word") / F.col("total"))
-    order = Window.partitionBy(*line).orderBy("at")
-    upto = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    edges = words.withColumn("share", share).withColumn("right", F.when(F.col("at") == F.col("last"), F.col("x1")).otherwise(F.least("x1", F.col("x0") + upto)))
-    return edges.select(*line, "at", "word", F.coalesce(F.lag("right").over(order), "x0").alias("left"), "right")
-
-
-def element_rows(pages: DataFrame, key: list[str]) -> DataFrame:
-    """The element tree of each page as rows: key, line_no (null for the page), word_no (null above words),
-    ocr_class, text, confidence, and the box left, top, right, bottom.
-
-    pages: key and lines, array<struct<text, score, left, top, right, bottom>>. Lines without text make no
-    elements. An area, a paragraph and a line have the line's box, its words share its width by their length,
-    and the page's box is around its lines. The tree is built within the row and exploded once.
-    """
-    kind = "array<struct<line_no:int,word_no:int,ocr_class:string,text:string,confidence:double,left:double,top:double,right:double,bottom:double>>"
-    sides = ("left", "top", "right", "bottom")
-
-    def element(name: str, line_no: Column, word_no: Column, word: Column, score: Column, box: tuple[Column, ...]) -> Column:
-        return F.struct(line_no.cast("int").alias("line_no"), word_no.cast("int").alias("word_no"), F.lit(name).alias("ocr_class"), word.cast("string").alias("text"), score.cast("double").alias("confidence"), *(b.cast("double").alias(s) for b, s in zip(box, sides, strict=True)))
-
-    none = F.lit(None)
-
-    def of_line(line: Column, i: Column) -> Column:
-        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(line["score"], F.lit(0.0))))
-        box = tuple(line[s] for s in sides)
-        above = F.array(*(element(name, i, none, none, score, box) for name in ("ocr_carea", "ocr_par", "ocr_line")))
-
-        def of_words(words: Column) -> Column:
-            total = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-            width, last = F.greatest(F.lit(1.0), line["right"] - line["left"]), F.size(words) - 1
-            shares = let(total, lambda n: F.transform(words, lambda w: F.greatest(F.lit(1.0), width * F.length(w) / n)))
-            edge = lambda upto: F.least(line["right"], line["left"] + upto)
-
-            def placed(starts: Column, sizes: Column) -> Column:
-                right = lambda j: F.when(j == last, line["right"]).otherwise(edge(F.get(starts, j) + F.get(sizes, j)))
-                return F.transform(words, lambda w, j: element("ocrx_word", i, j, w, score, (edge(F.get(starts, j)), line["top"], right(j), line["bottom"])))
-
-            return let(shares, lambda sizes: let(sums_before(sizes, F.lit(0.0)), lambda starts: placed(starts, sizes)))
-
-        clean = text.collapse(line["text"])
-        words = F.filter(F.split(clean, " "), lambda w: w != "")
-        return let(words, lambda w: F.when(F.size(w) > 0, F.concat(above.cast(kind), of_words(w).cast(kind))).otherwise(F.array().cast(kind)))
-
-    def of_page(full: Column) -> Column:
-        edge = lambda name, best: best(F.transform(full, lambda x: x[name]))
-        page = element("ocr_page", none, none, none, none, (edge("left", F.array_min), edge("top", F.array_min), edge("right", F.array_max), edge("bottom", F.array_max)))
-        return F.array(page).cast(kind)
-
-    full = F.filter("lines", lambda x: text.strip(F.coalesce(x["text"], F.lit(""))) != "")
-    tree = F.concat(let(full, of_page), F.flatten(F.transform(F.coalesce("lines", F.array()), of_line)))
-    return pages.select(*key, F.explode(tree).alias("e_")).select(*key, "e_.*")
-
-
-def read_pages(images: DataFrame, engine: Callable[[Column], Column]) -> DataFrame:
-    """path and lines of every image. engine: the OCR engine as an expression over the image's bytes, such as a
-    pandas UDF, that returns array<struct<text, score, left, top, right, bottom>>; null where it fails."""
-    read = images.select("path", engine(F.col("content")).alias("lines"))
-    return read.withColumn("error", F.when(F.col("lines").isNull(), "engine_failed"))
-
-
 #: Model names by profile: detection and recognition. Fixed values.
 PROFILES = {
     "medium": ("PP-OCRv6_medium_det", "PP-OCRv6_medium_rec"),
@@ -170,11 +67,6 @@ def page_text(lines: Column, own: Column | None = None) -> Column:
     return joined if own is None else F.when(F.length(text.strip(F.coalesce(own, F.lit("")))) > 0, text.strip(own)).otherwise(joined)
 
 
-def dots_per_inch(dpi: Column) -> Column:
-    """The mean of the first two values."""
-    return F.aggregate(F.slice(dpi, 1, 2), F.lit(0.0), lambda a, x: a + x) / F.least(F.size(dpi), F.lit(2))
-
-
 def source_name(path: Column, most: int = 300) -> Column:
     """The last part of a path, clipped."""
     return F.substring(F.element_at(F.split(path, "/"), -1), 1, most)

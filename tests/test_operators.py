@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import configs, prompt, response, text
 from docloom.jobs import classify
-from docloom.operators import bridge, ocr, recovery, reviews, taxonomy, writeback
+from docloom.operators import bridge, geometry, ocr, recovery, reviews, taxonomy, writeback
 from docloom.streaming import retry
 
 EDGES = ["", None, "Straße ﬁn", "A B\u001f c", "x́y", "ΣΑΣ", "a_b-c 1½", "{{TAGS_JSON}}", "😀 ok"]
@@ -131,15 +131,15 @@ def test_identity_and_merge(spark):
 
 def test_tokens_to_words(spark):
     tokens = [(t, b, b, b and b + 1, b and b + 1) for t, b in [(" ", 0.0), ("He", 1.0), ("llo", None), ("o", 3.0), (" ", 0.0), ("bad", None), (" ", 0.0), ("x", 9.0), ("", 1.0)]]
-    rows = spark.createDataFrame([(1, tokens), (2, []), (3, None)], "line int, tokens array<struct<token: string, left: double, top: double, right: double, bottom: double>>")
-    got = {r.line: r.words and [(w.word, w.left, w.right) for w in r.words] for r in rows.select("line", ocr.merge_tokens(F.col("tokens")).alias("words")).collect()}
-    assert got == {1: [("Heo", 1.0, 4.0), ("x", 9.0, 10.0)], 2: [], 3: None}
+    rows = spark.createDataFrame([(1, tokens), (2, []), (3, None), (4, [("a", 1.0, 1.0, 1.0, 1.0)]), (5, tokens[2:3])], "line int, tokens array<struct<token: string, left: double, top: double, right: double, bottom: double>>")
+    got = {r.line: r.words and [(w.at, w.word, w.left, w.right) for w in r.words] for r in rows.select("line", geometry.merge_tokens(F.col("tokens")).alias("words")).collect()}
+    assert got == {1: [(1, "Heo", 1.0, 4.0), (7, "x", 9.0, 10.0)], 2: [], 3: None, 4: [(0, "a", 1.0, 1.0)], 5: []}
     assert column(spark, ["He llo", "one"], lambda c: ocr.prefer_line_words(F.array(F.lit("a"), F.lit("b")), c)) == [["He", "llo"], ["a", "b"]]
 
 
 def test_word_boxes(spark):
     lines = spark.createDataFrame([(1, "ab c  defg", 0.0, 70.0), (2, "", 0.0, 5.0), (3, "aaaa b", 0.0, 0.5)], "k int, line string, left double, right double")
-    got = [(r.k, r.word, r.left, r.right) for r in ocr.estimate_boxes(lines, ["k"], "line").orderBy("k", "at").collect()]
+    got = [(r.k, r.word, r.left, r.right) for r in geometry.estimate_boxes(lines, ["k"], "line").orderBy("k", "at").collect()]
     assert got == [(1, "ab", 0.0, 20.0), (1, "c", 20.0, 30.0), (1, "defg", 30.0, 70.0), (3, "aaaa", 0.0, 0.5), (3, "b", 0.5, 0.5)]
 
 
@@ -147,15 +147,57 @@ def test_geometry_and_languages(spark):
     assert column(spark, [[1.0, 2.0, 3.0, 4.0], [1.0]], ocr.polygon, "array<double>") == [[[1.0, 2.0], [3.0, 2.0], [3.0, 4.0], [1.0, 4.0]], None]
     assert column(spark, ["deu", "eng,deu", "eng", ""], lambda c: ocr.language_matches(c, F.lit("de"))) == [True, True, False, True]
     assert column(spark, ["x std::bad_alloc", "ValueError: invalid image", None], ocr.is_transient) == [True, False, False]
-    assert column(spark, [[300.0, 288.0], [300.0]], ocr.dots_per_inch, "array<double>") == [294.0, 300.0]
+    dpi = column(spark, ["[300, 288]", "300", "[300]", '["x", 90]', "[]", '"300"', None], lambda c: geometry.dots_per_inch(F.try_parse_json(c)))
+    assert dpi == [294.0, 300.0, 300.0, 90.0, None, None, None]
 
 
-def test_element_rows(spark):
-    pages = spark.createDataFrame([(1, [(" two words ", 1.7, 0.0, 5.0, 80.0, 9.0), ("", 0.5, 0.0, 0.0, 1.0, 1.0)]), (2, None)], "k int, lines array<struct<text: string, score: double, left: double, top: double, right: double, bottom: double>>")
-    rows = ocr.element_rows(pages, ["k"]).collect()
-    assert [r.ocr_class for r in rows if r.k == 1] == ["ocr_page", "ocr_carea", "ocr_par", "ocr_line", "ocrx_word", "ocrx_word"]
-    assert [(r.text, r.left, r.top, r.right, r.bottom) for r in rows if r.text] == [("two", 0.0, 5.0, 30.0, 9.0), ("words", 30.0, 5.0, 80.0, 9.0)]
-    assert [(r.left, r.bottom) for r in rows if r.ocr_class == "ocr_page"] == [(0.0, 9.0), (None, None)]
+def test_polygons_of_any_shape(spark):
+    read = lambda c: F.transform(geometry.points(F.try_parse_json(c)), lambda p: F.array(p["x"], p["y"]))
+    square = [[1.0, 2.0], [3.0, 2.0], [3.0, 4.0], [1.0, 4.0]]
+    values = ["[1,2,3,4]", "[[1,2],[3,2],[3,4],[1,4]]", '[[1,2],"x",[3,2,9],[3],null,["3","4"],[1,null],[1,4]]', "[1,2,3]", "{}", None, '[1,2,3,"4"]']
+    assert column(spark, values, read) == [square, square, square, [], [], [], []]
+    around = lambda c: geometry.box(geometry.points(F.try_parse_json(c)))
+    assert [tuple(b) for b in column(spark, [values[0], "[[5,1],[0,9],[2,2]]"], around)] == [(1.0, 2.0, 3.0, 4.0), (None,) * 4]
+
+
+def elements(spark, *pages):
+    raws = spark.createDataFrame([(k, p if isinstance(p, str) else json.dumps(p)) for k, p in enumerate(pages)], "k int, raw string")
+    read = geometry.read_pages(raws, ["k"]).persist()
+    errors = {r.k: r.error for r in read.collect() if r.error}
+    return errors, [tuple(r) for r in geometry.element_rows(read, ["k"]).orderBy("k", F.asc_nulls_first("line_no"), F.asc_nulls_first("word_no"), "ocr_class").collect()]
+
+
+def test_engine_pages_as_elements(spark):
+    page = {
+        "rec_texts": [" two words ", "", "short", "fi ne", "lone", "no score"],
+        "rec_scores": [1.7, 0.5, 0.5, "high", None, -3],
+        "rec_polys": [[0, 5, 80, 9], [0, 0, 1, 1], [[0, 0], [1, 1], [2, 2]], [[10, 1], [30, 1], "bad", [30, 4], [10, 4]], [0, 0, 9, 9], [0, 0, 8, 8]],
+        "text_word": [[], [], [], ["\ufb01", " ", "n", "e"], ["lo", "ne"], [" "]],
+        "text_word_boxes": [[], [], [], [[10, 1, 12, 4], [12, 1, 13, 4], [13, 1, 20, 4], [[1, 2]]], [[[0, 0]], None], [[0, 0, 1, 1]]],
+    }
+    errors, rows = elements(spark, {"width": 100, "height": 50, "dpi": [300, 100], "page_number": 4, "page": page}, {"width": 0, "height": 5, "page": page}, "no json", {"width": 9, "height": 9}, {"width": 9, "height": 9, "page": {"rec_texts": "x"}})
+    assert errors == {1: "page_size", 2: "no_json"}
+    assert [r for r in rows if r[3] == "ocr_page"] == [(k, None, None, "ocr_page", None, None, 0.0, 0.0, *size, *rest) for k, size, rest in [(0, (100.0, 50.0), (200.0, 4)), (3, (9.0, 9.0), (None, None)), (4, (9.0, 9.0), (None, None))]]
+    words = [(r[1], *r[4:10]) for r in rows if r[3] == "ocrx_word"]
+    assert words == [
+        (0, "two", 1.0, 0.0, 5.0, 30.0, 9.0),
+        (0, "words", 1.0, 30.0, 5.0, 80.0, 9.0),
+        (1, "fi", 0.0, 10.0, 1.0, 12.0, 4.0),  # the line's own spelling; a token without box is left out
+        (1, "ne", 0.0, 13.0, 1.0, 20.0, 4.0),
+        (2, "lone", 0.0, 0.0, 0.0, 9.0, 9.0),  # no token has a box
+        (3, "no", 0.0, 0.0, 0.0, pytest.approx(8 * 2 / 7), 8.0),
+        (3, "score", 0.0, pytest.approx(8 * 2 / 7), 0.0, 8.0, 8.0),
+    ]
+    assert sum(r[3] == "ocr_line" for r in rows) == sum(r[3] == "ocr_carea" for r in rows) == 4
+
+
+def test_given_words_that_fail_leave_the_line(spark):
+    word = "text: string, left: double, top: double, right: double, bottom: double"
+    lines = [("a b", 0.5, 0.0, 0.0, 9.0, 9.0, [(" ", 0.0, 0.0, 1.0, 1.0), ("x", None, None, None, None)]), ("c d", 0.5, 0.0, 0.0, 9.0, 9.0, [(" y ", 1.0, 1.0, 2.0, 2.0)])]
+    pages = spark.createDataFrame([(1, 9.0, 9.0, None, None, lines), (2, 9.0, None, None, None, lines), (3, 9.0, 9.0, None, None, None)], f"k int, width double, height double, dpi double, page_number int, lines array<struct<text: string, score: double, left: double, top: double, right: double, bottom: double, words: array<struct<{word}>>>>")
+    rows = geometry.element_rows(pages, ["k"]).collect()
+    assert [(r.k, r.text, r.left, r.right) for r in rows if r.text] == [(1, "a b", 0.0, 9.0), (1, "y", 1.0, 2.0)]
+    assert [r.k for r in rows if r.ocr_class == "ocr_page"] == [1, 3]
 
 
 KINDS = ["error"] * 6 + ["view", "error", "signup", "error"]
