@@ -16,6 +16,7 @@ from docloom.functions import configs, prompt, response, text
 from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, geometry, ocr, recovery, reviews, taxonomy, writeback
+from docloom.sources import records
 from docloom.sources.tables import lookup, queue, shared_dir, table
 from docloom.streaming import polling, retry, waits
 
@@ -289,10 +290,47 @@ def suggestion_merge(spark: SparkSession, d: str) -> DataFrame:
     return both.select("o_orderkey", F.array_join(bridge.merge_candidate(F.col("names"), F.concat(F.lit(" "), "c_name"), has), "|").alias("suggested"))
 
 
-@query("""SELECT DISTINCT n_name AS required_name FROM nation WHERE n_name NOT IN (SELECT r_name FROM region) AND n_name NOT IN (SELECT c_mktsegment FROM customer)""")
+@query("""WITH p AS (SELECT DISTINCT p_type AS a, split_part(p_name, ' ', 1) AS b, split_part(p_name, ' ', 2) AS c FROM part WHERE p_size % 10 = 0 AND p_type <> 'PROMO'), r AS (SELECT DISTINCT p_type AS a, split_part(p_name, ' ', 1) AS b, split_part(p_name, ' ', 2) AS c FROM part)
+SELECT required_name FROM (SELECT a AS required_name FROM r UNION SELECT a || ':' || b FROM r UNION SELECT a || ':' || b || ':' || c FROM r UNION SELECT a || ':' || left(b, 3) FROM r)
+WHERE required_name NOT IN (SELECT a FROM p) AND required_name NOT IN (SELECT a || ':' || b FROM p) AND required_name NOT IN (SELECT a || ':' || b || ':' || c FROM p)""")
 def required_tags_missing(spark: SparkSession, d: str) -> DataFrame:
-    present = table(spark, d, "region").select(F.concat("r_name", F.lit(":latest")).alias("name")).union(table(spark, d, "customer").select("c_mktsegment"))
-    return taxonomy.missing_names(table(spark, d, "nation").select(F.col("n_name").alias("name")), present)
+    """Names of three parts: type, and both words of the name; those of some parts are present. Beginnings are required, at a colon and elsewhere."""
+    words = F.split("p_name", " ")
+    named = table(spark, d, "part").select("p_size", "p_type", F.concat_ws(":", "p_type", words[0], words[1]).alias("name"))
+    parts = F.split("name", ":")
+    required = F.array(parts[0], F.concat_ws(":", parts[0], parts[1]), F.col("name"), F.concat_ws(":", parts[0], F.left(parts[1], F.lit(3))))
+    return taxonomy.missing_names(named.select(F.explode(required).alias("name")), named.filter("p_size % 10 = 0 AND p_type <> 'PROMO'"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, bool_or(l_suppkey % 3 = 0) AS missed FROM lineitem GROUP BY l_orderkey),
+n AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN NOT missed THEN s_name WHEN l_suppkey % 5 <> 0 THEN 'New ' || s_name END AS name FROM lineitem JOIN o USING (l_orderkey) JOIN supplier ON s_suppkey = l_suppkey)
+SELECT l_orderkey, coalesce(string_agg(name, '|' ORDER BY l_linenumber, l_suppkey), '') AS names FROM n GROUP BY l_orderkey""")
+def names_after_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The first snapshot lacks each third supplier, the second each fifth, and has new names."""
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"]).alias("ids"))
+    old = _suppliers(spark, d)
+    new = old.filter("id % 5 <> 0").withColumn("name", F.concat(F.lit("New "), "name"))
+    return taxonomy.names_in_order(lists, old.filter("id % 3 <> 0"), ["l_orderkey"], refreshed=new).select("l_orderkey", F.array_join("names", "|").alias("names"))
+
+
+@query(f"""WITH f AS (SELECT doc_id AS n, CASE doc_id % 8 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'version' WHEN 3 THEN 'document_id' WHEN 4 THEN 'content_signature' WHEN 5 THEN 'document_signature' WHEN 6 THEN 'prompt_content_signature' END AS error, {_WEAK} AS cs FROM documents),
+g AS (SELECT n // 16 AS document_id, max_by(cs, ('2024-01-' || lpad(CAST(n % 28 + 1 AS VARCHAR), 2, '0'), n)) AS content_signature, max('2024-01-' || lpad(CAST(n % 28 + 1 AS VARCHAR), 2, '0')) AS generated_at FROM f WHERE error IS NULL GROUP BY n // 16),
+e AS (SELECT coalesce(error, 'none') AS error, count(*) AS n_files FROM f GROUP BY ALL)
+SELECT 'record' AS kind, document_id, content_signature AS value, generated_at, 1 AS n FROM g UNION ALL SELECT 'files', NULL, error, NULL, n_files FROM e""")
+def review_record_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of review records, most of them faulty in some way: errors by file, and the newest record of each sixteen files, stored with upsert."""
+    docs, n = _docs(spark, d), F.col("doc_id")
+    day = F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))
+    signed = text.content_signature(F.col("text"))
+    field = lambda name, value, *lacking: F.when(n % 8 == lacking[0], None).otherwise(value).alias(name) if lacking else value.alias(name)
+    version = F.when(n % 8 == 2, 1).when(n % 8 == 5, 3).otherwise(4)
+    record = F.to_json(F.struct(field("version", version), field("document_id", F.floor(n / 16), 3), field("generated_at", day), field("content_signature", signed, 4), field("prompt_content_signature", F.lit("p"), 6), field("correspondent_suggestion", F.lit(""))))
+    content = F.when(n % 8 == 1, F.when(n % 16 == 1, F.unhex(F.lit("7BFF7D"))).otherwise(F.to_binary(F.left(record, F.lit(20)), F.lit("utf-8")))).otherwise(F.to_binary(record, F.lit("utf-8")))
+    read = records.read_records(docs.select(F.format_string("r/%012d.json", n).alias("path"), content.alias("content")))
+    newest = records.newest(read)
+    stored = reviews.upsert(newest.limit(0), newest)
+    errors = read.groupBy(F.coalesce("error", F.lit("none")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return stored.select(F.lit("record").alias("kind"), "document_id", F.col("content_signature").alias("value"), "generated_at", F.lit(1).cast("long").alias("n")).union(errors.select(F.lit("files"), F.lit(None).cast("long"), "value", F.lit(None).cast("string"), "n"))
 
 
 @query("""SELECT doc_id, lang IN ('de', 'en') AS wanted, lang = 'fr' AS french FROM documents""")

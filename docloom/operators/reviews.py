@@ -43,11 +43,6 @@ def storable(records: DataFrame) -> DataFrame:
     return records.filter("error IS NULL").select(*STORED)
 
 
-def latest_records(records: DataFrame) -> DataFrame:
-    """One record a document: the one written last."""
-    return records.groupBy("document_id").agg(F.max_by(F.struct(*(c for c in records.columns if c != "document_id")), "generated_at").alias("r")).select("document_id", "r.*")
-
-
 def upsert(records: DataFrame, new: DataFrame) -> DataFrame:
     """The snapshot of records after new ones are written: one a document, the one generated last; of equal times a new one."""
     both = records.withColumn("new_", F.lit(0)).unionByName(new.withColumn("new_", F.lit(1)))

@@ -29,12 +29,26 @@ def resolve_ids(rows: DataFrame, dimension: DataFrame, name_col: str, out: str =
     return joined.select(*rows.columns, F.when(F.coalesce(F.col(name_col), F.lit("")) != "", F.col("id_")).alias(out), error.alias("error"))
 
 
-def names_in_order(lists: DataFrame, dimension: DataFrame, key: list[str], ids_col: str = "ids") -> DataFrame:
-    """key and names of each id list, in its order and with its repetitions; unknown ids are left out."""
-    items = lists.select(*key, F.posexplode(ids_col).alias("at_", "id"))
-    found = items.join(dimension.select("id", "name"), "id")
-    ordered = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at_", "name"))).alias("n_"))
-    return lists.select(*key).join(ordered, key, "left").select(*key, F.coalesce(F.transform("n_", lambda s: s["name"]), F.array().cast("array<string>")).alias("names"))
+def names_in_order(lists: DataFrame, dimension: DataFrame, key: list[str], ids_col: str = "ids", refreshed: DataFrame | None = None) -> DataFrame:
+    """key and names of each id list, in its order and with its repetitions; unknown ids are left out.
+
+    refreshed: the dimension as it is now. A list with an id that dimension lacks is looked up there as a whole, once;
+    only these lists meet it. Null ids are no ids.
+    """
+    pairs = lambda df: df.groupBy("id").agg(F.max("name").alias("name"))
+
+    def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+        items = rows.select(*key, F.posexplode(ids_col).alias("at_", "id")).filter("id IS NOT NULL").join(pairs(names), "id", "left")
+        found = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("at_", "name"))))
+        return items.groupBy(*key).agg(F.transform(found, lambda s: s["name"]).alias("names"), F.max(F.col("name").isNull()).alias("missed_"))
+
+    first = named(lists, dimension)
+    none = F.array().cast("array<string>")
+    if refreshed is None:
+        return lists.select(*key).join(first, key, "left").select(*key, F.coalesce("names", none).alias("names"))
+    again = named(lists.join(first.filter("missed_").select(*key), key, "left_semi"), refreshed)
+    both = lists.select(*key).join(first, key, "left").join(again.select(*key, F.col("names").alias("now_")), key, "left")
+    return both.select(*key, F.coalesce(F.when(F.col("missed_"), F.col("now_")).otherwise(F.col("names")), none).alias("names"))
 
 
 def route_candidates(rows: DataFrame, correspondents: DataFrame, candidate_col: str = "candidate") -> DataFrame:
@@ -63,10 +77,15 @@ def first_spellings(rows: DataFrame, name_col: str, order_col: str) -> DataFrame
 
 
 def missing_names(required: DataFrame, present: DataFrame) -> DataFrame:
-    """Required names that are absent, also as name:variant."""
-    r, p = required.select(F.col("name").alias("required_name")), present.select(F.col("name").alias("present_name")).distinct()
-    stem = p.select(F.substring_index("present_name", ":", 1).alias("present_name"))
-    return r.join(p.union(stem).distinct(), F.col("required_name") == F.col("present_name"), "left_anti").distinct()
+    """Required names that are absent: neither present themselves nor before a colon of a present name.
+
+    Each present name gives way to all its beginnings before a colon, so one anti-join settles it.
+    """
+    r = required.select(F.col("name").alias("required_name"))
+    parts = F.split("name", ":")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ":"))
+    p = present.filter(F.col("name").isNotNull()).select(F.explode(beginnings).alias("present_name")).distinct()
+    return r.join(p, F.col("required_name") == F.col("present_name"), "left_anti").distinct()
 
 
 def equal_spellings(names: DataFrame, name_col: str = "name") -> DataFrame:

@@ -8,7 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REVIEW_SCHEMA = "version int, document_id long, generated_at string, content_signature string, prompt_content_signature string, document_signature string, correspondent_suggestion string"
 #: Image suffixes that are taken, and the largest image in bytes.
 SUFFIXES, MAX_IMAGE_BYTES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"), 100 << 20
 
@@ -28,13 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def review_files(spark: SparkSession, path: str) -> DataFrame:
-    """Review records from one JSON file each; files that can't be read, or of other versions, are left out."""
-    raw = spark.read.schema(REVIEW_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    good = F.col("version").isin(2, 3, 4) & F.col("document_id").isNotNull() & F.col("content_signature").isNotNull()
-    return raw.filter(good & ((F.col("version") < 4) | F.col("prompt_content_signature").isNotNull()))
-
-
 def page_images(spark: SparkSession, path: str) -> DataFrame:
     """Page images with bytes, of the known kinds and sizes."""
     files = spark.read.format("binaryFile").load(path)

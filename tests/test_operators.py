@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import configs, prompt, response, text
 from docloom.jobs import classify
 from docloom.operators import bridge, geometry, ocr, recovery, reviews, taxonomy, writeback
+from docloom.sources import records
 from docloom.streaming import retry
 
 EDGES = ["", None, "Straße ﬁn", "A B\u001f c", "x́y", "ΣΑΣ", "a_b-c 1½", "{{TAGS_JSON}}", "😀 ok"]
@@ -338,3 +339,47 @@ def test_the_jobs_records_can_be_stored(spark):
 def test_senders_collapse_before_their_length_counts(spark):
     wide = json.dumps({"correspondent": "a" + " " * 300 + "b"})
     assert column(spark, [wide, json.dumps({"correspondent": "a" * 256})], response.correspondent_errors) == [[], ["too_long"]]
+
+
+def test_record_files_have_their_errors(spark, tmp_path):
+    good = {"version": 4, "document_id": "7", "generated_at": "2024-01-02", "content_signature": "c", "prompt_content_signature": "p", "correspondent_suggestion": "S"}
+    files = {
+        "7": json.dumps(good, indent=2),
+        "old": json.dumps({**good, "generated_at": "2024-01-01", "correspondent_suggestion": "old"}),
+        "three": json.dumps({"version": 3, "document_id": 8, "content_signature": "c", "document_signature": "d"}),
+        "three_less": json.dumps({"version": 3, "document_id": 8, "content_signature": "c"}),
+        "four_less": json.dumps({**good, "prompt_content_signature": 5}),
+        "foreign": json.dumps({**good, "version": 9}),
+        "text": json.dumps({**good, "version": "4"}),
+        "nameless": json.dumps({**good, "document_id": "x"}),
+        "unsigned": json.dumps({**good, "content_signature": None}),
+        "list": "[4]",
+        "broken": '{"version": 4',
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    (tmp_path / "bytes.json").write_bytes(b'{"version": "\xff"}')
+    (tmp_path / "other.txt").write_text("{}")
+    read = records.read_records(records.record_files(spark, str(tmp_path)))
+    assert {r.path.rsplit("/", 1)[1][:-5]: r.error for r in read.collect()} == {
+        "7": None, "old": None, "three": None, "three_less": "document_signature", "four_less": "prompt_content_signature", "foreign": "version", "text": "version",
+        "nameless": "document_id", "unsigned": "content_signature", "list": "version", "broken": "unreadable", "bytes": "unreadable",
+    }
+    newest = records.newest(read)
+    assert {(r.document_id, r.version, r.correspondent_suggestion) for r in newest.collect()} == {(7, 4, "S"), (8, 3, None)}
+    stored = reviews.upsert(newest, job(spark, [answer()]).records)
+    assert {r.document_id for r in stored.collect()} == {1, 7, 8}
+
+
+def test_names_before_a_colon_are_present(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    gone = taxonomy.missing_names(names("a:b", "a:bc", "a", "a:b:c", "b", "c:", "x"), names("a:b:c", "c:", "xy", None))
+    assert {r.required_name for r in gone.collect()} == {"a:bc", "b", "x"}
+
+
+def test_missed_names_are_looked_up_once_more(spark):
+    dim = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    lists = spark.createDataFrame([(1, [2, 1, 2]), (2, [1, 3, 9, 1]), (3, []), (4, None), (5, [9]), (6, [None, 1])], "k int, ids array<long>")
+    got = taxonomy.names_in_order(lists, dim([(1, "a"), (2, "b")]), ["k"], refreshed=dim([(1, "A"), (3, "C")]))
+    assert {r.k: r.names for r in got.collect()} == {1: ["b", "a", "b"], 2: ["A", "C", "A"], 3: [], 4: [], 5: [], 6: ["a"]}
+    assert {r.k: r.names for r in taxonomy.names_in_order(lists, dim([(1, "a")]), ["k"]).collect()}[2] == ["a", "a"]
