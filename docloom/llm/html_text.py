@@ -31,9 +31,9 @@ _BLOCK = set("address article aside blockquote body center dd details dialog dir
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "legend", "summary", "figcaption"}
 #: A start tag ends an open element of these kinds, up to the kind of element that bounds the search.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_BOILERPLATE = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "fieldset", "head"}
-#: Parts of names that mark boilerplate wherever they stand in a name.
-_STRONG = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|\w*banner\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|footer\w*|header\w*|masthead|toolbar|sharing|comments?|commentlist|disqus|complementary|contentinfo")
+_BOILERPLATE = {"nav", "aside", "footer", "button", "select", "menu", "dialog", "fieldset", "head"}
+#: Parts of names that mark boilerplate, if the rest of the name is made of such parts and of those below.
+_STRONG = re.compile(r"ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed|ship)?|promo(?:s|tions?|tional)?|\w*banner\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri(?:be|ption|ptions)|nav|navs|navbar|navigation|navlinks?|menu|menus|menubar|breadcrumbs?|pagination|pager|sidebars?|footers?|headers?|masthead|toolbar|sharing|comments?|commentlist|disqus|complementary|contentinfo")
 #: Parts that do so if the rest of the name is made of such parts and of parts that only say where or how.
 _WEAK = set("notice signup login share social related recommended recommendations recommendation replies reply respond widget widgets search form".split())
 _NEUTRAL = set("site page main global top bottom left right inner outer box bar block area section wrap wrapper container list item items link links buttons button icon icons posts post articles stories story content text title body row col column primary secondary small large desktop mobile the and us media".split())
@@ -44,6 +44,10 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TAG_POINTS = {"article": 40, "main": 30, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3, "form": -15, "th": -5, "address": -3}
 #: A block shorter than this passes no points; a sibling needs this share of the best score.
 MIN_BLOCK, SIBLING_SHARE = 25, 0.2
+#: A form is no boilerplate if it has this share of the page's text, or an article.
+FORM_SHARE = 0.5
+#: Siblings of other kinds than the best container's, and the share of links that they may have.
+_CONTAINERS, SIBLING_LINKS = {"div", "section", "article", "main", "blockquote"}, 0.25
 
 
 def _boilerplate(name: str) -> bool:
@@ -52,9 +56,8 @@ def _boilerplate(name: str) -> bool:
         return False
     parts = [x for x in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if x]
     parts = [x.lower() for x in parts]
-    if any(_STRONG.fullmatch(x) for x in parts):
-        return True
-    return any(x in _WEAK for x in parts) and all(x in _WEAK or x in _NEUTRAL for x in parts)
+    marks = [x in _WEAK or bool(_STRONG.fullmatch(x)) for x in parts]
+    return any(marks) and all(m or x in _NEUTRAL or x.isdigit() for m, x in zip(marks, parts, strict=True))
 
 
 class _Tree:
@@ -115,7 +118,8 @@ class _Tree:
             # A paragraph or heading is boilerplate by its class only: its id is often made of its words.
             kinds = [found.get("class", "")] if tag == "p" or tag in _HEADINGS else [found.get(k, "") for k in ("class", "id", "role")]
             names = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
-            if not bad and tag not in ("html", "body", "article", "main"):
+            own = (tag == "p" or tag in _HEADINGS) and self._depth("article", "main")  # those of an article are never judged by name
+            if not bad and not own and tag not in ("html", "body", "article", "main"):
                 bad = any(_boilerplate(name) for kind in kinds for name in kind.split())
         if tag == "header":
             bad = bad or not self._at.get("article")
@@ -175,9 +179,26 @@ class _Tree:
         self._flush()
 
 
+def _drop_forms(tree: _Tree) -> None:
+    """Drop the forms but for those that are wrapped around the page or its article."""
+    forms = {e for e, tag in enumerate(tree.tag) if tag == "form" and not tree.dropped[e]}
+    if not forms:
+        return
+    size, holds = [0] * len(tree.tag), [tag in ("article", "main") for tag in tree.tag]
+    for element, text, _ in tree.blocks:
+        size[element] += 0 if tree.dropped[element] else len(text)
+    for e in range(len(tree.tag) - 1, 0, -1):
+        size[tree.parent[e]] += size[e]
+        holds[tree.parent[e]] |= holds[e]
+    for e in range(1, len(tree.tag)):
+        fold = e in forms and not holds[e] and size[e] < FORM_SHARE * size[0]
+        tree.dropped[e] |= fold or tree.dropped[tree.parent[e]]
+
+
 def extract_blocks(page: str | None) -> list[str]:
     """The blocks of the main text, in page order."""
     tree = _Tree(page or "")
+    _drop_forms(tree)
     size, linked, points = ([0.0] * len(tree.tag) for _ in range(3))
     for element, text, in_links in tree.blocks:
         size[element] += len(text)
@@ -204,7 +225,7 @@ def extract_blocks(page: str | None) -> list[str]:
         best = max(score, key=lambda e: (score[e], -e))
         chosen = {best}
         for e, s in score.items():
-            if tree.parent[e] == tree.parent[best] and s >= max(10, SIBLING_SHARE * score[best]) and (tree.tag[e] == tree.tag[best] or tree.tag[e] == "p"):
+            if tree.parent[e] == tree.parent[best] and s >= max(10, SIBLING_SHARE * score[best]) and (tree.tag[e] == tree.tag[best] or tree.tag[e] == "p" or tree.tag[e] in _CONTAINERS and linked[e] <= SIBLING_LINKS * size[e]):
                 chosen.add(e)
     out = []
     inside = [False] * len(tree.tag)
