@@ -16,7 +16,7 @@ from docloom.functions import configs, prompt, response, text
 from docloom.functions.arrays import let
 from docloom.jobs import classify
 from docloom.operators import bridge, geometry, ocr, recovery, reviews, taxonomy, writeback
-from docloom.sources import records
+from docloom.sources import images, records
 from docloom.sources.tables import lookup, queue, shared_dir, table
 from docloom.streaming import polling, retry, waits
 
@@ -824,6 +824,34 @@ def documents_by_id(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "found", F.length("text").alias("n_chars"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 7 <> 6 THEN CAST(length(html) % 4000 + 1 AS INTEGER) END AS width, CASE WHEN page_id % 7 <> 6 THEN CAST(length(url) + 1 AS INTEGER) END AS height,
+CASE WHEN page_id % 7 = 6 THEN NULL WHEN page_id % 7 IN (0, 3) THEN 300.0 WHEN page_id % 7 = 4 THEN 254.0 ELSE 200.0 END::DOUBLE AS dpi, CASE WHEN page_id % 14 = 6 THEN 'unknown_format' WHEN page_id % 14 = 13 THEN 'truncated' END AS error FROM pages""")
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Each page as the header of an image, sized by its texts: PNG and JPEG with and without resolution, TIFF, BMP, and broken ones."""
+    n, w, h = F.col("page_id"), F.length("html") % 4000 + 1, F.length("url") + 1
+    big = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    byte = lambda x, k: F.substr(big(x, 8), F.lit(7 - 2 * k), F.lit(2))
+    little = lambda x: F.concat(*(byte(x, k) for k in range(4)))
+    code = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    png = ("89504E470D0A1A0A", "0000000D49484452", big(w, 8), big(h, 8), "0806000000", "00000000")
+    sof = ("FFC0", "0011", "08", big(h, 4), big(w, 4), "03", "00" * 9)
+    tiff = ("4D4D002A00000008", "0005", "0100000400000001", big(w, 8), "0101000400000001", big(h, 8), "011A00050000000100000050", "011B00050000000100000050", "0128000300000001", "00020000", "00000000", "00" * 6, "000000C800000001")
+    bmp = ("424D", "00" * 16, little(w), little(h), "00" * 12, little(F.lit(7874)), little(F.lit(7874)))
+    image = (
+        F.when(n % 7 == 0, code(*png, "0000000049454E44"))
+        .when(n % 7 == 1, code(*png, "0000000970485973", big(F.lit(7874), 8), big(F.lit(7874), 8), "0100000000", "0000000049454E44"))
+        .when(n % 7 == 2, code("FFD8", "FFE000104A46494600", "0101", "01", "00C800C8", "0000", *sof))
+        .when(n % 7 == 3, code("FFD8", *sof))
+        .when(n % 7 == 4, code("FFD8", "FFE000104A46494600", "0101", "02", "00640064", "0000", *sof))
+        .when(n % 14 == 5, code(*tiff))
+        .when(n % 7 == 5, code(*bmp))
+        .when(n % 14 == 6, F.lit("47494638"))
+        .otherwise(F.lit("89504E470D0A1A0A0000"))
+    )
+    given = table(spark, d, "pages").select(n.cast("string").alias("path"), F.unhex(image).alias("content"), F.lit(None).cast("string").alias("error"))
+    return images.headers(given).select(F.col("path").cast("long").alias("page_id"), "width", "height", F.round("dpi_x", 0).alias("dpi"), "error")
+
+
 @query(_WAITS)
 def stream_recovery_waits(spark: SparkSession, d: str) -> DataFrame:
     """recovery_waits as a stateful stream: the events come in three files by time, and a tick a day later lets all timers fire."""

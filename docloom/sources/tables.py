@@ -1,4 +1,4 @@
-"""Where tables come from: Parquet tables of a folder, review files, page images."""
+"""Where tables come from: Parquet tables of a folder, and the work queue."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Image suffixes that are taken, and the largest image in bytes.
-SUFFIXES, MAX_IMAGE_BYTES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"), 100 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one only in a local session without it."""
@@ -27,13 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_images(spark: SparkSession, path: str) -> DataFrame:
-    """Page images with bytes, of the known kinds and sizes."""
-    files = spark.read.format("binaryFile").load(path)
-    kind = F.lower(F.substring_index("path", ".", -1))
-    return files.filter(kind.isin(*SUFFIXES) & (F.col("length") > 0) & (F.col("length") <= MAX_IMAGE_BYTES))
-
-
 def queue(docs: DataFrame, tag: int, most: int = 20, tags_col: str = "tags", order: tuple[str, str] = ("added", "id")) -> DataFrame:
     """The oldest documents that carry the queue tag."""
     return docs.filter(F.array_contains(tags_col, tag)).orderBy(*order).limit(most)
