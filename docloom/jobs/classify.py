@@ -46,25 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def preview(docs: DataFrame, dims: DataFrame, template: str = TEMPLATE, limit: int = 40_000, head_ratio: float = 0.7) -> DataFrame:
-    """docs with content_chars_used, content_truncated and the user_prompt of a configuration; null for an empty content.
+def preview(docs: DataFrame, dims: DataFrame, template: str = TEMPLATE, limit: int = 40_000, head_ratio: float = 0.7, system: str = SYSTEM) -> DataFrame:
+    """docs with content_chars_used, content_truncated and the system_prompt and user_prompt of a configuration; null for an empty content.
 
     dims: one row with document_types, correspondents and content_tags; its names are part of every prompt. No model is asked.
     """
     content, cut = prompt.compact(F.col("text"), limit, head_ratio)
     base = docs.crossJoin(dims).withColumn("content_", content).withColumn("content_truncated", cut)  # dims is one row
-    values = {
-        "DOCUMENT_TEXT": F.col("content_"),
-        "DOCUMENT_TYPES_JSON": prompt.names_json(F.col("document_types")),
-        "CORRESPONDENTS_JSON": prompt.names_json(F.col("correspondents")),
-        "TAGS_LINES": F.array_join("content_tags", "\n"),
-    }
-    return base.select(*docs.columns, F.length("content_").alias("content_chars_used"), "content_truncated", F.when(F.length("content_") > 0, prompt.render(template, values)).alias("user_prompt"))
+    values = prompt.document_values(docs.columns, F.col("content_")) | prompt.taxonomy_values(F.col("content_tags"), F.col("document_types"), F.col("correspondents"))
+    return base.select(*docs.columns, F.length("content_").alias("content_chars_used"), "content_truncated", *(F.when(F.length("content_") > 0, prompt.render(t, values)).alias(name) for name, t in (("system_prompt", system), ("user_prompt", template))))
 
 
 def ask(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int = 40_000, head_ratio: float = 0.7) -> DataFrame:
     """The preview with the raw answer; none is asked for an empty content."""
-    return preview(docs, dims, TEMPLATE, limit, head_ratio).withColumn("raw", F.when(F.col("user_prompt").isNotNull(), model(F.col("user_prompt"))))
+    return preview(docs, dims, TEMPLATE, limit, head_ratio).drop("system_prompt").withColumn("raw", F.when(F.col("user_prompt").isNotNull(), model(F.col("user_prompt"))))
 
 
 def classify(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int = 40_000, head_ratio: float = 0.7) -> DataFrame:

@@ -852,6 +852,26 @@ def image_headers(spark: SparkSession, d: str) -> DataFrame:
     return images.headers(given).select(F.col("path").cast("long").alias("page_id"), "width", "height", F.round("dpi_x", 0).alias("dpi"), "error")
 
 
+_ALL_SLOTS = "ID {{ DOCUMENT_ID }} of {{CURRENT_CREATED}}: {{ CURRENT_TITLE }}|{{ TAGS_JSON }}|{{ TAGS_LINES }}|{{ DOCUMENT_TYPES_JSON }}|{{ DOCUMENT_TYPES_LINES }}|{{ DOCUMENT_TEXT }}|{{ CORRESPONDENTS_JSON }}|{{ CORRESPONDENTS_LINES }}."
+
+
+@query(r"""WITH n AS (SELECT (SELECT list(DISTINCT p_brand ORDER BY p_brand) FROM part) AS g, (SELECT list(DISTINCT p_type ORDER BY p_type) FROM part) AS t, (SELECT list(DISTINCT s_name ORDER BY s_name) FROM supplier) AS s),
+j AS (SELECT '["' || array_to_string(g, '", "') || '"]|' || array_to_string(g, chr(10)) || '|["' || array_to_string(t, '", "') || '"]|' || array_to_string(t, chr(10)) || '|' AS a, '|["' || array_to_string(s, '", "') || '"]|' || array_to_string(s, chr(10)) || '.' AS z FROM n),
+p AS (SELECT doc_id, 'ID ' || doc_id || ' of ' || coalesce(lang, '') || ': ' || coalesce(source, '') || '|' || a || coalesce(text, '') || z AS p FROM documents, j)
+SELECT doc_id, length(p) AS prompt_chars, sha256(p) AS prompt_sha256, 3 AS n_digests FROM p""")
+def prompt_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """All ten slots; what is stored of a document is its own part and the digests of three stretches."""
+    dims = _dims(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("created"), "text")
+    shared = prompt.taxonomy_values(F.col("content_tags"), F.col("document_types"), F.col("correspondents"))
+    pieces = classify.written(prompt.fragments(_ALL_SLOTS, dims, shared), "fragments")
+    own = prompt.document_values(docs.columns, F.coalesce("text", F.lit("")))
+    rows = classify.written(prompt.addressed(docs, _ALL_SLOTS, own, pieces).select("doc_id", "parts"), "parts")
+    known = F.size(F.filter("parts", lambda p: p["digest"].isNotNull() & (F.length(p["digest"]) == 64))) - 2  # but for " of " and ": "
+    whole = prompt.assembled(rows.withColumn("n_digests", known), pieces)
+    return whole.select("doc_id", F.length("prompt").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha256"), "n_digests")
+
+
 @query(_WAITS)
 def stream_recovery_waits(spark: SparkSession, d: str) -> DataFrame:
     """recovery_waits as a stateful stream: the events come in three files by time, and a tick a day later lets all timers fire."""

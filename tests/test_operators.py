@@ -383,3 +383,31 @@ def test_missed_names_are_looked_up_once_more(spark):
     got = taxonomy.names_in_order(lists, dim([(1, "a"), (2, "b")]), ["k"], refreshed=dim([(1, "A"), (3, "C")]))
     assert {r.k: r.names for r in got.collect()} == {1: ["b", "a", "b"], 2: ["A", "C", "A"], 3: [], 4: [], 5: [], 6: ["a"]}
     assert {r.k: r.names for r in taxonomy.names_in_order(lists, dim([(1, "a")]), ["k"]).collect()}[2] == ["a", "a"]
+
+
+def test_prompts_by_fragments(spark):
+    template = "{{ DOCUMENT_TEXT }}a{{ TAGS_LINES }}b{{ DOCUMENT_ID }}{{ CURRENT_TITLE }}{{ TAGS_JSON }}"
+    dims = spark.createDataFrame([(["x", "{{ DOCUMENT_ID }}"],)], "tags array<string>")
+    shared = {"TAGS_LINES": F.array_join("tags", "\n"), "TAGS_JSON": prompt.names_json(F.col("tags"))}
+    docs = spark.createDataFrame([(1, "{{ TAGS_LINES }}", None), (2, None, "T")], "doc_id long, text string, title string")
+    own = prompt.document_values(docs.columns, F.coalesce("text", F.lit("")))
+    pieces = prompt.fragments(template, dims, shared)
+    rows = prompt.addressed(docs, template, own, pieces)
+    assert {len(r.parts) for r in rows.collect()} == {5} and pieces.count() == 2
+    assert "x" not in str([p.text for r in rows.collect() for p in r.parts])
+    got = {r.doc_id: r.prompt for r in prompt.assembled(rows.select("doc_id", "parts"), pieces).collect()}
+    names = 'ax\n{{ DOCUMENT_ID }}b%s["x", "{{ DOCUMENT_ID }}"]'
+    assert got == {1: "{{ TAGS_LINES }}" + names % "1", 2: names % "2T"}
+    whole = docs.crossJoin(dims).select("doc_id", prompt.render(template, own | shared).alias("p"))
+    assert got == {r.doc_id: r.p for r in whole.collect()}
+
+
+def test_stored_prompts_do_not_grow_with_the_taxonomy(spark, tmp_path):
+    template, sizes = "{{ TAGS_JSON }}: {{ DOCUMENT_TEXT }}", []
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string").coalesce(1)
+    for n in (10, 5000):
+        dims = spark.createDataFrame([([f"name {k}" for k in range(n)],)], "tags array<string>")
+        pieces = prompt.fragments(template, dims, {"TAGS_JSON": prompt.names_json(F.col("tags"))})
+        prompt.addressed(docs, template, {"DOCUMENT_TEXT": F.col("text")}, pieces).select("doc_id", "parts").write.parquet(f"{tmp_path}/{n}")
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / str(n)).glob("*.parquet")))
+    assert sizes[1] < 1.1 * sizes[0]
