@@ -770,17 +770,18 @@ _KINDS = {"correspondents": ("supplier", "s_name", "s_suppkey", "l_suppkey"), "d
 
 
 @query("WITH " + ", ".join(f"{k} AS (SELECT l_orderkey, string_agg(name, '|' ORDER BY l_linenumber, {c}) AS n FROM lineitem JOIN (SELECT {n} AS name, {i} AS id FROM {t}{' GROUP BY ' + n if 'min' in i else ''}) ON {c} = id WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey)" for k, (t, n, i, c) in _KINDS.items())
-       + " SELECT o_orderkey, '' AS title, " + ", ".join(f"coalesce({k}.n, '') AS {k}" for k in _KINDS) + " FROM orders " + " ".join(f"LEFT JOIN {k} ON {k}.l_orderkey = o_orderkey" for k in _KINDS))
+       + " SELECT o_orderkey, '' AS title, " + ", ".join(f"coalesce({k}.n, '') AS {k}" for k in _KINDS) + ", coalesce((SELECT string_agg(strftime(l_shipdate, '%Y-%m-%d'), '|' ORDER BY l_linenumber, l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey AND l_orderkey % 5 <> 0), '') AS dates FROM orders " + " ".join(f"LEFT JOIN {k} ON {k}.l_orderkey = o_orderkey" for k in _KINDS))
 def named_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """An order's lines hold the suggested ids; each fifth order has no suggestions."""
     lines = table(spark, d, "lineitem").filter("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col(c).cast("long").alias("i")))), lambda x: x["i"])
-    suggested = lines.agg(*(in_order(c).alias(k) for k, (_, _, _, c) in _KINDS.items()))
+    dates = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")))), lambda x: x["day"])
+    suggested = lines.agg(*(in_order(c).alias(k) for k, (_, _, _, c) in _KINDS.items()), dates.alias("dates"))
     regions = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     of = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name")
     dimensions = of("correspondents", _suppliers(spark, d)).union(of("document_types", _types(spark, d))).union(of("tags", _tags(spark, d))).union(of("storage_paths", regions))
-    out = bridge.named_suggestions(table(spark, d, "orders"), suggested, dimensions, "o_orderkey", list(_KINDS))
-    return out.select("o_orderkey", "title", *(F.array_join(k, "|").alias(k) for k in _KINDS))
+    out = bridge.named_suggestions(table(spark, d, "orders"), suggested, dimensions, "o_orderkey", list(_KINDS), ("dates",))
+    return out.select("o_orderkey", "title", *(F.array_join(k, "|").alias(k) for k in [*_KINDS, "dates"]))
 
 
 @query(f"""SELECT doc_id, 'local-model' AS model, 'assistant' AS role, 'true' AS done, sha256({_TRIMMED}) AS content_sha256 FROM documents""")
@@ -872,6 +873,16 @@ def prompt_fragments(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("doc_id", F.length("prompt").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha256"), "n_digests")
 
 
+@query("""SELECT o_orderkey, round(o_custkey / 7.0, 3) AS wall_seconds, round(o_orderkey * 1234567 / 1e9, 3) AS total_seconds, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE round(o_custkey * 7654321 / 1e9, 3) END AS load_seconds, o_custkey AS prompt_tokens,
+round(o_custkey * 3333333 / 1e9, 3) AS prompt_seconds, CASE WHEN o_orderkey % 3 = 1 THEN 0 ELSE o_orderkey % 100 END AS output_tokens, round(o_orderkey * 2222223 / 1e9, 3) AS generation_seconds FROM orders""")
+def run_performance(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of answers, some of which lack a time or a count."""
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = F.struct((n * 1_234_567).alias("total_duration"), F.when(n % 3 != 0, c * 7_654_321).alias("load_duration"), c.alias("prompt_eval_count"), (c * 3_333_333).alias("prompt_eval_duration"), F.when(n % 3 != 1, n % 100).alias("eval_count"), (n * 2_222_223).alias("eval_duration"))
+    answers = table(spark, d, "orders").select("o_orderkey", (c / 7.0).alias("wall"), F.try_parse_json(F.to_json(raw)).alias("raw"))
+    return answers.select("o_orderkey", writeback.performance(F.col("raw"), F.col("wall")).alias("p")).select("o_orderkey", "p.*")
+
+
 @query(_WAITS)
 def stream_recovery_waits(spark: SparkSession, d: str) -> DataFrame:
     """recovery_waits as a stateful stream: the events come in three files by time, and a tick a day later lets all timers fire."""

@@ -38,8 +38,9 @@ def chat_response(content: Column, model: str) -> Column:
     return F.to_json(F.struct(F.lit(model).alias("model"), F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"), F.lit(True).alias("done")))
 
 
-def named_suggestions(documents: DataFrame, suggestions: DataFrame, dimensions: DataFrame, key: str, kinds: list[str]) -> DataFrame:
+def named_suggestions(documents: DataFrame, suggestions: DataFrame, dimensions: DataFrame, key: str, kinds: list[str], plain: tuple[str, ...] = ()) -> DataFrame:
     """key, an empty title and, of each kind, the names of the suggested ids in their order; unknown ids are left out.
+    plain: lists that are taken as they are, such as dates.
 
     suggestions: key and a list of ids a kind. dimensions: kind, id and name of all kinds together, so that one join
     and one grouping serve them all. A document without suggestions has empty lists.
@@ -49,4 +50,7 @@ def named_suggestions(documents: DataFrame, suggestions: DataFrame, dimensions:
     items = suggestions.select(key, F.inline(lists)).join(dimensions.select("kind", F.col("id").cast("long").alias("id"), "name"), ["kind", "id"])
     place = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("at_", "name"))))
     named = items.groupBy(key).agg(*(F.transform(place(k), lambda x: x["name"]).alias(k) for k in kinds))
-    return documents.select(key).join(named, key, "left").select(key, F.lit("").alias("title"), *(F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in kinds))
+    out = documents.select(key).join(named, key, "left")
+    if plain:
+        out = out.join(suggestions.select(key, *plain), key, "left")
+    return out.select(key, F.lit("").alias("title"), *(F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in [*kinds, *plain]))

@@ -39,6 +39,20 @@ def seconds(nanoseconds: Column) -> Column:
     return F.round(F.coalesce(nanoseconds, F.lit(0)) / 1e9, 3)
 
 
+def performance(raw: Column, wall: Column) -> Column:
+    """The seven figures of a model's answer (a variant) and of the seconds that it took: times in seconds, tokens as counts; what the answer lacks counts as 0."""
+    number = lambda name: F.coalesce(F.try_variant_get(raw, f"$.{name}", "bigint"), F.lit(0).cast("long"))
+    return F.struct(
+        F.round(wall, 3).alias("wall_seconds"),
+        seconds(number("total_duration")).alias("total_seconds"),
+        seconds(number("load_duration")).alias("load_seconds"),
+        number("prompt_eval_count").alias("prompt_tokens"),
+        seconds(number("prompt_eval_duration")).alias("prompt_seconds"),
+        number("eval_count").alias("output_tokens"),
+        seconds(number("eval_duration")).alias("generation_seconds"),
+    )
+
+
 def run_report(rows: DataFrame, model: str, dry_run: bool) -> DataFrame:
     """One report a document, made before the verdict takes effect, so that invalid runs leave one too."""
     return rows.select(
