@@ -6,9 +6,10 @@
 2. Each shard builds a flat graph: from a random one, every vector searches from the medoid, prunes what it met
    so that of neighbours in one direction the nearest stays, and offers itself to those it keeps; twice.
 3. The adjacency lists of all shards are united by vector.
-4. In each shard every member searches again over the united lists, from the medoid and from itself: a
-   beam first, then everything within range is expanded until no more is found. Pairs are verified in double
-   precision. A pair that meets in several shards counts in one: the first cell both are members of.
+4. In each shard every member searches again over the united lists, from the medoid and from itself. What it met
+   within a wider range is expanded until no more is found: all that such meetings join is compared in blocks,
+   in double precision, so a dense group costs no walk for each of its pairs. A pair that meets in several
+   shards counts in one: the first cell both are members of.
 5. Shards return a count by member and a spanning tree of what is linked, not pairs; the trees are joined to
    components. A bounded sample of vectors is compared with all vectors, and low recall is told.
 
@@ -32,11 +33,11 @@ from .common import bounded_batches, release_memory, store
 from .graph import components
 
 #: Members of a shard, at most; vectors a centre stands for; most centres of a vector length.
-SHARD_ROWS, CELL_ROWS, MOST_CELLS = 8_192, 2_048, 4_096
+SHARD_ROWS, CELL_ROWS, MOST_CELLS = 8_192, 1_024, 4_096
 #: Rows and bytes of the sample that centres are fitted on, and rounds of the fit.
 SAMPLE_ROWS, SAMPLE_BYTES, ROUNDS = 50_000, 64 << 20, 8
 #: Border width in standard deviations of a near-duplicate's offset in one direction.
-REACH = 2.0
+REACH = 0.75
 #: Neighbours a vector keeps, width of the beam, factors of the two pruning passes, queries searched and nodes of a beam expanded at a time.
 DEGREE, BEAM, ALPHAS, BLOCK, EXPANDED = 24, 24, (1.0, 1.2), 512, 4
 #: Vectors that are compared with all; recall below which a warning is given.
@@ -60,21 +61,10 @@ class Graph:
 
     def __init__(self, x: np.ndarray, links: np.ndarray):
         self.x, self.links = x.astype(np.float32), links
-        self._both: tuple[np.ndarray, np.ndarray] | None = None
         self.medoid = int((self.x @ self.x.mean(0)).argmax()) if len(x) else 0
 
-    def both_ways(self) -> tuple[np.ndarray, np.ndarray]:
-        """All links in both directions, by node, and where each node's begin: a node at the rim of a group may be named by none."""
-        if self._both is None:
-            n = len(self.x)
-            rows, cols = np.nonzero(self.links >= 0)
-            to = self.links[rows, cols]
-            code = np.unique(np.concatenate([rows * n + to, to * n + rows]))
-            self._both = (code % n, np.searchsorted(code, np.arange(n + 1) * n))
-        return self._both
-
     def search(self, queries: np.ndarray, beam: int, from_self: bool = False, near: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The beam nearest nodes found of each query node (-1: none), nearest first. With near: what is within it, as a matrix of queries and nodes."""
+        """The beam nearest nodes found of each query node (-1: none), nearest first. With near: all that was met within it, as a matrix of queries and nodes."""
         n, q = len(self.x), np.arange(len(queries))
         seen = np.zeros((len(queries), n), bool)
         hits = np.zeros((len(queries), n), bool) if near is not None else np.zeros((0, 0), bool)
@@ -112,23 +102,6 @@ class Graph:
             fresh = np.where(ready[:, :, None], self.links[np.take_along_axis(ids[active], place, 1)], -1).reshape(len(active), -1)
         if near is None:
             return ids, sims
-        # All within range are expanded, also those beside the beam, and what lies a little further leads to more.
-        wide = near - (1 - near)
-        rows, nodes = np.nonzero(hits)
-        at, ends = self.both_ways() if len(rows) else (None, None)
-        while len(rows):
-            k = ends[nodes + 1] - ends[nodes]
-            row = np.repeat(rows, k)
-            node = at[np.arange(len(row)) - np.repeat(np.cumsum(k) - k - ends[nodes], k)]
-            new = ~seen[row, node]
-            code = np.unique(row[new] * n + node[new])
-            rows, nodes = code // n, code % n
-            seen[rows, nodes] = True
-            value = np.zeros(len(rows), np.float32)
-            for i in range(0, len(rows), 65_536):
-                value[i : i + 65_536] = np.einsum("ij,ij->i", self.x[nodes[i : i + 65_536]], self.x[queries[rows[i : i + 65_536]]])
-            hits[rows[value >= near], nodes[value >= near]] = True
-            rows, nodes = rows[value >= wide], nodes[value >= wide]
         return hits, sims
 
     def prune(self, nodes: np.ndarray, candidates: np.ndarray, alpha: float, degree: int) -> np.ndarray:
@@ -158,10 +131,10 @@ class Graph:
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 1) -> Graph:
-    """The robust-pruned graph of unit vectors."""
+    """The robust-pruned graph of unit vectors; a list holds up to twice the degree before it is pruned to it."""
     n, rng = len(x), np.random.default_rng(seed)
-    links = rng.integers(0, max(n, 1), (n, degree))
-    links[links == np.arange(n)[:, None]] = -1
+    links = np.full((n, 2 * degree), -1)
+    links[:, :degree] = rng.integers(0, max(n, 1), (n, degree))
     graph = Graph(x, links)
     for alpha in ALPHAS:
         order = rng.permutation(n)
@@ -170,18 +143,28 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 1)
                 continue
             met = graph.search(part, beam)[0]
             kept = graph.prune(part, np.hstack([met, graph.links[part]]), alpha, degree)
-            graph.links[part] = kept
-            # Those that were kept get an offer back; the nearest offers count.
+            graph.links[part, :degree], graph.links[part, degree:] = kept, -1
+            # Those that were kept get an offer back. It is taken while there is room; a full list is pruned with its offers, the nearest first.
             rows, cols = np.nonzero(kept >= 0)
             to, offer = kept[rows, cols], part[rows]
+            fresh = ~(graph.links[to] == offer[:, None]).any(1)
+            to, offer = to[fresh], offer[fresh]
             rank = np.lexsort((-np.einsum("ij,ij->i", graph.x[to], graph.x[offer]), to))
             to, offer = to[rank], offer[rank]
             target, first = np.unique(to, return_index=True)
-            place = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
+            count = np.diff(np.append(first, len(to)))
+            place, which = np.arange(len(to)) - np.repeat(first, count), np.repeat(np.arange(len(target)), count)
+            have = (graph.links[target] >= 0).sum(1)
+            full = have + count > 2 * degree
+            room = ~full[which]
+            graph.links[to[room], (have[which] + place)[room]] = offer[room]
             offers = np.full((len(target), 2 * degree), -1)
-            fit = place < 2 * degree
-            offers[np.searchsorted(target, to[fit]), place[fit]] = offer[fit]
-            graph.links[target] = graph.prune(target, np.hstack([graph.links[target], offers]), alpha, degree)
+            fit = ~room & (place < 2 * degree)
+            offers[which[fit], place[fit]] = offer[fit]
+            crowded = target[full]
+            if len(crowded):
+                pruned = graph.prune(crowded, np.hstack([graph.links[crowded], offers[full]]), alpha, degree)
+                graph.links[crowded, :degree], graph.links[crowded, degree:] = pruned, -1
     return graph
 
 
@@ -271,6 +254,21 @@ def _build_shard(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids), "near": lists})
 
 
+def _groups(near: np.ndarray) -> Iterator[np.ndarray]:
+    """The nodes that a symmetric matrix joins, group by group, those of single nodes left out."""
+    open_ = near.any(1)
+    for i in range(len(near)):
+        if open_[i]:
+            inside, frontier = np.zeros(len(near), bool), np.array([i])
+            inside[i], open_[i] = True, False
+            while len(frontier):
+                reach = near[frontier].any(0) & open_
+                open_[reach] = False
+                inside |= reach
+                frontier = np.flatnonzero(reach)
+            yield np.flatnonzero(inside)
+
+
 def _search_shard(threshold: float):
     """count: vectors linked with a member by pairs that count in this shard; root: a member of its component here."""
 
@@ -290,43 +288,39 @@ def _search_shard(threshold: float):
         links = np.full((n, int(place.max(initial=0)) + 1), -1)
         links[owner, place] = at
         graph = Graph(x, links)
-        found = np.zeros((n, n), bool)
+        wide = threshold - (1 - threshold)  # what lies a little further leads to more
+        near = np.zeros((n, n), bool)
         for i in range(0, n, BLOCK):
             part = np.arange(i, min(n, i + BLOCK))
-            found[part] = graph.search(part, BEAM, True, threshold - 1e-5)[0]
-        for i in range(0, n, BLOCK):  # a pair is found if either end finds it
+            near[part] = graph.search(part, BEAM, True, wide)[0]
+        for i in range(0, n, BLOCK):  # a pair is near if either end meets the other
             for j in range(i, n, BLOCK):
-                found[i : i + BLOCK, j : j + BLOCK] |= found[j : j + BLOCK, i : i + BLOCK].T
-                found[j : j + BLOCK, i : i + BLOCK] = found[i : i + BLOCK, j : j + BLOCK].T
+                near[i : i + BLOCK, j : j + BLOCK] |= near[j : j + BLOCK, i : i + BLOCK].T
+                near[j : j + BLOCK, i : i + BLOCK] = near[i : i + BLOCK, j : j + BLOCK].T
         cells = table.column("cells").combine_chunks()
-        width = int(np.diff(cells.offsets.to_numpy()).max(initial=0))
-        where = np.full((n, width), np.iinfo(np.int64).max)
         k = np.diff(cells.offsets.to_numpy())
+        none = np.iinfo(np.int64).max
+        where = np.full((n, int(k.max(initial=0))), none)
         where[np.repeat(np.arange(n), k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)] = cells.flatten().to_numpy()
         count = np.zeros(n, np.int64)
-        for i in range(n):
-            b = np.flatnonzero(found[i])
-            if not len(b):
-                continue
-            cosine = np.concatenate([(x[part] * x[i]).sum(1) for part in np.array_split(b, len(b) // 8192 + 1)])
-            found[i, b[cosine < threshold]] = False
-            b = b[cosine >= threshold]
-            first = np.full(len(b), np.iinfo(np.int64).max)
-            for c in where[i][where[i] < np.iinfo(np.int64).max]:
-                first = np.minimum(first, np.where((where[b] == c).any(1), c, np.iinfo(np.int64).max))
-            mine = (first == cell) & ((piece[b] != piece[i]) if split else True)
-            count[i] = size[b[mine]].sum()
+        for group in _groups(near):
+            near[np.ix_(group, group)] = False  # from here on the verified links
+            for part in np.array_split(group, len(group) * len(group) // (1 << 20) + 1):
+                linked = x[part] @ x[group].T >= threshold
+                linked[np.arange(len(part)), np.searchsorted(group, part)] = False
+                near[np.ix_(part, group)] = linked
+                first = np.full(linked.shape, none)
+                for a in range(where.shape[1]):
+                    mine = where[part, a][:, None]
+                    shared = (where[group][None, :, :] == mine[:, :, None]).any(2) & (mine < none)
+                    first = np.minimum(first, np.where(shared, mine, none))
+                counts = linked & (first == cell)
+                if split:
+                    counts &= piece[part][:, None] != piece[group][None, :]
+                count[part] = counts @ size[group]
         root = np.arange(n)
-        open_ = found.any(1)
-        for i in range(n):
-            if open_[i]:
-                frontier = np.array([i])
-                open_[i] = False
-                while len(frontier):
-                    reach = found[frontier].any(0) & open_
-                    open_[reach] = False
-                    root[reach] = i
-                    frontier = np.flatnonzero(reach)
+        for group in _groups(near):
+            root[group] = group[0]
         release_memory()
         return pa.table({"id": pa.array(ids), "count": pa.array(count), "root": pa.array(ids[root])})
 
