@@ -51,13 +51,18 @@ def fields(rows: DataFrame, raw_col: str = "raw", normalize: bool = False) -> Da
 
 
 def with_errors(rows: DataFrame, key: list[str], document_types: DataFrame, correspondents: DataFrame, content_tags: DataFrame, max_tags: int, raw_col: str = "raw", normalize: bool = False) -> DataFrame:
-    """rows with the struct response_ and errors: error codes in the order of the fields, empty if the response is valid.
+    """rows with the struct response_ and errors; see judged. The responses are parsed for tags and for the rest: store
+    what fields gives and take judged where that costs too much."""
+    return judged(fields(rows, raw_col, normalize), key, document_types, correspondents, content_tags, max_tags)
+
+
+def judged(parsed: DataFrame, key: list[str], document_types: DataFrame, correspondents: DataFrame, content_tags: DataFrame, max_tags: int) -> DataFrame:
+    """parsed (with the struct response_ of fields) with errors: error codes in the order of the fields, empty if the response is valid.
 
     key names a row. The dimensions have a column name; names are checked by joins, tags one by one, so that the
     work grows with the rows and not with rows times names. Rows that repeat with their key are checked as one.
     """
     known = lambda df, name: df.filter(F.col("name").isNotNull()).select(F.col("name").alias(name)).distinct().withColumn(f"is_{name}", F.lit(True))
-    parsed = fields(rows, raw_col, normalize)
     r = F.col("response_")
     tags = parsed.filter(F.size(r["tags"]) > 0).select(*key, F.explode(r["tags"]).alias("tag_"))
     strange = tags.join(known(content_tags, "known_tag"), F.col("tag_") == F.col("known_tag"), "left").filter("is_known_tag IS NULL")
@@ -81,7 +86,7 @@ def with_errors(rows: DataFrame, key: list[str], document_types: DataFrame, corr
         F.when(dated & (day.isNull() | created.startswith("0000")), "created_not_a_date"),
     )
     verdict = F.when(~r["is_object"], F.array(F.lit("not_an_object"))).otherwise(F.filter(errors, lambda e: e.isNotNull()))
-    return joined.select(*rows.columns, "response_", verdict.alias("errors"))
+    return joined.select(*parsed.columns, verdict.alias("errors"))
 
 
 def correspondent_errors(raw: Column) -> Column:

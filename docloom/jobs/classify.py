@@ -68,11 +68,12 @@ def classify(docs: DataFrame, dims: DataFrame, model: Model = stub, limit: int =
 
 
 def judge(answers: DataFrame, types: DataFrame, correspondents: DataFrame, tags: DataFrame, max_tags: int = 5) -> DataFrame:
-    """answers (doc_id, raw, ...) with the parsed fields and the error codes. The dimensions have id and name."""
-    judged = response.with_errors(answers, ["doc_id"], types, correspondents, tags, max_tags, normalize=True)
+    """answers (doc_id, raw, ..., parsed already if they have response_) with the fields and the error codes. The dimensions have id and name."""
+    parsed = answers if "response_" in answers.columns else response.fields(answers, normalize=True)
+    judged = response.judged(parsed, ["doc_id"], types, correspondents, tags, max_tags)
     r = F.col("response_")
     return judged.select(
-        *answers.columns,
+        *(c for c in answers.columns if c != "response_"),
         *(r[n].alias(n) for n in ("title", "document_type", "correspondent")),
         F.coalesce(r["tags"], F.array().cast("array<string>")).alias("tags"),
         r["created"].alias("created"),
@@ -143,7 +144,8 @@ def run(docs: DataFrame, dims: DataFrame, types: DataFrame, correspondents: Data
     outcomes.TRANSITIONS. generated_at: the records' time, now if not given. types_now, correspondents_now: the
     dimensions as they are when answers take effect; a name that they lack by then ends a run.
     """
-    answers = written(ask(docs, dims, model).select("doc_id", "content_chars_used", "content_truncated", "raw", F.col("user_prompt").isNotNull().alias("asked")), "answers")
+    asked = ask(docs, dims, model).select("doc_id", "content_chars_used", "content_truncated", "raw", F.col("user_prompt").isNotNull().alias("asked"))
+    answers = written(response.fields(asked, normalize=True), "answers")  # parsed once
     judged = written(second_stage(judge(answers, types, correspondents, tags, max_tags), docs, correspondents, sender_model), "judged")
     patched = apply(judged, current, types if types_now is None else types_now, correspondents if correspondents_now is None else correspondents_now, tags, [queue, error])
     gone = patched.select("doc_id", F.col("error").isNotNull().alias("gone_"))

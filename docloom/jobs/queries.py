@@ -204,7 +204,8 @@ _RESPONSE_SPARK = "CASE k " + " ".join(f"WHEN {i} THEN {b}" for i, (b, _) in enu
 @query("SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 11 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(_BODY)) + " END AS errors FROM lineitem")
 def validate_result_errors(spark: SparkSession, d: str) -> DataFrame:
     key = ["l_orderkey", "l_linenumber"]
-    judged = response.with_errors(_response(spark, d).select(*key, "raw"), key, _types(spark, d), _suppliers(spark, d), _tags(spark, d), 3)
+    parsed = classify.written(response.fields(_response(spark, d).select(*key, "raw")).drop("raw"), "responses")
+    judged = response.judged(parsed, key, _types(spark, d), _suppliers(spark, d), _tags(spark, d), 3)
     return judged.select(*key, F.array_join("errors", ",").alias("errors"))
 
 

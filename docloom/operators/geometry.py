@@ -224,24 +224,31 @@ def element_rows(pages: DataFrame, key: list[str]) -> DataFrame:
                 return pa.RecordBatch.from_arrays(out, names=[*key, *names])
 
             width, height, dpi, number = (batch.column(c).to_pylist() for c in ("width", "height", "dpi", "page_number"))
+            column = batch.column("lines")
+            flat = column.flatten()
+            sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(column.offsets.to_numpy()))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            texts, scores, words_of = flat.field("text").to_pylist(), flat.field("score").to_pylist(), flat.field("words")
+            lefts, tops, rights, bottoms = (flat.field(c).to_pylist() for c in SIDES)
+            given = words_of.is_valid().to_pylist()
             for p in range(batch.num_rows):
                 if not (width[p] and height[p] and width[p] > 0 and height[p] > 0):
                     continue
                 rows.append((None, None, "ocr_page", None, None, 0.0, 0.0, width[p], height[p], dpi[p], number[p]))
                 page_of.append(p)
-                for i, line in enumerate(batch.column("lines")[p].as_py() or []):
-                    words = (line["text"] or "").strip()
-                    x0, y0, x1, y1 = (line[s] for s in SIDES)
-                    if not words or x0 is None:
+                for k in range(ends[p], ends[p + 1]):
+                    i, line, x0, y0, x1, y1 = k - ends[p], (texts[k] or "").strip(), lefts[k], tops[k], rights[k], bottoms[k]
+                    if not line or x0 is None:
                         continue
-                    score = max(0.0, min(1.0, line["score"] or 0.0))
+                    score = max(0.0, min(1.0, scores[k] or 0.0))
                     before = len(rows)
                     rows += [(i, None, name, None, score, x0, y0, x1, y1, None, None) for name in ("ocr_carea", "ocr_par", "ocr_line")]
-                    if line["words"]:
-                        good = [(w["text"].strip(), *(w[s] for s in SIDES)) for w in line["words"] if w and (w["text"] or "").strip() and w["left"] is not None]
+                    own = words_of[k].as_py() if given[k] else None
+                    if own:
+                        good = [(w["text"].strip(), *(w[s] for s in SIDES)) for w in own if w and (w["text"] or "").strip() and w["left"] is not None]
                     else:
-                        good = [(w, a, y0, b, y1) for w, a, b in estimated(words, x0, x1)]
-                    rows += [(i, j, "ocrx_word", w[0], score, *w[1:], None, None) for j, w in enumerate(good or [(words, x0, y0, x1, y1)])]
+                        good = [(w, a, y0, b, y1) for w, a, b in estimated(line, x0, x1)]
+                    rows += [(i, j, "ocrx_word", w[0], score, *w[1:], None, None) for j, w in enumerate(good or [(line, x0, y0, x1, y1)])]
                     page_of += [p] * (len(rows) - before)
                 if len(rows) >= ROWS:
                     yield flush()
