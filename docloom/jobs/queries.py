@@ -884,6 +884,31 @@ def run_performance(spark: SparkSession, d: str) -> DataFrame:
     return answers.select("o_orderkey", writeback.performance(F.col("raw"), F.col("wall")).alias("p")).select("o_orderkey", "p.*")
 
 
+@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN '' ELSE upper(lang) END || CASE WHEN doc_id % 2 = 1 THEN CASE WHEN lang = 'fr' THEN 'Z' ELSE ',Z' END ELSE '' END AS unknown FROM documents""")
+def unknown_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of the documents' languages: FR and TAGS_JSON are known, the language of others and Z are not; small letters and digits make no slots."""
+    n = F.col("doc_id")
+    template = F.concat(F.lit("{{ TAGS_JSON }} {{"), F.upper("lang"), F.lit("}} {{ "), F.upper("lang"), F.lit(" }} {{ small }} {{ A1 }} {"), F.when(n % 2 == 1, "{Z}} {{ Z }").otherwise("{ Z } "), F.when(n % 2 == 1, "}").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", F.array_join(prompt.unknown_slots(template, ["TAGS_JSON", "FR"]), ",").alias("unknown"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE array_to_string(list_sort(list_distinct(list_filter([c_mktsegment, CASE WHEN c_custkey % 2 = 1 THEN 'n' || c_nationkey END], lambda x: x IS NOT NULL AND x <> 'BUILDING'))), ',') END AS unknown FROM customer""")
+def unknown_config_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations with the customer's segment, nation and url as keys; url and BUILDING are allowed. Each fourth is no object."""
+    key = F.col("c_custkey")
+    nation = F.when(key % 2 == 1, F.concat(F.lit(',"n'), F.col("c_nationkey").cast("string"), F.lit('":{"x":1}'))).otherwise("")
+    config = F.when(key % 4 == 0, "[1]").otherwise(F.concat(F.lit('{"url":1,"'), F.col("c_mktsegment"), F.lit('":2'), nation, F.lit("}")))
+    return table(spark, d, "customer").select("c_custkey", F.when(key % 4 != 0, F.array_join(configs.unknown_keys(config, ["url", "BUILDING"]), ",")).alias("unknown"))
+
+
+@query(f"""SELECT status, 'r' || user_id AS request_id, status = 'waiting' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view') AS retry_now FROM (
+SELECT user_id, max_by(status, (ts, event_id)) AS status FROM (SELECT s.*, e.ts FROM ({_SCHEDULE}) s JOIN events e USING (event_id)) GROUP BY user_id)""")
+def control_view(spark: SparkSession, d: str) -> DataFrame:
+    """What may be shown of each user's request: neither the user nor what has failed."""
+    state = retry_triggers(spark, d).select("*", F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("request_id"), F.lit("secret.pdf").alias("source"))
+    return recovery.control_state(state)
+
+
 @query(_WAITS)
 def stream_recovery_waits(spark: SparkSession, d: str) -> DataFrame:
     """recovery_waits as a stateful stream: the events come in three files by time, and a tick a day later lets all timers fire."""
