@@ -129,3 +129,11 @@ def test_clashing_names_and_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "A.", "x", "y"), (1, 1, "assistant", "B.", "x", "y")], "conv_id int, turn int, role string, text string, id string, seen string")
     out = conversations.damaged_repairs(df)
     assert dict(out.dtypes)["conv_id"] == "int" and out.count() == 1
+
+
+def test_long_texts_and_many_copies(spark):
+    rows = [(7, 0, "user", "word " * 800_000 + "end."), (7, 1, "assistant", "Yes. " * 400_000), (7, 2, "user", "Again.")] + [(8, 1, "user", "Same.")] * 400
+    assert found(spark, rows) == expected(rows[:3]) | {8: found(spark, rows[3:])[8]}
+    got = found(spark, rows[3:])[8]
+    n = sum(1 for _ in damaged(rows[3:])[8])
+    assert got[2] == n - 1 and got[4] == n - 1 and got[6].count("D") == n - 1  # all but the first are duplicates
