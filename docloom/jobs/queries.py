@@ -79,6 +79,12 @@ def _inbox(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("document_id")).distinct()
 
 
+def _signed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents, signed once and stored, and the records of those in the inbox."""
+    signed = classify.written(reviews.sign(_docs(spark, d)), "signed")
+    return signed, reviews.prune(signed.withColumnRenamed("doc_id", "document_id"), _inbox(spark, d))[0]
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return reviews.prune(reviews.review_records(_docs(spark, d)), _inbox(spark, d))[0]
 
@@ -90,7 +96,7 @@ CASE WHEN a.n = 1 THEN 'prompt_content_signature' WHEN a.n > 1 THEN 'prompt_cont
 WHEN b.n = 1 THEN 'content_signature' WHEN b.n > 1 THEN 'content_signature ambiguous (' || b.n || ')' ELSE 'no review record' END AS "match"
 FROM s LEFT JOIN a ON s.ps = a.ps LEFT JOIN b ON s.cs = b.cs""")
 def match_review_records(spark: SparkSession, d: str) -> DataFrame:
-    return reviews.match_records(reviews.sign(_docs(spark, d)), _records(spark, d)).select("doc_id", "matched_document_id", "match")
+    return reviews.match_records(*_signed(spark, d)).select("doc_id", "matched_document_id", "match")
 
 
 @query(f"""WITH {_SIGNED}, {_INBOX}, w AS (SELECT cs, count(*) n FROM r GROUP BY cs HAVING count(*) > 1),
@@ -100,9 +106,9 @@ CASE WHEN l.n = 1 THEN 'content_signature + live prompt_content_signature' WHEN
 ELSE 'content_signature ambiguous (' || w.n || '); no unique exact prompt-content match' END AS "match"
 FROM s JOIN w ON s.cs = w.cs LEFT JOIN l ON s.cs = l.cs AND s.ps = l.ps""")
 def resolve_ambiguous(spark: SparkSession, d: str) -> DataFrame:
-    signed = reviews.sign(_docs(spark, d))
+    signed, records_ = _signed(spark, d)
     live = signed.select(F.col("doc_id").alias("document_id"), "prompt_content_signature")
-    return reviews.resolve_ambiguous(signed, _records(spark, d), live).select("doc_id", "matched_document_id", "match")
+    return reviews.resolve_ambiguous(signed, records_, live).select("doc_id", "matched_document_id", "match")
 
 
 @query("""SELECT doc_id AS document_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS stays FROM documents""")
