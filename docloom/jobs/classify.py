@@ -48,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def preview(docs: DataFrame, dims: DataFrame, template: str = TEMPLATE, limit: int = 40_000, head_ratio: float = 0.7, system: str = SYSTEM) -> DataFrame:
     """docs with content_chars_used, content_truncated and the system_prompt and user_prompt of a configuration; null for an empty content.
+    The schema of its answers is the same for all rows: prompt.answer_schema over dims.
 
     dims: one row with document_types, correspondents and content_tags; its names are part of every prompt. No model is asked.
     """

@@ -915,6 +915,17 @@ def control_view(spark: SparkSession, d: str) -> DataFrame:
     return recovery.control_state(state)
 
 
+@query("""WITH n AS (SELECT p_brand, list(DISTINCT p_type ORDER BY p_type) AS t, list(DISTINCT p_name ORDER BY p_name) AS g FROM part GROUP BY p_brand), q AS (SELECT p_brand, '"' || array_to_string(t, '","') || '"' AS t, '"' || array_to_string(g, '","') || '"' AS g FROM n),
+j AS (SELECT p_brand, '{"type":"object","additionalProperties":false,"properties":{"title":{"type":"string"},"document_type":{"type":"string","enum":["",' || t || ']},"correspondent":{"type":"string","enum":["","' || p_brand || '"]},"tags":{"type":"array","maxItems":5,"items":{"type":"string","enum":[' || g || ']}},"created":{"type":"string"}},"required":["title","document_type","correspondent","tags","created"]}' AS j FROM q)
+SELECT p_brand, length(j) AS schema_chars, sha256(j) AS schema_sha256 FROM j""")
+def answer_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """A schema a brand: its types, itself as correspondent, and its parts' names as tags."""
+    names = lambda c: F.array_sort(F.collect_set(c))
+    dims = table(spark, d, "part").groupBy("p_brand").agg(names("p_type").alias("types"), names("p_name").alias("tags"))
+    rows = dims.select("p_brand", F.to_json(prompt.answer_schema(F.col("types"), F.array("p_brand"), F.col("tags"), 5)).alias("schema"))
+    return rows.select("p_brand", F.length("schema").alias("schema_chars"), F.sha2("schema", 256).alias("schema_sha256"))
+
+
 @query(_WAITS)
 def stream_recovery_waits(spark: SparkSession, d: str) -> DataFrame:
     """recovery_waits as a stateful stream: the events come in three files by time, and a tick a day later lets all timers fire."""
