@@ -53,11 +53,12 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, folds: int = FOLDS) -> Chain:
     """A chain over the 0/1 columns categories of labels, in that order, fitted on at most max_rows labelled rows."""
-    rows = training_rows(docs, labels, categories, max_rows, id_col, text_col)
+    rows = training_rows(docs, labels, categories, max_rows, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(folds)).cast("int"))
     chain, seen = Chain(categories), []
+    columns = [*(f"y{j}" for j in range(len(categories))), "fold"]
     for k in range(len(categories)):
         buckets = select_buckets(rows, f"y{k}", 2, max_features)
-        x, y = collect_rows(rows, buckets, [f"y{j}" for j in range(len(categories))])
+        x, y = collect_rows(rows, buckets, columns)
         mine = np.clip(y[:, k], 0, 1) if len(y) else np.zeros(0, np.int64)
         chain.buckets.append(buckets)
         chain.share.append(float(mine.mean()) if len(mine) else 0.0)
@@ -65,19 +66,26 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
             chain.weights.append(None)
             seen.append(np.full(len(mine), chain.share[-1]))
             continue
-        x = Sparse(x.row, x.col, x.n, x.m, _log_odds(np.stack(seen, 1)) if seen else None)
-        chain.weights.append(fit(x, mine, 2))
+        dense = _log_odds(np.stack(seen, 1)) if seen else None
+        chain.weights.append(fit(Sparse(x.row, x.col, x.n, x.m, dense), mine, 2))
         if k + 1 < len(categories):
-            out = np.full(x.n, chain.share[-1])
-            fold = np.arange(x.n) % folds
-            for f in range(folds):
-                train = fold != f
-                if len(np.unique(mine[train])) == 2:
-                    out[~train] = softmax(x.rows(~train).times(fit(x.rows(train), mine[train], 2)))[:, 1]
-            seen.append(out)
+            seen.append(_out_of_fold(rows, columns, k, dense, chain.share[-1], max_features, folds))
     return chain
 
 
+def _out_of_fold(rows: DataFrame, columns: list[str], k: int, dense: np.ndarray | None, share: float, max_features: int, folds: int) -> np.ndarray:
+    """Probabilities of category k for each training row by a model that has seen neither its label nor features chosen with it."""
+    out = None
+    for f in range(folds):
+        buckets = select_buckets(rows.filter(F.col("fold") != f), f"y{k}", 2, max_features)
+        x, y = collect_rows(rows, buckets, columns)
+        x, train, mine = Sparse(x.row, x.col, x.n, x.m, dense), y[:, -1] != f, np.clip(y[:, k], 0, 1)
+        out = np.full(x.n, share) if out is None else out
+        if len(np.unique(mine[train])) == 2 and not train.all():
+            out[~train] = softmax(x.rows(~train).times(fit(x.rows(train), mine[train], 2)))[:, 1]
+    return out
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id_col, the probability p_<category> of each category, and the last category as a boolean column of its name."""
     names = [f"p_{c}" for c in chain.categories]
