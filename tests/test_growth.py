@@ -1,9 +1,10 @@
 """Work that must not grow with documents times names, rows of a batch or the like."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.catalog import QUERIES
+from docloom.catalog import ORACLE_SQL, QUERIES
 from docloom.functions import prompt
 from docloom.jobs import classify
 
@@ -30,3 +31,14 @@ def test_names_are_joined_once_and_not_once_a_document(spark):
     assert got == {1: (want, want.upper(), True), 2: (None, None, False)}
     assert "array_join" not in plan(classify.ask(docs, dims).select("doc_id", "raw"))  # the stub reads only the content
     assert [r.raw for r in classify.classify(docs, dims).collect()] == ['{"title": "b", "document_type": "", "correspondent": "", "tags": [], "created": ""}']
+
+
+def test_the_stub_query_agrees_with_its_sql_on_long_contents(spark, tmp_path):
+    texts = ["a" * 40_000, "b" * 40_001, " \n", "x\n\n" + "c" * 39_000, " " * 9 + "d" * 40_000 + "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("part", "supplier"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["classify_stub"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(ORACLE_SQL["classify_stub"]).fetchall()) and [r[0] for r in got] == [0, 3, 4]
