@@ -42,3 +42,17 @@ def test_the_stub_query_agrees_with_its_sql_on_long_contents(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES["classify_stub"](spark, str(tmp_path)).collect())
     assert got == sorted(db.execute(ORACLE_SQL["classify_stub"]).fetchall()) and [r[0] for r in got] == [0, 3, 4]
+
+
+def test_prompts_are_hashed_without_being_whole(spark):
+    docs = spark.createDataFrame([(k, f"tëxt {k}" if k % 5 else None) for k in range(300)], "doc_id long, text string").repartition(3)
+    dims = spark.createDataFrame([(["ü", "b"],)], "tags array<string>")
+    template, shared = "{{ DOCUMENT_ID }}: {{ TAGS_JSON }}|{{ DOCUMENT_TEXT }}|{{ TAGS_LINES }}.", {"TAGS_JSON": prompt.names_json(F.col("tags")), "TAGS_LINES": F.array_join("tags", "\n")}
+    pieces = prompt.fragments(template, dims, shared)
+    rows = prompt.addressed(docs, template, prompt.document_values(docs.columns, F.coalesce("text", F.lit(""))), pieces).select("doc_id", "parts")
+    want = {r.doc_id: (r.n, r.h) for r in prompt.assembled(rows, pieces).select("doc_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("h")).collect()}
+    got = prompt.digested(rows, pieces)
+    assert {r.doc_id: (r.prompt_chars, r.prompt_sha256) for r in got.collect()} == want and len(want) == 300
+    assert prompt.digested(rows.limit(0), pieces).count() == 0
+    assert "transform(parts" not in plan(got)  # no row is joined with what the taxonomy fills
+    assert got.groupBy().agg(F.max("prompt_chars")).first()[0] == max(n for n, _ in want.values())
