@@ -12,6 +12,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,11 @@ from docloom.functions.arrays import let
 SIDES = ("left", "top", "right", "bottom")
 BOX = "left:double,top:double,right:double,bottom:double"
 WORDS = f"array<struct<at:int,word:string,{BOX}>>"
-#: Rows of a batch of elements.
-ROWS = 50_000
+CLASSES = ["ocr_page", "ocr_carea", "ocr_par", "ocr_line", "ocrx_word"]
+#: Characters and lines whose elements are made at once, as far as pages allow.
+CHARS = 400_000
+#: Tokens that are merged at once, as far as lines allow.
+TOKENS = 200_000
 
 
 # --- results of the engine
@@ -119,7 +123,13 @@ def read_pages(raws: DataFrame, key: list[str], raw_col: str = "raw") -> DataFra
 
 
 def _words(tokens: pa.Array) -> pa.Array:
-    """Runs of tokens that aren't white space, list by list: place, text and box of each."""
+    """Runs of tokens that aren't white space, list by list: place, text and box of each. Lists are taken in blocks, as the work needs several times their room."""
+    block = tokens.offsets.to_numpy()[1:] // TOKENS if len(tokens) else np.zeros(0)
+    starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(tokens)]
+    return pa.concat_arrays([_block_words(tokens.slice(a, b - a)) for a, b in zip(starts, starts[1:])])
+
+
+def _block_words(tokens: pa.Array) -> pa.Array:
     sizes = np.diff(tokens.offsets.to_numpy())
     sizes[tokens.is_null().to_numpy(zero_copy_only=False)] = 0
     flat = tokens.flatten()
@@ -195,6 +205,107 @@ def estimated(line: str, left: float, right: float) -> list[tuple[str, float, fl
     return list(zip(words, edges, [*edges[1:], right], strict=True))
 
 
+def _left_edges(sizes: np.ndarray, lengths: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The left edges that estimated gives, for many lines at once. sizes: words of each line, in order; lengths: of all words.
+
+    Lines of about as many words make a matrix, so that each is summed up word by word as there.
+    """
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(line)) - first[line]
+    total = np.maximum(1, np.bincount(line, lengths, len(sizes)))
+    share = np.fmax(1.0, np.fmax(1.0, right - left)[line] * lengths / total[line])
+    steps = np.append(0.0, share[:-1])
+    steps[place == 0] = left[line[place == 0]]
+    edges = np.empty(len(line))
+    kind = np.ceil(np.log2(np.maximum(1, sizes))).astype(np.int64)
+    for k in np.unique(kind[sizes > 0]).tolist():
+        of = np.flatnonzero(kind[line] == k)
+        rows, row = np.unique(line[of], return_inverse=True)
+        table = np.zeros((len(rows), 1 << k))
+        table[row, place[of]] = steps[of]
+        edges[of] = np.cumsum(table, axis=1)[row, place[of]]
+    return np.fmin(right[line], edges)
+
+
+def _elements(batch: pa.RecordBatch) -> list[pa.Array]:
+    """The columns of element_rows after the key, before them each row's page."""
+    numbers = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
+    floats = lambda a: pa.array(a, pa.float64(), from_pandas=True)
+    width, height = numbers(batch.column("width")), numbers(batch.column("height"))
+    column = batch.column("lines")
+    page = np.repeat(np.arange(batch.num_rows), np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(column.offsets.to_numpy())))
+    flat = column.flatten()
+    number = np.arange(len(page)) - np.searchsorted(page, page)
+    sized = (width > 0) & (height > 0)
+    there = sized[page] & flat.field("left").is_valid().to_numpy(zero_copy_only=False)
+    given = flat.field("words")
+    spans = given.offsets.to_numpy() if len(given) else np.zeros(1, np.int64)
+    own = given.values.slice(spans[0], spans[-1] - spans[0])  # values are those of the whole batch
+    spans, texts, valid = (spans - spans[0]).tolist(), own.field("text").to_pylist(), own.is_valid().to_pylist()
+    boxes_of = [own.field(c).to_pylist() for c in SIDES]
+    kept, sizes, words, found = [], [], [], []  # found: words with boxes of their own, by their number
+    for k, (line, some, good) in enumerate(zip(flat.field("text").to_pylist(), given.is_valid().to_pylist(), there.tolist(), strict=True)):
+        line = (line or "").strip()
+        if not line or not good:
+            continue
+        kept.append(k)
+        if some and spans[k] < spans[k + 1]:
+            placed = [j for j in range(spans[k], spans[k + 1]) if valid[j] and (texts[j] or "").strip() and boxes_of[0][j] is not None]
+            found += [(len(words) + i, *(b[j] for b in boxes_of)) for i, j in enumerate(placed)] or [(len(words), *(flat.field(c)[k].as_py() for c in SIDES))]
+            fresh = [texts[j].strip() for j in placed] or [line]
+        else:
+            fresh = line.split()
+        sizes.append(len(fresh))
+        words += fresh
+    kept, sizes = np.array(kept, np.int64), np.array(sizes, np.int64)
+    line = np.repeat(np.arange(len(kept)), sizes)
+    place = np.arange(len(words)) - (np.cumsum(sizes) - sizes)[line]
+    left, top, right, bottom = (numbers(flat.field(c))[kept] for c in SIDES)
+    edges = _left_edges(sizes, np.fromiter(map(len, words), np.int64, len(words)), left, right)
+    ends = np.where(place == sizes[line] - 1, right[line], np.append(edges[1:], 0.0)) if len(words) else edges
+    sides = [edges, top[line], ends, bottom[line]]
+    if found:
+        at, *own_sides = zip(*found, strict=True)
+        for side, values in zip(sides, own_sides, strict=True):
+            side[list(at)] = np.array(values, float)
+    # A page's row, then for each line three rows and its words.
+    on = page[kept]
+    per_page = sized + np.bincount(on, sizes + 3, batch.num_rows).astype(np.int64)
+    page_at = np.cumsum(per_page) - per_page
+    rank = np.cumsum(sizes + 3) - (sizes + 3)
+    line_at = page_at[on] + 1 + rank - rank[np.searchsorted(on, on)] if len(kept) else rank
+    word_at = line_at[line] + 3 + place
+    n, own_page = int(per_page.sum()), np.flatnonzero(sized)
+
+    def spread(values_page, values_line, values_word, kind):  # noqa: ANN001, ANN202  None: null in these rows
+        out, null = np.zeros(n, kind), np.ones(n, bool)
+        for at, values in ((page_at[own_page], values_page), *((line_at + i, values_line) for i in range(3)), (word_at, values_word)):
+            if values is not None:
+                out[at], null[at] = values, False
+        return out, null
+
+    class_of = spread(0, None, 4, np.int8)[0]
+    for i in range(3):
+        class_of[line_at + i] = i + 1
+    score = np.fmax(0.0, np.fmin(1.0, numbers(pc.fill_null(flat.field("score"), 0.0))[kept]))
+    at, no_word = spread(None, None, np.arange(len(words)), np.int64)
+    first_row, no_page = spread(own_page, None, None, np.int64)
+    of_page = pa.array(first_row, mask=no_page)
+    masked = lambda pair, kind: pa.array(pair[0], kind, mask=pair[1])
+    return [
+        pa.array(np.repeat(np.arange(batch.num_rows), per_page)),
+        masked(spread(None, number[kept], number[kept][line], np.int32), pa.int32()),
+        masked(spread(None, None, place, np.int32), pa.int32()),
+        pa.array(CLASSES).take(pa.array(class_of)),
+        pa.array(words, pa.string()).take(pa.array(at, mask=no_word)),
+        masked(spread(None, score, score[line], float), pa.float64()),
+        *(floats(spread(a, b, c, float)[0]) for a, b, c in zip((0.0, 0.0, width[own_page], height[own_page]), (left, top, right, bottom), sides, strict=True)),
+        batch.column("dpi").take(of_page),
+        batch.column("page_number").take(of_page),
+    ]
+
+
 def element_rows(pages: DataFrame, key: list[str]) -> DataFrame:
     """The element tree of each page as rows: key, line_no (null for the page), word_no (null above words), ocr_class, text,
     confidence, the box left, top, right, bottom, and for the page dpi and page_number.
@@ -208,51 +319,17 @@ def element_rows(pages: DataFrame, key: list[str]) -> DataFrame:
     kinds = [f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in key]
     schema = ", ".join([*kinds, "line_no int, word_no int, ocr_class string, text string, confidence double, left double, top double, right double, bottom double, dpi double, page_number int"])
     names = ["line_no", "word_no", "ocr_class", "text", "confidence", *SIDES, "dpi", "page_number"]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 6, pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page_of: list[int] = []
-            rows: list[tuple] = []
-
-            def flush() -> pa.RecordBatch:
-                keys = batch.select(key).take(pa.array(page_of, pa.int64()))
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                out = [*keys.columns, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))]
-                page_of.clear()
-                rows.clear()
-                return pa.RecordBatch.from_arrays(out, names=[*key, *names])
-
-            width, height, dpi, number = (batch.column(c).to_pylist() for c in ("width", "height", "dpi", "page_number"))
             column = batch.column("lines")
-            flat = column.flatten()
-            sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(column.offsets.to_numpy()))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            texts, scores, words_of = flat.field("text").to_pylist(), flat.field("score").to_pylist(), flat.field("words")
-            lefts, tops, rights, bottoms = (flat.field(c).to_pylist() for c in SIDES)
-            given = words_of.is_valid().to_pylist()
-            for p in range(batch.num_rows):
-                if not (width[p] and height[p] and width[p] > 0 and height[p] > 0):
-                    continue
-                rows.append((None, None, "ocr_page", None, None, 0.0, 0.0, width[p], height[p], dpi[p], number[p]))
-                page_of.append(p)
-                for k in range(ends[p], ends[p + 1]):
-                    i, line, x0, y0, x1, y1 = k - ends[p], (texts[k] or "").strip(), lefts[k], tops[k], rights[k], bottoms[k]
-                    if not line or x0 is None:
-                        continue
-                    score = max(0.0, min(1.0, scores[k] or 0.0))
-                    before = len(rows)
-                    rows += [(i, None, name, None, score, x0, y0, x1, y1, None, None) for name in ("ocr_carea", "ocr_par", "ocr_line")]
-                    own = words_of[k].as_py() if given[k] else None
-                    if own:
-                        good = [(w["text"].strip(), *(w[s] for s in SIDES)) for w in own if w and (w["text"] or "").strip() and w["left"] is not None]
-                    else:
-                        good = [(w, a, y0, b, y1) for w, a, b in estimated(line, x0, x1)]
-                    rows += [(i, j, "ocrx_word", w[0], score, *w[1:], None, None) for j, w in enumerate(good or [(line, x0, y0, x1, y1)])]
-                    page_of += [p] * (len(rows) - before)
-                if len(rows) >= ROWS:
-                    yield flush()
-            yield flush()
+            chars = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(column.flatten().field("text")), 0).to_numpy(zero_copy_only=False)))
+            last = np.cumsum(np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(column.offsets.to_numpy())))
+            cuts = np.append(-1, (chars[last] + last) // CHARS)
+            starts = [*np.flatnonzero(np.diff(cuts)).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                out = _elements(batch.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start).take(out[0]) for k in key), *out[1:]], names=[*key, *names])
 
     return pages.select(*key, "width", "height", "dpi", "page_number", "lines").mapInArrow(run, schema)
 

@@ -1,12 +1,15 @@
 """Work that must not grow with documents times names, rows of a batch or the like."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.catalog import ORACLE_SQL, QUERIES
 from docloom.functions import prompt
 from docloom.jobs import classify
+from docloom.operators import geometry
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -56,3 +59,28 @@ def test_prompts_are_hashed_without_being_whole(spark):
     assert prompt.digested(rows.limit(0), pieces).count() == 0
     assert "transform(parts" not in plan(got)  # no row is joined with what the taxonomy fills
     assert got.groupBy().agg(F.max("prompt_chars")).first()[0] == max(n for n, _ in want.values())
+
+
+def test_elements_in_blocks_are_those_of_one_line_at_a_time(spark, monkeypatch):
+    """Left edges equal the sums word by word, and blocks of any size give the same rows."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join("x" * int(n) for n in rng.integers(1, 12, k)) for k in (1, 2, 3, 64, 65, 700)]
+    left, right = rng.uniform(0, 50, len(lines)), rng.uniform(0, 900, len(lines))
+    sizes, lengths = np.array([len(x.split()) for x in lines]), np.array([len(w) for x in lines for w in x.split()])
+    want = [a for x, u, v in zip(lines, left, right, strict=True) for _, a, _ in geometry.estimated(x, u, v)]
+    assert geometry._left_edges(sizes, lengths, left, right).tolist() == want
+    word = lambda t: {"text": t, "left": 1.0, "top": 2.0, "right": 3.0, "bottom": 4.0}
+    line = lambda t, words: {"text": t, "score": 0.5, "left": 1.0, "top": 2.0, "right": 90.0, "bottom": 4.0, "words": words}
+    rows = [(k, 9.0 * (k % 7 > 0), 8.0, 1.0, k, [line("a bc" * (k % 3), [word(f"w{k}"), None, word(" ")] if k % 2 else None), line(f"d {k}", [])] if k % 5 else None) for k in range(60)]
+    kind = pa.struct([("text", pa.string()), *((c, pa.float64()) for c in ("score", *geometry.SIDES)), ("words", pa.list_(pa.struct([("text", pa.string()), *((c, pa.float64()) for c in geometry.SIDES)])))])
+    names = ["k", "width", "height", "dpi", "page_number", "lines"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.float64()] * 3, pa.int32(), pa.list_(kind)), strict=True)], names=names)
+    whole = list(zip(*(a.to_pylist() for a in geometry._elements(batch)), strict=True))
+    parts = [(r[0] + k, *r[1:]) for k in range(60) for r in zip(*(a.to_pylist() for a in geometry._elements(batch.slice(k, 1))), strict=True)]
+    assert whole == parts and sum(r[3] == "ocr_page" for r in whole) == sum(k % 7 > 0 for k in range(60)) and any(r[4] == "w11" for r in whole)
+    tokens = pa.array([[{"token": t, **dict.fromkeys(geometry.SIDES, float(i))} for i, t in enumerate(list("ab c  de" * (k % 4)))] if k % 6 else None for k in range(50)], pa.list_(pa.struct([("token", pa.string()), *((c, pa.float64()) for c in geometry.SIDES)])))
+    once, calls, one = geometry._words(tokens).to_pylist(), [], geometry._block_words
+    monkeypatch.setattr(geometry, "TOKENS", 40)
+    monkeypatch.setattr(geometry, "_block_words", lambda x: calls.append(len(x.flatten())) or one(x))
+    assert geometry._words(tokens).to_pylist() == once and len(calls) > 5 and max(calls) <= 40 + 24
+    assert geometry._words(tokens[:0]).to_pylist() == []
