@@ -1,8 +1,8 @@
 """Pages of an OCR engine as elements: polygons of any shape, words from tokens or by estimate, element trees as rows.
 
-Results are read in the JVM, from variants, point by point: what is no point is skipped, what has less than four is no
-box. Words and trees are made in Arrow batches: Spark interprets nested array lambdas row by row, which took
-three to four times as long.
+Results are parsed in the JVM, as variants, and their fields read as arrays of numbers and strings; lines, boxes, words and
+trees are made from these in Arrow batches: Spark interprets nested array lambdas item by item, which took many times
+as long. What is no point is skipped, what has less than four is no box.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import text
 from docloom.functions.arrays import let
 
 SIDES = ("left", "top", "right", "bottom")
 BOX = "left:double,top:double,right:double,bottom:double"
 WORDS = f"array<struct<at:int,word:string,{BOX}>>"
 CLASSES = ["ocr_page", "ocr_carea", "ocr_par", "ocr_line", "ocrx_word"]
+#: Characters that count as white space at the ends of a text.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Characters and lines whose elements are made at once, as far as pages allow.
 CHARS = 400_000
 #: Tokens that are merged at once, as far as lines allow.
@@ -69,37 +70,101 @@ def dots_per_inch(value: Column) -> Column:
     return F.coalesce(alone, let(numbers, mean))
 
 
-def _text(value: Column) -> Column:
-    return text.strip(F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("")))
+def _filled(lists: Column, kind: str, depth: int) -> Column:
+    """Lists of lists, depth levels of them, with empty ones for null ones: Spark's Arrow writer goes over a run of null lists again for each row."""
+    inner = F.transform(lists, lambda x: _filled(x, kind, depth - 1)) if depth > 1 else lists
+    return F.coalesce(inner, F.array().cast("array<" * depth + kind + ">" * depth))
 
 
-def engine_lines(page: Column) -> Column:
-    """The lines of an engine's page (a variant): text, score (0 if it is no number), box and tokens with their boxes.
+def _engine_columns(value: Column) -> list[Column]:
+    """What the lines of an engine's page (result.page of a variant) are made of, each field read whole: interpreted lambdas
+    over items took most of the time. Regions come as text, as numbers and as points; see _around."""
+    field = lambda name, kind: F.try_variant_get(value, f"$.page.{name}", kind)
+    given = field("text_word_boxes", "variant")
+    boxes = F.when(given.isNull() | F.is_variant_null(given), field("text_word_region", "variant")).otherwise(given)
+
+    def lists(get, kind: str, depth: int) -> Column:  # noqa: ANN001
+        return _filled(get("array<" * depth + kind + ">" * depth), kind, depth)
+
+    def points(get, depth: int) -> Column:  # noqa: ANN001
+        listed = lambda x, level: F.filter(x, lambda p: p.isNotNull()) if level == 1 else F.transform(x, lambda y: listed(y, level - 1))
+        return _filled(listed(get("array<" * (depth + 2) + "double" + ">" * (depth + 2)), depth + 1), "array<double>", depth + 1)
+
+    columns = [lists(lambda k: field("rec_texts", k), "string", 1).alias("texts"), lists(lambda k: field("rec_scores", k), "double", 1).alias("scores"), lists(lambda k: field("text_word", k), "string", 2).alias("tokens")]
+    for name, depth, get in (("line", 1, lambda k: field("rec_polys", k)), ("token", 2, lambda k: F.try_variant_get(boxes, "$", k))):
+        columns += [lists(get, "string", depth).alias(f"{name}_shown"), lists(get, "double", depth + 1).alias(f"{name}_numbers"), points(get, depth).alias(f"{name}_points")]
+    return columns
 
-    Texts, scores and polygons are taken side by side as far as all three go; lines without text or box are left out.
-    """
-    field = lambda name: F.try_variant_get(page, f"$.{name}", "variant")
-    void = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "VOID"
-    regions = F.when(void(field("text_word_boxes")), field("text_word_region")).otherwise(field("text_word_boxes"))
 
-    def tokens(words: Column, boxes: Column) -> Column:
-        some = F.least(F.size(words), F.size(boxes))
-        one = lambda i: F.struct(F.try_variant_get(F.get(words, i), "$", "string").alias("token"), *(let(points(F.get(boxes, i)), box)[s].alias(s) for s in SIDES))
-        return F.when(some > 0, F.transform(F.sequence(F.lit(0), some - 1), one))
+def _sizes(lists: pa.Array) -> np.ndarray:
+    """The lengths of lists; null ones are empty."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
 
-    def of(texts: Column, scores: Column, polygons: Column, words: Column, boxes: Column) -> Column:
-        some = F.least(F.size(texts), F.size(scores), F.size(polygons))
 
-        def line(i: Column) -> Column:
-            around = let(points(F.get(polygons, i)), box)
-            inner = let(_items(F.get(words, i)), lambda w: let(_items(F.get(boxes, i)), lambda b: tokens(w, b)))
-            return F.struct(_text(F.get(texts, i)).alias("text"), F.coalesce(_number(F.get(scores, i)), F.lit(0.0)).alias("score"), around.alias("box"), inner.alias("tokens"))
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
-        there = F.when(some > 0, F.transform(F.sequence(F.lit(0), some - 1), line))
-        return F.filter(there, lambda x: (x["text"] != "") & x["box"]["left"].isNotNull())
 
-    names = ("rec_texts", "rec_scores", "rec_polys", "text_word")
-    return let(_items(field(names[0])), lambda a: let(_items(field(names[1])), lambda b: let(_items(field(names[2])), lambda c: let(_items(field(names[3])), lambda d: let(_items(regions), lambda e: of(a, b, c, d, e))))))
+def _heads(lists: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The first items of each list, as many as sizes has, list after list; null beyond a list's end."""
+    own = _sizes(lists)
+    if np.array_equal(own, sizes):
+        return lists.flatten()
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(of)) - _firsts(sizes)[of]
+    return lists.values.take(pa.array(lists.offsets.to_numpy()[:-1][of] + place, pa.int64(), mask=place >= own[of]))
+
+
+def _around(shown: pa.Array, numbers: pa.Array, listed: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sides of the boxes around regions, and which regions have one; as box(points) gives them.
+
+    shown: their JSON, which tells four plain numbers from strings and truth values (numbers beyond the range of doubles
+    are written as strings and make no rectangle); numbers: their items as numbers; listed: their items as points.
+    """
+    n = len(numbers)
+    sides, flat, sizes = [np.full(n, np.nan) for _ in SIDES], numbers.flatten(), _sizes(numbers)
+    filled = np.bincount(np.repeat(np.arange(n), sizes)[flat.is_valid().to_numpy(zero_copy_only=False)], minlength=n)
+    quoted = pc.fill_null(pc.match_substring_regex(shown, '["ul]'), True).to_numpy(zero_copy_only=False)
+    plain = (sizes == 4) & (filled == 4) & ~quoted
+    at, values = _firsts(sizes)[plain], flat.to_numpy(zero_copy_only=False)
+    for i, side in enumerate(sides):
+        side[plain] = (np.fmin if i < 2 else np.maximum)(values[at + i % 2], values[at + i % 2 + 2])  # NaN is greater than all
+    points = listed.flatten()
+    pairs = np.flatnonzero(_sizes(points) >= 2)
+    start, given = points.offsets.to_numpy()[:-1][pairs], points.values.is_valid().to_numpy(zero_copy_only=False)
+    good = given[start] & given[start + 1]
+    of, start = np.repeat(np.arange(n), _sizes(listed))[pairs[good]], start[good]
+    count = np.bincount(of, minlength=n)
+    values, some = points.values.to_numpy(zero_copy_only=False), np.flatnonzero(count)
+    enough = count[some] >= 4
+    for i, side in enumerate(sides):
+        if len(some):
+            side[some[enough]] = (np.fmin if i < 2 else np.maximum).reduceat(values[start + i % 2], _firsts(count)[some])[enough]
+    return sides, plain | (count >= 4)
+
+
+def _engine_lines(batch: pa.RecordBatch) -> pa.Array:
+    """The lines of each page, array<struct<text, score, box sides, words>>, null for a page without any.
+
+    Texts, scores and polygons are taken side by side as far as all three go, tokens and their boxes as far as both; lines
+    without text or box are left out, a score that is no number is 0.
+    """
+    c = batch.column
+    some = np.minimum(np.minimum(_sizes(c("texts")), _sizes(c("scores"))), _sizes(c("line_shown")))
+    heads = lambda name: _heads(c(name), some)
+    texts = pc.utf8_trim(pc.fill_null(heads("texts"), ""), characters=WHITE)
+    sides, boxed = _around(heads("line_shown"), heads("line_numbers"), heads("line_points"))
+    kept = np.flatnonzero(boxed & (pc.binary_length(texts).to_numpy() > 0))
+    page = np.repeat(np.arange(batch.num_rows), some)[kept]
+    of_kept = lambda name: heads(name).take(pa.array(kept))
+    texts, given, shown = texts.take(pa.array(kept)), of_kept("tokens"), of_kept("token_shown")
+    count = np.minimum(_sizes(given), _sizes(shown))
+    around, placed = _around(_heads(shown, count), _heads(of_kept("token_numbers"), count), _heads(of_kept("token_points"), count))
+    token = pa.StructArray.from_arrays([_heads(given, count), *(pa.array(s, mask=~placed) for s in around)], names=["token", *SIDES])
+    offsets = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    words = _line_words(texts, pa.ListArray.from_arrays(offsets(count), token, mask=pa.array(count == 0)))
+    lines = pa.StructArray.from_arrays([texts, pc.fill_null(of_kept("scores"), 0.0), *(pa.array(s[kept]) for s in sides), words], names=["text", "score", *SIDES, "words"])
+    return pa.ListArray.from_arrays(offsets(np.bincount(page, minlength=batch.num_rows)), lines, mask=pa.array(some == 0))
 
 
 def read_pages(raws: DataFrame, key: list[str], raw_col: str = "raw") -> DataFrame:
@@ -110,13 +175,27 @@ def read_pages(raws: DataFrame, key: list[str], raw_col: str = "raw") -> DataFra
     """
     v = F.col("variant_")
     number = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
-    rows = raws.withColumn("variant_", F.try_parse_json(raw_col)).withColumn("lines_", engine_lines(F.try_variant_get(v, "$.page", "variant")))
     sized = (number("width", "double") > 0) & (number("height", "double") > 0)
     error = F.when(v.isNull(), "no_json").when(~F.coalesce(sized, F.lit(False)), "page_size")
-    merged = rows.withColumn("words_", merge_lines(F.col("lines_"))).withColumn("error", error)
-    line = lambda x, w: F.struct(x["text"].alias("text"), x["score"].alias("score"), *(x["box"][s].alias(s) for s in SIDES), w.alias("words"))
-    lines = F.when(F.col("error").isNull(), F.zip_with("lines_", "words_", line))
-    return merged.select(*key, number("page_number", "int").alias("page_number"), number("width", "double").alias("width"), number("height", "double").alias("height"), dots_per_inch(F.try_variant_get(v, "$.dpi", "variant")).alias("dpi"), number("text", "string").alias("text"), lines.alias("lines"), "error")
+    parsed = raws.select(*key, F.try_parse_json(raw_col).alias("variant_")).withColumn("error", error)
+    kept = [*key, "page_number", "width", "height", "dpi", "text", "error"]
+    plain = [number("page_number", "int").alias("page_number"), *(number(s, "double").alias(s) for s in ("width", "height")), dots_per_inch(F.try_variant_get(v, "$.dpi", "variant")).alias("dpi"), number("text", "string").alias("text")]
+    sound = F.when(F.col("error").isNull(), v)  # pages with an error have no lines
+    rows = parsed.select(*key, *plain, "error", sound.alias("variant_")).select(*kept, *_engine_columns(v))
+    line = f"struct<text:string,score:double,{BOX},words:array<struct<text:string,{BOX}>>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept) + f", lines array<{line}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, tokens = batch.column("texts").offsets.to_numpy(), batch.column("tokens")
+            block = (texts + tokens.values.offsets.to_numpy()[tokens.offsets.to_numpy()])[1:] // TOKENS
+            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for start, end in zip(starts, starts[1:]):
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), _engine_lines(part)], names=[*kept, "lines"])
+
+    names = [*key, "page_number", "width", "height", "dpi", "text", "lines", "error"]
+    return rows.mapInArrow(run, schema).select(*names)
 
 
 # --- words from tokens
@@ -170,26 +249,18 @@ def merge_tokens(tokens: Column) -> Column:
     return F.arrow_udf(_words, WORDS)(tokens)
 
 
-def _line_words(lines: pa.Array) -> pa.Array:
-    """For each line of each page the words of its tokens, under the line's own spelling where their number agrees."""
-    flat = lines.flatten()
-    words = _words(flat.field("tokens"))
+def _line_words(lines: pa.Array, tokens: pa.Array) -> pa.Array:
+    """For each line the words of its tokens, under the line's own spelling where their number agrees; null for null tokens."""
+    words = _words(tokens)
     n = np.diff(words.offsets.to_numpy())
     texts = words.values.field("word").to_pylist()
     at = words.offsets.to_pylist()
-    for k, line in enumerate(flat.field("text").to_pylist()):
-        own = (line or "").split()
+    for k, line in enumerate(lines.to_pylist()):
+        own = (line or "").split() if n[k] else []
         if n[k] and len(own) == n[k]:
             texts[at[k] : at[k + 1]] = own
     named = pa.StructArray.from_arrays([pa.array(texts, pa.string()), *(words.values.field(s) for s in SIDES)], names=["text", *SIDES])
-    inner = pa.ListArray.from_arrays(words.offsets, named, mask=words.is_null())
-    offsets = np.concatenate([[0], np.cumsum(np.where(lines.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lines.offsets.to_numpy())))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), inner, mask=lines.is_null())
-
-
-def merge_lines(lines: Column) -> Column:
-    """The words of every line of a page, from lines with text and tokens; null for a line without tokens."""
-    return F.arrow_udf(_line_words, f"array<array<struct<text:string,{BOX}>>>")(lines)
+    return pa.ListArray.from_arrays(words.offsets, named, mask=words.is_null())
 
 
 # --- element trees

@@ -1,5 +1,7 @@
 """Work that must not grow with documents times names, rows of a batch or the like."""
 
+import json
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -84,3 +86,23 @@ def test_elements_in_blocks_are_those_of_one_line_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(geometry, "_block_words", lambda x: calls.append(len(x.flatten())) or one(x))
     assert geometry._words(tokens).to_pylist() == once and len(calls) > 5 and max(calls) <= 40 + 24
     assert geometry._words(tokens[:0]).to_pylist() == []
+
+
+def test_pages_are_read_without_an_expression_a_token(spark):
+    """Odd pages give what the column expressions give region by region, in one block or many."""
+    polygons = [[1, 2, 3, 4], [4, 3, 2, 1.5], [1, 2, 3, "4"], [1, 2, True, 4], [1, None, 3, 4], "[1,2,3,4]", [[1, 2], [3, "9"], None, {"a": 1}, [5], [0, 7, 1], [2, 2]], [[1, 2]] * 3, [], None, {"a": [1]}, 7]
+    texts = [" two　words", "\x1f x ", 5, None, "a", "b c", "d", "e", "f", "g", "h", "i"]
+    page = {"rec_texts": texts, "rec_scores": [*range(9), "0.5", "x", None], "rec_polys": polygons, "text_word": [["q", " ", "r"], "s", None, [], ["t", None, "u", 8]], "text_word_boxes": None, "text_word_region": [polygons[:2], polygons, polygons, polygons, [polygons[6], polygons[0]]]}
+    pages = [page, page | {"rec_texts": "x"}, page | {"rec_scores": [1]}, page | {"text_word_boxes": [polygons] * 6}, page | {"text_word": [texts] * 12, "text_word_boxes": [polygons[::-1]] * 12}, None, page | {"rec_polys": [page["rec_polys"][0]] * 12}]
+    rows = [(k, json.dumps({"width": 9, "height": 9, "page": p})) for k, p in enumerate(pages * 3)]
+    raws = spark.createDataFrame(rows, "k int, raw string").coalesce(1)
+    read = geometry.read_pages(raws, ["k"])
+    boxed = raws.select("k", F.posexplode(F.expr("try_variant_get(parse_json(raw), '$.page.rec_polys', 'array<variant>')")).alias("at", "v")).select("k", "at", geometry.box(geometry.points(F.col("v"))).alias("b"))
+    want = {(r.k, r.at): tuple(r.b) for r in boxed.collect()}
+    got = {r.k: r.lines for r in read.collect()}
+    words = lambda x: "".join(map(str, (x if x is not None else "",))).strip()
+    for k, p in enumerate(pages * 3):
+        some = min((len(v) if isinstance(v, list) else 0 for v in ((p or {}).get(n) for n in ("rec_texts", "rec_scores", "rec_polys"))), default=0)
+        expected = [(words(p["rec_texts"][i]), want[k, i]) for i in range(some) if words(p["rec_texts"][i]) and want[k, i][0] is not None]
+        assert (got[k] is None) == (not some) and [(x.text, (x.left, x.top, x.right, x.bottom)) for x in got[k] or []] == expected
+    assert "MapInArrow" in plan(read) and "schema_of_variant(lambda" not in plan(read)
