@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.catalog import ORACLE_SQL, QUERIES
-from docloom.functions import prompt
+from docloom.functions import prompt, response
 from docloom.jobs import classify
 from docloom.operators import geometry
 
@@ -106,3 +106,18 @@ def test_pages_are_read_without_an_expression_a_token(spark):
         expected = [(words(p["rec_texts"][i]), want[k, i]) for i in range(some) if words(p["rec_texts"][i]) and want[k, i][0] is not None]
         assert (got[k] is None) == (not some) and [(x.text, (x.left, x.top, x.right, x.bottom)) for x in got[k] or []] == expected
     assert "MapInArrow" in plan(read) and "schema_of_variant(lambda" not in plan(read)
+
+
+def test_verdicts_shuffle_no_texts_and_read_lists_whole(spark):
+    raws = [' \n{"tags":["A","B"],"title":"T"}', '{"tags":["A",null,7,{"a":1},"x\\"y"],"title":7}', '{"tags":[null],"title":"\\u00fc\\n"}', '{"tags":[],"title":null}', '{"tags":"A"}', '{"tags":[["A"]]}', "[1]", '"{"', "{", "", None, '{"tags":["7","true"]}', '{"tags":[1,2]}']
+    rows = spark.createDataFrame(list(enumerate(raws)), "k int, raw string")
+    got = {r.k: (r.response_.is_object, r.response_.title, r.response_.tags) for r in response.fields(rows).collect()}
+    want = [(True, "T", ["A", "B"]), (True, None, ["A", None, None, None, 'x"y']), (True, "ü\n", [None]), (True, None, []), (True, None, None), (True, None, [None]), *[(False, None, None)] * 5, (True, None, ["7", "true"]), (True, None, [None, None])]
+    assert [got[k] for k in range(len(raws))] == want
+    names = lambda n: spark.createDataFrame([(n,)], "name string")
+    judged = response.judged(response.fields(rows.union(rows.limit(1))), ["k"], names("D"), names("C"), names("A"), 4)
+    errors = {(r.k, ",".join(r.errors)) for r in judged.collect()}
+    assert len(errors) == len(raws) and (0, "document_type_invalid,correspondent_invalid,tags_unknown,created_not_a_string") in errors and (6, "not_an_object") in errors
+    assert (1, "title_missing,document_type_invalid,correspondent_invalid,tags_too_many,tags_unknown,created_not_a_string") in errors
+    last_join = plan(judged.select("k", "errors")).split("Join", 1)[1].split("Join", 1)[0]
+    assert "before_" in last_join and "AS response_" not in last_join and "END AS tags" not in last_join.split("\n")[1]
