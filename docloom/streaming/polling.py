@@ -89,8 +89,8 @@ class Loop:
         before, pruned_at = self.clock(spark, number)
         at = at or before
         tags = self.tags(spark, number)
-        due = queue(tags, s.queue_tag, s.page, "tag_ids", ("added", "doc_id"))
-        work = self.process(spark, due)
+        queue(tags, s.queue_tag, s.page, "tag_ids", ("added", "doc_id")).write.mode("overwrite").parquet(self._path("due", number))
+        work = self.process(spark, spark.read.schema(tags.schema).parquet(self._path("due", number)))  # the queue is read once a beat
         changes = work.tags.select("doc_id", F.col("tag_ids").cast("array<long>").alias("tag_ids"), F.lit(number).alias("beat"))
         if number and number % COMPACT == 0:  # this beat's table holds all changes so far
             older = self._read(spark, "tags", CHANGES, number).groupBy("doc_id").agg(F.max_by(F.struct("tag_ids", "beat"), "beat").alias("x")).select("doc_id", "x.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.catalog import ORACLE_SQL, QUERIES
 from docloom.functions import prompt
-from docloom.jobs import classify
+from docloom.jobs import classify, queries
 from docloom.operators import geometry
 
 SMALL = "/root/testdata/sf0.001"
@@ -26,6 +26,18 @@ def test_no_prompt_is_made_that_no_model_reads(spark, monkeypatch, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_plans_of_the_job_read_each_table_once_and_broadcast_none_whole(spark, monkeypatch):
+    plans, real = {}, classify.written
+    monkeypatch.setattr(classify, "written", lambda df, name: plans.update({name: plan(df)}) or real(df, name))
+    docs, current = (real(df, "given") for df in queries._job_documents(spark, SMALL))
+    out = queries._job(spark, SMALL, docs, current)
+    leaves = {name: p.count("Relation [") for name, p in plans.items()}
+    assert leaves["answers"] == 1 and leaves["outcomes"] == 2  # no taxonomy; the judged rows and the patches
+    assert sum(leaves.values()) <= 22 and plan(out.tags).count("Relation [") == 4
+    for df in queries._job_documents(spark, SMALL):
+        assert "(p_partkey#" in plan(df) and "<= 200)" in plan(df) and "<= 10)" in plan(df)
+
+
 def test_names_are_joined_once_and_not_once_a_document(spark):
     docs = spark.createDataFrame([(1, "a\n\nb\nc"), (2, " ")], "doc_id long, text string")
     dims = spark.createDataFrame([(["T"], ["S", "R"], ["A"])], "document_types array<string>, correspondents array<string>, content_tags array<string>")

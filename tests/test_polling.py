@@ -49,6 +49,14 @@ def test_beats_drain_the_queue(spark, tmp_path, monkeypatch, compact):
     assert done[-1] == [] and loop.tags(spark, 4).count() == 50
 
 
+def test_the_queue_of_a_beat_is_read_once(spark, tmp_path):
+    loop, done = loop_of(spark, tmp_path)
+    inner, plans = loop.process, []
+    loop.process = lambda s, due: plans.append(due._jdf.queryExecution().optimizedPlan().toString()) or inner(s, due)
+    beat(spark, loop, 0, 0)
+    assert len(done[0]) == 20 and plans[0].startswith("Relation [") and "Join" not in plans[0]
+
+
 def test_a_beat_that_runs_again_changes_nothing(spark, tmp_path):
     loop, done = loop_of(spark, tmp_path)
     beat(spark, loop, 0, 0)
